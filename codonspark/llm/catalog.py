@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import decontaminate, licenses, mixing, quality, sharding, simhash, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": quality.op1_quality_rules}
+    return {
+        "op1_quality_rules": quality.op1_quality_rules,
+        "op2_wu_manber": decontaminate.op2_wu_manber,
+        "op3_mix_sources": mixing.op3_mix_sources,
+        "op5_offset_tokens": tokens.op5_offset_tokens,
+        "op8_jump_sharding": sharding.op8_jump_sharding,
+        "op9_simhash_anchors": simhash.op9_simhash_anchors,
+        "op10_license_rules": licenses.op10_license_rules,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.OP1_SQL}
+    return {"op1_quality_rules": quality.OP1_SQL, "op2_wu_manber": decontaminate.OP2_SQL}
