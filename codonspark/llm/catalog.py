@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, mixing, quality, sharding, simhash, tokens
+from . import ctw, decontaminate, language, licenses, mixing, quality, sharding, simhash, substrings, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,7 +14,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": quality.op1_quality_rules,
         "op2_wu_manber": decontaminate.op2_wu_manber,
         "op3_mix_sources": mixing.op3_mix_sources,
+        "op4_context_tree": ctw.op4_context_tree,
         "op5_offset_tokens": tokens.op5_offset_tokens,
+        "op6_substring_doubling": substrings.op6_substring_doubling,
+        "op7_language_crf": language.op7_language_crf,
         "op8_jump_sharding": sharding.op8_jump_sharding,
         "op9_simhash_anchors": simhash.op9_simhash_anchors,
         "op10_license_rules": licenses.op10_license_rules,
@@ -22,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.OP1_SQL, "op2_wu_manber": decontaminate.OP2_SQL}
+    return {"op1_quality_rules": quality.OP1_SQL, "op2_wu_manber": decontaminate.OP2_SQL, "op6_substring_doubling": substrings.OP6_SQL}
