@@ -18,6 +18,7 @@ hits or no rows; extra columns are not read.
 
 from __future__ import annotations
 
+import functools
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -125,22 +126,30 @@ def _union_spans(lists: list[list[int]]) -> list[int]:
     return [x for r in _merged(p for spans in lists for p in zip(spans[::2], spans[1::2], strict=True)) for x in r]
 
 
-def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", window: int = WINDOW, block_mb: int = 16
-) -> DataFrame:
-    """(key, n_words, spans, items) of each row: merged hit word ranges as a flat array, ids of the items found, sorted as strings."""
+def _benchmark_blocks(benchmark: DataFrame, item: str, block_mb: int) -> Iterator[list[tuple[str, str]]]:
+    """The benchmark's (item, text) in lists of at most block_mb of text, dealt by a hash of the item."""
     bench = benchmark.select(F.col(item).cast("string").alias("item"), F.col("text").alias("text")).where("text IS NOT NULL AND item IS NOT NULL")
     total = bench.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     blocks = -(-total // (block_mb << 19)) if total > block_mb << 20 else 1  # of half the bound, as hashes deal unevenly
-    passes = None
-    rows = docs.select(F.col(key).alias("row"), F.col(text).alias("text"))
-    if blocks == 1:
-        return _pass(rows, [(r[0], r[1]) for r in bench.toLocalIterator()], window).withColumnRenamed("row", key)
-    rows = checkpointed(rows.withColumn("row", F.struct(F.col("row").alias("key"), F.monotonically_increasing_id().alias("n"))))
     for k in range(blocks):
-        own = [(r[0], r[1]) for r in bench.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).toLocalIterator()]
-        found = _pass(rows, own, window)
-        passes = found if passes is None else passes.union(found)
+        own = bench.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k) if blocks > 1 else bench
+        yield [(r[0], r[1]) for r in own.toLocalIterator()]
+
+
+def find_contamination(
+    docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", window: int = WINDOW, block_mb: int = 16
+) -> DataFrame:
+    """(key, n_words, spans, items) of each row: merged hit word ranges as a flat array, ids of the items found, sorted as strings."""
+    rows, passes = docs.select(F.col(key).alias("row"), F.col(text).alias("text")), []
+    for own in _benchmark_blocks(benchmark, item, block_mb):
+        if len(passes) == 1:  # a row is named by more than its key, which can repeat
+            rows = checkpointed(rows.withColumn("row", F.struct(F.col("row").alias("key"), F.monotonically_increasing_id().alias("n"))))
+            passes = [_pass(rows, first, window)]
+        first = own
+        passes.append(_pass(rows, own, window))
+    if len(passes) == 1:
+        return passes[0].withColumnRenamed("row", key)
+    passes = functools.reduce(DataFrame.union, passes)
     joined = passes.groupBy("row").agg(F.max("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     return joined.select(F.col("row.key").alias(key), "n_words", _union_spans("spans").alias("spans"), "items")
 
@@ -150,10 +159,23 @@ def n_hit(spans: Column) -> Column:
     return F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: x - a)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **more: int) -> DataFrame:
-    """The rows without any benchmark window, all columns kept. Keys are taken to be unique."""
-    hit = find_contamination(docs, benchmark, key, text, **more).where(F.size("spans") > 0).select(key)
-    return docs.join(hit, key, "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", window: int = WINDOW, block_mb: int = 16) -> DataFrame:
+    """The rows without any benchmark window, all columns kept; each block of the benchmark drops its own, without a shuffle."""
+
+    def without(items: list[tuple[str, str]]):
+        sent = docs.sparkSession.sparkContext.broadcast(items)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = tables(sent.value, window)
+            for batch in slices(batches, 4 << 20, text):
+                words = map(plain_words, batch.column(text).to_pylist())
+                yield batch.filter(pa.array([not any(True for table in found for _ in table.search(w)) for w in words], pa.bool_()))
+
+        return run
+
+    for own in _benchmark_blocks(benchmark, item, block_mb):
+        docs = docs.mapInArrow(without(own), docs.schema)
+    return docs
 
 
 def op2_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
