@@ -73,7 +73,7 @@ def gene_omega_prob(t):
     return po.ranked(t.groupBy("gene").agg(po.share(F.col("posom") > 1.0).alias("pp"), F.avg("posom").alias("mean_omega")), F.round("mean_omega", 9).desc(), "gene")
 
 
-@query("gene_trace", """SELECT g.gene, g.iter, posw, round(posom, 6) AS posom FROM gene_trace g JOIN (SELECT gene, max(iter) + 1 AS n FROM gene_trace GROUP BY gene) s ON s.gene = g.gene
+@query("gene_trace", """SELECT g.gene, g.iter, round(posw, 6) AS posw, round(posom, 6) AS posom FROM gene_trace g JOIN (SELECT gene, max(iter) + 1 AS n FROM gene_trace GROUP BY gene) s ON s.gene = g.gene
   WHERE iter >= n // 10 AND (iter - n // 10) % 3 = 0 AND (iter - n // 10) // 3 < (least(n, 20) - n // 10) // 3""")
 def sample_window(t):
     return po.sample_window(t, -1, 3, 20, ["gene"])
@@ -89,7 +89,7 @@ def posterior_mean_sd(t):
     return po.posterior_mean_sd(after(t), ["param"])
 
 
-QUANTILE = "max(CASE WHEN k = floor({q}::DOUBLE * n) THEN v END)"
+QUANTILE = "round(max(CASE WHEN k = floor({q}::DOUBLE * n) THEN v END), 6)"
 RANKED = "SELECT {k}, {v} AS v, row_number() OVER (PARTITION BY {k} ORDER BY {v}) - 1 AS k, count(*) OVER (PARTITION BY {k}) AS n FROM {t}"
 
 
@@ -104,7 +104,7 @@ def hyperparam_summary(t):
 
 
 @query("gene_trace", f"""SELECT a.gene, round(pp, 6) AS pp, round(mean_posw, 6) AS mean_posw, round(mean_posom, 6) AS mean_posom, low, high FROM ({GENE_PP}) a JOIN
-  (SELECT gene, round({QUANTILE.format(q=0.025)}, 6) AS low, round({QUANTILE.format(q=0.975)}, 6) AS high FROM ({RANKED.format(k='gene', v='posom', t='gene_trace WHERE iter >= 5')}) x GROUP BY gene) b ON a.gene = b.gene""")
+  (SELECT gene, {QUANTILE.format(q=0.025)} AS low, {QUANTILE.format(q=0.975)} AS high FROM ({RANKED.format(k='gene', v='posom', t='gene_trace WHERE iter >= 5')}) x GROUP BY gene) b ON a.gene = b.gene""")
 def gene_post_analysis(t):
     return po.gene_post_analysis(after(t))
 
@@ -360,9 +360,17 @@ def constant_columns(s):
     return al.column_flags(s)
 
 
-@query("states", f"SELECT gene, site, n_rows FROM ({FLAGS}) x WHERE n_known = 0")
+#: Alignments of the taxa of one group: few rows in a column.
+GROUPED = FLAGS.replace("SELECT gene,", "SELECT taxon % 40 AS gene,").replace("GROUP BY gene, site", "GROUP BY taxon % 40, site")
+
+
+def grouped(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("gene", F.col("taxon") % 40)
+
+
+@query("states", f"SELECT gene, site, n_rows FROM ({GROUPED}) x WHERE n_known = 0")
 def all_missing_columns(s):
-    return al.column_flags(s).where("all_missing").select("gene", "site", "n_rows")
+    return al.column_flags(grouped(s)).where("all_missing").select("gene", "site", "n_rows")
 
 
 @query("states", f"SELECT gene, site, n_rows FROM ({FLAGS}) x WHERE n_known = n_rows")
@@ -375,11 +383,10 @@ def drop_missing_taxa(s):
     return al.drop_missing_taxa(s)
 
 
-@query("states", """SELECT t AS gene, count(*) AS n FROM (SELECT *, site // 10 AS pos, gene % 2 AS t FROM states) x WHERE (t, pos // 3) IN
-  (SELECT (t, p) FROM (SELECT gene % 2 AS t, (site // 10) // 3 AS p, bool_and(state IS NOT NULL) AS ok, count(DISTINCT site // 10) AS n FROM states GROUP BY ALL) WHERE ok AND n = 3) GROUP BY t""")
+@query("states", """SELECT taxon AS gene, count(*) AS n FROM states WHERE (taxon, site // 3) IN
+  (SELECT (taxon, site // 3) FROM states GROUP BY taxon, site // 3 HAVING bool_and(state IS NOT NULL) AND count(DISTINCT site) = 3) GROUP BY taxon""")
 def complete_triplets(s):
-    rows = s.select((F.col("gene") % 2).alias("gene"), "taxon", F.floor(F.col("site") / 10).alias("site"), "state")
-    return al.complete_triplets(rows).groupBy("gene").agg(F.count(F.lit(1)).alias("n"))
+    return al.complete_triplets(s.withColumn("gene", F.col("taxon"))).groupBy("gene").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("nodes taxa", "SELECT name, depth FROM nodes WHERE name IN (SELECT taxon FROM taxa)")
@@ -419,9 +426,9 @@ def mean_aa_diversity(b):
     return al.aa_diversity(coded(b))
 
 
-@query("bases|codons", "SELECT gene, site FROM codons GROUP BY gene, site HAVING count(DISTINCT aa) = 1")
+@query("bases|codons", "SELECT taxon % 40 AS gene, site FROM codons GROUP BY taxon % 40, site HAVING count(DISTINCT aa) = 1")
 def aa_constant_columns(b):
-    return coded(b).groupBy("gene", "site").agg(F.count_distinct("aa").alias("d")).where("d = 1").select("gene", "site")
+    return grouped(coded(b)).groupBy("gene", "site").agg(F.count_distinct("aa").alias("d")).where("d = 1").select("gene", "site")
 
 
 @query("bases|codons", """SELECT gene, round(coalesce(avg(b / a), 0), 6) AS ratio FROM (SELECT gene, site, max(n) FILTER (WHERE k = 1) AS a, max(n) FILTER (WHERE k = 2) AS b FROM
@@ -533,18 +540,18 @@ def tree_alignment_join(n, t):
     return tr.tree_alignment_check(n, t)
 
 
-@query("nodes states|closure", """WITH k AS (SELECT DISTINCT site, 1000 + taxon AS leaf FROM states WHERE state IS NOT NULL AND taxon % 9 = 0), c AS (SELECT site, ancestor AS node_id, count(*) AS n FROM k JOIN closure ON descendant = leaf GROUP BY ALL),
+@query("nodes states|closure", """WITH k AS (SELECT DISTINCT site, 1000 + taxon AS leaf FROM states WHERE state IS NOT NULL), c AS (SELECT site, ancestor AS node_id, count(*) AS n FROM k JOIN closure ON descendant = leaf GROUP BY ALL),
   r AS (SELECT c.*, n.depth, max(c.n) OVER (PARTITION BY site) AS top FROM c JOIN nodes n USING (node_id)), q AS (SELECT *, max(CASE WHEN n = top THEN depth END) OVER (PARTITION BY site) AS rd FROM r)
   SELECT site, node_id, (CASE WHEN n = top AND depth = rd THEN 2 WHEN depth > rd THEN 1 ELSE 0 END)::INT AS flag FROM q""")
 def informative_nodes(n, s):
-    known = s.where("state IS NOT NULL AND taxon % 9 = 0").select(F.lit("tree").alias("tree"), "site", (F.col("taxon") + 1000).alias("node_id")).distinct().join(n.select("node_id", "name"), "node_id").select("tree", "site", "name")
+    known = s.where("state IS NOT NULL").select(F.lit("tree").alias("tree"), "site", (F.col("taxon") + 1000).alias("node_id")).distinct().join(n.select("node_id", "name"), "node_id").select("tree", "site", "name")
     below = tr.closure(n, MAX_DEPTH)
     touched = known.join(n.select("name", F.col("node_id").alias("descendant")), "name").join(below, ["tree", "descendant"]).select("site", F.col("ancestor").alias("node_id")).distinct()
     return tr.informative_nodes(n, below, known).join(touched, ["site", "node_id"]).select("site", "node_id", "flag")
 
 
 @query("branch_suffstat nodes|closure", f"""WITH q AS (SELECT branch + 1000 AS node_id, {QUANTILE.format(q=0.025)} AS q0, {QUANTILE.format(q=0.5)} AS q1, {QUANTILE.format(q=0.975)} AS q2 FROM ({RANKED.format(k='branch', v='bsyn', t='branch_suffstat')}) x GROUP BY branch)
-  SELECT q.node_id, round(q0, 6) AS q0, round(q1, 6) AS q1, round(q2, 6) AS q2, n.name AS label FROM q JOIN nodes n ON n.node_id = q.node_id""")
+  SELECT q.node_id, q0, q1, q2, n.name AS label FROM q JOIN nodes n ON n.node_id = q.node_id""")
 def branch_posterior_table(b, n):
     q = po.posterior_quantiles(b.select((F.col("branch") + 1000).alias("node_id"), F.col("bsyn").alias("value")), ["node_id"])
     return tr.branch_posterior_table(q, tr.clade_labels(n, tr.closure(n, MAX_DEPTH)), n, True).select("node_id", "q0", "q1", "q2", "label")

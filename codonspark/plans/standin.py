@@ -11,40 +11,40 @@ BASE = ("region", "nation", "supplier", "part", "orders", "lineitem", "events",
 ORDER = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice"
 
 TABLES: dict[str, str] = {
-    "gene_trace": f"SELECT l_partkey AS gene, row_number() OVER (PARTITION BY l_partkey ORDER BY {ORDER}) - 1 AS iter, l_quantity - 25 AS posw, l_extendedprice / 20000 AS posom FROM lineitem",
-    "trace": "SELECT user_id AS param, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS iter, value FROM events",
-    "site_trace": f"SELECT l_suppkey AS gene, l_partkey % 20 AS site, row_number() OVER (PARTITION BY l_suppkey, l_partkey % 20 ORDER BY {ORDER}) - 1 AS iter, l_discount * 10 - 5 AS value FROM lineitem",
+    "gene_trace": f"SELECT l_partkey AS gene, CAST(row_number() OVER (PARTITION BY l_partkey ORDER BY {ORDER}) - 1 AS BIGINT) AS iter, (l_quantity - 25) / 7.3109e0 AS posw, l_extendedprice / 30011.7e0 AS posom FROM lineitem",
+    "trace": "SELECT user_id AS param, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS iter, value / 7.3109e0 AS value FROM events",
+    "site_trace": f"SELECT l_suppkey AS gene, l_partkey % 20 AS site, CAST(row_number() OVER (PARTITION BY l_suppkey, l_partkey % 20 ORDER BY {ORDER}) - 1 AS BIGINT) AS iter, (l_discount * 10 - 5) / 7.3109e0 AS value FROM lineitem",
     "condition_trace": "SELECT l_suppkey AS gene, l_linenumber % 3 AS cond, l_extendedprice AS omega, 1300 * l_quantity AS expected, CASE WHEN l_returnflag = 'A' THEN 0 WHEN l_returnflag = 'N' THEN 1 ELSE 2 END AS alloc FROM lineitem",
-    "site_aa_trace": f"""SELECT cond, gene, site, aa, row_number() OVER (PARTITION BY cond, gene, site, aa ORDER BY {ORDER}) - 1 AS iter, toggle, mask, delta FROM
+    "site_aa_trace": f"""SELECT cond, gene, site, aa, CAST(row_number() OVER (PARTITION BY cond, gene, site, aa ORDER BY {ORDER}) - 1 AS BIGINT) AS iter, toggle, mask, delta FROM
       (SELECT *, l_linenumber % 2 AS cond, l_suppkey % 20 AS gene, l_orderkey % 5 AS site, l_partkey % 20 AS aa, CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END AS toggle,
-        CASE WHEN l_discount > 0.03 THEN 1 ELSE 0 END AS mask, l_tax AS delta FROM lineitem) x""",
+        CASE WHEN l_discount > 0.03 THEN 1 ELSE 0 END AS mask, l_tax / 7.3109e0 AS delta FROM lineitem) x""",
     "bases": f"""SELECT l_partkey % 10 AS gene, l_suppkey AS taxon, l_partkey AS site, substr('ACGT', CAST(l_quantity AS INT) % 4 + 1, 1) AS b1, substr('ACGT', l_linenumber % 4 + 1, 1) AS b2,
       substr('ACGT', CAST(l_orderkey % 4 AS INT) + 1, 1) AS b3, l_discount FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY {ORDER}) AS k FROM lineitem) x WHERE k = 1""",
     "states": "SELECT gene, taxon, site, CASE WHEN l_discount >= 0.02 THEN instr('ACGT', b1) - 1 END AS state FROM bases",
-    "wide": "SELECT doc_id % 20 AS gene, doc_id AS taxon, concat(seq, repeat('-', (3 - length(seq) % 3) % 3)) AS seq FROM (SELECT doc_id, translate(lower(coalesce(text, '')), 'bdefhijklmnopqrsuvwxyz .,!?|', 'cgtacgtacgtacgtacgtacg------') AS seq FROM documents) x",
-    "nodes": """SELECT 'tree' AS tree, 0 AS node_id, NULL AS parent_id, 'root' AS name, NULL AS branch_length, false AS is_leaf, 0 AS depth
-      UNION ALL SELECT 'tree', 1 + r_regionkey, 0, r_name, 0.5 + r_regionkey * 0.125, false, 1 FROM region
-      UNION ALL SELECT 'tree', 100 + n_nationkey, 1 + n_regionkey, n_name, 0.25 + n_nationkey * 0.0625, false, 2 FROM nation
-      UNION ALL SELECT 'tree', 1000 + s_suppkey, 100 + s_nationkey, s_name, 0.125 + (s_suppkey % 7) * 0.25, true, 3 FROM supplier""",
+    "wide": "SELECT doc_id % 20 AS gene, doc_id AS taxon, concat(seq, repeat('-', (3 - length(seq) % 3) % 3)) AS seq FROM (SELECT doc_id, translate(lower(coalesce(text, '')), 'bdefhijklmnopqrsuvwxyz .,!?|ß', 'cgtacgtacgtacgtacgtacg-------') AS seq FROM documents) x",
+    "nodes": """SELECT 'tree' AS tree, 0 AS node_id, NULL AS parent_id, 'root' AS name, CAST(NULL AS DOUBLE) AS branch_length, false AS is_leaf, 0 AS depth
+      UNION ALL SELECT 'tree', 1 + r_regionkey, 0, r_name, CAST(0.5 + r_regionkey * 0.125 AS DOUBLE), false, 1 FROM region
+      UNION ALL SELECT 'tree', 100 + n_nationkey, 1 + n_regionkey, n_name, CAST(0.25 + n_nationkey * 0.0625 AS DOUBLE), false, 2 FROM nation
+      UNION ALL SELECT 'tree', 1000 + s_suppkey, 100 + s_nationkey, s_name, CAST(0.125 + (s_suppkey % 7) * 0.25 AS DOUBLE), true, 3 FROM supplier""",
     "taxa": "SELECT s_name AS taxon FROM supplier WHERE s_suppkey % 3 <> 0",
     "branch_suffstat": """SELECT l_partkey % 25 AS gene, l_suppkey AS branch, CAST(sum(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) AS DOUBLE) AS nsyn,
-      CAST(sum(CASE WHEN l_returnflag <> 'N' THEN 1 ELSE 0 END) AS DOUBLE) AS nnonsyn, sum(l_tax) AS bsyn, sum(l_discount) AS bnonsyn FROM lineitem GROUP BY l_partkey % 25, l_suppkey""",
+      CAST(sum(CASE WHEN l_returnflag <> 'N' THEN 1 ELSE 0 END) AS DOUBLE) AS nnonsyn, sum(l_tax) / 7.3109e0 AS bsyn, sum(l_discount) / 7.3109e0 AS bnonsyn FROM lineitem GROUP BY l_partkey % 25, l_suppkey""",
     "path": f"""SELECT l_suppkey % 10 AS gene, l_orderkey AS site, l_suppkey % 5 AS branch, row_number() OVER (PARTITION BY l_orderkey, l_suppkey % 10, l_suppkey % 5 ORDER BY {ORDER}) AS seg,
-      CAST(l_partkey % 61 AS INT) AS state, l_quantity / 50 AS t FROM lineitem""",
+      CAST(l_partkey % 61 AS INT) AS state, l_quantity / 50.0173e0 AS t FROM lineitem""",
     "cov": """SELECT vec_id AS draw, i, j, CASE WHEN i = j THEN x * y * 100 + 1 ELSE x * y * 100 END AS value FROM (
       SELECT vec_id, a.i, b.i AS j, CAST(CASE a.i WHEN 0 THEN {e0} WHEN 1 THEN {e1} ELSE {e2} END AS DOUBLE) AS x, CAST(CASE b.i WHEN 0 THEN {e0} WHEN 1 THEN {e1} ELSE {e2} END AS DOUBLE) AS y
       FROM embeddings, (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2) a, (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2) b) z""",
-    "replicates": "SELECT CASE WHEN o_custkey % 2 = 0 THEN 'diversity' ELSE 'divergence' END AS stat, o_custkey AS rep, avg(o_totalprice) AS value FROM orders GROUP BY CASE WHEN o_custkey % 2 = 0 THEN 'diversity' ELSE 'divergence' END, o_custkey",
+    "replicates": "SELECT CASE WHEN o_custkey % 2 = 0 THEN 'diversity' ELSE 'divergence' END AS stat, o_custkey AS rep, avg(o_totalprice) / 7.3109e0 AS value FROM orders GROUP BY CASE WHEN o_custkey % 2 = 0 THEN 'diversity' ELSE 'divergence' END, o_custkey",
     "observed": "SELECT stat, value FROM replicates WHERE rep IN (10, 11)",
     "alloc": "SELECT l_suppkey AS gene, l_partkey AS site, CAST(l_orderkey % 7 AS INT) AS component FROM lineitem",
-    "component_weights": "SELECT CAST(r_regionkey * 2 AS INT) AS component, 0.1 + r_regionkey * 0.05 AS weight, 1.5 + r_regionkey AS value FROM region",
-    "codeml": "SELECT p_partkey AS gene, p_retailprice / 100 - 9 AS delta FROM part WHERE p_partkey % 3 = 0",
+    "component_weights": "SELECT CAST(r_regionkey * 2 AS INT) AS component, CAST(0.1 + r_regionkey * 0.05 AS DOUBLE) AS weight, CAST(1.5 + r_regionkey AS DOUBLE) AS value FROM region",
+    "codeml": "SELECT p_partkey AS gene, p_retailprice / 100.0173e0 - 9 AS delta FROM part WHERE p_partkey % 3 = 0",
     "frequencies": """SELECT r_regionkey AS "set", base, w / sum(w) OVER (PARTITION BY r_regionkey) AS freq FROM (SELECT r_regionkey, base, CAST(1 + (r_regionkey * k + k) % 5 AS DOUBLE) AS w FROM region,
       (SELECT 'A' AS base, 1 AS k UNION ALL SELECT 'C', 2 UNION ALL SELECT 'G', 3 UNION ALL SELECT 'T', 4) b) x""",
     "relrates": """SELECT r_regionkey AS "set", a, b, CAST(1 + (r_regionkey + k) % 4 AS DOUBLE) AS r FROM region, (SELECT 'A' AS a, 'C' AS b, 1 AS k UNION ALL SELECT 'A', 'G', 2 UNION ALL SELECT 'A', 'T', 3
       UNION ALL SELECT 'C', 'G', 4 UNION ALL SELECT 'C', 'T', 5 UNION ALL SELECT 'G', 'T', 6) p""",
     "fitness": """SELECT l_suppkey AS "key", substr('ACDEFGHIKLMNPQRSTVWY', CAST(l_partkey % 20 AS INT) + 1, 1) AS aa, 0.01 + sum(l_quantity) / 500 AS fitness FROM lineitem GROUP BY l_suppkey, l_partkey % 20""",
-    "deltas": """SELECT l_suppkey AS "key", l_linenumber % 3 AS cond, substr('ACDEFGHIKLMNPQRSTVWY', CAST(l_partkey % 20 AS INT) + 1, 1) AS aa, avg(l_discount) * 4 - 0.2 AS delta FROM lineitem GROUP BY l_suppkey, l_linenumber % 3, l_partkey % 20""",
+    "deltas": """SELECT l_suppkey AS "key", l_linenumber % 3 AS cond, substr('ACDEFGHIKLMNPQRSTVWY', CAST(l_partkey % 20 AS INT) + 1, 1) AS aa, avg(l_discount) * 4.0173e0 - 0.2e0 AS delta FROM lineitem GROUP BY l_suppkey, l_linenumber % 3, l_partkey % 20""",
 }
 NEEDS = {"states": ("bases",), "observed": ("replicates",)}
 
@@ -105,4 +105,6 @@ def oracle(names: str, body: str) -> str:
 
     for n in names.split():
         add(n)
+    if parts and body.startswith("WITH "):
+        return f"WITH {', '.join(parts)}, {body[5:]}"
     return f"WITH {', '.join(parts)} {body}" if parts else body
