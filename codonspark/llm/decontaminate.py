@@ -25,6 +25,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import checkpointed, plain_words, read_table, slices
 
@@ -121,7 +122,7 @@ def _merged(ranges: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-@F.udf("array<bigint>")
+@F.udf(T.ArrayType(T.LongType()))
 def _union_spans(lists: list[list[int]]) -> list[int]:
     return [x for r in _merged(p for spans in lists for p in zip(spans[::2], spans[1::2], strict=True)) for x in r]
 
