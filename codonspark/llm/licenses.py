@@ -14,7 +14,7 @@ rows are scanned alike; an empty table gives an empty result; extra columns are
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right, insort
+from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -201,7 +201,7 @@ class Scanner:
         left: list[tuple[int, int, int]] = []
         longest = 0
         for _, _, a, b, i in sorted(found):
-            near = left[bisect_left(left, (a - longest,)) : bisect_right(left, (a, b, len(self.rules)))]
+            near = left[bisect_left(left, (a - longest,)) : bisect_left(left, (a + 1,))]
             if not any(b <= y for _, y, _ in near):
                 insort(left, (a, b, i))
                 longest = max(longest, b - a)
