@@ -40,7 +40,7 @@ def site_likelihood(leaf_states: DataFrame, tree: list[tuple[int, int | None, st
             for (node, parent, name, _), move in list(zip(tree, moves, strict=True))[::-1]:
                 p = partial[node]
                 if node not in inner:
-                    got = np.array([-1 if (s := x.get(name)) is None else s for x in states])
+                    got = np.array([-1 if (s := x.get(name)) is None else s for x in states], dtype=int)
                     p = np.where(got[:, None] < 0, 1.0, np.eye(k)[np.maximum(got, 0)])
                 top = p.max(axis=1)
                 scale += np.log(top)
