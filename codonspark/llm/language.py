@@ -41,7 +41,8 @@ def held_out(key: object, folds: int = 4, fold: int = 2) -> bool:
 
 
 def letter_words(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """Runs of letters; a run of numerals that aren't digits, as superscripts, is none."""
+    return [w for w in _WORD.findall(text.lower()) if w.isascii() or any(map(str.isalpha, w))] if text else []
 
 
 def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
