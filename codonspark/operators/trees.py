@@ -96,3 +96,21 @@ def branch_posterior_table(quantiles: DataFrame, labels: DataFrame, nodes: DataF
     named = labels.join(nodes.select("tree", "node_id", "name", "is_leaf"), ["tree", "node_id"])
     rows = quantiles.join(named.where("is_leaf") if leaves_only else named, "node_id")
     return rows.withColumn("label", F.when(F.col("is_leaf"), F.col("name")).otherwise(F.concat_ws("-", "first_leaf", "last_leaf")))
+
+
+def node_branch_medians(medians: DataFrame, lengths: DataFrame) -> DataFrame:
+    """Per node: exp of the median log value (node_id, median), and the mean length of its branch over saved points (node_id, branch_length)."""
+    mean = lengths.groupBy("node_id").agg(F.avg("branch_length").alias("mean_length"))
+    return medians.join(mean, "node_id", "left").select("node_id", F.exp("median").alias("value"), "mean_length")
+
+
+def branch_table_export(values: DataFrame, nodes: DataFrame, labels: DataFrame, leaves_only: bool = False) -> DataFrame:
+    """Values (node_id, value) by branch, named by the two outer leaves of its clade, or for leaves alone by their name."""
+    rows = values.join(labels, "node_id").join(nodes.select("node_id", "is_leaf"), "node_id")
+    return rows.where("is_leaf").select(F.col("first_leaf").alias("leaf"), "value") if leaves_only else rows.select("first_leaf", "last_leaf", "value")
+
+
+def merge_mapped_branches(trees: DataFrame) -> DataFrame:
+    """(branch, nsyn, nnonsyn, bsyn, bnonsyn) over genes, from annotated trees as rows (gene, stat, branch, value): counts and norms of dS and dN."""
+    at = lambda s: F.sum(F.when(F.col("stat") == s, F.col("value")).otherwise(0.0))
+    return trees.groupBy("branch").agg(at("ds_count").alias("nsyn"), at("dn_count").alias("nnonsyn"), at("ds_norm").alias("bsyn"), at("dn_norm").alias("bnonsyn"))

@@ -557,6 +557,28 @@ def branch_posterior_table(b, n):
     return tr.branch_posterior_table(q, tr.clade_labels(n, tr.closure(n, MAX_DEPTH)), n, True).select("node_id", "q0", "q1", "q2", "label")
 
 
+MEDIAN = f"SELECT branch + 1000 AS node_id, max(CASE WHEN k = floor(0.5::DOUBLE * n) THEN v END) AS m FROM ({RANKED.format(k='branch', v='bsyn', t='branch_suffstat')}) x GROUP BY branch"
+
+
+@query("branch_suffstat nodes", f"SELECT q.node_id, round(exp(q.m), 6) AS value, 2.0::DOUBLE AS mean_length FROM ({MEDIAN}) q")
+def node_branch_medians(b, n):
+    medians = po.posterior_quantiles(b.select((F.col("branch") + 1000).alias("node_id"), F.col("bsyn").alias("value")), ["node_id"], qs=(0.5,)).withColumnRenamed("q0", "median")
+    return tr.node_branch_medians(medians, tr.age_to_branch_length(n.withColumn("age", 10 - F.col("depth") * 2)))
+
+
+@query("branch_suffstat nodes|closure", f"""SELECT l.first_leaf, l.last_leaf, round(v.x, 6) AS value FROM (SELECT c.ancestor AS node_id, sum(b.bsyn) AS x FROM branch_suffstat b JOIN closure c ON c.descendant = b.branch + 1000 GROUP BY c.ancestor) v
+  JOIN ({LABELS}) l ON l.node_id = v.node_id""")
+def branch_table_export(b, n):
+    below = tr.closure(n, MAX_DEPTH)
+    values = b.select((F.col("branch") + 1000).alias("descendant"), "bsyn").join(below, "descendant").groupBy(F.col("ancestor").alias("node_id")).agg(F.sum("bsyn").alias("value"))
+    return tr.branch_table_export(values, n, tr.clade_labels(n, below))
+
+
+@query("branch_suffstat", "SELECT branch, " + ", ".join(f"round(sum({x}), 6) AS {x}" for x in ("nsyn", "nnonsyn", "bsyn", "bnonsyn")) + " FROM branch_suffstat GROUP BY branch")
+def merge_mapped_branches(b):
+    return tr.merge_mapped_branches(b.select("gene", "branch", F.expr("stack(4, 'ds_count', nsyn, 'dn_count', nnonsyn, 'ds_norm', bsyn, 'dn_norm', bnonsyn) AS (stat, value)")))
+
+
 # Sufficient statistics
 
 STEPS = "(SELECT gene, site, branch, seg, state AS from_state, lead(state) OVER (PARTITION BY gene, site, branch ORDER BY seg) AS to_state, t FROM path)"
