@@ -6,13 +6,15 @@ known. Every node of a tree has a Krichevsky-Trofimov estimate of its choice; a
 the estimates of all depths along its context, each node weighted against what lies deeper by the
 evidence of the training texts: w = KT / (KT + product of the children), halves cancelled.
 
-Training: tasks count the distinct windows of DEPTH + 1 bytes of their texts, Spark adds them up, derives the counts of
-the nodes of each depth from those one deeper, and the weights bottom up. All nodes of all texts count. For scoring, nodes are
-put by hash into tables of fixed size (`SLOTS` by depth), where nodes that share a slot share their counts: what is
-broadcast has a fixed bound, 42 MB, whatever the corpus. Choices still sum to one, so the score is a probability.
+Texts lie in blocks of about `BLOCK_BYTES`, written once to the shared folder. Training: tasks count the distinct windows
+of DEPTH + 1 bytes of each block and deal them by the last `KEPT` bytes of the context, so all deeper nodes of a window are in one
+task. There every node of depths KEPT to DEPTH is counted exactly and mixed bottom up, and what a window takes from them is kept with it.
+Only the nodes of fewer bytes, at most 2^24 whatever the corpus, are added up over tasks and broadcast. Scores of windows go back
+to their blocks, each window once for a block. All nodes of all texts count, none shares counts with another, and
+a context that was never seen takes no part. Choices sum to one, so the score is a probability.
 
 The base score needs the count of each word. Words are joined by word: a task sends each distinct word of
-a block of documents once, with its occurrences, so a common word has as many rows as there are blocks.
+a block of documents once, so a common word has as many rows as there are blocks.
 
 Defined cases: null, empty and blank texts are the end alone; a null doc_id counts as the empty string for held_out; repeated
 rows count and are scored each for itself; without training rows N is 0 and every choice is even;
@@ -23,7 +25,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,12 +37,12 @@ from pyspark.sql import functions as F
 from .common import freed_shuffles, read_table, slices, spaced_words, staged
 
 DEPTH = 5
-#: Slots of the table of each depth; the first two hold every node there can be.
-SLOTS = (1 << 8, 1 << 16, 1 << 20, 1 << 20, 1 << 22, 1 << 22)
+#: Bytes of the context by which windows are dealt; nodes of fewer bytes are broadcast.
+KEPT = 3
 BLOCK_BYTES = 12 << 20
-_RANGE = 1 << 16
+_PIECE = 4 << 20
+_GROUP = 500_000
 _END = b"\n"
-_NODE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def held_out(key: object, folds: int = 7, fold: int = 2) -> bool:
@@ -126,156 +128,285 @@ def nodes(counts: DataFrame) -> list[DataFrame]:
     return [x.select("ctx", "b", "n0", "n1", "w") for x in out]
 
 
-def slot_of(depth: int, ctx: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Slot of nodes: exact for depths 0 and 1, hashed below."""
-    code = (ctx << np.uint64(8)) | b.astype(np.uint64)
-    if depth < 2:
-        return code.astype(np.int64)
-    h = (code + np.uint64(depth)) * _NODE
-    h = (h ^ (h >> np.uint64(29))) * _NODE
-    return (h >> np.uint64(64 - SLOTS[depth].bit_length() + 1)).astype(np.int64)
-
-
-def train(docs: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """By depth, (logit of bit 1, weight) of each slot; unused slots are even and weigh nothing."""
-
-    def placed(depth: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for x in batches:
-                slot = slot_of(depth, x.column(0).to_numpy().view(np.uint64), x.column(1).to_numpy())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), depth, dtype=np.int32)), pa.array(slot), *x.columns[2:]], names=["depth", "slot", "n0", "n1", "w"])
-
-        return run
-
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        depth, at = int(group["depth"].iloc[0]), int(group["part"].iloc[0])
-        width = min(_RANGE, SLOTS[depth])
-        logit, weight = np.zeros(width, dtype=np.float16), np.zeros(width, dtype=np.float16)
-        i = (group["slot"] - at * _RANGE).to_numpy()
-        logit[i] = np.log((group["n1"] + 0.5) / (group["n0"] + 0.5))
-        weight[i] = group["w"]
-        return pd.DataFrame({"depth": [depth], "part": [at], "logit": [logit.tobytes()], "weight": [weight.tobytes()]})
-
-    with freed_shuffles(docs.sparkSession):
-        return _tables(docs, placed, pack)
-
-
-def _tables(docs: DataFrame, placed: Callable, pack: Callable) -> list[tuple[np.ndarray, np.ndarray]]:
-    every = None
-    for depth, level in enumerate(nodes(count_windows(docs))):
-        x = level.mapInArrow(placed(depth), "depth int, slot long, n0 long, n1 long, w double")
-        every = x if every is None else every.union(x)
-    n = F.col("n0") + F.col("n1")
-    shared = every.groupBy("depth", "slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), (F.sum(F.col("w") * n) / F.sum(n)).alias("w"))
-    parts = shared.withColumn("part", F.floor(F.col("slot") / _RANGE)).groupBy("depth", "part").applyInPandas(pack, "depth int, part long, logit binary, weight binary")
-    tables = [(np.zeros(s, dtype=np.float16), np.zeros(s, dtype=np.float16)) for s in SLOTS]
-    for depth, part, logit, weight in parts.collect():  # at most the tables' fixed size
-        for table, data in zip(tables[depth], (logit, weight), strict=True):
-            x = np.frombuffer(data, dtype=np.float16)
-            table[part * _RANGE : part * _RANGE + len(x)] = x
-    return tables
-
-
-def log10_windows(windows: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """log10 of the probability of the last byte of each window."""
-    y, ctx = (windows & np.uint64(255)).astype(np.int64), windows >> np.uint64(8)
-    out = np.zeros(len(windows))
-    for j in range(8):
-        b, one = (1 << j) | (y >> (8 - j)), ((y >> (7 - j)) & 1).astype(bool)
-        p = np.full(len(windows), 0.5)
-        for depth in range(DEPTH, -1, -1):
-            slot = slot_of(depth, ctx & np.uint64((1 << (8 * depth)) - 1), b)
-            logit, weight = (t[slot].astype(np.float64) for t in tables[depth])
-            p += weight * (1 / (1 + np.exp(-logit)) - p)
-        out += np.log10(np.clip(np.where(one, p, 1 - p), 1e-9, 1.0))
+#: ln of gamma at n + 1/2 and n + 1 for small n.
+_HALF = np.array([math.lgamma(i + 0.5) for i in range(1 << 12)])
+_WHOLE = np.array([math.lgamma(i + 1.0) for i in range(1 << 12)])
+
+
+def _ln_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """As _kt, over arrays of counts."""
+
+    def at(n: np.ndarray, small: np.ndarray, plus: float) -> np.ndarray:
+        out = small[np.minimum(n, len(small) - 1).astype(np.int64)]
+        large = n >= len(small)
+        z = n[large] + plus
+        out[large] = (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z * z * z)
+        return out
+
+    return at(n0, _HALF, 0.5) + at(n1, _HALF, 0.5) - at(n0 + n1, _WHOLE, 1.0) - math.log(math.pi)
+
+
+def _mixed(kt: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ln of the evidence, weight) of nodes of a depth below DEPTH."""
+    both = np.logaddexp(kt, below)
+    return both - math.log(2), np.exp(kt - both)
+
+
+def _choices(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, bits known, bit taken) of the eight choices of each window, choice by choice."""
+    y = windows & np.uint64(255)
+    b = np.concatenate([np.uint64(1 << j) | (y >> np.uint64(8 - j)) for j in range(8)])
+    one = np.concatenate([((y >> np.uint64(7 - j)) & np.uint64(1)).astype(bool) for j in range(8)])
+    return np.tile(windows >> np.uint64(8), 8), b, one
+
+
+def _codes(depth: int, ctx: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return ((ctx & np.uint64((1 << (8 * depth)) - 1)) << np.uint64(8)) | b
+
+
+def _deep(windows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """Over all windows, each once, of some contexts of KEPT bytes, with their counts of training: what the nodes of KEPT bytes and more give to each
+    choice as it was taken, and (code, n0, n1, ln of the evidence below) of the nodes of KEPT - 1 bytes. A node without training is even."""
+    ctx, b, one = _choices(windows)
+    code, place = np.unique(_codes(DEPTH, ctx, b), return_inverse=True)
+    times, at = np.tile(n, 8), []
+    n0, n1 = (np.bincount(place, times * x, minlength=len(code)) for x in (~one, one))
+    kt = _ln_kt(n0, n1)
+    pw, w, level = kt, np.ones(len(code)), place
+    for depth in range(DEPTH, KEPT - 1, -1):
+        at.append((level, n0, n1, w))
+        up, parent = np.unique(_codes(depth - 1, code >> np.uint64(8), code & np.uint64(255)), return_inverse=True)
+        n0, n1, below = (np.bincount(parent, x, minlength=len(up)) for x in (n0, n1, pw))
+        code, level = up, parent[level]
+        if depth > KEPT:
+            pw, w = _mixed(_ln_kt(n0, n1), below)
+    q = np.full(len(ctx), 0.5)
+    for level, m0, m1, w in at:
+        q += w[level] * ((np.where(one, m1[level], m0[level]) + 0.5) / (m0 + m1 + 1)[level] - q)
+    real = n0 + n1 > 0
+    return q.reshape(8, -1).T, (code[real], n0[real].astype(np.int64), n1[real].astype(np.int64), below[real])
+
+
+def _tops(code: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By depth under KEPT, (code sorted, probability of bit 1, weight) from the nodes of KEPT - 1 bytes."""
+    out = []
+    for depth in range(KEPT - 1, -1, -1):
+        code, place = np.unique(_codes(depth, code >> np.uint64(8), code & np.uint64(255)), return_inverse=True)
+        n0, n1, below = (np.bincount(place, x, minlength=len(code)) for x in (n0, n1, below))
+        pw, w = _mixed(_ln_kt(n0, n1), below)
+        out.insert(0, (code, (n1 + 0.5) / (n0 + n1 + 1), w))
+        below = pw
     return out
 
 
+def train(docs: DataFrame) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By depth, (code sorted, probability of bit 1, weight) of every node, collected: for small tables. score_texts never holds all nodes."""
+    out = []
+    for level in nodes(count_windows(docs)):
+        x = level.toArrow()
+        ctx, b, n0, n1, w = (x[c].to_numpy() for c in ("ctx", "b", "n0", "n1", "w"))
+        code = (ctx.astype(np.uint64) << np.uint64(8)) | b.astype(np.uint64)
+        order = np.argsort(code)
+        out.append((code[order], ((n1 + 0.5) / (n0 + n1 + 1))[order], w[order].astype(np.float64)))
+    return out
+
+
+def log10_windows(windows: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]], deep: np.ndarray | None = None) -> np.ndarray:
+    """log10 of the probability of the last byte of each window, from the nodes of the first depths and what deeper ones give to each choice."""
+    ctx, b, one = _choices(windows)
+    p = np.full(len(ctx), 0.5) if deep is None else deep.T.reshape(-1)
+    for depth in range(len(tables) - 1, -1, -1):
+        codes, kt, w = tables[depth]
+        if len(codes):
+            want = _codes(depth, ctx, b)
+            i = np.minimum(np.searchsorted(codes, want), len(codes) - 1)
+            p += np.where(codes[i] == want, w[i], 0.0) * (np.where(one, kt[i], 1 - kt[i]) - p)
+    return np.log10(np.clip(p, 1e-9, 1.0)).reshape(8, -1).sum(axis=0)
+
+
+def _packed(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _pieces(lines: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Runs of lines of about _PIECE bytes."""
+    ends, at = np.cumsum([len(x) + 1 for x in lines]), 0
+    while at < len(lines):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _PIECE)))
+        yield at, to
+        at = to
+
+
+def _blocks(rows: DataFrame, block_bytes: int) -> DataFrame:
+    """(block, data): blocks of (key, held, line, n_words), written to the shared folder once, so that all passes see the same blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serial = 0
+        for batch in slices(batches, block_bytes):
+            block, serial = (batch.column(2)[0].as_py() << 32) + serial, serial + 1
+            lines, n_words = _lines(batch.column(1).to_pylist())
+            held = pa.array([held_out(k) for k in batch.column(0).to_pylist()], pa.bool_())
+            own = pa.record_batch({"key": batch.column(0), "held": held, "line": pa.array(lines, pa.large_binary()), "n_words": n_words})
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([_packed(own)], pa.binary())], names=["block", "data"])
+
+    return staged(rows.withColumn("part", F.spark_partition_id()).mapInArrow(run, "block long, data binary"))
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    for batch in batches:
+        for block, data in zip(batch.column(0), batch.column(1), strict=True):
+            yield block.as_py(), pa.ipc.open_stream(data.as_py()).read_all()
+
+
+def _window_scores(blocks: DataFrame) -> DataFrame:
+    """(block, windows, scores): log10 of the probability of every window of each block, as packed arrays in several rows."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, own in _opened(batches):
+            lines, trained, found = own["line"].to_pylist(), ~own["held"].to_numpy(), []
+            for at, to in _pieces(lines):
+                windows, _ = _windows(lines[at:to])
+                u, place = np.unique(windows, return_inverse=True)
+                found.append((u, np.bincount(place, np.repeat(trained[at:to], [len(x) + 1 for x in lines[at:to]]), minlength=len(u))))
+            u, place = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
+            n = np.bincount(place, np.concatenate([n for _, n in found]), minlength=len(u)).astype(np.int64)
+            for i in range(0, len(u), 1 << 17):
+                x = u[i : i + (1 << 17)]
+                dealt = ((x >> np.uint64(8)) & np.uint64((1 << (8 * KEPT)) - 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(dealt), pa.array(x.view(np.int64)), pa.array(n[i : i + len(x)]), pa.array(np.full(len(x), block))], names=["dealt", "window", "n", "block"])
+
+    def mix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(windows: np.ndarray, n: np.ndarray, block: np.ndarray) -> Iterator[pa.RecordBatch]:
+            order = np.argsort(windows, kind="stable")
+            u, first, place = np.unique(windows[order], return_index=True, return_inverse=True)
+            q, up = _deep(u, np.bincount(place, n[order], minlength=len(u)))
+            ends = pa.array(np.concatenate([first, [len(order)]]).astype(np.int32))
+            none = lambda k: [pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.list_(pa.int64()))]
+            # a choice of over 1/2 is kept as what it lacks to one, with a minus: single precision is fine at both ends
+            packed = pa.Array.from_buffers(pa.binary(), len(u), [None, pa.py_buffer((np.arange(len(u) + 1) * 32).astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(np.where(q > 0.5, q - 1, q), dtype=np.float32).tobytes())])
+            own = [pa.array(u.view(np.int64)), packed, pa.ListArray.from_arrays(ends, pa.array(block[order]))]
+            yield pa.RecordBatch.from_arrays([*own, pa.nulls(len(u), pa.int64()), pa.nulls(len(u), pa.int64()), pa.nulls(len(u), pa.int64()), pa.nulls(len(u), pa.float64())], names=names)
+            code, n0, n1, below = up
+            yield pa.RecordBatch.from_arrays([*none(len(code)), pa.array(code.view(np.int64)), pa.array(n0), pa.array(n1), pa.array(below)], names=names)
+
+        names = ["window", "deep", "blocks", "code", "n0", "n1", "below"]
+        held, size = [], 0
+        for batch in batches:
+            held.append([c.to_numpy() for c in batch.columns])
+            size += batch.num_rows
+            if size >= _GROUP:  # all but the last context of KEPT bytes are whole
+                dealt, window, n, block = (np.concatenate(x) for x in zip(*held, strict=True))
+                last = int(np.searchsorted(dealt, dealt[-1]))
+                if last:
+                    yield from done(window[:last].view(np.uint64), n[:last], block[:last])
+                held, size = [[x[last:] for x in (dealt, window, n, block)]], len(dealt) - last
+        if size:
+            _, window, n, block = (np.concatenate(x) for x in zip(*held, strict=True))
+            yield from done(window.view(np.uint64), n, block)
+
+    dealt = blocks.mapInArrow(count, "dealt int, window long, n long, block long").repartition("dealt").sortWithinPartitions("dealt")
+    mixed = staged(dealt.mapInArrow(mix, "window long, deep binary, blocks array<long>, code long, n0 long, n1 long, below double"))
+    with freed_shuffles(blocks.sparkSession):
+        top = mixed.where("code IS NOT NULL").groupBy("code").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("below").alias("below")).toArrow()  # at most 2^24 rows
+    tables = blocks.sparkSession.sparkContext.broadcast(_tops(top["code"].to_numpy().view(np.uint64), *(top[c].to_numpy() for c in ("n0", "n1", "below"))))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            x = pa.Table.from_batches(held).combine_chunks()
+            deep = np.frombuffer(b"".join(x["deep"].to_pylist()), dtype=np.float32).reshape(-1, 8).astype(np.float64)
+            window = x["window"].to_numpy()
+            value = log10_windows(window.view(np.uint64), tables.value, np.where(deep < 0, deep + 1, deep)).astype(np.float32)
+            block, times = pa.compute.list_flatten(x["blocks"]).to_numpy(), pa.compute.list_value_length(x["blocks"]).to_numpy()
+            order = np.argsort(block, kind="stable")
+            ids, first = np.unique(block[order], return_index=True)
+            window, value = np.repeat(window, times)[order], np.repeat(value, times)[order]
+            cuts = [*first.tolist(), len(order)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids), *(pa.array([v[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()) for v in (window, value))], names=["block", "windows", "scores"]
+            )
+
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= 200_000:
+                yield from done(held)
+                held, size = [], 0
+        if size:
+            yield from done(held)
+
+    return mixed.where("window IS NOT NULL").select("window", "deep", "blocks").mapInArrow(score, "block long, windows binary, scores binary")
+
+
 def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of each row."""
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = docs.schema[key].dataType.simpleString()
-    tables = docs.sparkSession.sparkContext.broadcast(train(rows))
-
-    def train_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, block_bytes):
-            texts = [t for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if not held_out(k)]
-            lines, _ = _lines(texts)
-            found = _split(lines).value_counts()
-            yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], names=["word", "n"])
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([len(texts)], pa.int64())], names=["word", "n"])
-
-    counted = staged(rows.mapInArrow(train_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("c")))
-    n, v = counted.where("c > 0").agg(F.sum("c"), F.count(F.lit(1))).first()
-    n, ends_known = n or 0, counted.where("word IS NULL AND c > 0").agg(F.sum("c")).first()[0] or 0
-    lead = math.log10(n + v + 1)
+    blocks = _blocks(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), block_bytes)
+    scored = _window_scores(blocks)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each distinct word of a block with its (document, count) pairs, and one row with the block's documents."""
-        names = ["block", "word", "pairs"]
-        serial = 0
-        for whole in slices(batches, block_bytes):
-            for batch in (whole.slice(i, 1 << 16) for i in range(0, whole.num_rows, 1 << 16)):
-                block, serial = (batch.column(2)[0].as_py() << 32) + serial, serial + 1
-                lines, n_words = _lines(batch.column(1).to_pylist())
-                scores, at = [], 0
-                while at < len(lines):  # about 4 MB at a time
-                    to = at + max(1, int(np.searchsorted(np.cumsum([len(x) for x in lines[at:]]), 4 << 20)))
-                    windows, first = _windows(lines[at:to])
-                    place, distinct = pd.factorize(windows)
-                    scores.append(np.add.reduceat(log10_windows(distinct, tables.value)[place], first))
-                    at = to
-                flat = _split(lines).dictionary_encode()
-                pair = flat.indices.to_numpy().astype(np.int64) << 16 | np.repeat(np.arange(len(lines)), n_words)
-                pair, count = np.unique(pair, return_counts=True)
-                much = np.maximum(1, -(-count // 65535))  # a count over 65535 takes several pairs
-                pair, count, rest = np.repeat(pair, much), np.repeat(count, much), np.concatenate([np.arange(m) for m in much]) if (much > 1).any() else 0
-                count = np.minimum(65535, count - rest * 65535)
-                cells = np.stack([(pair & 65535).astype(np.uint16), count.astype(np.uint16)], axis=1)
-                word = pair >> 16
-                cuts = np.concatenate([np.searchsorted(word, np.arange(len(flat.dictionary))), [len(word)]]) * 4
-                offsets, data = pa.py_buffer(cuts.astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(cells).tobytes())
-                m = len(flat.dictionary)
-                pairs = pa.Array.from_buffers(pa.binary(), m, [None, offsets, data])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, block)), flat.dictionary, pairs], names=names)
-                own = pa.record_batch({"key": batch.column(0), "n_words": n_words, "n_bytes": np.array([len(x) + 1 for x in lines]), "score": np.concatenate(scores)})
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, own.schema) as writer:
-                    writer.write_batch(own)
-                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.nulls(1, pa.string()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=names)
+        """Each distinct word of a block with its count in training; the null word stands for the ends of the texts."""
+        for block, own in _opened(batches):
+            lines, trained = own["line"].to_pylist(), ~own["held"].to_numpy()
+            flat = _split(lines).dictionary_encode()
+            n = np.bincount(flat.indices.to_numpy(), np.repeat(trained, own["n_words"].to_numpy()), minlength=len(flat.dictionary)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), block)), flat.dictionary, pa.array(n)], names=["block", "word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.nulls(1, pa.string()), pa.array([int(trained.sum())])], names=["block", "word", "n"])
+
+    sent = blocks.mapInArrow(spread, "block long, word string, n long")
+    counted = staged(sent.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"))
+    n, v = counted.agg(F.sum("c"), F.count(F.lit(1))).first()
+    n, ends_known = n or 0, counted.where("word IS NULL").agg(F.sum("c")).first()[0] or 0
+    lead = math.log10(n + v + 1)
 
     def gather(group: pa.Table) -> pa.Table:
-        own = pa.ipc.open_stream(group.filter(group["own"])["pairs"][0].as_py()).read_all()
-        words = group.filter(pa.compute.invert(group["own"])).select(["pairs", "c"]).combine_chunks()
-        pairs = words["pairs"].combine_chunks() if words.num_rows else pa.array([], pa.binary())
-        pairs = pairs.chunk(0) if isinstance(pairs, pa.ChunkedArray) else pairs
+        own = pa.ipc.open_stream(group.filter(group["data"].is_valid())["data"][0].as_py()).read_all()
+        lines = own["line"].to_pylist()
+        words = group.filter(group["word"].is_valid()).select(["word", "c"]).combine_chunks()
         total = own["n_words"].to_numpy().astype(np.int64)
         size, known, base = len(total), np.zeros(len(total), dtype=np.int64), np.zeros(len(total))
-        if len(pairs):
-            ends = np.frombuffer(pairs.buffers()[1], dtype=np.int32)[pairs.offset : pairs.offset + len(pairs) + 1]
-            cells = np.frombuffer(pairs.buffers()[2], dtype=np.uint16)[ends[0] // 2 : ends[-1] // 2].reshape(-1, 2)
-            c = np.repeat(pa.compute.fill_null(words["c"], 0).to_numpy().astype(np.float64), np.diff(ends) // 4)
-            doc, count = cells[:, 0].astype(np.int64), cells[:, 1].astype(np.float64)
-            known = np.bincount(doc[c > 0], count[c > 0], minlength=size).astype(np.int64)
-            base = np.bincount(doc, count * np.log10(c + 1), minlength=size)
-        score = own["score"].to_numpy()
+        flat = _split(lines)
+        if words.num_rows and len(flat):
+            value = words["word"].combine_chunks()
+            at = pa.compute.fill_null(pa.compute.index_in(flat, value_set=value), -1).to_numpy()
+            c = np.append(words["c"].to_numpy(), 0)[at]
+            doc = np.repeat(np.arange(size), total)
+            known = np.bincount(doc[c > 0], minlength=size).astype(np.int64)
+            base = np.bincount(doc, np.log10(c + 1.0), minlength=size)
+        packed = group.filter(group["windows"].is_valid())
+        windows = np.frombuffer(b"".join(packed["windows"].to_pylist()), dtype=np.uint64)
+        order = np.argsort(windows)
+        windows, value = windows[order], np.frombuffer(b"".join(packed["scores"].to_pylist()), dtype=np.float32)[order].astype(np.float64)
+        score = []
+        for a, b in _pieces(lines):
+            found, first = _windows(lines[a:b])
+            place, distinct = pd.factorize(found)
+            at = np.searchsorted(windows, distinct)
+            score.append(np.add.reduceat(value[at][place], first))
+        score = np.concatenate(score)
         return pa.table(
             {
                 "key": own["key"],
-                "held_out": pa.array([held_out(k) for k in own["key"].to_pylist()]),
+                "held_out": own["held"],
                 "n_tokens": pa.array(total + 1),
                 "n_known": pa.array(known + (1 if ends_known else 0)),
                 "train_tokens": pa.array(np.full(size, n, dtype=np.int64)),
                 "base_score": pa.array(base + math.log10(ends_known + 1) - (total + 1) * lead),
                 "score": pa.array(score),
-                "bits_per_byte": pa.array(-score / math.log10(2) / own["n_bytes"].to_numpy()),
+                "bits_per_byte": pa.array(-score / math.log10(2) / np.array([len(x) + 1 for x in lines])),
             }
         )
 
-    sent = rows.withColumn("part", F.spark_partition_id()).mapInArrow(spread, "block long, word string, pairs binary")
-    known = counted.where("word IS NOT NULL")
+    none = {c: F.lit(None).cast(k) for c, k in (("data", "binary"), ("word", "string"), ("c", "long"), ("windows", "binary"), ("scores", "binary"))}
+
+    def parts(df: DataFrame) -> DataFrame:
+        return df.select("block", *[c if c in df.columns else x.alias(c) for c, x in none.items()])
+
+    found = parts(sent.select("block", "word").join(counted, "word")).union(parts(scored)).union(parts(blocks))
     schema = f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    found = sent.join(known, "word", "left").select("block", F.col("word").isNull().alias("own"), "pairs", "c")
     return found.groupBy("block").applyInArrow(gather, schema).withColumnRenamed("key", key)
 
 

@@ -197,6 +197,18 @@ def test_context_tree_is_a_law(docs):
         assert p.sum() == pytest.approx(1, abs=1e-6)
 
 
+def test_context_tree_is_exact(docs, rows):
+    """Every node keeps its own counts: scores equal those of the nodes of all depths, held one by one."""
+    from pyspark.sql import functions as F
+
+    tables = ctw.train(docs.select(F.col("doc_id").alias("key"), "text"))
+    for doc_id, got in by_id(ctw.score_texts(docs, block_bytes=100_000)).items():
+        text = next(r[1] for r in rows if r[0] == doc_id)
+        windows, _ = ctw._windows(ctw._lines([text])[0])
+        want = ctw.log10_windows(windows, tables).sum()
+        assert [r["score"] for r in got] == pytest.approx([want] * len(got), rel=1e-5), doc_id
+
+
 @pytest.mark.parametrize("rule", tokens.RULES)
 def test_tokens(docs, rows, empty, rule):
     import numpy as np
