@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpointed, n_words_of, read_table, words_of
+from .common import checkpointed, n_words_of, read_table, staged, words_of
 
 BLOCK_WORDS = 512
 SHARD_SLOTS = 4096
@@ -88,10 +88,10 @@ def _planned(sources: DataFrame, block: int, seed: int) -> DataFrame:
     )
 
 
-def _sized(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """(row, key, src, source, size) of each row; src names the source and is never null."""
+def _sized(docs: DataFrame, key: str, text: str, source: str, row: str | None = None) -> DataFrame:
+    """(row, key, src, source, size) of each row; src names the source and is never null. Rows are numbered unless a column has their ids."""
     src = F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit(""))
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), src.alias("src"), F.col(source).alias("source"), n_words_of(F.col(text)).alias("size"))
+    return docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("row"), F.col(key).alias("key"), src.alias("src"), F.col(source).alias("source"), n_words_of(F.col(text)).alias("size"))
 
 
 def plan_sources(sized: DataFrame, block: int, share: float, cap: float, weights: tuple[int, ...], seed: int) -> DataFrame:
@@ -166,14 +166,14 @@ def mixed_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", sourc
 
 def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 3) -> DataFrame:
     """The mix as documents: a row for each pass that takes words of a document, all columns kept. A pass that takes all its words
-    leaves the text as it is, else the text is the words taken, in order, with a space between. Rows that repeat a key are packed as one document and share its draws."""
-    first = _sized(docs, key, text, source).groupBy("key").agg(F.min(F.struct("size", "src", "source")).alias("x"))
-    sized = checkpointed(first.select(F.monotonically_increasing_id().alias("row"), "key", "x.*"))
+    leaves the text as it is, else the text is the words taken, in order, with a space between. Rows are named by an id of their own: those that repeat a key, or have none, are each packed for themselves."""
+    named = staged(docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__key", F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("hash"))))
+    sized = checkpointed(_sized(named, "__key", text, source, "__row"))
     sources = plan_sources(sized, block, share, cap, weights, seed)
     runs = drawn(sized, sources, block, shard_slots, seed).groupBy("row", "pass").agg(F.sum("n").alias("taken"), F.sort_array(F.collect_list(F.struct("at", "n"))).alias("runs"))
-    runs = runs.join(sized.select("row", "key", "size"), "row").select(F.col("key").alias("__key"), F.when(F.col("taken") < F.col("size"), F.col("runs")).alias("__runs"))
+    runs = runs.join(sized.select("row", "size"), "row").select(F.col("row").alias("__row"), F.when(F.col("taken") < F.col("size"), F.col("runs")).alias("__runs"))
     part = F.array_join(F.flatten(F.transform("__runs", lambda r: F.slice(F.col("__words"), (r["at"] + 1).cast("int"), r["n"].cast("int")))), " ")
-    joined = docs.join(runs, docs[key].eqNullSafe(runs["__key"])).withColumn("__words", F.when(F.col("__runs").isNotNull(), words_of(F.col(text))))
+    joined = named.join(runs, "__row").withColumn("__words", F.when(F.col("__runs").isNotNull(), words_of(F.col(text))))
     return joined.withColumn(text, F.when(F.col("__runs").isNull(), F.col(text)).otherwise(part)).select(*docs.columns)
 
 

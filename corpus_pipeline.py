@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codonspark.llm.common import read_table, shared_dir
+from codonspark.llm.common import read_table, shared_dir, staged
 from codonspark.llm.decontaminate import decontaminate
 from codonspark.llm.mixing import mixed_documents
 from codonspark.llm.quality import quality_filter
@@ -27,10 +27,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that with the least doc_id. Rows that repeat its doc_id are one; rows without doc_id, which can't be named, stay."""
-    first = near_duplicates(docs).where("doc_id = component_id").select("doc_id")
-    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return named.union(docs.where("doc_id IS NULL"))
+    """One row of each group: that with the least doc_id, rows without one last, then the least text hash. Rows are named by an id of their own, so different texts under one doc_id or none are each judged for themselves."""
+    named = staged(docs.withColumn("__row", F.monotonically_increasing_id()))
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64("text").alias("hash"), F.col("__row").alias("row"))
+    found = near_duplicates(named.select(order.alias("__id"), "text"), key="__id")
+    first = found.where("__id.row = component_id.row").select(F.col("__id.row").alias("__row"))
+    return named.join(first, "__row", "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

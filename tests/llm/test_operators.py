@@ -158,6 +158,15 @@ def test_mixed_documents(docs, rows):
     assert abs(sum(got.values()) - sum(counts.values())) <= 30
 
 
+def test_mixed_documents_without_keys(spark):
+    """Rows without a key, or under one key, count and are packed each for itself."""
+    data = [(None if i % 3 else 7, " ".join(f"w{i}x{k}" for k in range(10 + 7 * i)), "a") for i in range(30)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(3)
+    n = sum(len(t.split()) for _, t, _ in data)
+    got = [w for r in mixing.mixed_documents(docs, block=16).collect() for w in r["text"].split()]
+    assert len(got) == pytest.approx(1.5 * n, abs=1) and len(set(got)) == n
+
+
 def test_permutation(spark):
     from pyspark.sql import functions as F
 

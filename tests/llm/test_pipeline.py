@@ -44,6 +44,19 @@ def test_stages(spark, steps):
     assert len(last) == steps[3][2].count() and all(sorted(x) == list(range(len(x))) for x in slots.values())
 
 
+def test_near_dedup_without_keys(spark):
+    """Different texts without doc_id, or under one, are each kept; their copies are not."""
+    import corpus_pipeline
+
+    one, two, three = (" ".join(f"{c}{k}" for k in range(60)) for c in "abc")
+    data = [(None, one), (None, two), (5, three), (5, two), (5, one), (6, three), (None, three)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_dedup(spark, docs, SF)
+    assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == sorted((5, t) for t in (one, two, three))
+    got = corpus_pipeline.near_dedup(spark, docs.where("doc_id IS NULL"), SF)
+    assert sorted(r["text"] for r in got.collect()) == sorted((one, two, three))
+
+
 def test_run(spark, steps):
     import corpus_pipeline
 
