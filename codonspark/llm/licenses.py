@@ -1,7 +1,7 @@
 """Operator 10, license scans by ordered signature rules.
 
 Each license has hand-written patterns in three forms: its identifier in a tag, its notice or full name, and
-its addresses. A rule is gated by a keyword: one Aho-Corasick pass over the lowered text finds which keywords are there,
+its addresses. A space of a pattern is any run of white space and comment marks. A rule is gated by a keyword: one Aho-Corasick pass over the lowered text, its lines joined, finds which keywords are there,
 and only the rules of those run. Detections are ordered by priority (tag, notice, address, name), then
 length, then place; one that lies inside an accepted detection is suppressed, unless it overlaps at the edge only.
 
@@ -152,8 +152,10 @@ _LISTED: list[tuple[str, str, str, str]] = [
     *_plain("public-domain", "pddl-1.0", "public domain", r"(?:released|placed|dedicated) (?:in|into|to) the public domain"),
     *_plain("ncsa", "ncsa", "ncsa", r"(?:university of illinois/)?ncsa open source licen[cs]e"),
     *_plain("postgresql", "postgresql", "postgresql", r"postgresql licen[cs]e"),
-    *_plain("ms-pl", "ms-pl", "microsoft", r"microsoft public licen[cs]e|ms-pl"),
-    *_plain("ms-rl", "ms-rl", "microsoft", r"microsoft reciprocal licen[cs]e|ms-rl"),
+    *_plain("ms-pl", "ms-pl", "microsoft", r"microsoft public licen[cs]e"),
+    ("ms-pl", "name", "ms-pl", r"\bms-pl\b"),
+    *_plain("ms-rl", "ms-rl", "microsoft", r"microsoft reciprocal licen[cs]e"),
+    ("ms-rl", "name", "ms-rl", r"\bms-rl\b"),
     *_plain("sleepycat", "sleepycat", "sleepycat", r"sleepycat licen[cs]e"),
     *_plain("vim", "vim", "vim", r"vim licen[cs]e"),
     *_plain("ruby", "ruby", "ruby", r"ruby licen[cs]e"),
@@ -175,6 +177,23 @@ _LISTED: list[tuple[str, str, str, str]] = [
 ]
 RULES = tuple(Rule(*x) for x in _LISTED)
 
+#: What can stand between two words of a text that is broken over lines: white space, then comment marks too.
+_GAP = r"\s(?:[\s*#/;%>!]|--)*"
+#: Spaces for the keyword pass.
+_MARKS = str.maketrans(dict.fromkeys("*#/;%>!", " "))
+
+
+def wrapped(pattern: str) -> str:
+    """The pattern with every space and short gap open to line breaks and comment marks."""
+    pattern = re.sub(r"\[ -\]([*?]?)", lambda m: "(?:" + _GAP + "|-)" + (m[1] and "*"), pattern)
+    pattern = re.sub(r" (\??)", lambda m: "(?:" + _GAP + ")" + m[1], pattern)
+    return re.sub(r"\\W\{0,\d\}", lambda m: m[0] + "(?:" + _GAP + ")?", pattern)
+
+
+def _joined(text: str) -> str:
+    """The text on one line, without comment marks: where keywords are looked for."""
+    return " ".join(text.translate(_MARKS).replace("--", " ").split())
+
 
 class Scanner:
     """Compiled rules behind their keywords."""
@@ -194,9 +213,9 @@ class Scanner:
     def detect(self, text: str) -> list[tuple[int, int, Rule]]:
         """(start, end, rule) of the detections that are left, by place; text is lower case."""
         found = []
-        for keyword in {k for _, k in self.gate.iter(text)}:
+        for keyword in {k for _, k in self.gate.iter(_joined(text))}:
             for i in self.by[keyword]:
-                pattern = self.compiled[i] = self.compiled[i] or re.compile(self.rules[i].pattern)
+                pattern = self.compiled[i] = self.compiled[i] or re.compile(wrapped(self.rules[i].pattern), re.DOTALL)
                 found += [(FORMS[self.rules[i].form][0], m.start() - m.end(), m.start(), m.end(), i) for m in pattern.finditer(text)]
         left: list[tuple[int, int, int]] = []
         longest = 0

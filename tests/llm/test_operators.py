@@ -428,3 +428,24 @@ def test_license_rules_ungated():
     for r in licenses.RULES:
         for m in re.finditer(r.pattern, text):
             assert any(a <= m.start() and m.end() <= b for a, b, _ in gated), r
+
+
+def test_licenses_wrapped():
+    """Phrases broken over lines and comment marks, through the gate."""
+    scanner = licenses.Scanner()
+    texts = {
+        "redistribution and use in source and binary forms, with or without\n# modification, are permitted": "bsd",
+        "permission to use, copy, modify, and/or distribute this software for any\n * purpose with or without fee": "isc",
+        "neither the name of the\n * copyright holder nor the names of its\n * contributors may be used": "bsd-3-clause",
+        "terms of the gnu general public\n// license as published by\n// the free software foundation; either version 2 of the license, or\n// (at your option) any later version": "gpl-2.0-or-later",
+        "licensed under the apache license,\n *    version 2.0": "apache-2.0",
+        "creative\n-- commons attribution 4.0": "cc-by-4.0",
+        "permission is hereby\n; granted, free of charge, to any person\n; obtaining a copy": "mit",
+        "licensed under ms-pl": "ms-pl",
+        "licensed under ms-rl.": "ms-rl",
+    }
+    for text, label in texts.items():
+        assert label in {r.label for _, _, r in scanner.detect(text)}, text
+    for r in licenses.RULES:
+        re.compile(licenses.wrapped(r.pattern), re.DOTALL)
+    assert not scanner.detect("path/mit/license of emit licensed")
