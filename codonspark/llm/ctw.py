@@ -40,8 +40,8 @@ DEPTH = 5
 #: Bytes of the context by which windows are dealt; nodes of fewer bytes are broadcast.
 KEPT = 3
 BLOCK_BYTES = 12 << 20
-_PIECE = 4 << 20
-_GROUP = 500_000
+_PIECE = 2 << 20
+_GROUP = 100_000
 _END = b"\n"
 
 
@@ -332,7 +332,7 @@ def _window_scores(blocks: DataFrame) -> DataFrame:
         for batch in batches:
             held.append(batch)
             size += batch.num_rows
-            if size >= 200_000:
+            if size >= 50_000:
                 yield from done(held)
                 held, size = [], 0
         if size:
