@@ -34,6 +34,12 @@ def codon_rows(code: str = "universal") -> list[tuple[str, int, str, int]]:
     return [(c, i, a, AMINO_ACIDS.index(a)) for i, (c, a) in enumerate(kept)]
 
 
+def stop_codons(code: str = "universal") -> list[str]:
+    """Codons that are stops."""
+    kept = {row[0] for row in codon_rows(code)}
+    return [a + b + c for a in CODON_ORDER for b in CODON_ORDER for c in CODON_ORDER if a + b + c not in kept]
+
+
 def codon_table(spark: SparkSession, code: str = "universal") -> DataFrame:
     return spark.createDataFrame(codon_rows(code), "codon string, codon_id int, aa string, aa_id int")
 

@@ -5,11 +5,12 @@ Long tables are (gene, taxon, site, state) or (gene, taxon, site, codon); missin
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from codonspark.functions.codons import AMINO_ACIDS, NUCLEOTIDES, alphabet, codon_table
+from codonspark.functions.codons import AMINO_ACIDS, NUCLEOTIDES, alphabet, codon_table, stop_codons
+from codonspark.functions.shared import running
 
 
 def detect_alphabet(wide: DataFrame) -> DataFrame:
@@ -39,13 +40,18 @@ def make_codons(wide: DataFrame, frame: int = 0, code: str = "universal") -> Dat
     """(gene, taxon, site, codon, aa, stop): codons read in the row, without a shuffle; missing bases and stops give a null codon. A length that isn't a multiple of 3 is an error."""
     seq = F.upper(F.substring("seq", frame + 1, 1 << 30))
     checked = F.when(F.length(seq) % 3 == 0, seq).otherwise(F.raise_error(F.lit("sequence length is not a multiple of 3")))
-    triplets = F.transform(F.sequence(F.lit(0), (F.length("s") / 3).cast("int") - 1), lambda i: F.substring(F.col("s"), 3 * i + 1, F.lit(3)))
+    triplets = F.regexp_extract_all("s", F.lit("(?s).{3}"), F.lit(0))  # one walk over the sequence
     rows = wide.withColumn("s", checked).where("length(s) > 0").select("gene", "taxon", F.posexplode(triplets).alias("site", "triplet"))
     table = codon_table(wide.sparkSession, code).select("codon", "aa")
     joined = rows.join(F.broadcast(table), rows["triplet"] == table["codon"], "left")
     return joined.select("gene", "taxon", F.col("site").cast("long").alias("site"), "triplet", "codon", "aa", (F.col("codon").isNull() & F.col("triplet").rlike("^[ACGT]{3}$")).alias("stop"))
 
 
+def is_stop(first: Column, second: Column, third: Column, code: str = "universal") -> Column:
+    """Whether three bases are a stop of the code; false if any is missing."""
+    return F.coalesce(F.upper(F.concat(first, second, third)).isin(*stop_codons(code)), F.lit(False))
+
+
 def report_stops(codons: DataFrame) -> DataFrame:
     """Stops met: taxon, codon number and first nucleotide, both from 1."""
     return codons.where("stop").select("gene", "taxon", (F.col("site") + 1).alias("codon_number"), (3 * F.col("site") + 1).alias("first_nucleotide"), "triplet")
@@ -61,10 +67,19 @@ def ry_recode(long: DataFrame) -> DataFrame:
     return long.withColumn("ry", F.when(F.col("state").isin(0, 2), 0).when(F.col("state").isin(1, 3), 1))
 
 
-def codon_position(wide: DataFrame, position: int) -> DataFrame:
-    """Sequences of one codon position (0, 1 or 2)."""
-    at = F.filter(F.split("seq", ""), lambda x, i: (i % 3 == position) & (x != ""))
-    return wide.select("gene", "taxon", F.array_join(at, "").alias("seq"))
+def codon_position(wide: DataFrame, position: int, drop_missing: bool = False, code: str = "universal") -> DataFrame:
+    """Sequences of one codon position (0, 1 or 2). drop_missing: codons that are missing or a stop give -, and columns without any known codon go."""
+    if not drop_missing:
+        at = F.filter(F.split("seq", ""), lambda x, i: (i % 3 == position) & (x != ""))
+        return wide.select("gene", "taxon", F.array_join(at, "").alias("seq"))
+    stops = F.array(*[F.lit(x) for x in stop_codons(code)])
+    base = lambda x: F.when(x.rlike("^[ACGT]{3}$") & ~F.array_contains(stops, x), F.substring(x, position + 1, 1)).otherwise("-")
+    rows = wide.select("gene", "taxon", F.transform(F.regexp_extract_all(F.upper("seq"), F.lit("(?s).{3}"), F.lit(0)), base).alias("bases"))
+    # the columns of a gene that some taxon knows: sets of places are merged inside tasks, then by gene
+    known = rows.select("gene", F.explode(F.filter(F.transform("bases", lambda x, i: F.when(x != "-", i)), lambda i: i.isNotNull())).alias("i"))
+    places = known.distinct().groupBy("gene").agg(F.sort_array(F.collect_list("i")).alias("kept"))
+    seq = F.array_join(F.transform(F.coalesce("kept", F.array().cast("array<int>")), lambda i: F.get("bases", i)), "")
+    return rows.join(places, "gene", "left").select("gene", "taxon", seq.alias("seq"))
 
 
 def column_flags(long: DataFrame, value: str = "state") -> DataFrame:
@@ -78,6 +93,11 @@ def drop_missing_taxa(long: DataFrame, value: str = "state") -> DataFrame:
     return long.join(long.where(F.col(value).isNotNull()).select("gene", "taxon").distinct(), ["gene", "taxon"], "left_semi")
 
 
+def taxa_counts(long: DataFrame, value: str = "state") -> DataFrame:
+    """(gene, ntaxa): taxa with a known state, the number that an alignment has once the others are dropped."""
+    return long.groupBy("gene").agg(F.count_distinct(F.when(F.col(value).isNotNull(), F.col("taxon"))).alias("ntaxa"))
+
+
 def complete_triplets(long: DataFrame, value: str = "state", frame: int = 0) -> DataFrame:
     """Rows of the codons whose three columns have no missing state."""
     rows = long.where(F.col("site") >= frame).withColumn("triplet", F.floor((F.col("site") - frame) / 3))
@@ -136,11 +156,17 @@ def second_first_ratio(aa: DataFrame) -> DataFrame:
     return site.groupBy("gene").agg(F.coalesce(F.avg(F.col("b") / F.col("a")), F.lit(0.0)).alias("ratio"))
 
 
-def taxon_pairs(codons: DataFrame) -> DataFrame:
-    """Known codons of two taxa at one site, taxon1 before taxon2."""
-    known = codons.where("codon IS NOT NULL")
-    a, b = (known.select("gene", "site", F.col("taxon").alias(f"taxon{i}"), F.col("codon").alias(f"codon{i}"), F.col("aa").alias(f"aa{i}")) for i in (1, 2))
-    return a.join(b, ["gene", "site"]).where("taxon1 < taxon2")
+def taxon_pairs(codons: DataFrame, block_sites: int = 256) -> DataFrame:
+    """Known codons of two taxa at one site, taxon1 before taxon2.
+
+    Rows go to blocks of sites of a gene, once; there a site's taxa are one array, whose pairs are made in the row, each once. A block holds a gene's
+    neighbouring sites, so that counts by pair of taxa are nearly done before they are shuffled.
+    """
+    known = codons.where("codon IS NOT NULL").select("gene", "site", "taxon", "codon", "aa").withColumn("__block", F.floor(F.col("site") / block_sites))
+    site = known.repartition("gene", "__block").groupBy("gene", "__block", "site").agg(F.sort_array(F.collect_list(F.struct("taxon", "codon", "aa"))).alias("all"))
+    first = site.select("gene", "site", "all", F.posexplode("all").alias("i", "x"))
+    both = first.select("gene", "site", "x", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("y")).where("x.taxon < y.taxon")
+    return both.select("gene", "site", *[F.col(f"{v}.{c}").alias(f"{c}{k}") for v, k in (("x", 1), ("y", 2)) for c in ("taxon", "codon", "aa")])
 
 
 def pairwise_rates(codons: DataFrame) -> DataFrame:
@@ -169,9 +195,13 @@ def gene_sizes(long: DataFrame) -> DataFrame:
 
 
 def gene_offsets(genes: DataFrame) -> DataFrame:
-    """Adds offset: sites of the genes before one in list order. Genes are a catalog of small rows."""
-    before = W.orderBy("ordinal").rowsBetween(W.unboundedPreceding, -1)
-    return genes.withColumn("offset", F.coalesce(F.sum("nsite").over(before), F.lit(0)))
+    """Adds offset: sites of the genes before one in list order, by ranges of the list, never in one task."""
+    return running(genes, ["ordinal"], ["nsite"]).withColumn("offset", F.col("__sum_nsite") - F.col("nsite")).drop("__rank", "__sum_nsite")
+
+
+def gene_sizes_ranked(long: DataFrame) -> DataFrame:
+    """gene_sizes with rank, largest weight first."""
+    return running(gene_sizes(long), [F.desc("weight"), "gene"]).withColumnRenamed("__rank", "rank")
 
 
 def trait_mean_log(traits: DataFrame) -> DataFrame:

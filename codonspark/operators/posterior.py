@@ -2,27 +2,37 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from codonspark.functions.shared import running
+
 QUANTILES = (0.025, 0.5, 0.975)
 
 
-def sample_window(trace: DataFrame, burnin: int = -1, every: int = 1, until: int = -1, by: list[str] | None = None) -> DataFrame:
+def sample_window(trace: DataFrame, burnin: int = -1, every: int = 1, until: int = -1, by: list[str] | None = None, strict: bool = False) -> DataFrame:
     """Saved points burnin + i * every with i < (until - burnin) div every.
 
     until -1 or beyond the chain is its end; burnin -1 is a tenth of the chain. The chain's size is its largest iter and one, by key if `by` is given.
+    strict: a window without points is an error.
     """
-    if burnin >= 0 and until >= 0:
-        return trace.where((F.col("iter") >= burnin) & ((F.col("iter") - burnin) % every == 0) & ((F.col("iter") - burnin) / every < (until - burnin) // every))
-    by = by or []
-    size = trace.groupBy(*by).agg((F.max("iter") + 1).alias("__size"))
-    rows = trace.join(size, by) if by else trace.join(F.broadcast(size), F.lit(True))
-    first = F.floor(F.col("__size") / 10) if burnin < 0 else F.lit(burnin)
-    last = F.col("__size") if until < 0 else F.least(F.col("__size"), F.lit(until))
     i = F.col("iter") - F.col("__b")
-    return rows.withColumn("__b", first).withColumn("__u", last).where((i >= 0) & (i % every == 0) & (F.floor(i / every) < F.floor((F.col("__u") - F.col("__b")) / every))).drop("__size", "__b", "__u")
+    if burnin >= 0 and every == 1:  # the chain ends where its points end, so its size needn't be known
+        kept = trace.where((F.col("iter") >= burnin) & (F.col("iter") < until)) if until >= 0 else trace.where(F.col("iter") >= burnin)
+    else:
+        by = by or []
+        size = trace.groupBy(*by).agg((F.max("iter") + 1).alias("__size"))
+        rows = trace.join(size, by) if by else trace.join(F.broadcast(size), F.lit(True))  # one row
+        first = F.floor(F.col("__size") / 10) if burnin < 0 else F.lit(burnin)
+        last = F.col("__size") if until < 0 else F.least(F.col("__size"), F.lit(until))
+        kept = rows.withColumn("__b", first).withColumn("__u", last).where((i >= 0) & (i % every == 0) & (F.floor(i / every) < F.floor((F.col("__u") - F.col("__b")) / every))).drop("__size", "__b", "__u")
+    if strict and kept.isEmpty():
+        raise ValueError("the window has no points")
+    return kept
 
 
 def posterior_mean_sd(trace: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
@@ -30,18 +40,26 @@ def posterior_mean_sd(trace: DataFrame, keys: list[str], value: str = "value") -
     return trace.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"))
 
 
-def posterior_quantiles(trace: DataFrame, keys: list[str], value: str = "value", qs: tuple[float, ...] = QUANTILES) -> DataFrame:
-    """Elements int(q * n), from 0, of each key's sorted values, without interpolation, as columns q0, q1, ..."""
-    key = W.partitionBy(*keys)
-    ranked = trace.select(*keys, F.col(value).alias("v"), (F.row_number().over(key.orderBy(value)) - 1).alias("k"), F.count(F.lit(1)).over(key).alias("n"))
+def posterior_quantiles(trace: DataFrame, keys: list[str], value: str = "value", qs: tuple[float, ...] = QUANTILES, split: bool = False) -> DataFrame:
+    """Elements int(q * n), from 0, of each key's sorted values, without interpolation, as columns q0, q1, ...
+
+    A key is sorted in one task; split, for few keys of many rows, deals each key over tasks by ranges of its values.
+    """
+    rows, key = trace.select(*keys, F.col(value).alias("v")), W.partitionBy(*keys)
+    if split:
+        counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        ranks = running(rows, ["v"], keys=keys).withColumn("k", F.col("__rank") - 1)
+        ranked = ranks.join(counts.withColumnsRenamed({k: f"__{k}" for k in keys}), reduce(and_, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]))
+    else:
+        ranked = rows.select(*keys, "v", (F.row_number().over(key.orderBy("v")) - 1).alias("k"), F.count(F.lit(1)).over(key).alias("n"))
     at = lambda q: F.max(F.when(F.col("k") == F.floor(F.lit(q) * F.col("n")), F.col("v")))
     return ranked.groupBy(*keys).agg(*[at(q).alias(f"q{i}") for i, q in enumerate(qs)])
 
 
-def hyperparam_summary(trace: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+def hyperparam_summary(trace: DataFrame, keys: list[str], value: str = "value", split: bool = False) -> DataFrame:
     """Mean and the outer quantiles by key."""
     mean = trace.groupBy(*keys).agg(F.avg(value).alias("mean"))
-    return mean.join(posterior_quantiles(trace, keys, value, (QUANTILES[0], QUANTILES[2])).withColumnsRenamed({"q0": "low", "q1": "high"}), keys)
+    return mean.join(posterior_quantiles(trace, keys, value, (QUANTILES[0], QUANTILES[2]), split).withColumnsRenamed({"q0": "low", "q1": "high"}), keys)
 
 
 def share(condition: Column) -> Column:
@@ -61,25 +79,14 @@ def gene_omega_prob(trace: DataFrame, value: str = "posom") -> DataFrame:
 
 
 def ranked(rows: DataFrame, first: Column, *ties: str) -> DataFrame:
-    """Adds rank in a global order, without sorting in one task: rows are dealt by range, numbered inside their part, and parts start after the counts of earlier ones."""
-    parts = rows.repartitionByRange(first, *ties).withColumn("__part", F.spark_partition_id()).persist()
-    inside = parts.withColumn("__row", F.row_number().over(W.partitionBy("__part").orderBy(first, *ties)))
-    counts = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    starts = counts.select("__part", (F.sum("__n").over(W.orderBy("__part")) - F.col("__n")).alias("__before"))
-    return inside.join(F.broadcast(starts), "__part").withColumn("rank", F.col("__before") + F.col("__row")).drop("__part", "__row", "__n", "__before")
+    """Adds rank in a global order, without sorting in one task."""
+    return running(rows, [first, *ties]).withColumnRenamed("__rank", "rank")
 
 
 def fdr_ranking(rows: DataFrame, *ties: str, pp: str = "pp") -> DataFrame:
-    """Ranked by pp, falling: running mean of pp and 1 minus it. Two phases: sums inside ranges of pp, then the sums of earlier ranges (one row for each range)."""
-    parts = rows.repartitionByRange(F.desc(pp), *ties).withColumn("__part", F.spark_partition_id()).persist()
-    order = W.partitionBy("__part").orderBy(F.desc(pp), *ties)
-    inside = parts.withColumn("__row", F.row_number().over(order)).withColumn("__sum", F.sum(pp).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    counts = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), F.sum(pp).alias("__s"))
-    earlier = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.select("__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__n0"), F.coalesce(F.sum("__s").over(earlier), F.lit(0.0)).alias("__s0"))
-    out = inside.join(F.broadcast(starts), "__part").withColumn("rank", F.col("__n0") + F.col("__row"))
-    mean = (F.col("__s0") + F.col("__sum")) / F.col("rank")
-    return out.withColumn("mean_pp", mean).withColumn("fdr", 1 - F.col("mean_pp")).drop("__part", "__row", "__sum", "__n0", "__s0")
+    """Ranked by pp, falling: running mean of pp and 1 minus it, without sorting in one task."""
+    out = running(rows, [F.desc(pp), *ties], [pp]).withColumnRenamed("__rank", "rank")
+    return out.withColumn("mean_pp", F.col(f"__sum_{pp}") / F.col("rank")).withColumn("fdr", 1 - F.col("mean_pp")).drop(f"__sum_{pp}")
 
 
 def site_positive_prob(trace: DataFrame, value: str = "value") -> DataFrame:
@@ -98,9 +105,13 @@ def gene_site_report(genes: DataFrame, sites: DataFrame, external: DataFrame, cu
     return joined.withColumn("n_sites", F.coalesce("n_sites", F.lit(0)))
 
 
-def gene_post_analysis(trace: DataFrame) -> DataFrame:
-    """Per gene: pp, means, and the outer quantiles of omega."""
-    return gene_positive_prob(trace).join(posterior_quantiles(trace, ["gene"], "posom", (QUANTILES[0], QUANTILES[2])).withColumnsRenamed({"q0": "low", "q1": "high"}), "gene")
+def gene_post_analysis(trace: DataFrame, sites: DataFrame | None = None) -> DataFrame:
+    """Per gene: pp, means, and the outer quantiles of omega. sites (gene, site, pp) adds `site_pp`, int(100 * pp) of each site in order."""
+    found = gene_positive_prob(trace).join(posterior_quantiles(trace, ["gene"], "posom", (QUANTILES[0], QUANTILES[2])).withColumnsRenamed({"q0": "low", "q1": "high"}), "gene")
+    if sites is None:
+        return found
+    percents = F.transform(F.sort_array(F.collect_list(F.struct("site", (100 * F.col("pp")).cast("int").alias("p")))), lambda x: x["p"])
+    return found.join(sites.groupBy("gene").agg(percents.alias("site_pp")), "gene", "left")
 
 
 def site_shift_prob(trace: DataFrame) -> DataFrame:
@@ -114,11 +125,12 @@ def aa_shift_prob(trace: DataFrame) -> DataFrame:
     return trace.groupBy("cond", "gene", "site", "aa").agg(share(F.col("toggle") > 0).alias("pp"))
 
 
-def site_shift_fdr(trace: DataFrame, cutoff: float) -> DataFrame:
-    """Sites with pp over the cutoff, ranked with running mean, with the share of each toggle as a column aa0 to aa19."""
+def site_shift_fdr(trace: DataFrame, cutoff: float, offset: int = 0) -> DataFrame:
+    """Sites with pp over the cutoff, ranked with running mean, with the share of each toggle as a column aa0 to aa19. Sites are numbered from `offset`."""
     sites = fdr_ranking(site_shift_prob(trace).where(F.col("pp") > cutoff), "cond", "gene", "site")
     aa = aa_shift_prob(trace).groupBy("cond", "gene", "site").agg(*[F.coalesce(F.max(F.when(F.col("aa") == i, F.col("pp"))), F.lit(0.0)).alias(f"aa{i}") for i in range(20)])
-    return sites.join(aa, ["cond", "gene", "site"])
+    found = sites.join(aa, ["cond", "gene", "site"])
+    return found.withColumn("site", F.col("site") + offset) if offset else found
 
 
 def gene_shift_histogram(sites: DataFrame, ncat: int = 4) -> DataFrame:
@@ -127,6 +139,12 @@ def gene_shift_histogram(sites: DataFrame, ncat: int = 4) -> DataFrame:
     return sites.groupBy("gene").agg(*[F.count_if(bin_ == i).alias(f"bin{i}") for i in range(ncat)])
 
 
+def gene_shift_ranking(genes: DataFrame, sites: DataFrame, ncat: int = 4) -> DataFrame:
+    """Genes (gene, pp) ranked with running mean and fdr, each with its sites' histogram; a gene without sites has zeros."""
+    bins = gene_shift_histogram(sites, ncat)
+    return fdr_ranking(genes, "gene").join(bins, "gene", "left").fillna(0, [f"bin{i}" for i in range(ncat)])
+
+
 def masked_shift_prob(trace: DataFrame) -> DataFrame:
     """Toggle shares where the mask is on and the site has two active entries or more at that point."""
     point = W.partitionBy("cond", "gene", "site", "iter")
@@ -136,7 +154,10 @@ def masked_shift_prob(trace: DataFrame) -> DataFrame:
 
 
 def centered_effect_prob(trace: DataFrame, cutoff: float) -> DataFrame:
-    """Effects minus their mean over the entries of a point: share over 0, kept where either tail passes the cutoff."""
+    """Effects minus their mean over the entries of a point: share over 0, kept where either tail passes the cutoff.
+
+    Over 0 is over 1e-9: of equal effects, the difference to their mean is rounding alone.
+    """
     point = W.partitionBy("cond", "gene", "site", "iter")
     centered = trace.withColumn("c", F.col("delta") - F.avg("delta").over(point))
     pp = centered.groupBy("cond", "gene", "site", "aa").agg(share(F.col("c") > 1e-9).alias("pp"), F.avg("c").alias("mean_effect"))
@@ -200,11 +221,11 @@ def slope_summary(cov: DataFrame) -> DataFrame:
     d, sxy = F.col("sy") - F.col("sx"), F.col("value")
     rows = rows.withColumn("major", (d + F.sqrt(d * d + 4 * sxy * sxy)) / (2 * sxy)).withColumn("regression", sxy / F.col("sx"))
     long = rows.select("i", "j", F.expr("stack(2, 'major', major, 'regression', regression) AS (slope, v)"))
-    key = W.partitionBy("i", "j", "slope")
-    ordered = long.withColumn("k", F.row_number().over(key.orderBy("v")) - 1).withColumn("n", F.count(F.lit(1)).over(key)).withColumn("l", F.floor(0.025 * F.col("n")))
-    return ordered.groupBy("i", "j", "slope").agg(
-        F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"), F.max(F.when(F.col("k") == F.col("l"), F.col("v"))).alias("low"), F.max(F.when(F.col("k") == F.col("n") - 1 - F.col("l"), F.col("v"))).alias("high")
-    )
+    few = ["i", "j", "slope"]
+    moments = long.groupBy(*few).agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"), F.count(F.lit(1)).alias("n"))
+    # sorted[l] and sorted[n - 1 - l]: a handful of keys, each dealt over tasks by ranges of its slopes
+    ordered = running(long, ["v"], keys=few).withColumn("k", F.col("__rank") - 1).join(moments, few).withColumn("l", F.floor(0.025 * F.col("n")))
+    return ordered.where((F.col("k") == F.col("l")) | (F.col("k") == F.col("n") - 1 - F.col("l"))).groupBy(*few, "mean", "sd").agg(F.min("v").alias("low"), F.max("v").alias("high"))
 
 
 def posterior_predictive(replicates: DataFrame, observed: DataFrame) -> DataFrame:
@@ -222,6 +243,29 @@ def posterior_predictive_alt(replicates: DataFrame, observed: DataFrame, lower:
     return g.withColumn("z", (F.col("mean") - F.col("obs")) / F.col("sd"))
 
 
+def predictive_statistics(codons: DataFrame, rep: str = "rep") -> DataFrame:
+    """(rep, stat, value) of replicate alignments, codon rows (rep, site, taxon, aa): div, mean distinct amino acids over all sites; nconst,
+    sites with exactly one; freq21, over variable sites the mean of the second largest count over the largest. One pass over (rep, site, aa)."""
+    counts = codons.groupBy(rep, "site", "aa").agg(F.count(F.lit(1)).alias("n"))
+    known = F.filter(F.collect_list(F.struct("n", "aa")), lambda x: x["aa"].isNotNull())
+    site = counts.groupBy(rep, "site").agg(F.sort_array(known, asc=False).alias("c")).select(rep, F.size("c").alias("d"), (F.get("c", F.lit(1))["n"] / F.get("c", F.lit(0))["n"]).alias("r"))
+    g = site.groupBy(rep).agg((F.sum("d") / F.count(F.lit(1))).alias("div"), F.count_if(F.col("d") == 1).cast("double").alias("nconst"), F.coalesce(F.avg("r"), F.lit(0.0)).alias("freq21"))
+    return g.select(rep, F.expr("stack(3, 'div', div, 'nconst', nconst, 'freq21', freq21) AS (stat, value)"))
+
+
+def attach_gene_names(rows: DataFrame, genes: DataFrame) -> DataFrame:
+    """Rows by place in the list (ordinal) with the list's gene (ordinal, gene); a place that is in one of both alone is an error."""
+    joined = rows.withColumn("__row", F.lit(True)).join(genes.select("ordinal", "gene"), "ordinal", "full")
+    lost = F.when(F.col("gene").isNull(), F.raise_error(F.concat(F.lit("no gene at place "), F.col("ordinal")))).when(F.col("__row").isNull(), F.raise_error(F.concat(F.lit("no values for gene "), F.col("gene"))))
+    return joined.withColumn("gene", F.coalesce(lost.cast("string"), F.col("gene"))).drop("__row")
+
+
+def gene_places(rows: DataFrame, genes: DataFrame) -> DataFrame:
+    """(ordinal, side) of the places that are in rows or in the gene list alone; empty if they agree."""
+    a, b = rows.select("ordinal").distinct(), genes.select("ordinal").distinct()
+    return a.join(b, "ordinal", "left_anti").withColumn("side", F.lit("rows")).union(b.join(a, "ordinal", "left_anti").withColumn("side", F.lit("list")))
+
+
 def codeml_delta_ranking(pairs: DataFrame) -> DataFrame:
     """Genes by gain in log likelihood, falling."""
     return ranked(pairs, F.desc("delta"), "gene")
@@ -277,6 +321,11 @@ def occupancy(alloc: DataFrame, weights: DataFrame) -> DataFrame:
     return weights.join(n, "component", "left").select("component", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) * F.ln("weight")).alias("log_weight"))
 
 
+def occupancy_totals(occupied: DataFrame) -> DataFrame:
+    """Of occupancy rows: components with items, and the sum of n ln weight."""
+    return occupied.agg(F.count_if(F.col("n") > 0).alias("n_clusters"), F.sum("log_weight").alias("log_prob"))
+
+
 def occupancy_weighted_mean(alloc: DataFrame, values: DataFrame) -> DataFrame:
     """Per gene, mean of its sites' component values."""
     return alloc.join(values, "component").groupBy("gene").agg(F.avg("value").alias("mean"))

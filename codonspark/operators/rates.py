@@ -39,20 +39,63 @@ def fixation(ds):
     return F.when(small, 1 + ds / 2).when(ds > 50, ds).when(ds < -50, 0.0).otherwise(ds / (1 - F.exp(-ds)))
 
 
+def with_diagonal(rates: DataFrame, keys: list[str], a: str = "codon1", b: str = "codon2") -> DataFrame:
+    """(keys, a, b, rate) with the diagonal, minus the sum of each row."""
+    off = rates.select(*keys, a, b, "rate")
+    return off.union(off.groupBy(*keys, a).agg((-F.sum("rate")).alias("rate")).select(*keys, a, F.col(a).alias(b), "rate"))
+
+
+def checked_rows(rates: DataFrame, keys: list[str], a: str = "codon1", tolerance: float = 1e-6) -> DataFrame:
+    """(keys, a, total) of rates with their diagonal; a row that doesn't sum to 0 within tolerance is an error."""
+    rows = rates.groupBy(*keys, a).agg(F.sum("rate").alias("total"))
+    return rows.withColumn("total", F.when(F.abs("total") > tolerance, F.raise_error(F.lit("a row of rates doesn't sum to 0")).cast("double")).otherwise(F.col("total")))
+
+
+def _by_key(fitness: DataFrame) -> DataFrame:
+    """(key, fit map<aa, fitness>): at most twenty entries a key."""
+    return fitness.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("aa", "fitness"))).alias("fit"))
+
+
 def mutsel_rates(neighbours: DataFrame, nuc: DataFrame, fitness: DataFrame, omega: float = 1.0) -> DataFrame:
-    """(set, key, codon1, codon2, rate): mutation rate times the fixation of the difference in log fitness (key, aa, fitness), times omega if the amino acid changes."""
-    mutation = mg_codon_rates(neighbours, nuc, 1.0)
-    f = [fitness.select("key", F.col("aa").alias(f"aa{i}"), F.ln("fitness").alias(f"s{i}")) for i in (1, 2)]
-    rows = mutation.join(f[0], "aa1").join(f[1], ["key", "aa2"])
-    rate = F.col("rate") * fixation(F.col("s2") - F.col("s1")) * F.when(F.col("synonymous"), 1.0).otherwise(omega)
-    return rows.select("set", "key", "codon1", "codon2", "aa1", "aa2", "synonymous", F.col("rate").alias("mutation"), rate.alias("rate"))
+    """(set, key, codon1, codon2, rate): mutation rate times the fixation of the difference in log fitness (key, aa, fitness), times omega if the amino acid changes.
+
+    A key's fitness is one row, paired with the one row of each set's changes, so no key is joined by amino acid; which side is broadcast is left to Spark.
+    """
+    cell = F.struct("codon1", "codon2", "aa1", "aa2", "synonymous", "rate")
+    sets = mg_codon_rates(neighbours, nuc, 1.0).groupBy("set").agg(F.collect_list(cell).alias("cells"))
+    rows = _by_key(fitness).join(sets, F.lit(True)).select("set", "key", "fit", F.inline("cells"))
+    s1, s2 = (F.ln(F.try_element_at("fit", F.col(f"aa{i}"))) for i in (1, 2))
+    rate = F.col("rate") * fixation(s2 - s1) * F.when(F.col("synonymous"), 1.0).otherwise(omega)
+    return rows.select("set", "key", "codon1", "codon2", "aa1", "aa2", "synonymous", F.col("rate").alias("mutation"), rate.alias("rate")).where("rate IS NOT NULL")
+
+
+def mutsel_stationary(stationary: DataFrame, fitness: DataFrame) -> DataFrame:
+    """(set, key, codon, stat): the base product of a codon (set, codon, aa, stat) times its amino acid's fitness, normalised."""
+    sets = stationary.groupBy("set").agg(F.collect_list(F.struct("codon", "aa", "stat")).alias("cells"))
+    rows = _by_key(fitness).join(sets, F.lit(True))
+    weight = F.transform("cells", lambda c: F.struct(c["codon"].alias("codon"), (c["stat"] * F.coalesce(F.try_element_at("fit", c["aa"]), F.lit(0.0))).alias("w")))
+    total = F.aggregate("w", F.lit(0.0), lambda t, c: t + c["w"])
+    return rows.select("set", "key", weight.alias("w")).withColumn("total", total).select("set", "key", "total", F.inline("w")).select("set", "key", "codon", (F.col("w") / F.col("total")).alias("stat"))
+
+
+def predicted_dnds(mutation: DataFrame, stationary: DataFrame, fitness: DataFrame) -> DataFrame:
+    """Per (set, key): flux of fixed over that of all non-synonymous mutations, at the stationary law base product times fitness.
+
+    mutation: codon rates before selection. Codons of a set are summed to pairs of amino acids first, which is all that selection sees, so a key meets some 150 pairs in its row.
+    """
+    s = stationary.select("set", F.col("codon").alias("codon1"), "stat")
+    pairs = mutation.where(~F.col("synonymous")).join(s, ["set", "codon1"]).groupBy("set", "aa1", "aa2").agg(F.sum(F.col("stat") * F.col("rate")).alias("m"))
+    sets = pairs.groupBy("set").agg(F.collect_list(F.struct("aa1", "aa2", "m")).alias("cells"))
+    at = lambda a: F.try_element_at("fit", a)
+    flux = F.transform("cells", lambda c: F.struct((at(c["aa1"]) * c["m"]).alias("all"), (at(c["aa1"]) * c["m"] * fixation(F.ln(at(c["aa2"])) - F.ln(at(c["aa1"])))).alias("fixed")))
+    sums = F.aggregate(F.filter("flux", lambda x: x["fixed"].isNotNull()), F.struct(F.lit(0.0).alias("all"), F.lit(0.0).alias("fixed")), lambda t, x: F.struct((t["all"] + x["all"]).alias("all"), (t["fixed"] + x["fixed"]).alias("fixed")))
+    rows = _by_key(fitness).join(sets, F.lit(True)).select("set", "key", flux.alias("flux")).select("set", "key", sums.alias("x"))
+    return rows.select("set", "key", (F.col("x.fixed") / F.col("x.all")).alias("dnds"))
 
 
-def predicted_dnds(rates: DataFrame, stationary: DataFrame, fitness: DataFrame) -> DataFrame:
-    """Per (set, key): flux of fixed over that of all non-synonymous mutations, at the stationary law base product times fitness."""
-    weight = stationary.join(fitness, "aa").select("set", "key", F.col("codon").alias("codon1"), (F.col("stat") * F.col("fitness")).alias("w"))
-    rows = rates.where(~F.col("synonymous")).join(weight, ["set", "key", "codon1"])
-    return rows.groupBy("set", "key").agg((F.sum(F.col("w") * F.col("rate")) / F.sum(F.col("w") * F.col("mutation"))).alias("dnds"))
+def mean_codon_stationary(stationary: DataFrame, weights: DataFrame) -> DataFrame:
+    """(codon, stat) of a mixture of processes `set` with weights (set, w) that sum to 1."""
+    return stationary.join(weights, "set").groupBy("codon").agg(F.sum(F.col("w") * F.col("stat")).alias("stat"))
 
 
 def aa_projected_rates(rates: DataFrame, stationary: DataFrame) -> DataFrame:
@@ -83,7 +126,7 @@ def selac_profiles(distance: DataFrame, classes: DataFrame, psi: float) -> DataF
 def empirical_selac_profiles(fitness: DataFrame, classes: DataFrame, psi: float) -> DataFrame:
     """(class, key, aa, p): 1e-50 + exp(psi * g * ln fitness), normalised over the amino acids of a key."""
     e = -psi * F.col("g") * F.ln("fitness")
-    rows = fitness.join(F.broadcast(classes), F.lit(True)).select("class", "key", "aa", (1e-50 + F.when(e < 100, F.exp(-e)).otherwise(0.0)).alias("x"))
+    rows = fitness.join(classes, F.lit(True)).select("class", "key", "aa", (1e-50 + F.when(e < 100, F.exp(-e)).otherwise(0.0)).alias("x"))
     return rows.select("class", "key", "aa", (F.col("x") / F.sum("x").over(W.partitionBy("class", "key"))).alias("p"))
 
 

@@ -15,10 +15,38 @@ def path_suffstat(path: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFram
     return waiting, steps.groupBy(*keys, F.col("state").alias("from_state"), "to_state").agg(F.count(F.lit(1)).alias("n"))
 
 
-def length_suffstat(path: DataFrame, rates: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key: events and the sum of waiting time times the rate out of the state (rates: state, out)."""
+def scaled_path(path: DataFrame, lengths: DataFrame, rates: DataFrame, informative: DataFrame | None = None) -> DataFrame:
+    """path (gene, site, branch, seg, state, rel_time) with t = rel_time * branch length * site rate, from (branch, branch_length) and (gene, site, rate).
+
+    informative (gene, site, branch, flag) keeps the paths whose node has flag 1: those that lead to known leaves.
+    """
+    if informative is not None:
+        path = path.join(informative.where("flag = 1").select("gene", "site", "branch"), ["gene", "site", "branch"], "left_semi")
+    rows = path.join(lengths.select("branch", "branch_length"), "branch").join(rates.select("gene", "site", "rate"), ["gene", "site"])
+    return rows.withColumn("t", F.col("rel_time") * F.col("branch_length") * F.col("rate")).drop("branch_length", "rate")
+
+
+def root_counts(path: DataFrame, informative: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, state, n): the last state of the path to each node with flag 2, the root of what is known at a site."""
+    roots = path.join(informative.where("flag = 2").select("gene", "site", "branch"), ["gene", "site", "branch"], "left_semi")
+    last = roots.groupBy("gene", "site", "branch").agg(F.max_by("state", "seg").alias("state"))
+    return last.groupBy(*keys, "state").agg(F.count(F.lit(1)).alias("n"))
+
+
+def nuc_root_counts(roots: DataFrame, codons: DataFrame) -> DataFrame:
+    """(base, n) over the three positions of the codons at roots (state, n)."""
+    bases = codons.select(F.col("codon_id").alias("state"), F.explode(F.split("codon", "")).alias("base")).where("base <> ''")
+    return roots.join(bases, "state").groupBy("base").agg(F.sum("n").alias("n"))
+
+
+def length_suffstat(path: DataFrame, rates: DataFrame, keys: list[str], factor: str | None = None) -> DataFrame:
+    """Per key: events and the sum of waiting time times the rate out of the state (rates: state, out).
+
+    By branch or by site: `factor` names a column of path that its times are to be multiplied by, as the site's rate for branches or the branch's length for sites.
+    """
+    path = path.withColumn("t", F.col("t") * F.col(factor)) if factor else path
     waiting, pairs = path_suffstat(path, keys)
-    beta = waiting.join(F.broadcast(rates), "state").groupBy(*keys).agg(F.sum(F.col("t") * F.col("out")).alias("beta"))
+    beta = waiting.join(rates, "state").groupBy(*keys).agg(F.sum(F.col("t") * F.col("out")).alias("beta"))
     return beta.join(pairs.groupBy(*keys).agg(F.sum("n").alias("count")), keys, "left").withColumn("count", F.coalesce("count", F.lit(0)))
 
 
@@ -47,8 +75,9 @@ def relrate_suffstat(nuc: DataFrame) -> DataFrame:
     return nuc.groupBy(F.least("from_base", "to_base").alias("a"), F.greatest("from_base", "to_base").alias("b")).agg(F.sum("n").alias("n"), F.sum("beta").alias("beta"))
 
 
-def gamma_suffstat(rows: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """Sum, sum of ln, and number of positive values."""
+def gamma_suffstat(rows: DataFrame, keys: list[str], value: str = "value", where: str | None = None) -> DataFrame:
+    """Sum, sum of ln, and number of positive values; `where` names an occupancy, probability or mask, and values count where it isn't 0."""
+    rows = rows.where((F.col(where) != 0) & F.col(where).isNotNull()) if where else rows
     return rows.where(F.col(value) > 0).groupBy(*keys).agg(F.sum(value).alias("sum"), F.sum(F.ln(value)).alias("sum_log"), F.count(F.lit(1)).alias("n"))
 
 
@@ -86,6 +115,17 @@ def gamma_marginal_logprob(count: Column, beta: Column, shape: float, scale: flo
     return a * F.ln(b) - lgamma(a) - (a + count) * F.ln(b + beta) + lgamma(a + count)
 
 
+def ds_omega_logprob(rows: DataFrame, ds: Column, omega: Column, nu: float | None = None, integrated: str | None = None) -> DataFrame:
+    """Adds logprob of dS/omega statistics at rate ds and omega. integrated: `ds` or `omega`, over which a gamma law of mean 1 and shape 1 / nu is integrated."""
+    ns, nn, bs, bn = (F.col(c) for c in ("nsyn", "nnonsyn", "bsyn", "bnonsyn"))
+    seen = (ns + nn) * F.ln(ds) + nn * F.ln(omega)
+    if integrated is None:
+        return rows.withColumn("logprob", seen - ds * (bs + bn * omega))
+    a = F.lit(1.0 / nu)
+    count, beta, rest = (ns + nn, ds * (bs + bn * omega), F.lit(0.0)) if integrated == "ds" else (nn, ds * bn * omega, -ds * bs)
+    return rows.withColumn("logprob", a * F.ln(a) - lgamma(a) - (a + count) * F.ln(a + beta) + lgamma(a + count) + seen + rest)
+
+
 def mixture_post_prob(rows: DataFrame, purom: float, posom: float, purw: float, posw: float) -> DataFrame:
     """Posterior of three omega classes (purom, 1, posom) and log marginal from (count, beta); classes without weight are left out of the maximum."""
     weights = (purw * (1 - posw), (1 - purw) * (1 - posw), posw)

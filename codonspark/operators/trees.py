@@ -2,19 +2,38 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from codonspark.functions.shared import checkpointed, running
+from codonspark.operators.alignment import match_taxa_prefix
+from codonspark.operators.posterior import posterior_quantiles
+
 
-def closure(nodes: DataFrame, max_depth: int) -> DataFrame:
-    """(tree, ancestor, descendant, steps, distance), each node with itself too: one equality join for each level."""
-    own = nodes.select("tree", F.col("node_id").alias("ancestor"), F.col("node_id").alias("descendant"), F.lit(0).alias("steps"), F.lit(0.0).alias("distance"))
-    up = nodes.where("parent_id IS NOT NULL").select("tree", F.col("node_id").alias("ancestor"), F.col("parent_id").alias("__parent"), F.coalesce("branch_length", F.lit(0.0)).alias("__length"))
-    out = level = own
-    for k in range(1, max_depth + 1):
-        level = level.join(up, ["tree", "ancestor"]).select("tree", F.col("__parent").alias("ancestor"), "descendant", F.lit(k).alias("steps"), (F.col("distance") + F.col("__length")).alias("distance"))
-        out = out.union(level)
+def closure(nodes: DataFrame) -> DataFrame:
+    """(tree, ancestor, descendant, steps, distance), each node with itself too, whatever the depth.
+
+    Doubling: pairs of fewer than 2^k steps, continued over pairs of exactly 2^k, give all of fewer than 2^(k + 1), so the joins are as many as the depth has binary digits.
+    Deep trees cut their lineage by a checkpoint at each.
+    """
+    length = F.coalesce("branch_length", F.lit(0.0))
+    out = nodes.select("tree", F.col("node_id").alias("ancestor"), F.col("node_id").alias("descendant"), F.lit(0).alias("steps"), F.lit(0.0).alias("distance"))
+    leap = nodes.where("parent_id IS NOT NULL").select("tree", F.col("parent_id").cast(nodes.schema["node_id"].dataType).alias("ancestor"), F.col("node_id").alias("descendant"), F.lit(1).alias("steps"), length.alias("distance"))
+    deepest, k = nodes.agg(F.max("depth")).first()[0] or 0, 1
+    while k <= deepest:
+        if k > 4:
+            out, leap = checkpointed(out), checkpointed(leap)
+        below = leap.select("tree", F.col("descendant").alias("__d"), F.col("ancestor").alias("__a"), F.col("steps").alias("__s"), F.col("distance").alias("__x"))
+
+        def onward(df: DataFrame) -> DataFrame:
+            """Pairs of df continued upwards by a leap."""
+            joined = df.join(below, (df["tree"] == below["tree"]) & (df["ancestor"] == below["__d"]))
+            return joined.select(df["tree"], F.col("__a").alias("ancestor"), "descendant", (F.col("steps") + F.col("__s")).alias("steps"), (F.col("distance") + F.col("__x")).alias("distance"))
+
+        out, leap, k = out.union(onward(out)), onward(leap), 2 * k
     return out
 
 
@@ -43,7 +62,10 @@ def age_to_branch_length(nodes: DataFrame, age: str = "age") -> DataFrame:
 
 
 def branch_condition_map(nodes: DataFrame, value: str, ncond: int) -> DataFrame:
-    """Branch value to condition: its integer part, at most ncond - 1; negative is an error."""
+    """Branch value to condition: its integer part, at most ncond - 1; negative is an error. With as many conditions as branches each branch, in the order of node_id, is its own."""
+    branches = nodes.where("parent_id IS NOT NULL")
+    if branches.count() == ncond:
+        return running(branches.select("tree", "node_id"), ["tree", "node_id"]).select("tree", "node_id", (F.col("__rank") - 1).cast("int").alias("cond"))
     v = F.col(value).cast("int")
     return nodes.select("tree", "node_id", F.when(v < 0, F.raise_error(F.lit("negative condition")).cast("int")).otherwise(F.least(v, F.lit(ncond - 1))).alias("cond"))
 
@@ -55,11 +77,25 @@ def lca(pairs: DataFrame, below: DataFrame, nodes: DataFrame) -> DataFrame:
     return common.groupBy("tree", "a", "b").agg(F.max_by("ancestor", "depth").alias("lca"))
 
 
-def prune_tree(nodes: DataFrame, below: DataFrame, taxa: DataFrame) -> DataFrame:
+def lca_by_name(pairs: DataFrame, below: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(name1, name2, lca) of pairs of leaf names, whole or beginnings that one leaf alone has; names of several leaves are an error, of none give null. For one tree."""
+    leaves = nodes.where("is_leaf").select(F.col("name").alias("taxon"))
+    asked = pairs.select(F.explode(F.array("name1", "name2")).alias("name")).distinct()
+    found = match_taxa_prefix(asked, leaves).withColumn("taxon", F.when(F.col("n") == 1, F.col("taxon")).otherwise(F.raise_error(F.concat(F.lit("several leaves match "), "name"))))
+    ids = found.join(nodes.where("is_leaf").select(F.col("name").alias("taxon"), "tree", "node_id"), "taxon").select("name", "tree", "node_id")
+    one, two = (ids.select(F.col("name").alias(f"name{i}"), F.col("tree").alias(f"tree{i}"), F.col("node_id").alias(c)) for i, c in ((1, "a"), (2, "b")))
+    known = pairs.join(one, "name1", "left").join(two, "name2", "left").withColumnRenamed("tree1", "tree")
+    tops = lca(known.where("a IS NOT NULL AND b IS NOT NULL").select("tree", "a", "b").distinct(), below, nodes)
+    return known.join(tops, ["tree", "a", "b"], "left").select("name1", "name2", "lca")
+
+
+def prune_tree(nodes: DataFrame, below: DataFrame, taxa: DataFrame, strict: bool = False) -> DataFrame:
     """(tree, node_id, parent_id, branch_length) of the tree of the leaves in taxa: nodes with one child left go, their lengths add up; so does a root with one child.
 
-    A node stays if it is a kept leaf or has kept leaves below two children; its parent is the nearest ancestor that stays.
+    strict: a taxon that is no leaf of the tree is an error. A node stays if it is a kept leaf or has kept leaves below two children; its parent is the nearest ancestor that stays.
     """
+    if strict and not (lost := taxa.select(F.col("taxon").alias("name")).join(nodes.where("is_leaf"), "name", "left_anti")).isEmpty():
+        raise ValueError(f"taxa are missing from the tree, as {lost.first()['name']}")
     leaf = nodes.where("is_leaf").join(taxa.select(F.col("taxon").alias("name")), "name", "left_semi").select("tree", F.col("node_id").alias("descendant"))
     alive = below.join(leaf, ["tree", "descendant"], "left_semi").select("tree", F.col("ancestor").alias("node_id")).distinct()
     forks = nodes.join(alive, ["tree", "node_id"], "left_semi").where("parent_id IS NOT NULL").groupBy("tree", F.col("parent_id").alias("node_id")).count().where("count >= 2").select("tree", "node_id")
@@ -75,10 +111,18 @@ def tree_alignment_check(nodes: DataFrame, taxa: DataFrame) -> DataFrame:
     return leaf.join(data, "name", "left_anti").withColumn("side", F.lit("tree")).union(data.join(leaf, "name", "left_anti").withColumn("side", F.lit("data")))
 
 
-def informative_nodes(nodes: DataFrame, below: DataFrame, leaf_states: DataFrame) -> DataFrame:
-    """(tree, site, node_id, flag): 2 for the root of the least subtree that spans the known leaves of a site, 1 for its other nodes, 0 elsewhere.
+def tree_alignment_join(nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """Alignment rows with tree and node_id of their taxon's leaf; a leaf without rows or a taxon without leaf is an error."""
+    leaf = nodes.where("is_leaf").select("tree", "node_id", F.col("name").alias("taxon"))
+    joined = rows.withColumn("__row", F.lit(True)).join(leaf, "taxon", "full")
+    lost = F.when(F.col("node_id").isNull(), F.lit("no leaf for ")).when(F.col("__row").isNull(), F.lit("no data for "))
+    return joined.withColumn("taxon", F.when(lost.isNotNull(), F.raise_error(F.concat(lost, "taxon"))).otherwise(F.col("taxon"))).drop("__row")
+
 
-    leaf_states: (tree, site, name) of known leaves. A node's count of known leaves below says all: the root is the deepest with all of them.
+def informative_nodes(nodes: DataFrame, below: DataFrame, leaf_states: DataFrame, zeros: bool = False) -> DataFrame:
+    """(tree, site, node_id, flag): 2 for the root of the least subtree that spans the known leaves of a site, 1 for its other nodes, 0 for the nodes above it.
+
+    zeros: the nodes that no path touches are listed too, with 0, which is a row for every node and site. leaf_states: (tree, site, name) of known leaves. A node's count of known leaves below says all: the root is the deepest with all of them.
     """
     leaf = nodes.where("is_leaf").select("tree", F.col("node_id").alias("descendant"), "name")
     known = leaf_states.join(leaf, ["tree", "name"]).select("tree", "site", "descendant")
@@ -87,7 +131,9 @@ def informative_nodes(nodes: DataFrame, below: DataFrame, leaf_states: DataFrame
     site = W.partitionBy("tree", "site")
     rows = rows.withColumn("top", F.max("n").over(site)).withColumn("root_depth", F.max(F.when(F.col("n") == F.col("top"), F.col("depth"))).over(site))
     flags = rows.select("tree", "site", "node_id", F.when((F.col("n") == F.col("top")) & (F.col("depth") == F.col("root_depth")), 2).when(F.col("depth") > F.col("root_depth"), 1).otherwise(0).alias("flag"))
-    every = rows.select("tree", "site").distinct().join(nodes.select("tree", "node_id"), "tree")
+    if not zeros:
+        return flags
+    every = rows.select("tree", "site").distinct().join(nodes.groupBy("tree").agg(F.collect_list("node_id").alias("ids")), "tree").select("tree", "site", F.explode("ids").alias("node_id"))
     return every.join(flags, ["tree", "site", "node_id"], "left").withColumn("flag", F.coalesce("flag", F.lit(0)))
 
 
@@ -98,6 +144,12 @@ def branch_posterior_table(quantiles: DataFrame, labels: DataFrame, nodes: DataF
     return rows.withColumn("label", F.when(F.col("is_leaf"), F.col("name")).otherwise(F.concat_ws("-", "first_leaf", "last_leaf")))
 
 
+def branch_summary(trace: DataFrame, labels: DataFrame, nodes: DataFrame, leaves_only: bool = False) -> DataFrame:
+    """branch_posterior_table of draws (node_id, value), with their mean."""
+    table = branch_posterior_table(posterior_quantiles(trace, ["node_id"]), labels, nodes, leaves_only)
+    return table.join(trace.groupBy("node_id").agg(F.avg("value").alias("mean")), "node_id")
+
+
 def node_branch_medians(medians: DataFrame, lengths: DataFrame) -> DataFrame:
     """Per node: exp of the median log value (node_id, median), and the mean length of its branch over saved points (node_id, branch_length)."""
     mean = lengths.groupBy("node_id").agg(F.avg("branch_length").alias("mean_length"))
@@ -114,3 +166,13 @@ def merge_mapped_branches(trees: DataFrame) -> DataFrame:
     """(branch, nsyn, nnonsyn, bsyn, bnonsyn) over genes, from annotated trees as rows (gene, stat, branch, value): counts and norms of dS and dN."""
     at = lambda s: F.sum(F.when(F.col("stat") == s, F.col("value")).otherwise(0.0))
     return trees.groupBy("branch").agg(at("ds_count").alias("nsyn"), at("dn_count").alias("nnonsyn"), at("ds_norm").alias("bsyn"), at("dn_norm").alias("bnonsyn"))
+
+
+#: Annotated trees of a gene, by what their branches bear.
+MAPPED = ("ds_count", "ds_norm", "dn_count", "dn_norm")
+
+
+def mapped_trees(ds_count: DataFrame, ds_norm: DataFrame, dn_count: DataFrame, dn_norm: DataFrame) -> DataFrame:
+    """(gene, stat, branch, value) of four sets of node tables, trees named by gene, whose branches bear the statistic; a branch is a node's id, and a node without value is left out."""
+    parts = zip(MAPPED, (ds_count, ds_norm, dn_count, dn_norm), strict=True)
+    return reduce(DataFrame.union, [n.where("branch_length IS NOT NULL").select(F.col("tree").alias("gene"), F.lit(stat).alias("stat"), F.col("node_id").alias("branch"), F.col("branch_length").alias("value")) for stat, n in parts])

@@ -100,7 +100,7 @@ def posterior_quantiles(t):
 
 @query("trace", f"SELECT param, round(avg(v), 6) AS mean, {QUANTILE.format(q=0.025)} AS low, {QUANTILE.format(q=0.975)} AS high FROM ({RANKED.format(k='param', v='value', t='trace')}) x GROUP BY param")
 def hyperparam_summary(t):
-    return po.hyperparam_summary(t, ["param"])
+    return po.hyperparam_summary(t, ["param"], split=True)
 
 
 @query("gene_trace", f"""SELECT a.gene, round(pp, 6) AS pp, round(mean_posw, 6) AS mean_posw, round(mean_posom, 6) AS mean_posom, low, high FROM ({GENE_PP}) a JOIN
@@ -339,7 +339,7 @@ def translate(b):
 
 @query("bases", "SELECT gene, taxon, site, b1 || b2 || b3 IN ('TAA', 'TAG', 'TGA') AS is_stop FROM bases")
 def is_stop(b):
-    return coded(b).select("gene", "taxon", "site", F.col("codon").isNull().alias("is_stop"))
+    return b.select("gene", "taxon", "site", al.is_stop(F.col("b1"), F.col("b2"), F.col("b3")).alias("is_stop"))
 
 
 @query("states", "SELECT gene, taxon, site, CASE WHEN state IN (0, 2) THEN 0 WHEN state IN (1, 3) THEN 1 END AS ry FROM states")
@@ -488,18 +488,15 @@ def entropy(f):
 
 # Trees
 
-MAX_DEPTH = 3
-
-
 @query("nodes|closure", "SELECT ancestor, descendant, steps, round(distance, 6) AS distance FROM closure")
 def tree_closure(n):
-    return tr.closure(n, MAX_DEPTH).select("ancestor", "descendant", "steps", "distance")
+    return tr.closure(n).select("ancestor", "descendant", "steps", "distance")
 
 
 @query("nodes|closure", """SELECT count(*) AS n_nodes, count(*) FILTER (WHERE NOT is_leaf) AS n_inner, round(sum(coalesce(branch_length, 0)), 6) AS total_length,
   (SELECT max(distance) FROM closure WHERE ancestor = 0 AND descendant >= 1000)::DOUBLE AS max_height, (SELECT min(distance) FROM closure WHERE ancestor = 0 AND descendant >= 1000)::DOUBLE AS min_height FROM nodes""")
 def tree_summary(n):
-    return tr.tree_summary(n, tr.closure(n, MAX_DEPTH)).drop("tree")
+    return tr.tree_summary(n, tr.closure(n)).drop("tree")
 
 
 LABELS = "SELECT c.ancestor AS node_id, min_by(n.name, n.node_id) AS first_leaf, max_by(n.name, n.node_id) AS last_leaf, count(*) AS n_leaves FROM closure c JOIN nodes n ON n.node_id = c.descendant WHERE n.is_leaf GROUP BY c.ancestor"
@@ -507,7 +504,7 @@ LABELS = "SELECT c.ancestor AS node_id, min_by(n.name, n.node_id) AS first_leaf,
 
 @query("nodes|closure", LABELS)
 def clade_labels(n):
-    return tr.clade_labels(n, tr.closure(n, MAX_DEPTH)).drop("tree")
+    return tr.clade_labels(n, tr.closure(n)).drop("tree")
 
 
 @query("nodes", "SELECT a.node_id, ((10 - b.depth * 2) - (10 - a.depth * 2))::DOUBLE AS branch_length FROM nodes a JOIN nodes b ON b.node_id = a.parent_id")
@@ -525,14 +522,14 @@ def branch_condition_map(n):
 def lca(s, n):
     total = s.agg(F.count(F.lit(1)).alias("m"))
     pairs = s.join(F.broadcast(total), F.lit(True)).select(F.lit("tree").alias("tree"), (F.col("s_suppkey") + 1000).alias("a"), ((F.col("s_suppkey") * 7 + 3) % F.col("m") + 1000).alias("b"))
-    return tr.lca(pairs, tr.closure(n, MAX_DEPTH), n).drop("tree")
+    return tr.lca(pairs, tr.closure(n), n).drop("tree")
 
 
 @query("nodes taxa|closure", """WITH l AS (SELECT node_id FROM nodes WHERE is_leaf AND name IN (SELECT taxon FROM taxa)), a AS (SELECT DISTINCT ancestor AS node_id FROM closure WHERE descendant IN (SELECT node_id FROM l)),
   k AS (SELECT parent_id AS node_id FROM nodes WHERE node_id IN (SELECT node_id FROM a) AND parent_id IS NOT NULL GROUP BY parent_id HAVING count(*) >= 2 UNION ALL SELECT node_id FROM l)
   SELECT k.node_id, min_by(c.ancestor, c.steps) AS parent_id, round(min_by(c.distance, c.steps)::DOUBLE, 6) AS branch_length FROM k LEFT JOIN closure c ON c.descendant = k.node_id AND c.steps > 0 AND c.ancestor IN (SELECT node_id FROM k) GROUP BY k.node_id""")
 def prune_tree(n, t):
-    return tr.prune_tree(n, tr.closure(n, MAX_DEPTH), t).drop("tree")
+    return tr.prune_tree(n, tr.closure(n), t).drop("tree")
 
 
 @query("nodes taxa", "SELECT name, 'tree' AS side FROM nodes WHERE is_leaf AND name NOT IN (SELECT taxon FROM taxa)")
@@ -545,16 +542,14 @@ def tree_alignment_join(n, t):
   SELECT site, node_id, (CASE WHEN n = top AND depth = rd THEN 2 WHEN depth > rd THEN 1 ELSE 0 END)::INT AS flag FROM q""")
 def informative_nodes(n, s):
     known = s.where("state IS NOT NULL").select(F.lit("tree").alias("tree"), "site", (F.col("taxon") + 1000).alias("node_id")).distinct().join(n.select("node_id", "name"), "node_id").select("tree", "site", "name")
-    below = tr.closure(n, MAX_DEPTH)
-    touched = known.join(n.select("name", F.col("node_id").alias("descendant")), "name").join(below, ["tree", "descendant"]).select("site", F.col("ancestor").alias("node_id")).distinct()
-    return tr.informative_nodes(n, below, known).join(touched, ["site", "node_id"]).select("site", "node_id", "flag")
+    return tr.informative_nodes(n, tr.closure(n), known).select("site", "node_id", "flag")
 
 
 @query("branch_suffstat nodes|closure", f"""WITH q AS (SELECT branch + 1000 AS node_id, {QUANTILE.format(q=0.025)} AS q0, {QUANTILE.format(q=0.5)} AS q1, {QUANTILE.format(q=0.975)} AS q2 FROM ({RANKED.format(k='branch', v='bsyn', t='branch_suffstat')}) x GROUP BY branch)
   SELECT q.node_id, q0, q1, q2, n.name AS label FROM q JOIN nodes n ON n.node_id = q.node_id""")
 def branch_posterior_table(b, n):
     q = po.posterior_quantiles(b.select((F.col("branch") + 1000).alias("node_id"), F.col("bsyn").alias("value")), ["node_id"])
-    return tr.branch_posterior_table(q, tr.clade_labels(n, tr.closure(n, MAX_DEPTH)), n, True).select("node_id", "q0", "q1", "q2", "label")
+    return tr.branch_posterior_table(q, tr.clade_labels(n, tr.closure(n)), n, True).select("node_id", "q0", "q1", "q2", "label")
 
 
 MEDIAN = f"SELECT branch + 1000 AS node_id, max(CASE WHEN k = floor(0.5::DOUBLE * n) THEN v END) AS m FROM ({RANKED.format(k='branch', v='bsyn', t='branch_suffstat')}) x GROUP BY branch"
@@ -569,7 +564,7 @@ def node_branch_medians(b, n):
 @query("branch_suffstat nodes|closure", f"""SELECT l.first_leaf, l.last_leaf, round(v.x, 6) AS value FROM (SELECT c.ancestor AS node_id, sum(b.bsyn) AS x FROM branch_suffstat b JOIN closure c ON c.descendant = b.branch + 1000 GROUP BY c.ancestor) v
   JOIN ({LABELS}) l ON l.node_id = v.node_id""")
 def branch_table_export(b, n):
-    below = tr.closure(n, MAX_DEPTH)
+    below = tr.closure(n)
     values = b.select((F.col("branch") + 1000).alias("descendant"), "bsyn").join(below, "descendant").groupBy(F.col("ancestor").alias("node_id")).agg(F.sum("bsyn").alias("value"))
     return tr.branch_table_export(values, n, tr.clade_labels(n, below))
 
@@ -717,7 +712,7 @@ def mutsel_rates(r, f, fit):
   JOIN stationary s ON s."set" = m."set" AND s.codon = m.codon1 JOIN fitness x ON x."key" = m."key" AND x.aa = s.aa WHERE NOT synonymous GROUP BY ALL""".replace("WHEN synonymous THEN 1.0 ELSE 0.3", "WHEN synonymous THEN 1.0 ELSE 1.0"))
 def predicted_dnds(r, f, fit):
     spark = r.sparkSession
-    return ra.predicted_dnds(ra.mutsel_rates(c.codon_neighbours(spark), _nuc(r, f), fit), ra.codon_stationary(c.codon_table(spark).select("codon", "aa"), f), fit)
+    return ra.predicted_dnds(ra.mg_codon_rates(c.codon_neighbours(spark), _nuc(r, f), 1.0), ra.codon_stationary(c.codon_table(spark).select("codon", "aa"), f), fit)
 
 
 @query("relrates frequencies|mg stationary", """SELECT m."set", aa1, aa2, round(sum(s.stat * m.rate) / any_value(t.t), 6) AS rate FROM mg m JOIN stationary s ON s."set" = m."set" AND s.codon = m.codon1

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from codonspark.functions.codons import codon_rows
 
-BASE = ("region", "nation", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings")
+BASE = ("region", "nation", "supplier", "customer", "part", "orders", "lineitem", "events", "documents", "embeddings")
 #: A total order of lineitem.
 ORDER = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice"
 
@@ -19,14 +19,14 @@ TABLES: dict[str, str] = {
       (SELECT *, l_linenumber % 2 AS cond, l_suppkey % 20 AS gene, l_orderkey % 5 AS site, l_partkey % 20 AS aa, CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END AS toggle,
         CASE WHEN l_discount > 0.03 THEN 1 ELSE 0 END AS mask, l_tax / 7.3109e0 AS delta FROM lineitem) x""",
     "bases": f"""SELECT l_partkey % 10 AS gene, l_suppkey AS taxon, l_partkey AS site, substr('ACGT', CAST(l_quantity AS INT) % 4 + 1, 1) AS b1, substr('ACGT', l_linenumber % 4 + 1, 1) AS b2,
-      substr('ACGT', CAST(l_orderkey % 4 AS INT) + 1, 1) AS b3, l_discount FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY {ORDER}) AS k FROM lineitem) x WHERE k = 1""",
+      CASE WHEN l_tax < 0.01 THEN '-' ELSE substr('ACGT', CAST(l_orderkey % 4 AS INT) + 1, 1) END AS b3, l_discount FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY {ORDER}) AS k FROM lineitem) x WHERE k = 1""",
     "states": "SELECT gene, taxon, site, CASE WHEN l_discount >= 0.02 THEN instr('ACGT', b1) - 1 END AS state FROM bases",
     "wide": "SELECT doc_id % 20 AS gene, doc_id AS taxon, concat(seq, repeat('-', (3 - length(seq) % 3) % 3)) AS seq FROM (SELECT doc_id, translate(lower(coalesce(text, '')), 'bdefhijklmnopqrsuvwxyz .,!?|ß', 'cgtacgtacgtacgtacgtacg-------') AS seq FROM documents) x",
     "nodes": """SELECT 'tree' AS tree, 0 AS node_id, NULL AS parent_id, 'root' AS name, CAST(NULL AS DOUBLE) AS branch_length, false AS is_leaf, 0 AS depth
       UNION ALL SELECT 'tree', 1 + r_regionkey, 0, r_name, CAST(0.5 + r_regionkey * 0.125 AS DOUBLE), false, 1 FROM region
       UNION ALL SELECT 'tree', 100 + n_nationkey, 1 + n_regionkey, n_name, CAST(0.25 + n_nationkey * 0.0625 AS DOUBLE), false, 2 FROM nation
       UNION ALL SELECT 'tree', 1000 + s_suppkey, 100 + s_nationkey, s_name, CAST(0.125 + (s_suppkey % 7) * 0.25 AS DOUBLE), true, 3 FROM supplier""",
-    "taxa": "SELECT s_name AS taxon FROM supplier WHERE s_suppkey % 3 <> 0",
+    "taxa": "SELECT s_name AS taxon FROM supplier WHERE s_acctbal >= 0",
     "branch_suffstat": """SELECT l_partkey % 25 AS gene, l_suppkey AS branch, CAST(sum(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) AS DOUBLE) AS nsyn,
       CAST(sum(CASE WHEN l_returnflag <> 'N' THEN 1 ELSE 0 END) AS DOUBLE) AS nnonsyn, sum(l_tax) / 7.3109e0 AS bsyn, sum(l_discount) / 7.3109e0 AS bnonsyn FROM lineitem GROUP BY l_partkey % 25, l_suppkey""",
     "path": f"""SELECT l_suppkey % 10 AS gene, l_orderkey AS site, l_suppkey % 5 AS branch, row_number() OVER (PARTITION BY l_orderkey, l_suppkey % 10, l_suppkey % 5 ORDER BY {ORDER}) AS seg,
@@ -35,10 +35,10 @@ TABLES: dict[str, str] = {
       SELECT vec_id, a.i, b.i AS j, CAST(CASE a.i WHEN 0 THEN {e0} WHEN 1 THEN {e1} ELSE {e2} END AS DOUBLE) AS x, CAST(CASE b.i WHEN 0 THEN {e0} WHEN 1 THEN {e1} ELSE {e2} END AS DOUBLE) AS y
       FROM embeddings, (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2) a, (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2) b) z""",
     "replicates": "SELECT CASE WHEN o_custkey % 2 = 0 THEN 'diversity' ELSE 'divergence' END AS stat, o_custkey AS rep, avg(o_totalprice) / 7.3109e0 AS value FROM orders GROUP BY CASE WHEN o_custkey % 2 = 0 THEN 'diversity' ELSE 'divergence' END, o_custkey",
-    "observed": "SELECT stat, value FROM replicates WHERE rep IN (10, 11)",
+    "observed": "SELECT stat, 0.9e0 * max(value) AS value FROM replicates GROUP BY stat",
     "alloc": "SELECT l_suppkey AS gene, l_partkey AS site, CAST(l_orderkey % 7 AS INT) AS component FROM lineitem",
     "component_weights": "SELECT CAST(r_regionkey * 2 AS INT) AS component, CAST(0.1 + r_regionkey * 0.05 AS DOUBLE) AS weight, CAST(1.5 + r_regionkey AS DOUBLE) AS value FROM region",
-    "codeml": "SELECT p_partkey AS gene, p_retailprice / 100.0173e0 - 9 AS delta FROM part WHERE p_partkey % 3 = 0",
+    "codeml": "SELECT p_partkey AS gene, p_retailprice / 100.0173e0 - 9 AS delta FROM part",
     "frequencies": """SELECT r_regionkey AS "set", base, w / sum(w) OVER (PARTITION BY r_regionkey) AS freq FROM (SELECT r_regionkey, base, CAST(1 + (r_regionkey * k + k) % 5 AS DOUBLE) AS w FROM region,
       (SELECT 'A' AS base, 1 AS k UNION ALL SELECT 'C', 2 UNION ALL SELECT 'G', 3 UNION ALL SELECT 'T', 4) b) x""",
     "relrates": """SELECT r_regionkey AS "set", a, b, CAST(1 + (r_regionkey + k) % 4 AS DOUBLE) AS r FROM region, (SELECT 'A' AS a, 'C' AS b, 1 AS k UNION ALL SELECT 'A', 'G', 2 UNION ALL SELECT 'A', 'T', 3
@@ -46,7 +46,27 @@ TABLES: dict[str, str] = {
     "fitness": """SELECT l_suppkey AS "key", substr('ACDEFGHIKLMNPQRSTVWY', CAST(l_partkey % 20 AS INT) + 1, 1) AS aa, 0.01 + sum(l_quantity) / 500 AS fitness FROM lineitem GROUP BY l_suppkey, l_partkey % 20""",
     "deltas": """SELECT l_suppkey AS "key", l_linenumber % 3 AS cond, substr('ACDEFGHIKLMNPQRSTVWY', CAST(l_partkey % 20 AS INT) + 1, 1) AS aa, avg(l_discount) * 4.0173e0 - 0.2e0 AS delta FROM lineitem GROUP BY l_suppkey, l_linenumber % 3, l_partkey % 20""",
 }
-NEEDS = {"states": ("bases",), "observed": ("replicates",)}
+TABLES |= {
+    "alignments": """SELECT concat('g', CAST(CAST(floor(doc_id / 50) AS BIGINT) AS STRING)) AS gene, concat('t', CAST(doc_id AS STRING)) AS taxon,
+      concat(translate(md5(coalesce(text, '')), '0123456789abcdef', 'ACGTACGTACG-TACG'), 'A') AS seq FROM documents""",
+    "chain_points": f"""SELECT chain, CAST(row_number() OVER (PARTITION BY chain ORDER BY {ORDER}) - 1 AS BIGINT) AS iter, l_quantity AS a, l_extendedprice AS b
+      FROM (SELECT *, CAST(floor(l_suppkey / 10) AS BIGINT) AS chain FROM lineitem) x""",
+    "gene_catalog": "SELECT concat('s', CAST(s_suppkey AS STRING)) AS gene, CAST(row_number() OVER (ORDER BY s_suppkey) - 1 AS INT) AS ordinal, CAST(1 + s_suppkey % 3 AS INT) AS nsite FROM supplier",
+    "draws": """SELECT iter, gene, ordinal, nsite, coalesce(v, 0) AS v FROM (SELECT DISTINCT l_linenumber - 1 AS iter FROM lineitem) i CROSS JOIN (SELECT * FROM gene_catalog) c
+      LEFT JOIN (SELECT l_linenumber - 1 AS it, concat('s', CAST(l_suppkey AS STRING)) AS g, avg(l_tax) * 10 AS v FROM lineitem GROUP BY l_linenumber, l_suppkey) d ON d.it = i.iter AND d.g = c.gene""",
+    "forest": """SELECT tree, 0 AS node_id, CAST(NULL AS BIGINT) AS parent_id, 0 AS child_rank, concat('r', CAST(tree AS STRING)) AS name, CAST(NULL AS DOUBLE) AS branch_length, false AS is_leaf, 0 AS depth
+        FROM (SELECT DISTINCT CAST(floor(c_custkey / 100) AS BIGINT) AS tree FROM customer) a
+      UNION ALL SELECT tree, 1 + c_nationkey, 0, c_nationkey, concat('n', CAST(c_nationkey AS STRING)), CAST(0.25 * (1 + c_nationkey) AS DOUBLE), false, 1
+        FROM (SELECT DISTINCT CAST(floor(c_custkey / 100) AS BIGINT) AS tree, c_nationkey FROM customer) b
+      UNION ALL SELECT CAST(floor(c_custkey / 100) AS BIGINT), 1000 + c_custkey, 1 + c_nationkey, c_custkey, c_name, CAST(0.5 + c_custkey % 9 AS DOUBLE), true, 2 FROM customer""",
+    "ages": "SELECT tree, node_id, parent_id, iter, CAST(20 - 5 * depth - 0.125 * (iter + node_id % 3) AS DOUBLE) AS age FROM nodes CROSS JOIN (SELECT DISTINCT l_linenumber AS iter FROM lineitem) i",
+    "site_rates": "SELECT l_suppkey % 10 AS gene, l_orderkey AS site, 0.5e0 + avg(l_discount) AS rate FROM lineitem GROUP BY l_suppkey % 10, l_orderkey",
+    "branch_lengths": "SELECT DISTINCT l_suppkey % 5 AS branch, CAST(0.5 + l_suppkey % 5 AS DOUBLE) AS branch_length FROM lineitem",
+    "path_flags": "SELECT l_suppkey % 10 AS gene, l_orderkey AS site, l_suppkey % 5 AS branch, CASE WHEN max(l_quantity) > 45 THEN 2 WHEN max(l_quantity) > 10 THEN 1 ELSE 0 END AS flag FROM lineitem GROUP BY l_suppkey % 10, l_orderkey, l_suppkey % 5",
+    "nation_states": """SELECT gene, site, n_name AS name, CAST(min(state) AS INT) AS state FROM states JOIN (SELECT s_suppkey, n_name FROM supplier JOIN nation ON n_nationkey = s_nationkey) s ON s_suppkey = taxon
+      WHERE state IS NOT NULL GROUP BY gene, site, n_name""",
+}
+NEEDS = {"draws": ("gene_catalog",), "ages": ("nodes",), "nation_states": ("bases", "states"), "states": ("bases",), "observed": ("replicates",)}
 
 
 def _chain(names: tuple[str, ...]) -> list[str]:

@@ -5,17 +5,25 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from codonspark.functions.shared import running
 from codonspark.sources import parsers
 
 NODE_SCHEMA = "tree string, node_id int, parent_id int, child_rank int, name string, branch_value string, branch_length double, is_leaf boolean, depth int"
 
 
+def _name(path: Column) -> Column:
+    """The last part of a path, or, in a folder `column=name` as writers make it, its name."""
+    folder = F.regexp_extract(path, "/[a-z_]+=([^/=]+)/[^/]+$", 1)
+    return F.when(folder != "", folder).otherwise(F.element_at(F.split(path, "/"), -1))
+
+
 def _whole(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, value): files as rows; file is the last part of the path."""
-    return spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "value")
+    """(file, value): files as rows, by name."""
+    return spark.read.text(path, wholetext=True).select(_name(F.col("_metadata.file_path")).alias("file"), "value")
 
 
 def _parsed(files: DataFrame, parse: Callable[[str], Iterator[tuple]], schema: str, own_first: bool = False) -> DataFrame:
@@ -48,11 +56,16 @@ def read_ali_catalog(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_gene_list(spark: SparkSession, listfile: str, folder: str) -> DataFrame:
-    """Alignments of the files named in a list: its number, then a name on each line. The list is a small catalog."""
-    names = [r["value"].strip() for r in spark.read.text(listfile).collect() if r["value"].strip()]
-    if int(names[0]) != len(names) - 1:
+    """Alignments of the files of a folder that a list names: its number, then a name on each line. A wrong number, or a name without a file, is an error."""
+    lines = spark.read.text(listfile).select(F.split(F.trim("value"), r"\s+").alias("f")).where("f[0] <> ''")
+    names = lines.where("size(f) > 1 OR f[0] NOT RLIKE '^[0-9]+$'").select(F.col("f")[0].alias("file"))
+    told = lines.where("size(f) = 1 AND f[0] RLIKE '^[0-9]+$'").agg(F.max(F.col("f")[0].cast("long"))).first()[0]
+    if told != names.count():
         raise ValueError("the list's number of genes is wrong")
-    return read_phylip(spark, [f"{folder}/{n.split()[0]}" for n in names[1:]])
+    files = _whole(spark, folder)
+    if not (lost := names.join(files.select("file"), "file", "left_anti")).isEmpty():
+        raise ValueError(f"no file {lost.first()['file']}")
+    return _parsed(files.join(names, "file", "left_semi"), parsers.any_phylip, "gene string, taxon string, seq string")
 
 
 def read_traits(spark: SparkSession, path: str) -> DataFrame:
@@ -73,57 +86,82 @@ def read_newick(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return _parsed(_whole(spark, path), parsers.newick, NODE_SCHEMA)
 
 
-def numbered(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value) of a text file, lines from 0 over its splits: counts of the splits before, plus the place inside. Splits are few."""
-    rows = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
-    return spark.createDataFrame(rows, "line long, value string")
+def numbered(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, line, value) of text files, lines of each file from 0 over its splits: a line's number is that of its split's first line, from the counts of the splits before, and its place inside."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    splits = rows.groupBy("file", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    starts = splits.select("file", "block", "first", (F.sum("n").over(W.partitionBy("file").orderBy("block")) - F.col("n")).alias("start"))
+    return rows.join(starts, ["file", "block"]).select("file", (F.col("id") - F.col("first") + F.col("start")).alias("line"), "value")
+
+
+def _chain(stat: bool = False) -> list[Column]:
+    """chain, the file's name to its last point, and stat, what follows it."""
+    name = _name(F.col("file"))
+    return [F.regexp_replace(name, r"\.[^.]*$", "").alias("chain")] + ([F.regexp_extract(name, r"\.([^.]*)$", 1).alias("stat")] if stat else [])
+
+
+def _fields() -> Column:
+    return F.split(F.trim("value"), r"\s+")
+
+
+def _checked(fields: Column, right: Column, says: Column) -> Column:
+    return F.when(right, fields).otherwise(F.raise_error(says))
 
 
-def read_trace(spark: SparkSession, path: str) -> DataFrame:
-    """(iter, ordinal, param, value) of a tab table with a header; columns go by place, as names can repeat. Lines with another number of fields, as a growing file's last, are left out."""
-    lines = numbered(spark, path).withColumn("fields", F.split(F.trim("value"), r"\s+"))
-    head = spark.read.text(path).first()["value"].lstrip("#").split()
-    rows = lines.where((F.col("line") > 0) & (F.size("fields") == len(head))).select((F.col("line") - 1).alias("iter"), F.posexplode("fields").alias("ordinal", "v"))
-    return rows.select("iter", "ordinal", F.array(*[F.lit(n) for n in head])[F.col("ordinal")].alias("param"), F.col("v").cast("double").alias("value"))
+def read_trace(spark: SparkSession, path: str | list[str], chain: bool = False) -> DataFrame:
+    """([chain,] iter, ordinal, param, value) of tab tables with a header each; columns go by place, as names can repeat. Lines with another number of fields, as a growing file's last, are left out."""
+    lines = numbered(spark, path).withColumn("fields", _fields())
+    head = lines.where("line = 0").select(F.col("file").alias("__file"), F.split(F.trim(F.regexp_replace("value", "^#+", "")), r"\s+").alias("head"))
+    rows = lines.where("line > 0").join(head, F.col("file") == F.col("__file")).where(F.size("fields") == F.size("head"))
+    long = rows.select(*(_chain() if chain else []), (F.col("line") - 1).alias("iter"), F.posexplode(F.arrays_zip("head", "fields")).alias("ordinal", "x"))
+    return long.select(*(["chain"] if chain else []), "iter", "ordinal", F.col("x.head").alias("param"), F.col("x.fields").cast("double").alias("value"))
 
 
-def read_gene_trace(spark: SparkSession, path: str, genes: DataFrame) -> DataFrame:
-    """(iter, gene, value) of lines of one value for each gene (ordinal from 0, gene) of a list; another count is an error."""
+def read_gene_trace(spark: SparkSession, path: str | list[str], genes: DataFrame, chain: bool = False) -> DataFrame:
+    """([chain, stat,] iter, gene, value) of lines of one value for each gene (ordinal from 0, gene) of a list; another count is an error."""
     n = genes.count()
-    fields = F.split(F.trim("value"), r"\s+")
-    rows = numbered(spark, path).withColumn("f", F.when(F.size(fields) == n, fields).otherwise(F.raise_error(F.lit(f"a line doesn't have {n} values"))))
-    long = rows.select(F.col("line").alias("iter"), F.posexplode("f").alias("ordinal", "v"))
-    return long.join(F.broadcast(genes), "ordinal").select("iter", "gene", F.col("v").cast("double").alias("value"))
+    rows = numbered(spark, path).withColumn("f", _checked(_fields(), F.size(_fields()) == n, F.lit(f"a line doesn't have {n} values")))
+    long = rows.select(*(_chain(True) if chain else []), F.col("line").alias("iter"), F.posexplode("f").alias("ordinal", "v"))
+    return long.join(genes.select("ordinal", "gene"), "ordinal").select(*(["chain", "stat"] if chain else []), "iter", "gene", F.col("v").cast("double").alias("value"))
 
 
-def read_site_trace(spark: SparkSession, path: str, genes: DataFrame, width: int = 1) -> DataFrame:
-    """(iter, gene, site[, aa], value) of lines `gene v v ... gene v ...`: place from genes (ordinal, gene, nsite) by offset, never by what a field looks like; width 20 has 20 values a site. A name out of place is an error."""
+def read_site_trace(spark: SparkSession, path: str | list[str], genes: DataFrame, width: int = 1, chain: bool = False) -> DataFrame:
+    """([chain, stat,] iter, gene, site[, aa], value) of lines `gene v v ... gene v ...`: place from genes (ordinal, gene, nsite) by offset, never by what a field looks like; width 20 has 20 values a site.
+
+    A line with another number of fields, or a name out of place, is an error; both are tested on the whole line, before its values are read. The list of genes is shorter than any line.
+    """
     from codonspark.operators.alignment import gene_offsets
 
-    placed = gene_offsets(genes).select("gene", "nsite", (F.col("offset") * width + F.col("ordinal")).alias("first"))
-    long = numbered(spark, path).select(F.col("line").alias("iter"), F.posexplode(F.split(F.trim("value"), r"\s+")).alias("at", "v"))
-    # fields of a gene by an equality join: each gene's places are listed once, as many as a line has
-    cells = placed.select("gene", "first", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("nsite") * width)).alias("at"))
-    rows = long.join(cells, "at")
-    wrong = (F.col("at") == F.col("first")) & (F.col("v") != F.col("gene"))
-    rows = rows.withColumn("v", F.when(wrong, F.raise_error(F.lit("gene names differ from the list"))).otherwise(F.col("v"))).withColumn("k", F.col("at") - F.col("first") - 1)
-    kept = rows.where("v IS NOT NULL AND k >= 0")
+    placed = gene_offsets(genes).select("gene", (F.col("nsite") * width).alias("n"), (F.col("offset") * width + F.col("ordinal") + 1).alias("first"))
+    list_ = placed.agg(F.sort_array(F.collect_list(F.struct("first", "gene", "n"))).alias("list"), F.sum(F.col("n") + 1).alias("total"))
+    lines = numbered(spark, path).select("file", "line", _fields().alias("f")).join(F.broadcast(list_), F.lit(True))  # one row
+    sized = _checked(F.col("f"), F.size("f") == F.col("total"), F.concat(F.lit("a line doesn't have "), "total", F.lit(" fields")))
+    named = F.forall("list", lambda g: F.get("f", (g["first"] - 1).cast("int")) == g["gene"])
+    lines = lines.withColumn("f", sized).withColumn("f", _checked(F.col("f"), named, F.lit("gene names differ from the list")))
+    cells = F.flatten(F.transform("list", lambda g: F.transform(F.slice("f", (g["first"] + 1).cast("int"), g["n"].cast("int")), lambda v, k: F.struct(g["gene"].alias("gene"), k.alias("k"), v.alias("v")))))
+    rows = lines.select(*(_chain(True) if chain else []), F.col("line").alias("iter"), F.inline(cells))
     site = [F.floor(F.col("k") / width).cast("int").alias("site")] + ([(F.col("k") % width).cast("int").alias("aa")] if width > 1 else [])
-    return kept.select("iter", "gene", *site, F.col("v").cast("double").alias("value"))
+    return rows.select(*(["chain", "stat"] if chain else []), "iter", "gene", *site, F.col("v").cast("double").alias("value"))
+
 
+def read_branch_suffstat(spark: SparkSession, path: str | list[str], branches: int | None = None) -> DataFrame:
+    """(iter, branch, nsyn, nnonsyn, bsyn, bnonsyn) of lines of four values for each branch; a number of fields that isn't four for each (of `branches`, if given) is an error."""
+    right = F.size("f") == 4 * branches if branches else F.size("f") % 4 == 0
+    lines = numbered(spark, path).select("line", _fields().alias("f")).withColumn("f", _checked(F.col("f"), right, F.lit("a line doesn't have four values for each branch")))
+    cell = lambda b: F.struct(b.cast("int").alias("branch"), *[F.get("f", (4 * b + i).cast("int")).cast("double").alias(c) for i, c in enumerate(("nsyn", "nnonsyn", "bsyn", "bnonsyn"))])
+    return lines.select(F.col("line").alias("iter"), F.inline(F.transform(F.sequence(F.lit(0), F.floor(F.size("f") / 4).cast("int") - 1), cell)))
 
-def read_branch_suffstat(spark: SparkSession, path: str) -> DataFrame:
-    """(iter, branch, nsyn, nnonsyn, bsyn, bnonsyn) of lines of four values for each branch."""
-    long = numbered(spark, path).select(F.col("line").alias("iter"), F.posexplode(F.split(F.trim("value"), r"\s+")).alias("k", "v"))
-    at = lambda i: F.max(F.when(F.col("k") % 4 == i, F.col("v").cast("double")))
-    return long.groupBy("iter", F.floor(F.col("k") / 4).cast("int").alias("branch")).agg(at(0).alias("nsyn"), at(1).alias("nnonsyn"), at(2).alias("bsyn"), at(3).alias("bnonsyn"))
 
+#: A line of the log: the gene's name, whatever follows, and the log likelihood, a negative number with a decimal point.
+CODEML_LINE = r"^(\S+).*\s(-\d+\.\d+)(?:\s|$)"
 
-def read_codeml_pairs(spark: SparkSession, path: str, pattern: str = r"^(\S+).*lnL\S*\s*[:=]?\s*(-?\d+\.?\d*)") -> DataFrame:
-    """(gene, lnl1, lnl2, delta) from two consecutive lines a gene; names must agree."""
-    lines = numbered(spark, path).where(F.col("value").rlike(pattern)).select("line", F.regexp_extract("value", pattern, 1).alias("gene"), F.regexp_extract("value", pattern, 2).cast("double").alias("lnl"))
-    pair = lines.groupBy(F.floor(F.col("line") / 2).alias("pair")).agg(F.min("gene").alias("gene"), F.max("gene").alias("other"), F.min_by("lnl", "line").alias("lnl1"), F.max_by("lnl", "line").alias("lnl2"))
-    gene = F.when(F.col("gene") == F.col("other"), F.col("gene")).otherwise(F.raise_error(F.lit("names of a pair differ")))
+
+def read_codeml_pairs(spark: SparkSession, path: str | list[str], pattern: str = CODEML_LINE) -> DataFrame:
+    """(gene, lnl1, lnl2, delta) from two consecutive lines a gene; names must agree. Lines of other kinds may stand between: the lines that match are numbered among themselves."""
+    lines = numbered(spark, path).where(F.col("value").rlike(pattern)).select("file", "line", F.regexp_extract("value", pattern, 1).alias("gene"), F.regexp_extract("value", pattern, 2).cast("double").alias("lnl"))
+    placed = running(lines, ["line"], keys=["file"]).withColumn("pair", F.floor((F.col("__rank") - 1) / 2))
+    pair = placed.groupBy("file", "pair").agg(F.count(F.lit(1)).alias("n"), F.min("gene").alias("gene"), F.max("gene").alias("other"), F.min_by("lnl", "line").alias("lnl1"), F.max_by("lnl", "line").alias("lnl2"))
+    gene = F.when((F.col("gene") == F.col("other")) & (F.col("n") == 2), F.col("gene")).otherwise(F.raise_error(F.concat(F.lit("no two lines of one name, as "), "gene")))
     return pair.select(gene.alias("gene"), "lnl1", "lnl2", (F.col("lnl2") - F.col("lnl1")).alias("delta"))
 
 
@@ -131,27 +169,40 @@ def read_codeml_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema="gene string, delta double, pval double, qval double")
 
 
-def write_phylip(wide: DataFrame, path: str) -> None:
-    """A folder for each gene with one Phylip file: counts, then name, two spaces and residues."""
-    gene = wide.groupBy("gene").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("seq")).alias("m"), F.sort_array(F.collect_list(F.struct("taxon", "seq"))).alias("rows"))
-    body = F.array_join(F.transform("rows", lambda r: F.concat(r["taxon"], F.lit("  "), r["seq"])), "\n")
+def write_phylip(wide: DataFrame, path: str, padded: bool = False) -> None:
+    """A folder for each gene with one Phylip file: counts, then name, two spaces and residues; padded, residues begin in one column, five after the longest name, as codon alignments have it."""
+    gene = wide.groupBy("gene").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("seq")).alias("m"), F.max(F.length("taxon")).alias("w"), F.sort_array(F.collect_list(F.struct("taxon", "seq"))).alias("rows"))
+    name = (lambda r: F.rpad(r["taxon"], F.col("w") + 5, " ")) if padded else (lambda r: F.concat(r["taxon"], F.lit("  ")))
+    body = F.array_join(F.transform("rows", lambda r: F.concat(name(r), r["seq"])), "\n")
     gene.select("gene", F.concat_ws("\n", F.concat_ws("\t", "n", "m"), body).alias("value")).write.partitionBy("gene").text(path)
 
 
+def write_codon_phylip(codons: DataFrame, path: str) -> None:
+    """write_phylip of codon rows (gene, taxon, site, codon), padded; a missing codon is ---."""
+    rows = F.sort_array(F.collect_list(F.struct("site", F.coalesce("codon", F.lit("---")).alias("codon"))))
+    wide = codons.groupBy("gene", "taxon").agg(F.array_join(F.transform(rows, lambda x: x["codon"]), "").alias("seq"))
+    write_phylip(wide, path, padded=True)
+
+
 def write_fasta(wide: DataFrame, path: str) -> None:
     wide.select("gene", F.concat(F.lit(">"), "taxon", F.lit("\n"), "seq").alias("value")).write.partitionBy("gene").text(path)
 
 
-def newick_text(nodes: DataFrame, node_value: str | None = None) -> DataFrame:
-    """(tree, newick) of node tables."""
+def newick_text(nodes: DataFrame, node_value: str | None = None, branch: str = "branch_value", value_only: bool = False) -> DataFrame:
+    """(tree, newick) of node tables. node_value: a column to stand behind the name, or, value_only, in its place at inner nodes; branch: the column that branches bear, as node_id for a tree of branch indices."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         rows = group.astype(object).where(group.notna(), None).to_dict("records")
-        return pd.DataFrame({"tree": [group["tree"].iloc[0]], "newick": [parsers.write_newick(rows, node_value)]})
+        return pd.DataFrame({"tree": [group["tree"].iloc[0]], "newick": [parsers.write_newick(rows, node_value, branch, value_only)]})
 
     return nodes.groupBy("tree").applyInPandas(run, "tree string, newick string")
 
 
+def write_newick(nodes: DataFrame, path: str, node_value: str | None = None, branch: str = "branch_value", value_only: bool = False) -> None:
+    """A folder for each tree with one Newick file."""
+    newick_text(nodes, node_value, branch, value_only).select("tree", F.col("newick").alias("value")).write.partitionBy("tree").text(path)
+
+
 def write_report(rows: DataFrame, path: str, tsv: bool = False) -> None:
     rows.write.csv(path, sep="\t", header=True) if tsv else rows.write.parquet(path)
 

@@ -155,14 +155,16 @@ def newick(text: str) -> Iterator[tuple[int, int | None, int, str, str, float |
     yield from map(tuple, nodes)
 
 
-def write_newick(rows: list[dict], node_value: str | None = None) -> str:
-    """Newick text of node rows: name (or name_value) and branch_value."""
+def write_newick(rows: list[dict], node_value: str | None = None, branch: str = "branch_value", value_only: bool = False) -> str:
+    """Newick text of node rows: name (or name_value; value_only, the value alone at inner nodes) and what the branch bears; a root bears none."""
     children: dict[int | None, list[dict]] = {}
     for r in sorted(rows, key=lambda r: (r["child_rank"], r["node_id"])):
         children.setdefault(r["parent_id"], []).append(r)
     done: dict[int, str] = {}
     for r in sorted(rows, key=lambda r: -r["depth"]):
-        label = r["name"] + (f"_{r[node_value]}" if node_value else "") + (f":{r['branch_value']}" if r["branch_value"] not in (None, "") else "")
-        inner = ",".join(done[c["node_id"]] for c in children.get(r["node_id"], []))
-        done[r["node_id"]] = (f"({inner})" if inner else "") + label
+        below = children.get(r["node_id"], [])
+        value = "" if node_value is None or r[node_value] is None else str(r[node_value])
+        label = value if value_only and below else "_".join(x for x in (r["name"], value) if x)
+        length = "" if r["parent_id"] is None and branch != "branch_value" or r[branch] in (None, "") else f":{r[branch]}"
+        done[r["node_id"]] = (f"({','.join(done[c['node_id']] for c in below)})" if below else "") + label + length
     return done[children[None][0]["node_id"]] + ";"
