@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +9,10 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codonspark.functions.shared import checkpointed, freed_shuffles, removed, running, shared_dir, shared_path, staged
+
+__all__ = ["checkpointed", "freed_shuffles", "removed", "running", "shared_dir", "shared_path", "staged"]
+
 #: Separators of the first word rule: space and the controls 09 to 0D.
 SPACE = r"\x20\x09-\x0D"
 #: Byte table of the second word rule: A-Z lowered, every other ASCII byte that is no digit or letter a space.
@@ -48,44 +49,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def shared_dir(spark: SparkSession) -> None:
-    """Use the folder that the cluster names in spark.checkpoint.dir; only where none is named, as in tests, a local one."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the shared folder, which outlives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-@contextlib.contextmanager
-def freed_shuffles(spark: SparkSession) -> Iterator[None]:
-    """What is executed inside frees its shuffle files when it ends; its DataFrames aren't to be executed again."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
-def staged(df: DataFrame) -> DataFrame:
-    """The rows as a table written to the shared folder, which cuts the lineage and frees the shuffles below; it goes when the application ends."""
-    spark = df.sparkSession
-    shared_dir(spark)
-    sc = spark.sparkContext
-    path = f"{sc._jsc.sc().getCheckpointDir().get()}/staged-{uuid.uuid4().hex}"
-    with freed_shuffles(spark):
-        df.write.parquet(path)
-    place = sc._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

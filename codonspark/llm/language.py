@@ -11,7 +11,7 @@ Training takes a sample bounded by `per_label` documents of each language, dealt
 model is a table of 2^18 rows for each language, which is what is broadcast.
 
 Defined cases: null texts and texts without a letter get `und` with score 0; ties go to the first label in order; a
-text longer than `CHAIN` words is several chains whose sums are added; repeated rows get equal answers; without any training
+text of any length is one chain, worked on in pieces of `CHAIN` words that pass their messages to each other both ways; repeated rows get equal answers; without any training
 row every text is `und`; an empty table gives an empty result; extra columns are not read.
 """
 
@@ -97,16 +97,21 @@ def forward_backward(emit: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, n
     return marginal / marginal.sum(axis=2, keepdims=True), forward
 
 
-def _masked(emit: np.ndarray, moves: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """forward_backward for sequences of unequal sizes: past a sequence's end nothing flows back into it."""
+def _masked(emit: np.ndarray, moves: np.ndarray, sizes: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None) -> np.ndarray:
+    """forward_backward for sequences of unequal sizes: past a sequence's end nothing flows back into it.
+
+    before and after: by sequence and label, what the words before it say of its first word and those after it of its last.
+    """
     e = np.exp(emit - emit.max(axis=2, keepdims=True))
     a = np.exp(moves).astype(e.dtype)
     out = np.empty_like(e)
-    out[:, 0] = f = e[:, 0] / e[:, 0].sum(axis=1, keepdims=True)
+    f = e[:, 0] if before is None else e[:, 0] * before.astype(e.dtype)
+    out[:, 0] = f = f / f.sum(axis=1, keepdims=True)
     for t in range(1, e.shape[1]):
         f = (f @ a) * e[:, t]
         out[:, t] = f = f / f.sum(axis=1, keepdims=True)
-    b = np.ones_like(f)
+    b = np.ones_like(f) if after is None else after.astype(e.dtype).copy()
+    out[:, -1] *= b
     for t in range(e.shape[1] - 2, -1, -1):
         inside = np.searchsorted(-sizes, -(t + 1), side="left")  # sizes fall, so sequences with word t + 1 come first
         step = (b[:inside] * e[:inside, t + 1]) @ a.T
@@ -115,6 +120,40 @@ def _masked(emit: np.ndarray, moves: np.ndarray, sizes: np.ndarray) -> np.ndarra
     return out / out.sum(axis=2, keepdims=True)
 
 
+def _messages(emit: np.ndarray, moves: np.ndarray, sizes: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(before, after) of pieces of sequences, in order; begins marks those that begin a sequence.
+
+    Each piece's words make one matrix from the label before it to the label of its last word; all pieces' matrices are made side by side, then messages go over the pieces.
+    """
+    e, a, k = np.exp(emit - emit.max(axis=2, keepdims=True)).astype(np.float64), np.exp(moves).astype(np.float64), moves.shape[0]
+    through = np.broadcast_to(np.eye(k), (len(sizes), k, k)).copy()
+    for t in range(e.shape[1]):
+        inside = t < sizes
+        step = (through[inside] @ a) * e[inside, t][:, None, :]
+        through[inside] = step / step.sum(axis=(1, 2), keepdims=True)
+    before, after = np.ones((len(sizes), k)), np.ones((len(sizes), k))
+    for i in range(len(sizes)):
+        if not begins[i]:
+            # a sequence's first word follows none: its piece starts from the words' own evidence, not from a label before it
+            last = _ending(e[i - 1, : sizes[i - 1]], a, before[i - 1]) if begins[i - 1] else (label / label.sum()) @ through[i - 1]
+            label = last / last.sum()
+            before[i] = label @ a
+    for i in range(len(sizes) - 2, -1, -1):
+        if not begins[i + 1]:
+            back = through[i + 1] @ after[i + 1]
+            after[i] = back / back.sum()
+    return before, after
+
+
+def _ending(e: np.ndarray, a: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Forward probabilities of a piece's last word."""
+    f = e[0] * before
+    for row in e[1:]:
+        f = (f @ a) * row
+        f /= f.sum()
+    return f
+
+
 def fit(samples: list[tuple[str, list[str]]], rounds: int = 60, seed: int = 7, length: int = 48, l2: float = 1e-6) -> Field:
     """Maximum likelihood by Adam over sequences spliced from (label, words) stretches."""
     labels, draw = sorted({x for x, _ in samples}), np.random.default_rng(seed)
@@ -219,7 +258,18 @@ def _label(words: list[list[str]], model: Field) -> tuple[np.ndarray, list[np.nd
         emit = model.emissions([w.encode() for w in named.dictionary.to_pylist()])
         index = named.indices.to_numpy()
         starts = np.cumsum(sizes) - sizes
-        chains = [(a, min(CHAIN, s + n - a), i) for i, (s, n) in enumerate(zip(starts.tolist(), sizes.tolist(), strict=True)) for a in range(s, s + n, CHAIN)]
+        # (first word, words, text, what lies before, what lies after) of pieces of CHAIN words; pieces of one text pass messages to each other
+        chains: list[tuple[int, int, int, np.ndarray, np.ndarray]] = []
+        one = np.ones(len(model.labels))
+        for i, (s, n) in enumerate(zip(starts.tolist(), sizes.tolist(), strict=True)):
+            own = [(a, min(CHAIN, s + n - a)) for a in range(s, s + n, CHAIN)]
+            if len(own) > 1:
+                size, begins = np.array([m for _, m in own]), np.arange(len(own)) == 0
+                place = np.minimum(np.array([a for a, _ in own])[:, None] + np.arange(CHAIN), s + n - 1)
+                messages = zip(*_messages(emit[index[place]], model.moves, size, begins), strict=True)
+            else:
+                messages = [(one, one)] * len(own)
+            chains += [(a, m, i, x, y) for (a, m), (x, y) in zip(own, messages, strict=True)]
         chains.sort(key=lambda c: -c[1])
         at = 0
         while at < len(chains):
@@ -228,7 +278,7 @@ def _label(words: list[list[str]], model: Field) -> tuple[np.ndarray, list[np.nd
             first, size = np.array([c[0] for c in group]), np.array([c[1] for c in group])
             place = np.minimum(first[:, None] + np.arange(size[0]), len(index) - 1)
             inside = np.arange(size[0]) < size[:, None]
-            p = _masked(emit[index[place]], model.moves, size)
+            p = _masked(emit[index[place]], model.moves, size, np.array([c[3] for c in group]), np.array([c[4] for c in group]))
             np.add.at(total, [c[2] for c in group], np.where(inside[:, :, None], p, 0).sum(axis=1))
             best[place[inside]] = p.argmax(axis=2)[inside]
     return total, np.split(best, np.cumsum(sizes)[:-1]) if len(words) else []
