@@ -125,35 +125,32 @@ def _messages(emit: np.ndarray, moves: np.ndarray, sizes: np.ndarray, begins: np
 
     Each piece's words make one matrix from the label before it to the label of its last word; all pieces' matrices are made side by side, then messages go over the pieces.
     """
-    e, a, k = np.exp(emit - emit.max(axis=2, keepdims=True)).astype(np.float64), np.exp(moves).astype(np.float64), moves.shape[0]
-    through = np.broadcast_to(np.eye(k), (len(sizes), k, k)).copy()
+    e, a, k = np.exp(emit - emit.max(axis=2, keepdims=True)), np.exp(moves).astype(emit.dtype), moves.shape[0]
+    first, later = np.nonzero(begins)[0], np.nonzero(~begins)[0]
+    ends = np.ones((len(sizes), k))  # of pieces that begin a sequence, the label probabilities of their last word
+    f = e[first, 0]
+    for t in range(1, e.shape[1]):
+        f = (f @ a) * e[first, t]
+        f /= f.sum(axis=1, keepdims=True)
+    ends[first] = f  # a piece that another follows is full
+    through = np.broadcast_to(np.eye(k, dtype=e.dtype), (len(later), k, k)).copy()
     for t in range(e.shape[1]):
-        inside = t < sizes
-        step = (through[inside] @ a) * e[inside, t][:, None, :]
+        inside = t < sizes[later]
+        step = (through[inside] @ a) * e[later[inside], t][:, None, :]
         through[inside] = step / step.sum(axis=(1, 2), keepdims=True)
+    moved = np.empty((len(sizes), k, k))
+    moved[later] = through
     before, after = np.ones((len(sizes), k)), np.ones((len(sizes), k))
-    for i in range(len(sizes)):
-        if not begins[i]:
-            # a sequence's first word follows none: its piece starts from the words' own evidence, not from a label before it
-            last = _ending(e[i - 1, : sizes[i - 1]], a, before[i - 1]) if begins[i - 1] else (label / label.sum()) @ through[i - 1]
-            label = last / last.sum()
-            before[i] = label @ a
-    for i in range(len(sizes) - 2, -1, -1):
-        if not begins[i + 1]:
-            back = through[i + 1] @ after[i + 1]
-            after[i] = back / back.sum()
+    for i in later.tolist():
+        before[i] = ends[i - 1] @ a
+        ends[i] = ends[i - 1] @ moved[i]
+        ends[i] /= ends[i].sum()
+    for i in later[::-1].tolist():
+        after[i - 1] = moved[i] @ after[i]
+        after[i - 1] /= after[i - 1].sum()
     return before, after
 
 
-def _ending(e: np.ndarray, a: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """Forward probabilities of a piece's last word."""
-    f = e[0] * before
-    for row in e[1:]:
-        f = (f @ a) * row
-        f /= f.sum()
-    return f
-
-
 def fit(samples: list[tuple[str, list[str]]], rounds: int = 60, seed: int = 7, length: int = 48, l2: float = 1e-6) -> Field:
     """Maximum likelihood by Adam over sequences spliced from (label, words) stretches."""
     labels, draw = sorted({x for x, _ in samples}), np.random.default_rng(seed)
@@ -259,17 +256,17 @@ def _label(words: list[list[str]], model: Field) -> tuple[np.ndarray, list[np.nd
         index = named.indices.to_numpy()
         starts = np.cumsum(sizes) - sizes
         # (first word, words, text, what lies before, what lies after) of pieces of CHAIN words; pieces of one text pass messages to each other
-        chains: list[tuple[int, int, int, np.ndarray, np.ndarray]] = []
+        pieces = [(a, min(CHAIN, s + n - a), i, a == s) for i, (s, n) in enumerate(zip(starts.tolist(), sizes.tolist(), strict=True)) for a in range(s, s + n, CHAIN)]
         one = np.ones(len(model.labels))
-        for i, (s, n) in enumerate(zip(starts.tolist(), sizes.tolist(), strict=True)):
-            own = [(a, min(CHAIN, s + n - a)) for a in range(s, s + n, CHAIN)]
-            if len(own) > 1:
-                size, begins = np.array([m for _, m in own]), np.arange(len(own)) == 0
-                place = np.minimum(np.array([a for a, _ in own])[:, None] + np.arange(CHAIN), s + n - 1)
-                messages = zip(*_messages(emit[index[place]], model.moves, size, begins), strict=True)
-            else:
-                messages = [(one, one)] * len(own)
-            chains += [(a, m, i, x, y) for (a, m), (x, y) in zip(own, messages, strict=True)]
+        cut = [j for j, (_, _, i, _) in enumerate(pieces) if sizes[i] > CHAIN]
+        before, after = dict.fromkeys(range(len(pieces)), one), dict.fromkeys(range(len(pieces)), one)
+        if cut:
+            size = np.array([pieces[j][1] for j in cut])
+            place = np.minimum(np.array([pieces[j][0] for j in cut])[:, None] + np.arange(CHAIN), len(index) - 1)
+            found = _messages(emit[index[place]], model.moves, size, np.array([pieces[j][3] for j in cut]))
+            before |= dict(zip(cut, found[0], strict=True))
+            after |= dict(zip(cut, found[1], strict=True))
+        chains = [(a, m, i, before[j], after[j]) for j, (a, m, i, _) in enumerate(pieces)]
         chains.sort(key=lambda c: -c[1])
         at = 0
         while at < len(chains):
