@@ -2,19 +2,19 @@
 
 The words of each source, documents in a fixed pseudorandom order, are packed into blocks of
 `block_words`; the last block may be shorter. A source's quota of slots is what its target in words needs: whole
-passes over its blocks, then part of one more, whose last slot is cut to the word. All slots are
-dealt to output shards by one pseudorandom permutation of the slots, so the counts of sources in a shard
-are a multinomial draw under the condition that every source's total is its quota. Slot k of a source takes block
-perm(k mod n) of its k div n th pass; the permutations are swap-or-not shuffles keyed by
+passes over its blocks, then part of one more, whose last slot is cut to the word. Each slot of each output shard draws
+its source with the odds of the quotas, so that a shard's counts of sources are multinomial. The slots of a source, numbered over the shards from these counts,
+go through a pseudorandom permutation to its indices; the few slots of sources drawn too often go to indices of those drawn too seldom, so
+that quotas hold. Index k of a source is block perm(k mod n) of its k div n th pass. Permutations are Feistel networks keyed by
 source and pass, computed per slot without a table. Slots and packed pieces of documents meet in a join by (source, block).
 
 No source is held in one task: prefix sums over a source run in chunks of documents, then over the
 chunks' sums, and slots are generated by a range, not source by source. Only the sources' number of rows is ever in one window.
 
 Defined cases: a null or empty text has no words, is never taken and counts in no block; a null
-source is a source of its own, last in order; sources without words have target 0; repeated rows are
-taken each for itself; an empty table gives an empty result; extra columns are not read by the
-query and kept by mixed_documents.
+source is a source of its own, last in order; sources without words have target 0; repeated rows and null keys are
+taken each for itself; equal weights or sizes are ordered by source; a text of any length is a row whose words are counted, then cut into pieces by block; an
+empty table gives an empty result; extra columns are not read by the query and kept by mixed_documents.
 """
 
 from __future__ import annotations
@@ -23,12 +23,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpointed, n_words_of, read_table, staged, words_of
+from .common import checkpointed, let, n_words_of, read_table, running, staged, words_of
 
 BLOCK_WORDS = 512
 SHARD_SLOTS = 4096
 WEIGHTS = (3, 1, 2)
-_ROUNDS = 24
+_ROUNDS = 6
 _STEP = 1 << 16
 
 
@@ -37,14 +37,31 @@ def _long(n: int) -> Column:
 
 
 def shuffled(x: Column, n: Column, key: Column, inverse: bool = False) -> Column:
-    """A pseudorandom permutation of 0 to n - 1 by key: swap-or-not rounds, each its own inverse."""
-    rounds = range(_ROUNDS - 1, -1, -1) if inverse else range(_ROUNDS)
+    """A pseudorandom permutation of 0 to n - 1 by key: a Feistel network over a grid of a by b cells, a the least whole number not under the root of n.
 
-    def step(at: Column, r: Column) -> Column:
-        other = F.pmod(F.pmod(F.xxhash64(key, r), n) - at, n)
-        return F.when(F.xxhash64(F.greatest(at, other), key, r + 1000).bitwiseAND(_long(1)) == 1, other).otherwise(at)
+    Fewer than a cells lie beyond n. What falls there walks on through the network until it falls inside, which only one in a of the n needs at all.
+    """
+    a = F.ceil(F.sqrt(n.cast("double"))).cast("long")
+    rounds = F.array(*[F.lit(r) for r in (range(_ROUNDS - 1, -1, -1) if inverse else range(_ROUNDS))])
 
-    return F.aggregate(F.array(*[F.lit(r) for r in rounds]), x.cast("long"), step)
+    def network(at: Column, p: Column) -> Column:
+        def turned(x: Column, other: Column, size: Column, r: Column) -> Column:
+            by = F.pmod(F.xxhash64(p["key"], r, other), size)
+            return F.pmod(x - by if inverse else x + by, size)
+
+        def step(s: Column, r: Column) -> Column:
+            even = F.struct(turned(s["row"], s["column"], p["a"], r).alias("row"), s["column"].alias("column"))
+            odd = F.struct(s["row"].alias("row"), turned(s["column"], s["row"], p["b"], r).alias("column"))
+            return F.when(r % 2 == 0, even).otherwise(odd)
+
+        start = F.struct(F.floor(at / p["b"]).cast("long").alias("row"), F.pmod(at, p["b"]).alias("column"))
+        return F.aggregate(rounds, start, step, lambda s: s["row"] * p["b"] + s["column"])
+
+    def permuted(p: Column) -> Column:
+        walk = lambda first: F.aggregate(F.sequence(_long(1), p["a"]), first, lambda at, _: F.when(at < p["n"], at).otherwise(network(at, p)))
+        return let(network(p["x"], p), lambda first: F.when(first < p["n"], first).otherwise(walk(first)))
+
+    return let(F.struct(x.cast("long").alias("x"), n.alias("n"), key.alias("key"), a.alias("a"), F.ceil(n / a).cast("long").alias("b")), permuted)
 
 
 def targets(sources: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -91,7 +108,7 @@ def _planned(sources: DataFrame, block: int, seed: int) -> DataFrame:
 def _sized(docs: DataFrame, key: str, text: str, source: str, row: str | None = None) -> DataFrame:
     """(row, key, src, source, size) of each row; src names the source and is never null. Rows are numbered unless a column has their ids."""
     src = F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit(""))
-    return docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("row"), F.col(key).alias("key"), src.alias("src"), F.col(source).alias("source"), n_words_of(F.col(text)).alias("size"))
+    return docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("row"), F.col(key).alias("key"), F.xxhash64(text).alias("hash"), src.alias("src"), F.col(source).alias("source"), n_words_of(F.col(text)).alias("size"))
 
 
 def plan_sources(sized: DataFrame, block: int, share: float, cap: float, weights: tuple[int, ...], seed: int) -> DataFrame:
@@ -102,10 +119,14 @@ def plan_sources(sized: DataFrame, block: int, share: float, cap: float, weights
 def packed(sized: DataFrame, block: int, seed: int, chunk_rows: int = 8192) -> DataFrame:
     """Pieces (row, src, block, lo, hi, at): words lo to hi of a block are the words from `at` on of the row."""
     chunks = max(1, -(-sized.count() // chunk_rows))
-    dealt = sized.where("size > 0").withColumn("chunk", F.pmod(F.xxhash64("key", F.lit(seed)), _long(chunks)))
+    # rows go by key and text, whatever order they are read in; only of those that more rows share than a chunk is to hold, which are all alike, each goes by its own id
+    shared = sized.groupBy(F.xxhash64("key").alias("k"), "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk_rows)
+    own = F.when(F.col("n").isNotNull(), F.col("row")).otherwise(_long(-1))
+    found = sized.where("size > 0").withColumn("k", F.xxhash64("key")).join(shared, ["k", "hash"], "left")
+    dealt = found.withColumn("chunk", F.pmod(F.xxhash64("k", "hash", own, F.lit(seed)), _long(chunks))).drop("k", "n")
     sums = dealt.groupBy("src", "chunk").agg(F.sum("size").alias("n"))
     starts = sums.select("src", "chunk", (F.sum("n").over(W.partitionBy("src").orderBy("chunk")) - F.col("n")).alias("chunk_start"))
-    inside = W.partitionBy("src", "chunk").orderBy("key", "size", "row")
+    inside = W.partitionBy("src", "chunk").orderBy("key", "size", "hash", "row")
     placed = (
         dealt.withColumn("end", F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow)))
         .join(starts, ["src", "chunk"])
@@ -123,24 +144,50 @@ def packed(sized: DataFrame, block: int, seed: int, chunk_rows: int = 8192) -> D
     )
 
 
-def slots(sources: DataFrame, block: int, shard_slots: int, seed: int) -> DataFrame:
-    """(shard, slot, src, pass, block, length) of every slot of the mix."""
+def _placed(x: DataFrame, at: str, runs: DataFrame, first: str, n: str) -> DataFrame:
+    """x with the columns of the run (first, n) that its column `at` lies in. Runs are cut at multiples of _STEP for an equality join."""
+    cut = runs.where(F.col(n) > 0).withColumn("step", F.explode(F.sequence(F.floor(F.col(first) / _STEP), F.floor((F.col(first) + F.col(n) - 1) / _STEP))))
+    joined = x.withColumn("step", F.floor(F.col(at) / _STEP)).join(cut, "step").drop("step")
+    return joined.where((F.col(at) >= F.col(first)) & (F.col(at) < F.col(first) + F.col(n)))
+
+
+def shard_draws(sources: DataFrame, shard_slots: int, seed: int) -> tuple[DataFrame, int]:
+    """((x, shard, slot, src) of every slot of the mix, number of slots): each slot of a shard draws its source with the odds of the quotas, so a shard's counts of sources are a multinomial draw."""
     n = sources.agg(F.sum("quota")).first()[0] or 0
     per_shard = -(-n // max(1, round(n / shard_slots))) if n else 1
-    # source of slot x: sources cover runs of x, cut at multiples of _STEP for an equality join
-    runs = sources.where("quota > 0").select(
-        "src", "n_blocks", "quota", "cut", "first", F.explode(F.sequence(F.floor(F.col("first") / _STEP), F.floor((F.col("first") + F.col("quota") - 1) / _STEP))).alias("step")
+    x = sources.sparkSession.range(n, numPartitions=max(1, -(-n // _STEP))).withColumnRenamed("id", "x").withColumn("pick", F.pmod(F.xxhash64("x", F.lit(seed), F.lit("draw")), _long(max(1, n))))
+    drawn_ = _placed(x, "pick", sources.select("src", "quota", "first"), "first", "quota")
+    return drawn_.select("x", F.floor(F.col("x") / per_shard).alias("shard"), (F.col("x") % per_shard).alias("slot"), "src"), n
+
+
+def slots(sources: DataFrame, block: int, shard_slots: int, seed: int) -> DataFrame:
+    """(shard, slot, src, pass, block, length) of every slot of the mix.
+
+    A shard's slots of a source are numbered after those of the shards before it, from its counts. The number goes through a permutation of the source's slots; what comes out under the
+    quota is the slot's index. Totals of the draws miss the quotas by their root at most or so: slots that come out over the quota of their source are dealt, by one permutation of them all, to the
+    indices of sources that were drawn too seldom, so that every index is taken once.
+    """
+    draws, _ = shard_draws(sources, shard_slots, seed)
+    draws = staged(draws)
+    counts = checkpointed(draws.groupBy("src", "shard").agg(F.count(F.lit(1)).alias("n")))
+    before = running(counts, ["shard"], ["n"], keys=["src"]).select("src", "shard", (F.col("__sum_n") - F.col("n")).alias("before"))
+    by_name = W.orderBy("src").rowsBetween(W.unboundedPreceding, -1)
+    over, under = F.greatest(F.col("n") - F.col("quota"), _long(0)), F.greatest(F.col("quota") - F.col("n"), _long(0))
+    planned = checkpointed(
+        sources.where("quota > 0").join(counts.groupBy("src").agg(F.sum("n").alias("n")), "src", "left").withColumn("n", F.coalesce("n", _long(0)))
+        .withColumns({"over": over, "under": under}).withColumns({"over_first": F.coalesce(F.sum("over").over(by_name), _long(0)), "under_first": F.coalesce(F.sum("under").over(by_name), _long(0))})
     )
-    x = sources.sparkSession.range(n).select(F.col("id").alias("x"), F.floor(F.col("id") / _STEP).alias("step"), shuffled(F.col("id"), _long(max(1, n)), F.lit(seed)).alias("place"))
-    k = F.col("x") - F.col("first")
-    to = shuffled(k % F.col("n_blocks"), F.col("n_blocks"), F.xxhash64("src", F.floor(k / F.col("n_blocks")), F.lit(seed)))
-    return x.join(runs, "step").where((F.col("x") >= F.col("first")) & (F.col("x") < F.col("first") + F.col("quota"))).select(
-        F.floor(F.col("place") / per_shard).alias("shard"),
-        (F.col("place") % per_shard).alias("slot"),
-        "src",
-        F.floor(k / F.col("n_blocks")).alias("pass"),
-        to.alias("block"),
-        F.when(k == F.col("quota") - 1, F.col("cut")).otherwise(block).alias("length"),
+    left = planned.agg(F.sum("over")).first()[0] or 0
+    inside = W.partitionBy("src", "shard").orderBy("slot")
+    numbered = draws.withColumn("k", F.row_number().over(inside) - 1).join(before, ["src", "shard"]).withColumn("k", F.col("k") + F.col("before"))
+    indexed = numbered.join(planned.select("src", "n", "quota", "over_first"), "src").withColumn("k", shuffled(F.col("k"), F.col("n"), F.xxhash64("src", F.lit(seed), F.lit("index"))))
+    given = indexed.where("k >= quota").select("shard", "slot", shuffled(F.col("over_first") + F.col("k") - F.col("quota"), _long(max(1, left)), F.xxhash64(F.lit(seed), F.lit("over"))).alias("g"))
+    moved = _placed(given, "g", planned.select("src", F.col("n").alias("drawn"), "under", "under_first"), "under_first", "under")
+    every = indexed.where("k < quota").select("shard", "slot", "src", "k").union(moved.select("shard", "slot", "src", (F.col("drawn") + F.col("g") - F.col("under_first")).alias("k")))
+    k, nb = F.col("k"), F.col("n_blocks")
+    to = shuffled(k % nb, nb, F.xxhash64("src", F.floor(k / nb), F.lit(seed)))
+    return every.join(sources.select("src", "n_blocks", "quota", "cut"), "src").select(
+        "shard", "slot", "src", F.floor(k / nb).alias("pass"), to.alias("block"), F.when(k == F.col("quota") - 1, F.col("cut")).otherwise(block).alias("length")
     )
 
 
