@@ -2,18 +2,20 @@
 
 Windows of half the wanted length are counted first; only starts whose window is repeated in another document stay
 candidates. Two candidates make a window of up to twice the length, which is counted in turn: from 7 words to 13, the length
-that decides. Longer windows are made of these and would remove no other word. Each level reads the candidates of the one before alone.
+wanted, where windows end: longer ones are made of these and would remove no other word. Each level reads the candidates of the one before alone.
 
 Documents are put into blocks of about `block_bytes` of text, kept compressed in the shared folder. A level
-takes each distinct window of a block once, as a hash with the least document that has it there, deals these
-out by hash into buckets, and gets back one bit for each: whether another block has it (in an earlier document, at the last level).
+takes each distinct window of a block once, as a hash, deals these
+out by hash into buckets, and gets back one bit for each: whether another block has it.
 So what is shuffled for a window grows with blocks, never with copies, and a bucket's
-size is bounded by how many there are. Levels that only narrow the candidates send 24 bits of a
-hash, which may keep a candidate too many but lose none; the last level, which decides, sends all 64.
+size is bounded by how many there are. Levels that narrow the candidates send 24 bits of a
+hash, which may keep a candidate too many but lose none; windows that are still candidates at the wanted length are sent once more, with all 128 bits of
+two independent hashes and the least document that has them, and that decides: among 10^13 windows some 10^-13 pairs of different ones agree.
 
 Defined cases: null, empty and short texts have no window and lose no word; a window repeated only inside its own
 document is not removed; rows that repeat a doc_id count as one document in the order of windows; a null doc_id
-comes after all others; an empty table gives an empty result; extra columns are not read. A text of any length is one row of one block.
+comes after all others; keys may be integers or of any other type that Spark orders, and go by that order; an empty table gives an empty result; extra
+columns are not read, whatever their names. A text of any length is one row of one block.
 """
 
 from __future__ import annotations
@@ -28,13 +30,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, read_table, spaced_words
+from .common import checkpointed, read_table, running, spaced_words
 
 BLOCK_BYTES = 8 << 20
 #: Windows that a bucket is sized for.
 BUCKET = 1 << 20
 _NONE = np.iinfo(np.int64).max
-_A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+_A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -89,18 +91,19 @@ class _Block:
         if len(flat) != self.n.sum():  # empty documents leave empty strings
             flat = flat.filter(pa.compute.not_equal(flat, ""))
         named = flat.dictionary_encode()
-        hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in named.dictionary.cast(pa.binary()).to_pylist()], dtype=np.uint64)
-        self.words = hashes[named.indices.to_numpy()] if len(flat) else np.empty(0, dtype=np.uint64)
+        wide = [xxhash.xxh3_128_intdigest(w) for w in named.dictionary.cast(pa.binary()).to_pylist()]
+        both = np.array([[w & ((1 << 64) - 1) for w in wide], [w >> 64 for w in wide]], dtype=np.uint64)
+        self.words = both[:, named.indices.to_numpy()] if len(flat) else np.empty((2, 0), dtype=np.uint64)
         self.doc = np.repeat(np.arange(len(self.n)), self.n)
-        self.left = np.repeat(np.cumsum(self.n), self.n) - np.arange(len(self.words))  # words from here to the document's end
+        self.left = np.repeat(np.cumsum(self.n), self.n) - np.arange(self.words.shape[1])  # words from here to the document's end
 
-    def windows(self, length: int) -> np.ndarray:
-        """Hash of the window of `length` words that starts at each word; of use where `left` is as long. Built by doubling."""
-        h, size = _mix(self.words + _A), 1
+    def windows(self, length: int, lane: int = 0) -> np.ndarray:
+        """64 bits of a hash of the window of `length` words that starts at each word; of use where `left` is as long. Built by doubling; two lanes are independent."""
+        h, size = _mix(self.words[lane] + (_A, _C)[lane]), 1
         while size < length:
             step = min(size, length - size)
             ahead = np.concatenate([h[step:], np.zeros(min(step, len(h)), dtype=np.uint64)])[: len(h)]
-            h = _mix(h * _A + ahead + np.uint64(size + step))
+            h = _mix(h * (_A, _D)[lane] + ahead + np.uint64(size + step))
             size += step
         return h
 
@@ -110,17 +113,26 @@ class _Replay:
 
     def __init__(self, block: _Block):
         self.block, self.length = block, 0
-        self.starts = np.arange(len(block.words))
+        self.starts = np.arange(block.words.shape[1])
 
-    def open(self, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct windows of the next length in rising order of hash, and the least key of each."""
-        b = self.block
+    def open(self, length: int, decide: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct windows of the next length in rising order of hash, 64 bits of it, or 128 as two columns at the level that decides, and the least key of each."""
+        b, n = self.block, self.block.words.shape[1]
         if self.length:
-            alive = np.zeros(len(b.words) + 1, dtype=bool)
+            alive = np.zeros(n + 1, dtype=bool)
             alive[self.starts] = True
-            self.starts = self.starts[alive[np.minimum(self.starts + length - self.length, len(b.words))]]
+            self.starts = self.starts[alive[np.minimum(self.starts + length - self.length, n)]]
         self.starts, self.length = self.starts[b.left[self.starts] >= length], length
-        hashes, self.place = np.unique(b.windows(length)[self.starts], return_inverse=True)
+        if decide:
+            pair = np.stack([b.windows(length)[self.starts], b.windows(length, 1)[self.starts]], axis=1)
+            order = np.lexsort((pair[:, 1], pair[:, 0]))
+            new = np.ones(len(order), dtype=bool)
+            new[1:] = (pair[order][1:] != pair[order][:-1]).any(axis=1)
+            hashes = pair[order[new]]
+            self.place = np.empty(len(order), dtype=np.int64)
+            self.place[order] = np.cumsum(new) - 1
+        else:
+            hashes, self.place = np.unique(b.windows(length)[self.starts], return_inverse=True)
         self.own = b.keys[b.doc[self.starts]]
         self.least = np.full(len(hashes), _NONE)
         np.minimum.at(self.least, self.place, self.own)
@@ -162,36 +174,37 @@ def _bits(answers: list[dict], level: int, n: int) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(n, dtype=bool)
 
 
-def _replayed(row: dict, lengths: list[int]) -> _Replay:
-    """The block after the answers of all given lengths."""
+def _replayed(row: dict, steps: list[tuple[int, bool]]) -> _Replay:
+    """The block after the answers of all given steps."""
     replay = _Replay(_load(row))
-    for k, length in enumerate(lengths):
-        hashes, _ = replay.open(length)
+    for k, step in enumerate(steps):
+        hashes, _ = replay.open(*step)
         replay.close(_bits(row["answers"], k, len(hashes)))
     return replay
 
 
-def _ask(rows: DataFrame, lengths: list[int], buckets: int, decide: bool) -> DataFrame:
-    """(bucket, block, n, hashes, least): the distinct windows of the last length by bucket; 24 bits of a hash where the level doesn't decide, else the hash and the least key."""
+def _ask(rows: DataFrame, steps: list[tuple[int, bool]], buckets: int) -> DataFrame:
+    """(bucket, block, n, hashes, base, least): the distinct windows of the last step by bucket; 24 bits of a hash where the step doesn't decide, else 128 and the least key."""
+    decide = steps[-1][1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds = _bounds(buckets)
         for batch in batches:
             for row in batch.to_pylist():
-                replay = _replayed(row, lengths[:-1])
-                hashes, least = replay.open(lengths[-1])
-                cut = [0, *np.searchsorted(hashes, bounds).tolist(), len(hashes)]
+                replay = _replayed(row, steps[:-1])
+                hashes, least = replay.open(*steps[-1])
+                cut = [0, *np.searchsorted(hashes[:, 0] if decide else hashes, bounds).tolist(), len(hashes)]
                 base = int(least.min()) if len(least) else 0
                 kind = np.uint32 if len(least) and int(least.max()) - base < 1 << 32 else np.int64
                 near = (least - base).astype(kind)
-                low = hashes.view(np.uint8).reshape(-1, 8)[:, :3]
+                sent = hashes if decide else hashes.view(np.uint8).reshape(-1, 8)[:, :3]
                 found = [(i, a, b) for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([i for i, _, _ in found], pa.int64()),
                         pa.array([row["block"]] * len(found), pa.int64()),
                         pa.array([b - a for _, a, b in found], pa.int64()),
-                        pa.array([hashes[a:b].tobytes() if decide else low[a:b].tobytes() for _, a, b in found], pa.binary()),
+                        pa.array([sent[a:b].tobytes() for _, a, b in found], pa.binary()),
                         pa.array([base] * len(found), pa.int64()),
                         pa.array([near[a:b].tobytes() if decide else b"" for _, a, b in found], pa.binary()),
                     ],
@@ -207,12 +220,15 @@ def _answer(decide: bool, level: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(group: pd.DataFrame) -> pd.DataFrame:
         sizes = group["n"].to_numpy()
         if decide:
-            h = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in group["hashes"]])
+            pair = np.concatenate([np.frombuffer(x, dtype=np.uint64).reshape(-1, 2) for x in group["hashes"]])
             least = np.concatenate([np.frombuffer(x, dtype=np.uint32 if len(x) == 4 * n else np.int64).astype(np.int64) + base for x, n, base in zip(group["least"], sizes, group["base"], strict=True)])
-            distinct, place = np.unique(h, return_inverse=True)
-            first = np.full(len(distinct), _NONE)
-            np.minimum.at(first, place, least)
-            bit = first[place] < least
+            order = np.lexsort((pair[:, 1], pair[:, 0]))
+            new = np.ones(len(order), dtype=bool)
+            new[1:] = (pair[order][1:] != pair[order][:-1]).any(axis=1)
+            starts = np.nonzero(new)[0]
+            first = np.minimum.reduceat(least[order], starts) if len(starts) else least
+            bit = np.empty(len(order), dtype=bool)
+            bit[order] = first[np.cumsum(new) - 1] < least[order]
         else:
             low = np.concatenate([np.frombuffer(x, dtype=np.uint8).reshape(-1, 3) for x in group["hashes"]]).astype(np.int32)
             counts = np.bincount(h := low[:, 0] | low[:, 1] << 8 | low[:, 2] << 16, minlength=1)
@@ -227,27 +243,33 @@ def _answer(decide: bool, level: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
 def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(key, n_words, removed array<int>, kept string): words of each row covered by a window of min_words that an earlier document
     also has, as flat (start, end) pairs, and the words that are left, joined by spaces."""
-    blocks = checkpointed(_blocks(docs, key, text, block_bytes))
+    kind = docs.schema[key].dataType.simpleString()
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    if kind not in ("tinyint", "smallint", "int", "bigint"):  # keys of other types go by their place in order
+        places = running(rows.select("key").where("key IS NOT NULL").distinct(), ["key"]).select(F.col("key").alias("name"), F.col("__rank").alias("place"))
+        places = checkpointed(places)
+        found = drop_repeats(rows.join(places, F.col("key") == F.col("name"), "left").select("place", "text"), "place", "text", min_words, block_bytes)
+        return found.join(places, "place", "left").select(F.col("name").alias(key), "n_words", "removed", "kept")
+    blocks = checkpointed(_blocks(rows, "key", "text", block_bytes))
     words = blocks.agg(F.sum(F.aggregate("n_words", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    buckets, lengths = max(1, -(-words // BUCKET)), levels(min_words)
+    buckets, steps = max(1, -(-words // BUCKET)), [*((n, False) for n in levels(min_words)), (min_words, True)]
     rows, answers = blocks.withColumn("answers", F.lit(None).cast("array<struct<level:int,bucket:long,n:long,bits:binary>>")), None
-    for k in range(len(lengths)):
-        decide = k == len(lengths) - 1
-        asked = _ask(rows, lengths[: k + 1], buckets, decide)
-        given = checkpointed(asked.groupBy("bucket").applyInPandas(_answer(decide, k), "block long, level int, bucket long, n long, bits binary"))
+    for k in range(len(steps)):
+        asked = _ask(rows, steps[: k + 1], buckets)
+        given = checkpointed(asked.groupBy("bucket").applyInPandas(_answer(steps[k][1], k), "block long, level int, bucket long, n long, bits binary"))
         answers = given if answers is None else answers.union(given)
         rows = blocks.join(answers.groupBy("block").agg(F.collect_list(F.struct("level", "bucket", "n", "bits")).alias("answers")), "block", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                replay = _replayed(row, lengths[:-1])
-                hashes, _ = replay.open(lengths[-1])
-                starts = replay.later(_bits(row["answers"], len(lengths) - 1, len(hashes)))
+                replay = _replayed(row, steps[:-1])
+                hashes, _ = replay.open(*steps[-1])
+                starts = replay.later(_bits(row["answers"], len(steps) - 1, len(hashes)))
                 block = replay.block
-                step = np.zeros(len(block.words) + 1, dtype=np.int64)
+                step = np.zeros(block.words.shape[1] + 1, dtype=np.int64)
                 np.add.at(step, starts, 1)
-                np.add.at(step, starts + lengths[-1], -1)
+                np.add.at(step, starts + min_words, -1)
                 gone = np.cumsum(step)[:-1] > 0
                 removed, kept, at = [], [], 0
                 for line, n in zip(block.body.split(b"\n"), block.n.tolist(), strict=True):
