@@ -74,7 +74,7 @@ def _versioned(label: str, spdx: str, keyword: str, name: str, versions: tuple[s
 
 def _plain(label: str, spdx: str, keyword: str, name: str, notice: str | None = None, address: str | None = None) -> list[tuple[str, str, str, str]]:
     """Rules of a license without versions."""
-    out = [(label, "tag", "spdx", rf"spdx-license-identifier:\s*{spdx}(?![\w.-])"), (label, "name", keyword, rf"\b{name}\b")]
+    out = [(label, "tag", "spdx", rf"spdx-license-identifier:\s*(?:{spdx})(?![\w.-])"), (label, "name", keyword, rf"\b(?:{name})\b")]
     if notice:
         out.append((label, "notice", *notice.split("|", 1)))
     if address:
@@ -175,7 +175,121 @@ _LISTED: list[tuple[str, str, str, str]] = [
     *_plain("llama", "llama[23]?", "llama", r"llama ?[0-9.]* community licen[cs]e"),
     *_plain("proprietary", "licenseref-proprietary", "rights reserved", r"all rights reserved"),
 ]
-RULES = tuple(Rule(*x) for x in _LISTED)
+#: Sentences of notices and license texts, each written out, with a keyword that every match holds (or several, parted by |).
+_NOTICES: list[tuple[str, str, str, str]] = [
+    ("mit", "notice", "the above copyright notice and this permission notice", r"the above copyright notice and this permission notice (?:\(including the next paragraph\) )?shall be included in all copies or substantial portions"),
+    ("mit", "notice", "without limitation the rights", r"without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense,? and(?:/or)? sell"),
+    ("mit-0", "notice", "sublicense", r"to use, copy, modify, merge, publish, distribute, sublicense,? and(?:/or)? sell copies of the software, and to permit persons to whom the software is furnished to do so\. the software is provided"),
+    ("x11", "notice", "shall not be used in advertising", r"except as contained in this notice, the names? of .{1,80}? shall not be used in advertising or otherwise to promote the sale"),
+    ("isc", "notice", "permission to use", r"permission to use, copy, modify,? and(?:/or)? distribute this software for any purpose with or without fee is hereby granted, provided that the above"),
+    ("0bsd", "notice", "permission to use", r"permission to use, copy, modify,? and(?:/or)? distribute this software for any purpose with or without fee is hereby granted\. the software is provided"),
+    ("hpnd", "notice", "permission to use", r"permission to use, copy, modify,? and distribute this software and its documentation for any purpose"),
+    ("hpnd", "notice", "supporting documentation", r"both that copyright notice and this permission notice appear in supporting documentation"),
+    ("bsd", "notice", "redistributions of source code", r"redistributions of source code must retain the above copyright notice, this list of conditions"),
+    ("bsd", "notice", "redistributions in binary form", r"redistributions in binary form must reproduce the above copyright notice, this list of conditions"),
+    ("bsd-3-clause", "notice", "endorse or promote", r"may (?:not )?be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-4-clause", "notice", "must display the following", r"must display the following acknowledge?ment: this product includes software developed by"),
+    ("bsd-2-clause", "notice", "freebsd project", r"should not be interpreted as representing official policies, either expressed or implied, of the freebsd project"),
+    ("bsd-3-clause-clear", "notice", "express or implied licenses", r"no express or implied licenses to any party's patent rights are granted by this license"),
+    ("bsd-protection", "notice", "bsd protection", r"bsd protection license"),
+    ("bsd-source-code", "notice", "bsd source code", r"bsd source code attribution"),
+    ("apache-2.0", "notice", "you may not use this file except", r"you may not use this file except in compliance with the license"),
+    ("apache-2.0", "notice", "obtain a copy of the license", r"you may obtain a copy of the license at https?:? ?(?://)?www\.apache\.org/licenses/license-2\.0"),
+    ("apache-2.0", "notice", "as is", r"unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an .{0,2}as is.{0,2} basis"),
+    ("apache-2.0", "notice", "perpetual, worldwide", r"each contributor hereby grants to you a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license"),
+    ("apache-1.1", "notice", "apache software foundation", r"this product includes software developed by the apache software foundation"),
+    ("apache-1.0", "notice", "apache group", r"this product includes software developed by the apache group"),
+    ("gpl", "notice", "you can redistribute it", r"is free software[;:,] you can redistribute it and(?:/or)? modify it under the terms of the gnu general public"),
+    ("gpl", "notice", "without even the implied warranty", r"without even the implied warranty of merchantability or fitness for a particular purpose\. see the gnu general public"),
+    ("gpl", "notice", "you should have received a copy", r"you should have received a copy of the gnu general public license along with"),
+    ("gpl-2.0", "notice", "terms of version 2", r"under the terms of version 2 of the gnu general public license"),
+    ("gpl-2.0-only", "notice", "version 2 of the license", r"version 2 of the license only"),
+    ("gpl-2.0-only", "notice", "published by the free software", r"as published by the free software foundation, version 2(?:\.0)?(?! of the license,? or)(?![.\d])"),
+    ("gpl-3.0", "notice", "copyleft", r"the gnu general public license is a free, copyleft license for software and other kinds of works"),
+    ("gpl-2.0", "notice", "freedom to share", r"the licenses for most software are designed to take away your freedom to share and change it"),
+    ("gpl-3.0-classpath", "notice", "classpath", r"classpath exception"),
+    ("gpl-classpath-exception", "notice", "special exception", r"as a special exception, the copyright holders of this library give you permission to link this library with independent modules"),
+    ("gpl-gcc-exception", "notice", "runtime library exception", r"gcc runtime library exception"),
+    ("gpl-bison-exception", "notice", "bison", r"as a special exception, you may create a larger work that contains part or all of the bison parser skeleton"),
+    ("gpl-autoconf-exception", "notice", "configuration script", r"as a special exception to the gnu general public license, if you distribute this file as part of a program that contains a configuration script generated by autoconf"),
+    ("gpl-font-exception", "notice", "font exception", r"gpl font exception"),
+    ("gpl-openssl-exception", "notice", "openssl", r"in addition, as a special exception, .{1,160}? gives? permission to link .{1,80}? with the openssl"),
+    ("lgpl", "notice", "you should have received a copy", r"you should have received a copy of the gnu (?:lesser|library) general public license"),
+    ("lgpl", "notice", "you can redistribute it", r"is free software[;:,] you can redistribute it and(?:/or)? modify it under the terms of the gnu (?:lesser|library) general public"),
+    ("lgpl-2.1", "notice", "successor of the gnu library", r"this is the first released version of the lesser gpl\. it also counts as the successor of the gnu library public license"),
+    ("lgpl-3.0", "notice", "additional permissions listed below", r"incorporates the terms and conditions of version 3 of the gnu general public license, supplemented by the additional permissions listed below"),
+    ("agpl", "notice", "you should have received a copy", r"you should have received a copy of the gnu affero general public license"),
+    ("agpl-3.0", "notice", "remote network interaction", r"remote network interaction; use with the gnu general public license"),
+    ("gfdl", "notice", "free documentation", r"permission is granted to copy, distribute and(?:/or)? modify this document under the terms of the gnu free documentation license"),
+    ("gfdl", "notice", "invariant sections", r"with no invariant sections,? (?:with )?no front-cover texts,? and (?:with )?no back-cover texts"),
+    ("mpl-2.0", "notice", "source code form", r"this source code form is subject to the terms of the mozilla public license"),
+    ("mpl-2.0", "notice", "incompatible with secondary", r"this source code form is .{0,2}incompatible with secondary licenses"),
+    ("mpl-1.1", "notice", "contents of this file are subject", r"the contents of this file are subject to the mozilla public license version 1\.1"),
+    ("mpl-1.0", "notice", "contents of this file are subject", r"the contents of this file are subject to the mozilla public license version 1\.0"),
+    ("npl", "notice", "contents of this file are subject", r"the contents of this file are subject to the netscape public license"),
+    ("cddl", "notice", "contents of this file are subject", r"the contents of this file are subject to the terms of the common development and distribution license"),
+    ("epl-1.0", "notice", "accompanying materials", r"this program and the accompanying materials are made available under the terms of the eclipse public license v1\.0"),
+    ("epl-2.0", "notice", "accompanying materials", r"this program and the accompanying materials are made available under the terms of the eclipse public license (?:v )?2\.0"),
+    ("cpl", "notice", "accompanying program", r"the accompanying program is provided under the terms of this common public license"),
+    ("ipl-1.0", "notice", "accompanying program", r"the accompanying program is provided under the terms of this ibm public license"),
+    ("eupl", "notice", "licensed under the eupl", r"licensed under the eupl"),
+    ("artistic", "notice", "intent of this document", r"the intent of this document is to state the conditions under which a package may be copied"),
+    ("artistic-2.0", "notice", "free software package", r"this license establishes the terms under which a given free software package may be copied, modified, distributed,? and(?:/or)? redistributed"),
+    ("perl", "notice", "same terms as perl", r"(?:under|on) the same terms as perl(?: itself)?"),
+    ("ruby", "notice", "same terms as ruby", r"(?:under|on) the same terms as ruby"),
+    ("python", "notice", "license agreement is between", r"this license agreement is between the python software foundation"),
+    ("psf-2.0", "notice", "psf hereby", r"psf hereby grants licensee a nonexclusive, royalty-free, world-wide license"),
+    ("cnri-python", "notice", "cnri", r"cnri hereby grants licensee a nonexclusive, royalty-free, world-?wide license"),
+    ("zlib", "notice", "as-is|as is", r"this software is provided .{0,2}as-is.{0,2}, without any express or implied warranty"),
+    ("zlib", "notice", "origin of this software", r"the origin of this software must not be misrepresented; you must not claim that you wrote the original software"),
+    ("libpng", "notice", "png reference library", r"the png reference library is supplied .{0,2}as is"),
+    ("bsl-1.0", "notice", "machine-executable object code", r"unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor"),
+    ("bsl-1.0", "notice", "obtaining a copy of the software and accompanying", r"obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("unlicense", "notice", "anyone is free to copy", r"anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form"),
+    ("unlicense", "notice", "author or authors", r"the author or authors of this software dedicate any and all copyright interest in the software to the public domain"),
+    ("cc0-1.0", "notice", "affirmer", r"affirmer hereby overtly, fully, permanently, irrevocably and unconditionally waives, abandons, and surrenders"),
+    ("cc0-1.0", "notice", "related or neighboring", r"has waived all copyright and related or neighboring rights to"),
+    ("cc-by", "notice", "licensed under a creative commons|under a creative commons", r"(?:licensed|available|released) under a creative commons attribution"),
+    ("public-domain", "notice", "public domain", r"this (?:file|software|code|work|program) is (?:hereby )?(?:in|placed in|released into) the public domain"),
+    ("public-domain", "notice", "no copyright", r"no copyright is claimed|no copyright protection is asserted"),
+    ("wtfpl", "notice", "everyone is permitted", r"everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed"),
+    ("gpl", "notice", "everyone is permitted", r"everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed"),
+    ("beerware", "notice", "retain this notice", r"as long as you retain this notice you can do whatever you want with this stuff"),
+    ("openssl", "notice", "openssl toolkit", r"this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("ssleay", "notice", "cryptographic software", r"this product includes cryptographic software written by eric young"),
+    ("ofl-1.1", "notice", "font software", r"this font software is licensed under the sil open font license"),
+    ("ofl", "notice", "reserved font name", r"with reserved font name"),
+    ("postgresql", "notice", "in no event shall the", r"in no event shall the university of california be liable to any party for direct, indirect, special, incidental, or consequential damages"),
+    ("ntp", "notice", "permission to use", r"permission to use, copy, modify, and distribute this software and its documentation for any purpose with or without fee is hereby granted, provided that the above copyright notice appears in all copies"),
+    ("ncsa", "notice", "with the software without restriction", r"to deal with the software without restriction, including without limitation the rights"),
+    ("w3c", "notice", "by obtaining", r"by obtaining,? (?:using )?(?:and(?:/or)? copying )?this work, you \(the licensee\) agree"),
+    ("vim", "notice", "vim", r"you can distribute unmodified copies of vim"),
+    ("ftl", "notice", "freetype", r"portions of this software are copyright .{0,20}the freetype project"),
+    ("curl", "notice", "permission to use", r"permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies\. the software is provided .{0,2}as is.{0,2}, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement of third party rights"),
+    ("unicode", "notice", "data files", r"to any person obtaining a copy of the unicode data files"),
+    ("ms-pl", "notice", "if you use the software, you accept", r"this license governs use of the accompanying software\. if you use the software, you accept this license"),
+    ("sspl-1.0", "notice", "offering the program as a service", r"offering the program as a service"),
+    ("busl-1.1", "notice", "change date|additional use grant", r"(?:change date|additional use grant) ?:"),
+    ("elastic-2.0", "notice", "hosted or managed service", r"you may not provide the software to third parties as a hosted or managed service"),
+    ("commons-clause", "notice", "grant of rights", r"the grant of rights under the license will not include, and the license does not grant to you, the right to sell the software"),
+    ("polyform", "notice", "polyform", r"polyform (?:noncommercial|small business|shield|strict|free trial|internal use|perimeter) license"),
+    ("json", "notice", "good, not evil", r"the software shall be used for good, not evil"),
+    ("tcl", "notice", "hereby grant permission to use", r"the authors hereby grant permission to use, copy, modify, distribute, and license this software and its documentation"),
+    ("info-zip", "notice", "info-zip", r"info-zip license"),
+    ("bzip2", "notice", "bzip2", r"bzip2 license|this program, bzip2, the associated library libbzip2"),
+    ("sleepycat", "notice", "redistributions in any form", r"redistributions in any form must be accompanied by information on how to obtain complete source code"),
+    ("qpl-1.0", "notice", "qt", r"this file is part of the qt .{0,40}may be distributed under the terms of the q public license"),
+    ("zpl", "notice", "zope", r"zope corporation and contributors"),
+    ("lppl", "notice", "latex project", r"this work may be distributed and(?:/or)? modified under the conditions of the latex project public license"),
+    ("cecill", "notice", "cecill", r"ce logiciel est r[eé]gi par la licence cecill|this software is governed by the cecill"),
+    ("openrail", "notice", "use-based restrictions", r"use-based restrictions"),
+    ("llama", "notice", "llama", r"llama ?[0-9.]* is licensed under the llama"),
+    ("gemma", "notice", "gemma", r"gemma terms of use"),
+    ("proprietary", "notice", "confidential", r"(?:this (?:file|software|document) (?:is|contains) )?(?:proprietary and confidential|confidential and proprietary)"),
+    ("proprietary", "notice", "unauthorized copying", r"unauthorized copying of this (?:file|software|document),? via any medium,? is strictly prohibited"),
+    ("proprietary", "notice", "not open source|no license is granted", r"(?:this software is not open source|no license is granted)"),
+]
+RULES = tuple(Rule(*x) for x in _LISTED + _NOTICES)
 
 #: What can stand between two words of a text that is broken over lines: white space, then comment marks too.
 _GAP = r"\s(?:[\s*#/;%>!]|--)*"
@@ -203,20 +317,24 @@ class Scanner:
         self.compiled: list[re.Pattern[str] | None] = [None] * len(rules)
         by: dict[str, list[int]] = defaultdict(list)
         for i, r in enumerate(rules):
-            by[r.keyword].append(i)
+            for k in r.keyword.split("|"):
+                by[k].append(i)
         self.by = dict(by)
         self.gate = ahocorasick.Automaton()
         for k in self.by:
             self.gate.add_word(k, k)
         self.gate.make_automaton()
 
+    def places(self, i: int, text: str) -> list[tuple[int, int]]:
+        """Where rule i matches, with no regard to its keyword."""
+        self.compiled[i] = self.compiled[i] or re.compile(wrapped(self.rules[i].pattern), re.DOTALL)
+        return [m.span() for m in self.compiled[i].finditer(text)]
+
     def detect(self, text: str) -> list[tuple[int, int, Rule]]:
         """(start, end, rule) of the detections that are left, by place; text is lower case."""
         found = []
-        for keyword in {k for _, k in self.gate.iter(_joined(text))}:
-            for i in self.by[keyword]:
-                pattern = self.compiled[i] = self.compiled[i] or re.compile(wrapped(self.rules[i].pattern), re.DOTALL)
-                found += [(FORMS[self.rules[i].form][0], m.start() - m.end(), m.start(), m.end(), i) for m in pattern.finditer(text)]
+        for i in sorted({i for _, k in self.gate.iter(_joined(text)) for i in self.by[k]}):
+            found += [(FORMS[self.rules[i].form][0], a - b, a, b, i) for a, b in self.places(i, text)]
         left: list[tuple[int, int, int]] = []
         longest = 0
         for _, _, a, b, i in sorted(found):

@@ -1,17 +1,19 @@
 """The corpus pipeline: quality rules, near-dedup, decontamination, mixing, sharding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
-documents. run() hands each stage's rows on as Parquet in the shared checkpoint folder.
+documents. run() hands each stage's rows on as Parquet in the shared checkpoint folder, and deletes what a stage has read once its own rows are written.
+
+Defined cases: a null text is an empty one, which the first stage rejects; a null doc_id is a key of its own, and rows without one, or with one that other rows have, are each judged
+and packed for themselves; a null source is a source; of equal texts the row with the least doc_id stays; an empty table gives empty tables and an empty result; a text of any length is
+worked on whole; extra columns pass to the mix untouched, and the last stage reads the key, source and text alone.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codonspark.llm.common import read_table, shared_dir, staged
+from codonspark.llm.common import read_table, removed, shared_path, staged
 from codonspark.llm.decontaminate import decontaminate
 from codonspark.llm.mixing import mixed_documents
 from codonspark.llm.quality import quality_filter
@@ -65,10 +67,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared_dir(spark)
-    base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
-        docs = spark.read.parquet(f"{base}/{name}")
+        path = shared_path(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            removed(spark, before)
+        before = path
     return docs
