@@ -45,14 +45,14 @@ def posterior_quantiles(trace: DataFrame, keys: list[str], value: str = "value",
 
     A key is sorted in one task; split, for few keys of many rows, deals each key over tasks by ranges of its values.
     """
-    rows, key = trace.select(*keys, F.col(value).alias("v")), W.partitionBy(*keys)
+    rows, key = trace.select(*keys, F.col(value).alias("__v")), W.partitionBy(*keys)
     if split:
-        counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-        ranks = running(rows, ["v"], keys=keys).withColumn("k", F.col("__rank") - 1)
-        ranked = ranks.join(counts.withColumnsRenamed({k: f"__{k}" for k in keys}), reduce(and_, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]))
+        counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).withColumnsRenamed({k: f"__key_{k}" for k in keys})
+        ranks = running(rows, ["__v"], keys=keys).withColumn("__k", F.col("__rank") - 1)
+        ranked = ranks.join(counts, reduce(and_, [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys]))
     else:
-        ranked = rows.select(*keys, "v", (F.row_number().over(key.orderBy("v")) - 1).alias("k"), F.count(F.lit(1)).over(key).alias("n"))
-    at = lambda q: F.max(F.when(F.col("k") == F.floor(F.lit(q) * F.col("n")), F.col("v")))
+        ranked = rows.select(*keys, "__v", (F.row_number().over(key.orderBy("__v")) - 1).alias("__k"), F.count(F.lit(1)).over(key).alias("__n"))
+    at = lambda q: F.max(F.when(F.col("__k") == F.floor(F.lit(q) * F.col("__n")), F.col("__v")))
     return ranked.groupBy(*keys).agg(*[at(q).alias(f"q{i}") for i, q in enumerate(qs)])
 
 

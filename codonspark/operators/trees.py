@@ -26,15 +26,15 @@ def closure(nodes: DataFrame) -> DataFrame:
     while k <= deepest:
         if k > 4:
             out, leap = checkpointed(out), checkpointed(leap)
-        below = leap.select("tree", F.col("descendant").alias("__d"), F.col("ancestor").alias("__a"), F.col("steps").alias("__s"), F.col("distance").alias("__x"))
+        below = leap.select(F.col("tree").alias("__t"), F.col("descendant").alias("__d"), F.col("ancestor").alias("__a"), F.col("steps").alias("__s"), F.col("distance").alias("__x"))
 
         def onward(df: DataFrame) -> DataFrame:
             """Pairs of df continued upwards by a leap."""
-            joined = df.join(below, (df["tree"] == below["tree"]) & (df["ancestor"] == below["__d"]))
-            return joined.select(df["tree"], F.col("__a").alias("ancestor"), "descendant", (F.col("steps") + F.col("__s")).alias("steps"), (F.col("distance") + F.col("__x")).alias("distance"))
+            joined = df.join(below, (F.col("tree") == F.col("__t")) & (F.col("ancestor") == F.col("__d")))
+            return joined.select("tree", F.col("__a").alias("ancestor"), "descendant", (F.col("steps") + F.col("__s")).alias("steps"), (F.col("distance") + F.col("__x")).alias("distance"))
 
         out, leap, k = out.union(onward(out)), onward(leap), 2 * k
-    return out
+    return checkpointed(out)  # what uses a closure reads it several times
 
 
 def tree_summary(nodes: DataFrame, below: DataFrame) -> DataFrame:

@@ -28,13 +28,18 @@ def rounded(df: DataFrame) -> DataFrame:
 def query(names: str, sql: str | None = None) -> Callable[[Callable[..., DataFrame]], None]:
     """Register a function of the named tables; sql reads the same tables and `needs` beside them."""
 
-    def put(f: Callable[..., DataFrame]) -> None:
+    def named(f: Callable[..., DataFrame]) -> None:
         own, _, more = names.partition("|")
         _QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(*[table(spark, sf_dir, n) for n in own.split()]))
         if sql:
             _SQL[f.__name__] = oracle(f"{own} {more}", sql)
 
-    return put
+    return named
+
+
+def put(f: Query, sql: str) -> None:
+    """Register a function of the session and the folder with its SQL over the given tables."""
+    _QUERIES[f.__name__], _SQL[f.__name__] = f, sql
 
 
 def coded(bases: DataFrame) -> DataFrame:

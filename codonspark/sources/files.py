@@ -193,7 +193,7 @@ def newick_text(nodes: DataFrame, node_value: str | None = None, branch: str = "
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         rows = group.astype(object).where(group.notna(), None).to_dict("records")
-        return pd.DataFrame({"tree": [group["tree"].iloc[0]], "newick": [parsers.write_newick(rows, node_value, branch, value_only)]})
+        return pd.DataFrame({"tree": [str(group["tree"].iloc[0])], "newick": [parsers.write_newick(rows, node_value, branch, value_only)]})
 
     return nodes.groupBy("tree").applyInPandas(run, "tree string, newick string")
 

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from codonspark.plans import catalog
+from codonspark.plans import catalog, more  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
