@@ -11,14 +11,15 @@ of DEPTH + 1 bytes of each block and deal them by the last `KEPT` bytes of the c
 task. There every node of depths KEPT to DEPTH is counted exactly and mixed bottom up, and what a window takes from them is kept with it.
 Only the nodes of fewer bytes, at most 2^24 whatever the corpus, are added up over tasks and broadcast. Scores of windows go back
 to their blocks, each window once for a block. All nodes of all texts count, none shares counts with another, and
-a context that was never seen takes no part. Choices sum to one, so the score is a probability.
+a context that was never seen takes no part. Choices sum to one, so the score is a probability; of a choice under 10^-9 that is kept instead, and what deep nodes give and scores of windows
+are kept in single precision, a relative error of 10^-7.
 
 The base score needs the count of each word. Words are joined by word: a task sends each distinct word of
 a block of documents once, so a common word has as many rows as there are blocks.
 
 Defined cases: null, empty and blank texts are the end alone; a null doc_id counts as the empty string for held_out; repeated
 rows count and are scored each for itself; without training rows N is 0 and every choice is even;
-an empty table gives an empty result; extra columns are not read.
+a text of any length is one line of a block, whose windows are taken in runs of `_PIECE` bytes; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -240,6 +241,21 @@ def _pieces(lines: list[bytes]) -> Iterator[tuple[int, int]]:
         at = to
 
 
+def _runs(lines: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first line, line after the last, windows, first window of each line) of runs of lines; a line of more than a run's size comes in several, with the bytes before each as its context."""
+    for at, to in _pieces(lines):
+        if to - at > 1 or len(lines[at]) <= 2 * _PIECE:
+            yield at, to, *_windows(lines[at:to])
+            continue
+        data = np.frombuffer(_END * DEPTH + lines[at] + _END, dtype=np.uint8)
+        for a in range(0, len(lines[at]) + 1, _PIECE):
+            own = data[a : a + _PIECE + DEPTH].astype(np.uint64)
+            windows = np.zeros(len(own) - DEPTH, dtype=np.uint64)
+            for i in range(DEPTH + 1):
+                windows |= own[DEPTH - i : len(own) - i] << np.uint64(8 * i)
+            yield at, to, windows, np.zeros(1, dtype=np.int64)
+
+
 def _blocks(rows: DataFrame, block_bytes: int) -> DataFrame:
     """(block, data): blocks of (key, held, line, n_words), written to the shared folder once, so that all passes see the same blocks."""
 
@@ -267,10 +283,9 @@ def _window_scores(blocks: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, own in _opened(batches):
             lines, trained, found = own["line"].to_pylist(), ~own["held"].to_numpy(), []
-            for at, to in _pieces(lines):
-                windows, _ = _windows(lines[at:to])
+            for at, to, windows, first in _runs(lines):
                 u, place = np.unique(windows, return_inverse=True)
-                found.append((u, np.bincount(place, np.repeat(trained[at:to], [len(x) + 1 for x in lines[at:to]]), minlength=len(u))))
+                found.append((u, np.bincount(place, np.repeat(trained[at:to], np.diff(first, append=len(windows))), minlength=len(u))))
             u, place = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
             n = np.bincount(place, np.concatenate([n for _, n in found]), minlength=len(u)).astype(np.int64)
             for i in range(0, len(u), 1 << 17):
@@ -380,13 +395,11 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", block_
         windows = np.frombuffer(b"".join(packed["windows"].to_pylist()), dtype=np.uint64)
         order = np.argsort(windows)
         windows, value = windows[order], np.frombuffer(b"".join(packed["scores"].to_pylist()), dtype=np.float32)[order].astype(np.float64)
-        score = []
-        for a, b in _pieces(lines):
-            found, first = _windows(lines[a:b])
+        score = np.zeros(size)
+        for a, b, found, first in _runs(lines):
             place, distinct = pd.factorize(found)
             at = np.searchsorted(windows, distinct)
-            score.append(np.add.reduceat(value[at][place], first))
-        score = np.concatenate(score)
+            score[a:b] += np.add.reduceat(value[at][place], first)
         return pa.table(
             {
                 "key": own["key"],

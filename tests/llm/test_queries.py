@@ -201,6 +201,18 @@ def test_op4(spark, tmp_path):
             assert r["base_score"] == pytest.approx(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w)) and r["score"] == pytest.approx(brute_score(line(t), *trees), rel=1e-6)
 
 
+def test_op4_long_text():
+    """The windows of a text that comes in several runs are those of the whole."""
+    import numpy as np
+
+    draw = random.Random(4)
+    lines = [b"short", bytes(draw.choice(b"abc d") for _ in range(5 * ctw._PIECE // 2)), b"", b"end"]
+    want, first = ctw._windows(lines)
+    got = [(a, b, w) for a, b, w, _ in ctw._runs(lines)]
+    assert len(got) > 2 and np.array_equal(np.concatenate([w for *_, w in got]), want)
+    assert sum(len(w) for a, b, w in got if (a, b) == (1, 2)) == len(lines[1]) + 1
+
+
 def test_op5(spark, folder, rows):
     import tiktoken
 
