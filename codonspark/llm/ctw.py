@@ -368,10 +368,11 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", block_
             lines, trained = own["line"].to_pylist(), ~own["held"].to_numpy()
             flat = _split(lines).dictionary_encode()
             n = np.bincount(flat.indices.to_numpy(), np.repeat(trained, own["n_words"].to_numpy()), minlength=len(flat.dictionary)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), block)), flat.dictionary, pa.array(n)], names=["block", "word", "n"])
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.nulls(1, pa.string()), pa.array([int(trained.sum())])], names=["block", "word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), block)), flat.dictionary, pa.array(np.arange(len(n), dtype=np.int32)), pa.array(n)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.nulls(1, pa.string()), pa.nulls(1, pa.int32()), pa.array([int(trained.sum())])], names=names)
 
-    sent = blocks.mapInArrow(spread, "block long, word string, n long")
+    names = ["block", "word", "place", "n"]
+    sent = blocks.mapInArrow(spread, "block long, word string, place int, n long")
     counted = staged(sent.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"))
     n, v = counted.agg(F.sum("c"), F.count(F.lit(1))).first()
     n, ends_known = n or 0, counted.where("word IS NULL").agg(F.sum("c")).first()[0] or 0
@@ -380,14 +381,14 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", block_
     def gather(group: pa.Table) -> pa.Table:
         own = pa.ipc.open_stream(group.filter(group["data"].is_valid())["data"][0].as_py()).read_all()
         lines = own["line"].to_pylist()
-        words = group.filter(group["word"].is_valid()).select(["word", "c"]).combine_chunks()
+        words = group.filter(group["places"].is_valid())
         total = own["n_words"].to_numpy().astype(np.int64)
         size, known, base = len(total), np.zeros(len(total), dtype=np.int64), np.zeros(len(total))
-        flat = _split(lines)
+        flat = _split(lines).dictionary_encode()
         if words.num_rows and len(flat):
-            value = words["word"].combine_chunks()
-            at = pa.compute.fill_null(pa.compute.index_in(flat, value_set=value), -1).to_numpy()
-            c = np.append(words["c"].to_numpy(), 0)[at]
+            counts = np.zeros(len(flat.dictionary), dtype=np.int64)
+            counts[np.frombuffer(b"".join(words["places"].to_pylist()), dtype=np.int32)] = np.frombuffer(b"".join(words["counts"].to_pylist()), dtype=np.int64)
+            c = counts[flat.indices.to_numpy()]
             doc = np.repeat(np.arange(size), total)
             known = np.bincount(doc[c > 0], minlength=size).astype(np.int64)
             base = np.bincount(doc, np.log10(c + 1.0), minlength=size)
@@ -413,12 +414,35 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", block_
             }
         )
 
-    none = {c: F.lit(None).cast(k) for c, k in (("data", "binary"), ("word", "string"), ("c", "long"), ("windows", "binary"), ("scores", "binary"))}
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts of words by block, in arrays: a word is named by its place among its block's words."""
+
+        def done(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            block, place, c = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(3))
+            order = np.argsort(block, kind="stable")
+            ids, first = np.unique(block[order], return_index=True)
+            cuts = [*first.tolist(), len(order)]
+            packed = [pa.array([v[order][a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()) for v in (place, c)]
+            return pa.RecordBatch.from_arrays([pa.array(ids), *packed], names=["block", "places", "counts"])
+
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+            if size >= 500_000:
+                yield done(held)
+                held, size = [], 0
+        if size:
+            yield done(held)
+
+    none = {c: F.lit(None).cast("binary") for c in ("data", "places", "counts", "windows", "scores")}
 
     def parts(df: DataFrame) -> DataFrame:
         return df.select("block", *[c if c in df.columns else x.alias(c) for c, x in none.items()])
 
-    found = parts(sent.select("block", "word").join(counted, "word")).union(parts(scored)).union(parts(blocks))
+    words = sent.select("block", "word", "place").join(counted, "word").select("block", "place", "c").mapInArrow(pack, "block long, places binary, counts binary")
+    found = parts(words).union(parts(scored)).union(parts(blocks))
     schema = f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     return found.groupBy("block").applyInArrow(gather, schema).withColumnRenamed("key", key)
 
