@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, read_table, running, spaced_words
+from .common import checkpointed, read_table, running, spaced_words, staged
 
 BLOCK_BYTES = 8 << 20
 #: Windows that a bucket is sized for.
@@ -256,7 +256,7 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min_w
     rows, answers = blocks.withColumn("answers", F.lit(None).cast("array<struct<level:int,bucket:long,n:long,bits:binary>>")), None
     for k in range(len(steps)):
         asked = _ask(rows, steps[: k + 1], buckets)
-        given = checkpointed(asked.groupBy("bucket").applyInPandas(_answer(steps[k][1], k), "block long, level int, bucket long, n long, bits binary"))
+        given = staged(asked.groupBy("bucket").applyInPandas(_answer(steps[k][1], k), "block long, level int, bucket long, n long, bits binary"))
         answers = given if answers is None else answers.union(given)
         rows = blocks.join(answers.groupBy("block").agg(F.collect_list(F.struct("level", "bucket", "n", "bits")).alias("answers")), "block", "left")
 
