@@ -16,6 +16,7 @@ import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from random import Random
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -103,15 +104,17 @@ BASE_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_wo
 
 def _sampled(docs: DataFrame, rows: int, seed: int, files: int = 8) -> DataFrame:
     """About `rows` rows, of some files drawn at random where docs is read from files, so that no other file is opened."""
+    few = docs
     try:
-        named = docs.inputFiles()
-        if len(named) > files:
-            docs = docs.where(F.col("_metadata.file_path").isin(Random(seed).sample(sorted(named), files)))
-            docs.schema  # noqa: B018 - docs that hide their files fail here
-    except AnalysisException:
+        names = sorted({unquote(f.rsplit("/", 1)[-1]) for f in docs.inputFiles()})
+        if len(names) > files:
+            few = docs.where(F.col("_metadata.file_name").isin(Random(seed).sample(names, files)))
+    except AnalysisException:  # docs that hide which file a row is from
         pass
-    n = docs.count()
-    return docs.sample(fraction=min(1.0, rows / max(1, n)), seed=seed) if n > rows else docs
+    n = few.count()
+    if not n:
+        few, n = docs, docs.count()
+    return few.sample(fraction=min(1.0, rows / max(1, n)), seed=seed) if n > rows else few
 
 
 def order_rules(
@@ -122,7 +125,7 @@ def order_rules(
     What is timed is the rule as the cascade runs it: over words, and counts named by `given`, that are there already; the least of `repeats`
     runs, less that of a job without a rule. The sample fixes the order alone, never a verdict.
     """
-    sample = _sampled(docs.select(*docs.columns), sample_rows, seed).select(F.col(text).alias("text"))
+    sample = _sampled(docs, sample_rows, seed).select(F.col(text).alias("text"))
     sample = sample.withColumn("words", words_of(F.col("text")))
     counts = text_stats(F.col("text"), F.col("words"))
     sample = sample.withColumns({c: counts[c] for c in given}).persist()

@@ -411,3 +411,14 @@ def test_quality_long_word(spark):
     """One word of a million letters takes no longer than its length."""
     docs = spark.createDataFrame([(1, "x" * 1_000_000), (2, "a b c " * 3)], "doc_id long, text string")
     assert [r["n_repeat_words"] for r in quality.quality_report(docs).orderBy("doc_id").collect()] == [0, 9]
+
+
+def test_quality_sample_of_files(spark, tmp_path):
+    """Of many files some are opened, and rows of those come out."""
+    from pyspark.sql import functions as F
+
+    spark.range(1200).repartition(12).selectExpr("id AS doc_id", "concat('word ', id) AS text").write.parquet(f"{tmp_path}/many")
+    docs = spark.read.parquet(f"{tmp_path}/many")
+    found = quality._sampled(docs, 100, 7)
+    assert len(docs.inputFiles()) == 12 and 40 < found.count() < 200 and found.select(F.input_file_name()).distinct().count() <= 8
+    assert quality._sampled(docs.where("false"), 100, 7).count() == 0 and quality._sampled(docs, 5000, 7).count() == 800
