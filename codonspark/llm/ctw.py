@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import freed_shuffles, read_table, slices, spaced_words, staged
 
-DEPTH = 7
+DEPTH = 5
 #: Bytes of the context by which windows are dealt; nodes of fewer bytes are broadcast.
 KEPT = 3
 BLOCK_BYTES = 12 << 20
