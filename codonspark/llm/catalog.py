@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ctw, decontaminate, language, licenses, mixing, quality, sharding, simhash, substrings, tokens
+from . import ctw, decontaminate, language, licenses, merkle, mixing, periods, quality, sharding, simhash, substrings, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jump_sharding": sharding.op8_jump_sharding,
         "op9_simhash_anchors": simhash.op9_simhash_anchors,
         "op10_license_rules": licenses.op10_license_rules,
+        "op11_periodic_runs": periods.op11_periodic_runs,
+        "op12_merkle_manifest": merkle.op12_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.OP1_SQL, "op2_wu_manber": decontaminate.OP2_SQL, "op6_substring_doubling": substrings.OP6_SQL}
+    return {"op1_quality_rules": quality.OP1_SQL, "op2_wu_manber": decontaminate.OP2_SQL, "op6_substring_doubling": substrings.OP6_SQL, "op11_periodic_runs": periods.OP11_SQL, "op12_merkle_manifest": merkle.OP12_SQL}
