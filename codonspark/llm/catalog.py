@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ctw, decontaminate, language, licenses, merkle, mixing, periods, quality, sharding, simhash, substrings, tokens
+from . import ctw, decontaminate, language, licenses, merkle, mixing, ngrams, periods, quality, sharding, simhash, substrings, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,8 +23,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_license_rules": licenses.op10_license_rules,
         "op11_periodic_runs": periods.op11_periodic_runs,
         "op12_merkle_manifest": merkle.op12_merkle_manifest,
+        "op13_ngram_join": ngrams.op13_ngram_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.OP1_SQL, "op2_wu_manber": decontaminate.OP2_SQL, "op6_substring_doubling": substrings.OP6_SQL, "op11_periodic_runs": periods.OP11_SQL, "op12_merkle_manifest": merkle.OP12_SQL}
+    return {"op1_quality_rules": quality.OP1_SQL, "op2_wu_manber": decontaminate.OP2_SQL, "op6_substring_doubling": substrings.OP6_SQL, "op11_periodic_runs": periods.OP11_SQL, "op12_merkle_manifest": merkle.OP12_SQL, "op13_ngram_join": ngrams.OP13_SQL}
