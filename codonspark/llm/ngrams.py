@@ -210,8 +210,8 @@ def _pairs(group: np.ndarray, n: np.ndarray, parity: np.ndarray, comp: np.ndarra
     return np.concatenate(left), np.concatenate(right)
 
 
-def _candidates(members: DataFrame, percent: int, small: int, group: int, whole: bool = False) -> DataFrame:
-    """(a, b, na, nb), distinct: sets a < b with their sizes, of members (gram, set, n, parity, comp)."""
+def _candidates(members: DataFrame, percent: int, small: int, whole: bool = False) -> DataFrame:
+    """(a, b, na, nb), distinct: sets a < b with their sizes, of members (gram, p, q, set, n, parity, comp)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(table: pa.Table) -> pa.RecordBatch:
@@ -242,19 +242,27 @@ def _candidates(members: DataFrame, percent: int, small: int, group: int, whole:
         if held:
             yield found(pa.concat_tables(held))
 
-    counts = members.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > group).select("gram", F.ceil(F.col("m") / group).alias("parts"))
-    spread = (
-        members.join(counts, "gram", "left")
-        .withColumn("parts", F.coalesce("parts", F.lit(1)))
-        .withColumn("own", F.pmod(F.xxhash64("set"), F.col("parts")))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        .select("gram", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "set.s", "set.t", "n", "parity", "comp")
-    )
-    dealt = spread.repartition("gram", "p", "q").sortWithinPartitions("gram", "p", "q", "n", "s", "t")
+    dealt = members.select("gram", "p", "q", "set.s", "set.t", "n", "parity", "comp").repartition("gram", "p", "q").sortWithinPartitions("gram", "p", "q", "n", "s", "t")
     pairs = dealt.mapInArrow(run, "sa long, ta long, sb long, tb long, na long, nb long").distinct()
     return pairs.select(F.struct(F.col("sa").alias("s"), F.col("ta").alias("t")).alias("a"), F.struct(F.col("sb").alias("s"), F.col("tb").alias("t")).alias("b"), "na", "nb")
 
 
+def _meetings(members: DataFrame, percent: int, group: int) -> DataFrame:
+    """(gram, p, q, set, many) of members (gram, set, n): sets meet under an n-gram and a class of sizes. Sets that may link are of one class or the next, so each goes to two;
+    what meets no other is left out, and of n-grams under which the same sets meet, told by their count and 128 bits, one is kept. More than `group` sets are cut into parts, and each pair of parts (p, q) is a group."""
+    size = F.floor(F.log("n") / float(np.log(100 / percent) * (1 + 1e-9)))
+    classed = members.withColumn("size", F.explode(F.array(size, size + 1))).select(F.xxhash64("gram", "size").alias("gram"), "set")
+    counts = classed.groupBy("gram").agg(F.count(F.lit(1)).alias("many"), F.bit_xor("set.s").alias("x"), F.bit_xor("set.t").alias("y")).where("many > 1")
+    counts = counts.groupBy("x", "y", "many").agg(F.min("gram").alias("gram"))
+    parts = F.ceil(F.col("many") / group)
+    return (
+        classed.join(counts, "gram")
+        .withColumn("own", F.pmod(F.xxhash64("set"), parts))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+        .select("gram", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "set", "many")
+    )
+
+
 def _segments(docs: DataFrame, needed: DataFrame, classes: object, before: np.ndarray, words: int, fragments: int) -> DataFrame:
     """(set, fragment, grams array<long>) of the needed sets (column set)."""
     spark, slots = docs.sparkSession, FILTER // 64
@@ -286,8 +294,10 @@ def _segments(docs: DataFrame, needed: DataFrame, classes: object, before: np.nd
     return found.join(needed, "set", "left_semi").groupBy("set", "fragment").agg(F.first("grams").alias("grams"))
 
 
-def _linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link: overlaps by fragment, summed."""
+def _linked(pairs: DataFrame, segments: DataFrame, percent: int, few: bool = False) -> DataFrame:
+    """The pairs (a, b) that link: overlaps by fragment, summed. Few pairs fetch their own segments alone."""
+    if few:
+        segments = segments.join(pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))).distinct(), "set", "left_semi")
     left = segments.select(F.col("set").alias("a"), "fragment", F.col("grams").alias("ga"))
     right = segments.select(F.col("set").alias("b"), "fragment", F.col("grams").alias("gb"))
     parts = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("part"))
@@ -314,34 +324,32 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
             order = np.lexsort((value, classes.value[(value >> np.uint64(42)).astype(np.int64)], row))
             first = np.arange(len(value)) - np.repeat(bounds[:-1], n) < np.repeat(n - -(-percent * n // 100) + 1, n)
             row, value = row[first], value[order][first]
-            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(s[row]), pa.array(t[row])], names=["gram", "s", "t"])
+            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(s[row]), pa.array(t[row]), pa.array(n[row])], names=["gram", "s", "t", "n"])
 
-    met = rows.select("text").mapInArrow(prefixes, "gram long, s long, t long")
+    met = rows.select("text").mapInArrow(prefixes, "gram long, s long, t long, n long")
     shared = met.groupBy("gram").agg(F.min("s").alias("low"), F.max("s").alias("high")).where("low <> high").select("gram")
     sets = staged(named.where("n > 0").groupBy("set").agg(F.min("key").alias("least"), F.first("n").alias("n"), F.first("parity").alias("parity")))
-    members = staged(met.join(shared, "gram").distinct().select("gram", F.struct("s", "t").alias("set")))
-    seen = members.join(sets.drop("least"), "set")
-    pairs = staged(_candidates(seen.withColumn("comp", F.xxhash64("set")), percent, small, group))
-    crowded = staged(members.join(members.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > small).select("gram"), "gram"))
+    members = met.join(shared, "gram").distinct().select("gram", F.struct("s", "t").alias("set"), "n")
+    meetings, known = staged(_meetings(members, percent, group)), sets.drop("least")
+    pairs = staged(_candidates(meetings.join(known, "set").withColumn("comp", F.xxhash64("set")), percent, small))
+    crowded = meetings.where(F.col("many") > small)
     needed = pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))).union(crowded.select("set")).distinct()
     longest = sets.agg(F.max("n")).first()[0] or 0
     segments = staged(_segments(rows, staged(needed), classes, before, words, max(4, -(-longest // SEGMENT))))
     links = staged(_linked(pairs, segments, percent))
     roots = components(links)
-    asked, whole = pairs, False
-    while not crowded.isEmpty():
-        comps = roots.withColumnsRenamed({"node": "set"})
-        open_ = crowded.join(comps, "set", "left").join(sets.drop("least"), "set").withColumn("comp", F.xxhash64(F.coalesce("root", "set")))
-        new = staged(_candidates(open_, percent, small, group, whole).join(asked.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "na", "nb"))
-        asked = asked.union(new)
-        more = staged(_linked(new, segments, percent))
-        found = not more.isEmpty()
+    asked, whole, done = pairs, False, crowded.isEmpty()
+    while not done:
+        open_ = crowded.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("comp", F.xxhash64(F.coalesce("root", "set"))).join(known, "set")
+        new = staged(_candidates(open_, percent, small, whole).join(asked.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "na", "nb"))
+        found = False
+        if not new.isEmpty():
+            asked, more = asked.union(new), staged(_linked(new, segments, percent, few=True))
+            found = not more.isEmpty()
         if found:
             links = links.union(more)
             roots = components(links)
-        if whole:
-            break
-        whole = not found
+        done, whole = whole, not found
     top = sets.join(roots.withColumnRenamed("node", "set"), "set", "left").select("set", "least", F.coalesce("root", "set").alias("root"))
     least = top.groupBy("root").agg(F.min("least").alias("component_id"))
     own = top.join(least, "root").select("set", "component_id")
