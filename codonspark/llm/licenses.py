@@ -48,7 +48,7 @@ def _gnu(short: str, keyword: str, name: str, versions: dict[str, str]) -> list[
         out += [
             (f"{label}-or-later", "tag", "spdx", rf"spdx-license-identifier:\s*{short}-{number}(?:-or-later|\+)"),
             (f"{label}-only", "tag", "spdx", rf"spdx-license-identifier:\s*{short}-{number}(?:-only)?(?![\w.+-])"),
-            (f"{label}-or-later", "notice", keyword, rf"(?:gnu )?{name}\W+(?:as published by the free software foundation\W+)?(?:either\W+)?(?:\(?the \W*license\W*\)?\W*)?(?:version|v\.?)\W*{number}\W+(?:of the license\W+)?or\W+\(?\s*(?:at your option\W+)?any later"),
+            (f"{label}-or-later", "notice", keyword, rf"(?:gnu )?{name}\W+(?:as published by the free software foundation\W+)?(?:either\W+)?(?:\(?the\W+license\W*)?(?:version|v\.?)\W*{number}\W+(?:of the license\W+)?or\W+(?:at your option\W+)?any later"),
             (label, "notice", keyword, rf"(?:gnu )?{name}\W{{0,4}}(?:version|v\.?|,)?\s*{number}(?![\w.]\d)"),
             (label, "address", "gnu.org", rf"gnu\.org/licenses/(?:old-licenses/)?{short}-{number}"),
             (label, "name", short.lower(), rf"\b(?:gnu )?{short}[ -]?v?{number}(?![.\d])"),
@@ -291,15 +291,16 @@ _NOTICES: list[tuple[str, str, str, str]] = [
 ]
 RULES = tuple(Rule(*x) for x in _LISTED + _NOTICES)
 
-#: What can stand between two words of a text that is broken over lines: white space, then comment marks too.
-_GAP = r"\s(?:[\s*#/;%>!]|--)*"
+#: What can stand between two words of a text that is broken over lines: white space, then comment marks too. Taken whole or not at all, so that a rule tries a gap once.
+_GAP = r"(?>\s(?:[\s*#/;%>!]|--)*)"
 #: Spaces for the keyword pass.
 _MARKS = str.maketrans(dict.fromkeys("*#/;%>!", " "))
 
 
 def wrapped(pattern: str) -> str:
     """The pattern with every space and short gap open to line breaks and comment marks."""
-    pattern = re.sub(r"\[ -\]([*?]?)", lambda m: "(?:" + _GAP + "|-)" + (m[1] and "*"), pattern)
+    pattern = re.sub(r"\[ -\]([*?]?)", lambda m: "(?:" + _GAP + "|-)" + m[1], pattern)
+    pattern = re.sub(r"(?<=\}\?) ", lambda m: r"(?<!\s)(?:" + _GAP.replace(" ", "") + ")", pattern)  # after any characters a gap is met at its start alone
     pattern = re.sub(r" (\??)", lambda m: "(?:" + _GAP + ")" + m[1], pattern)
     return re.sub(r"\\W\{0,\d\}", lambda m: m[0] + "(?:" + _GAP + ")?", pattern)
 
