@@ -250,7 +250,7 @@ def _candidates(members: DataFrame, percent: int, small: int, whole: bool = Fals
 def _meetings(members: DataFrame, percent: int, group: int) -> DataFrame:
     """(gram, p, q, set, many) of members (gram, set, n): sets meet under an n-gram and a class of sizes. Sets that may link are of one class or the next, so each goes to two;
     what meets no other is left out, and of n-grams under which the same sets meet, told by their count and 128 bits, one is kept. More than `group` sets are cut into parts, and each pair of parts (p, q) is a group."""
-    size = F.floor(F.log("n") / float(np.log(100 / percent) * (1 + 1e-9)))
+    size = F.floor(F.log("n") / float(max(np.log(100 / percent), 1e-9) * (1 + 1e-9)))
     classed = members.withColumn("size", F.explode(F.array(size, size + 1))).select(F.xxhash64("gram", "size").alias("gram"), "set")
     counts = classed.groupBy("gram").agg(F.count(F.lit(1)).alias("many"), F.bit_xor("set.s").alias("x"), F.bit_xor("set.t").alias("y")).where("many > 1")
     counts = counts.groupBy("x", "y", "many").agg(F.min("gram").alias("gram"))
