@@ -16,11 +16,14 @@ from pyspark.sql import functions as F
 from codonspark.llm.common import read_table, removed, shared_path, staged
 from codonspark.llm.decontaminate import decontaminate
 from codonspark.llm.mixing import mixed_documents
+from codonspark.llm.ngrams import jaccard_components
 from codonspark.llm.quality import quality_filter
 from codonspark.llm.sharding import shard
-from codonspark.llm.simhash import near_duplicates
+from codonspark.llm.simhash import components, near_duplicates
 
 SHARDS = 40
+#: Words of a shingle, and percent of Jaccard similarity, of near copies.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,12 +32,22 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group: that with the least doc_id, rows without one last, then the least text hash. Rows are named by an id of their own, so different texts under one doc_id or none are each judged for themselves."""
+    """One row of each group: that with the least doc_id, rows without one last, then the least text hash. Rows are named by an id of their own, so different texts under one doc_id or none are each judged for themselves.
+
+    Rows link whose SimHash fingerprints over five-word shingles differ in three bits at most, which joins large groups of copies at once, or whose sets of
+    five-word shingles have a Jaccard similarity of 0.8 or more, which the anchors of three bits can't reach and an exact join finds whole.
+    """
     named = staged(docs.withColumn("__row", F.monotonically_increasing_id()))
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64("text").alias("hash"), F.col("__row").alias("row"))
-    found = near_duplicates(named.select(order.alias("__id"), "text"), key="__id")
-    first = found.where("__id.row = component_id.row").select(F.col("__id.row").alias("__row"))
-    return named.join(first, "__row", "left_semi").select(*docs.columns)
+    keyed = named.select("__row", "text")
+    near = near_duplicates(keyed, key="__row", words=NEAR_WORDS).select("__row", "component_id")
+    alike = jaccard_components(keyed, key="__row", words=NEAR_WORDS, percent=NEAR_PERCENT).select("__row", "component_id")
+    roots = components(near.union(alike).select(F.col("__row").alias("a"), F.col("component_id").alias("b")))
+    members = roots.union(roots.select("root", "root").distinct())  # a root has no row of its own
+    placed = named.select("__row", order.alias("place")).join(members, F.col("__row") == F.col("node"))
+    first = placed.groupBy("root").agg(F.min("place").alias("first"))
+    gone = placed.join(first, "root").where("first.row <> __row").select("__row")
+    return named.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
