@@ -333,9 +333,9 @@ def test_jump_hash():
     assert counts.min() > 850 and counts.max() < 1150
 
 
-def brute_fingerprint(text):
+def brute_fingerprint(text, k=3):
     w = [x.encode() for x in spaced(text, True)]
-    shingles = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
+    shingles = [b" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))] if w else []
     count = [0] * 64
     for s in shingles:
         h = xxhash.xxh64_intdigest(s, 42)

@@ -4,11 +4,30 @@ import collections
 
 import pytest
 
-from .test_operators import SPACED, brute_fingerprint, brute_hits, components
+from .test_operators import SPACED, brute_fingerprint, brute_hits, lower
 
 SF = "/root/testdata/sf0.001"
 
 
+def shingles(text):
+    w = SPACED.findall(lower(text))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def near_components(texts):
+    """Least doc_id reachable by fingerprints within 3 bits or Jaccard similarity of 0.8, both over five words."""
+    prints, sets = {i: brute_fingerprint(t, 5) for i, t in texts.items()}, {i: shingles(t) for i, t in texts.items()}
+    least = {i: i for i in texts}
+    linked = [(a, b) for a in texts for b in texts if a < b and ((prints[a] ^ prints[b]).bit_count() <= 3 or (sets[a] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])))]
+    for _ in texts:
+        before = dict(least)
+        for a, b in linked:
+            least[a] = least[b] = min(least[a], least[b])
+        if before == least:
+            break
+    return least
+
+
 @pytest.fixture(scope="module")
 def steps(spark, tmp_path_factory):
     import corpus_pipeline
@@ -29,7 +48,7 @@ def test_stages(spark, steps):
         assert after.columns == columns, name
     _, before, after = steps[1]
     texts = {r["doc_id"]: r["text"] for r in before.collect()}
-    want = {i for i, c in components({i: brute_fingerprint(t) for i, t in texts.items()}).items() if i == c}
+    want = {i for i, c in near_components(texts).items() if i == c}
     assert {r["doc_id"] for r in after.collect()} == want
     items = [(r[0], r[1]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     _, before, after = steps[2]
