@@ -5,12 +5,15 @@ Long tables are (gene, taxon, site, state) or (gene, taxon, site, codon); missin
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codonspark.functions.codons import AMINO_ACIDS, NUCLEOTIDES, alphabet, codon_table, stop_codons
-from codonspark.functions.shared import running
+from codonspark.functions.shared import running, staged
 
 
 def detect_alphabet(wide: DataFrame) -> DataFrame:
@@ -169,11 +172,118 @@ def taxon_pairs(codons: DataFrame, block_sites: int = 256) -> DataFrame:
     return both.select("gene", "site", *[F.col(f"{v}.{c}").alias(f"{c}{k}") for v, k in (("x", 1), ("y", 2)) for c in ("taxon", "codon", "aa")])
 
 
-def pairwise_rates(codons: DataFrame) -> DataFrame:
-    """Per gene: mean share of differing codons over pairs of taxa, mean non-synonymous share over it over 2.5, and pairs with no shared codon, which the means leave out."""
-    pair = taxon_pairs(codons).groupBy("gene", "taxon1", "taxon2").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("codon1") != F.col("codon2")).alias("d"), F.count_if(F.col("aa1") != F.col("aa2")).alias("dn"))
-    mean = pair.groupBy("gene").agg(F.avg(F.col("d") / F.col("n")).alias("divergence"), F.avg(F.col("dn") / F.col("n")).alias("dn"), F.count(F.lit(1)).alias("n_pairs"))
-    taxa = codons.groupBy("gene").agg(F.count_distinct("taxon").alias("t"))
+#: Taxa of a block, rows of a gene's part, and sites or pairs of one product at least.
+BLOCK_TAXA, PART_ROWS, CHUNK_SITES, CHUNK_PAIRS = 512, 1 << 18, 8, 1 << 20
+
+
+def _gram(table: pa.Table) -> pa.Table:
+    """Counts of the pairs of taxa of two blocks, over the sites of a part: sites both know, those whose codons differ, those whose amino acids do.
+
+    Some sites at a time are an indicator matrix of the taxa that have them by the states they have there, whose product with itself is the counts; where it
+    would be sparse, its nonzero products are summed one by one.
+    """
+    names = pc.unique(table.column("taxon"))
+    names = names.take(pc.sort_indices(names))
+    taxon = pc.index_in(table.column("taxon"), value_set=names).to_numpy()
+    block = np.zeros(len(names), dtype=np.int64)
+    block[taxon] = table.column("own").to_numpy()
+    site = np.unique(table.column("site").to_numpy(), return_inverse=True)[1]
+    codon, aa = (pc.index_in(table.column(c), value_set=pc.unique(table.column(c))).to_numpy().astype(np.int64) for c in ("codon", "aa"))
+    order = np.argsort(site, kind="stable")
+    taxon, site, codon, aa = (x[order] for x in (taxon, site, codon, aa))
+    counts = np.zeros((3, len(names), len(names)), dtype=np.int64)
+    starts = np.searchsorted(site, np.arange(int(site.max()) + 2))
+    held = np.diff(starts)
+    whole = np.concatenate([[0], np.cumsum(held * (held - 1) // 2)])
+    first = 0
+    while first < len(held):
+        last = min(len(held), max(first + CHUNK_SITES, int(np.searchsorted(whole, whole[first] + CHUNK_PAIRS))))
+        own, n_pairs, first = slice(starts[first], starts[last]), int(whole[last] - whole[first]), last
+        here, row = np.unique(taxon[own], return_inverse=True)
+        states = (site[own], site[own] * 64 + codon[own], site[own] * 32 + aa[own])
+        if n_pairs < 2 * len(here) ** 2:  # sparse: few of the taxa meet at a site
+            follow = starts[site[own] + 1] - np.arange(own.start, own.stop) - 1
+            i = np.repeat(np.arange(len(row)), follow)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(follow) - follow, follow)
+            at = np.minimum(taxon[own][i], taxon[own][j]) * np.int64(len(names)) + np.maximum(taxon[own][i], taxon[own][j])
+            for k, state in enumerate(states):
+                counts[k] += np.bincount(at[state[i] == state[j]], minlength=len(names) ** 2).reshape(len(names), -1)
+            continue
+        for k, state in enumerate(states):
+            column = np.unique(state, return_inverse=True)[1]
+            known = np.zeros((len(here), int(column.max()) + 1), dtype=np.float32)
+            known[row, column] = 1
+            counts[k][np.ix_(here, here)] += (known @ known.T).astype(np.int64)
+    pairs = np.triu(counts[0] > 0, 1)
+    if table.column("p")[0].as_py() != table.column("q")[0].as_py():
+        pairs &= block[:, None] != block[None, :]
+    i, j = np.nonzero(pairs)
+    n, same, same_aa = (c[i, j] for c in counts)
+    one = {k: table.column(k)[:1] for k in ("gene", "p", "q")}
+    packed = {k: pa.array([v.astype(np.int32).tobytes()], pa.binary()) for k, v in (("i", i), ("j", j), ("n", n), ("d", n - same), ("dn", n - same_aa))}
+    return pa.table({**one, "names": pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names), **packed})
+
+
+def _summed(parts: pa.Table) -> tuple[pa.Array, list[np.ndarray]]:
+    """The taxa of two blocks, and (i, j, n, d, dn) of their pairs over all parts."""
+    lists = parts.column("names").combine_chunks()
+    names = pc.unique(lists.flatten())
+    names = names.take(pc.sort_indices(names))
+    total = np.zeros((3, len(names) ** 2), dtype=np.int64)
+    for k, row in enumerate(parts.select(["i", "j", "n", "d", "dn"]).to_pylist()):
+        at = pc.index_in(lists[k].values, value_set=names).to_numpy().astype(np.int64)
+        i, j, *values = (np.frombuffer(row[c], dtype=np.int32) for c in ("i", "j", "n", "d", "dn"))
+        place = at[i] * len(names) + at[j]
+        for t, v in zip(total, values, strict=True):
+            t[place] += v
+    place = np.nonzero(total[0])[0]
+    return names, [place // max(len(names), 1), place % max(len(names), 1), *total[:, place]]
+
+
+def _sizes(codons: DataFrame) -> DataFrame:
+    """(gene, t, m): taxa and known codons of each gene, written once, as a row for each gene is read twice."""
+    return staged(codons.groupBy("gene", "taxon").agg(F.count("codon").alias("m")).groupBy("gene").agg(F.count("taxon").alias("t"), F.sum("m").alias("m")))
+
+
+def _blocks(codons: DataFrame, size: DataFrame, block_taxa: int, part_rows: int) -> DataFrame:
+    """A row for each part and pair of blocks of taxa of a gene: its taxa and the counts of its pairs.
+
+    A gene's taxa go to blocks and its sites to parts; each pair of blocks is a group of a part, which counts its pairs by matrix products. No pair is ever a row
+    at a site. A group holds two blocks and a part, however large the gene. Each taxon has one codon at a site at most.
+    """
+    known = codons.where("codon IS NOT NULL").select("gene", "site", "taxon", "codon", "aa")
+    dealt = size.where("m > 0").select("gene", F.ceil(F.col("t") / block_taxa).alias("blocks"), F.ceil(F.col("m") / part_rows).alias("parts"))
+    rows = known.join(dealt, "gene").withColumn("own", F.pmod(F.xxhash64("taxon"), F.col("blocks"))).withColumn("part", F.pmod(F.xxhash64("site"), F.col("parts")))
+    groups = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("gene", "site", "taxon", "codon", "aa", "own", "part", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+    gene, taxon = (codons.schema[c].dataType.simpleString() for c in ("gene", "taxon"))
+    return groups.groupBy("gene", "part", "p", "q").applyInArrow(_gram, f"gene {gene}, p long, q long, names array<{taxon}>, i binary, j binary, n binary, d binary, dn binary")
+
+
+def pair_counts(codons: DataFrame, block_taxa: int = BLOCK_TAXA, part_rows: int = PART_ROWS) -> DataFrame:
+    """(gene, taxon1, taxon2, n, d, dn) of pairs of taxa that share a site: sites known in both, those whose codons differ, and whose amino acids do.
+    Only sums by pair of blocks are shuffled, packed, one row for each part of a gene."""
+
+    def run(parts: pa.Table) -> pa.Table:
+        names, (i, j, n, d, dn) = _summed(parts)
+        gene = parts.column("gene").combine_chunks().take(pa.array(np.zeros(len(i), dtype=np.int64)))
+        return pa.table({"gene": gene, "taxon1": names.take(pa.array(i)), "taxon2": names.take(pa.array(j)), "n": n, "d": d, "dn": dn})
+
+    gene, taxon = (codons.schema[c].dataType.simpleString() for c in ("gene", "taxon"))
+    return _blocks(codons, _sizes(codons), block_taxa, part_rows).groupBy("gene", "p", "q").applyInArrow(run, f"gene {gene}, taxon1 {taxon}, taxon2 {taxon}, n long, d long, dn long")
+
+
+def pairwise_rates(codons: DataFrame, block_taxa: int = BLOCK_TAXA, part_rows: int = PART_ROWS) -> DataFrame:
+    """Per gene: mean share of differing codons over pairs of taxa, mean non-synonymous share over it over 2.5, and pairs with no shared codon, which the means leave out.
+    Pairs are summed in the task that has their blocks, and never leave it."""
+
+    def run(parts: pa.Table) -> pa.Table:
+        _, (_, _, n, d, dn) = _summed(parts)
+        return pa.table({"gene": parts.column("gene")[:1], "pairs": [len(n)], "d": [float((d / n).sum())], "dn": [float((dn / n).sum())]})
+
+    taxa = _sizes(codons)
+    sums = _blocks(codons, taxa, block_taxa, part_rows).groupBy("gene", "p", "q").applyInArrow(run, f"gene {codons.schema['gene'].dataType.simpleString()}, pairs long, d double, dn double")
+    total = sums.groupBy("gene").agg(F.sum("pairs").alias("n_pairs"), F.sum("d").alias("d"), F.sum("dn").alias("dn"))
+    mean = total.where("n_pairs > 0").select("gene", "n_pairs", (F.col("d") / F.col("n_pairs")).alias("divergence"), (F.col("dn") / F.col("n_pairs")).alias("dn"))
     return taxa.join(mean, "gene", "left").select(
         "gene", "divergence", (F.col("dn") / F.col("divergence") / 2.5).alias("dnds"), ((F.col("t") * (F.col("t") - 1) / 2).cast("long") - F.coalesce("n_pairs", F.lit(0))).alias("n_unshared")
     )

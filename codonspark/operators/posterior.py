@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codonspark.functions.shared import running
+from codonspark.operators.alignment import aa_diversity, pairwise_rates
 
 QUANTILES = (0.025, 0.5, 0.975)
 
@@ -253,6 +254,13 @@ def predictive_statistics(codons: DataFrame, rep: str = "rep") -> DataFrame:
     return g.select(rep, F.expr("stack(3, 'div', div, 'nconst', nconst, 'freq21', freq21) AS (stat, value)"))
 
 
+def replicate_statistics(codons: DataFrame) -> DataFrame:
+    """(gene, stat, value) of alignments, codon rows (gene, site, taxon, codon, aa), each a replicate: diversity, mean distinct amino acids of a site; divergence and
+    dnds, means over pairs of taxa of differing codons and of the non-synonymous share. Statistics without a value have no row."""
+    by = aa_diversity(codons).select("gene", F.col("mean_diversity").alias("diversity")).join(pairwise_rates(codons), "gene", "full")
+    return by.select("gene", F.expr("stack(3, 'diversity', diversity, 'divergence', divergence, 'dnds', dnds) AS (stat, value)")).where("value IS NOT NULL")
+
+
 def attach_gene_names(rows: DataFrame, genes: DataFrame) -> DataFrame:
     """Rows by place in the list (ordinal) with the list's gene (ordinal, gene); a place that is in one of both alone is an error."""
     joined = rows.withColumn("__row", F.lit(True)).join(genes.select("ordinal", "gene"), "ordinal", "full")

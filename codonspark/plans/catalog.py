@@ -447,7 +447,7 @@ PAIRS = "SELECT x.gene, x.taxon AS taxon1, y.taxon AS taxon2, count(*) AS n, cou
 
 @query("bases|codons", f"SELECT gene, taxon1, taxon2, n, d FROM ({PAIRS}) x")
 def taxon_pairs(b):
-    return al.taxon_pairs(coded(b)).groupBy("gene", "taxon1", "taxon2").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("codon1") != F.col("codon2")).alias("d"))
+    return al.pair_counts(coded(b)).drop("dn")
 
 
 @query("bases|codons", f"""SELECT t.gene, round(avg(d / n), 6) AS divergence, round(avg(dn / n) / avg(d / n) / 2.5, 6) AS dnds, any_value(t.t * (t.t - 1) // 2)::BIGINT - count(p.n) AS n_unshared

@@ -361,6 +361,23 @@ def predictive_test(b):
     return po.posterior_predictive(stats, stats.groupBy("stat").agg((0.99 * F.max("value")).alias("value"))).drop("z")
 
 
+def _alt(codons: str) -> str:
+    """SQL of (gene, stat, value) over the rows of a table of codons."""
+    pairs = f"(SELECT x.gene, x.taxon, y.taxon AS other, count(*) AS n, count(*) FILTER (WHERE x.codon <> y.codon) AS d, count(*) FILTER (WHERE x.aa <> y.aa) AS dn FROM {codons} x JOIN {codons} y ON x.gene = y.gene AND x.site = y.site AND x.taxon < y.taxon WHERE x.codon IS NOT NULL AND y.codon IS NOT NULL GROUP BY ALL)"
+    return f"""SELECT gene, 'diversity' AS stat, sum(n) / count(*) AS value FROM (SELECT gene, site, count(DISTINCT aa) AS n FROM {codons} GROUP BY gene, site) GROUP BY gene
+      UNION ALL SELECT gene, 'divergence', avg(d / n) FROM {pairs} GROUP BY gene UNION ALL SELECT gene, 'dnds', avg(dn / n) / avg(d / n) / 2.5 FROM {pairs} GROUP BY gene"""
+
+
+@query("bases|codons", f"""WITH whole AS (SELECT 0 AS gene, taxon, site, codon, aa FROM codons), r AS ({_alt("codons")}), o AS ({_alt("whole")})
+  SELECT r.stat, round(any_value(o.value), 6) AS obs, round(avg(r.value), 6) AS mean, round(stddev_pop(r.value), 6) AS sd, round(avg(CASE WHEN r.stat = 'diversity' AND r.value < o.value OR r.stat <> 'diversity' AND r.value > o.value THEN 1.0 ELSE 0.0 END), 6) AS pp,
+  round((avg(r.value) - any_value(o.value)) / stddev_pop(r.value), 6) + 0.0 AS z FROM r JOIN o ON o.stat = r.stat GROUP BY r.stat""")
+def predictive_test_alt(b):
+    """Diversity, divergence and dN/dS of replicate alignments, the genes, against those of one observed alignment, all sites together."""
+    codons = coded(b)
+    observed = po.replicate_statistics(codons.withColumn("gene", F.lit(0)))
+    return po.posterior_predictive_alt(po.replicate_statistics(codons), observed.select("stat", "value"))
+
+
 def running_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table of events as a stream of files: the aggregate over all that has landed, written at each trigger."""
     path = shared_path(spark, "live")

@@ -101,3 +101,35 @@ def test_running_posterior(spark, tmp_path):
         assert [tuple(r) for r in spark.table("live").collect()] == [("x", 3, 2, 1.0, pytest.approx(2 / 3))]
     finally:
         query.stop()
+
+
+def test_pair_counts_of_blocks(spark):
+    """Blocks of taxa and parts of sites, sparse and dense, give what all pairs at all sites give."""
+    import itertools
+    import random
+
+    from codonspark.operators import alignment
+
+    rng, rows = random.Random(2), []
+    for gene, taxa, share in (("a", 23, 0.9), ("b", 40, 0.1), (None, 3, 1.0), ("c", 1, 1.0)):
+        for t, site in itertools.product(range(taxa), range(30)):
+            known = rng.random() < share
+            rows.append((gene, f"t{t}", site, rng.choice(["AAA", "AAG", "CCC"]) if known else None, None))
+    aa = {"AAA": "K", "AAG": "K", "CCC": "P", None: None}
+    rows = [(g, t, s, c, aa[c]) for g, t, s, c, _ in rows if g is not None]
+    want = {}
+    for g, s in {(r[0], r[2]) for r in rows}:
+        here = sorted((r[1], r[3], r[4]) for r in rows if r[0] == g and r[2] == s and r[3])
+        for x, y in itertools.combinations(here, 2):
+            n, d, dn = want.get((g, x[0], y[0]), (0, 0, 0))
+            want[g, x[0], y[0]] = (n + 1, d + (x[1] != y[1]), dn + (x[2] != y[2]))
+    df = spark.createDataFrame(rows, "gene string, taxon string, site int, codon string, aa string")
+    for blocks, parts in ((512, 1 << 18), (5, 40), (2, 1 << 18)):
+        got = {(r["gene"], r["taxon1"], r["taxon2"]): (r["n"], r["d"], r["dn"]) for r in alignment.pair_counts(df, blocks, parts).collect()}
+        assert got == want
+        rates = {r["gene"]: r for r in alignment.pairwise_rates(df, blocks, parts).collect()}
+        for g in ("a", "b"):
+            own = [v for k, v in want.items() if k[0] == g]
+            assert abs(rates[g]["divergence"] - sum(d / n for n, d, _ in own) / len(own)) < 1e-12
+        assert rates["c"]["divergence"] is None and rates["c"]["n_unshared"] == 0
+    assert alignment.pair_counts(df.where("false")).count() == 0
