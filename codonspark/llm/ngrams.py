@@ -43,6 +43,8 @@ SMALL, GROUP = 16, 4096
 #: Bits of the filter of sets whose n-grams are needed: 16 MB, whatever the corpus.
 FILTER = 1 << 27
 SEGMENT = 4096
+#: Lots of fragments that are counted one after the other, so that the segments of one alone are on disk.
+LOTS = 4
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _FAR = 1 << 30
 
@@ -298,9 +300,14 @@ def _linked(pairs: DataFrame, segments: DataFrame, percent: int, few: bool = Fal
     """The pairs (a, b) that link: overlaps by fragment, summed. Few pairs fetch their own segments alone."""
     if few:
         segments = segments.join(pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))).distinct(), "set", "left_semi")
-    left = segments.select(F.col("set").alias("a"), "fragment", F.col("grams").alias("ga"))
-    right = segments.select(F.col("set").alias("b"), "fragment", F.col("grams").alias("gb"))
-    parts = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("part"))
+    parts = None
+    for lot in range(1 if few else LOTS):
+        own = segments if few else segments.where(F.col("fragment") % LOTS == lot)
+        left = own.select(F.col("set").alias("a"), "fragment", F.col("grams").alias("ga"))
+        right = own.select(F.col("set").alias("b"), "fragment", F.col("grams").alias("gb"))
+        both = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("part"))
+        both = staged(both.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("part")))
+        parts = both if parts is None else parts.union(both)
     whole = parts.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both"))
     return whole.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
@@ -327,9 +334,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(s[row]), pa.array(t[row]), pa.array(n[row])], names=["gram", "s", "t", "n"])
 
     met = rows.select("text").mapInArrow(prefixes, "gram long, s long, t long, n long")
-    shared = met.groupBy("gram").agg(F.min("s").alias("low"), F.max("s").alias("high")).where("low <> high").select("gram")
+    shared = met.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("gram")
     sets = staged(named.where("n > 0").groupBy("set").agg(F.min("key").alias("least"), F.first("n").alias("n"), F.first("parity").alias("parity")))
-    members = met.join(shared, "gram").distinct().select("gram", F.struct("s", "t").alias("set"), "n")
+    members = staged(met.join(shared, "gram").distinct().select("gram", F.struct("s", "t").alias("set"), "n"))
     meetings, known = staged(_meetings(members, percent, group)), sets.drop("least")
     pairs = staged(_candidates(meetings.join(known, "set").withColumn("comp", F.xxhash64("set")), percent, small))
     crowded = meetings.where(F.col("many") > small)
