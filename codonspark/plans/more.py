@@ -19,6 +19,7 @@ from codonspark.operators.likelihood import site_likelihood as pruned
 from codonspark.plans.catalog import DISTANCE, FDR, GENE_PP, LABELS, PATH_PAIRS, QUANTILE, RANKED, SITE_PP, STEPS, _nuc, after, coded, near, put, query, rounded
 from codonspark.plans.standin import table
 from codonspark.sources import files
+from codonspark.streaming.running import follow, landed_points, live_moments, live_posterior
 from codonspark.streaming.running import running_posterior as live
 
 # Files. Each query writes a table in the format, many files or lines as the table is long, and reads it back.
@@ -391,6 +392,34 @@ def running_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
 put(running_posterior, "SELECT event_type, count(*) AS n, max(event_id) AS last_iter, round(avg(value), 6) AS mean, round(avg(CASE WHEN value > 0 THEN 1.0 ELSE 0.0 END), 6) AS pp FROM events WHERE value IS NOT NULL GROUP BY event_type")
 
 
+CHAIN_PARAMS = ("quantity", "price", "discount")
+
+
+def running_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all points of lineitem as chunk files that land in two lots, a third of them in both and a third cut in the first; the stream reads the first in several triggers, stops, and goes on from its checkpoint."""
+    points = table(spark, sf_dir, "lineitem").groupBy("l_linenumber", "l_orderkey").agg(F.sum("l_quantity").alias("quantity"), F.max("l_extendedprice").alias("price"), (F.max("l_discount") - 0.05).alias("discount"))
+    line = F.concat(F.concat_ws("\t", "l_linenumber", "l_orderkey", *CHAIN_PARAMS), F.lit("\t"))
+    third = F.pmod(F.xxhash64("l_linenumber", "l_orderkey"), F.lit(3))
+    lines = points.select(line.alias("value"), third.alias("third"))
+    cut = F.when(F.col("third") == 2, F.expr("left(value, length(value) - 1 - third)")).otherwise(F.col("value"))
+    inbox, kept, state = (shared_path(spark, kind) for kind in ("inbox", "live", "stream"))
+
+    def land(rows: DataFrame) -> None:
+        rows.select("value").write.mode("append").text(inbox)
+        chunks = len(spark.read.text(inbox).inputFiles())
+        stream = spark.readStream.option("maxFilesPerTrigger", max(1, chunks // 3)).text(inbox)
+        follow(live_moments(landed_points(stream, CHAIN_PARAMS)), kept, state).awaitTermination()
+
+    land(lines.withColumn("value", cut))
+    land(lines.where("third > 0"))
+    return rounded(live_posterior(spark, kept, CHAIN_PARAMS))
+
+
+put(running_chains, """WITH p AS (SELECT l_linenumber::VARCHAR AS chain, l_orderkey AS iter, sum(l_quantity) AS quantity, max(l_extendedprice) AS price, max(l_discount) - 0.05::DOUBLE AS discount FROM lineitem GROUP BY ALL)
+  SELECT chain, param, count(*) AS n, max(iter) AS last_iter, round(avg(v), 6) AS mean, round(avg(CASE WHEN v > 0 THEN 1.0 ELSE 0.0 END), 6) AS pp
+  FROM (SELECT chain, iter, unnest(['quantity', 'price', 'discount']) AS param, unnest([quantity, price, discount]) AS v FROM p) GROUP BY chain, param""")
+
+
 # Trees
 
 

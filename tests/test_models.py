@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import os
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from codonspark.functions import codons
 from codonspark.operators import alignment, rates, suffstat
 from codonspark.operators.likelihood import site_likelihood, transition
-from codonspark.streaming.running import running_posterior
+from codonspark.streaming.running import follow, landed_points, live_moments, live_posterior, running_posterior
 
 
 def test_codes(spark):
@@ -103,6 +104,26 @@ def test_running_posterior(spark, tmp_path):
         query.stop()
 
 
+def test_chains_that_grow(spark, tmp_path):
+    inbox, kept, state = (f"{tmp_path}/{n}" for n in ("in", "out", "state"))
+    os.makedirs(inbox)
+
+    def land(name, text):
+        with open(f"{tmp_path}/{name}", "w") as f:
+            f.write(text)
+        os.rename(f"{tmp_path}/{name}", f"{inbox}/{name}")
+        stream = spark.readStream.option("maxFilesPerTrigger", 1).text(inbox)
+        follow(live_moments(landed_points(stream, ["x", "y"])), kept, state).awaitTermination()
+        return sorted(tuple(r) for r in live_posterior(spark, kept, ["x", "y"]).collect())
+
+    # cut in a number, before the end mark, in the iteration; not numbers; no chain; a lone chain that is never whole
+    first = land("1", "a\t0\t1.0\t-1.0\t\na\t5000\t3.0\t2.0\t\n\na\t1\t2.0\t\na\t2\t2.0\t12\nb\tx\t1\t1\t\na\t3\tnan\t1\t\na\t4\t1\tx\t\n\t1\t1\t1\t\na\t-1\t1\t1\t\n")
+    assert first == [("a", "x", 2, 5000, 2.0, 1.0), ("a", "y", 2, 5000, 0.5, 0.5)]
+    assert land("2", "a\t5000\t3.0\t2.0\t\na\t0\t1.0\t-1.0\t\n") == first  # landed twice, after a restart
+    third = land("3", "a\t2\t2.0\t-128.5\t\na\t2\t2.0\t-128.5\t\na\t1\t6.0\t7.0\t\na\t1\t6.0\t5.5\t\nb\t0\t0\t-0.0\t\n")
+    assert third == [("a", "x", 4, 5000, 3.0, 1.0), ("a", "y", 4, 5000, -30.5, 0.5), ("b", "x", 1, 0, 0.0, 0.0), ("b", "y", 1, 0, 0.0, 0.0)]
+
+
 def test_pair_counts_of_blocks(spark):
     """Blocks of taxa and parts of sites, sparse and dense, give what all pairs at all sites give."""
     import itertools
