@@ -70,14 +70,54 @@ def branch_condition_map(nodes: DataFrame, value: str, ncond: int) -> DataFrame:
     return nodes.select("tree", "node_id", F.when(v < 0, F.raise_error(F.lit("negative condition")).cast("int")).otherwise(F.least(v, F.lit(ncond - 1))).alias("cond"))
 
 
-def lca(pairs: DataFrame, below: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(tree, a, b, lca): the common ancestor of greatest depth of two nodes."""
-    x, y = (below.select("tree", "ancestor", F.col("descendant").alias(c)) for c in "ab")
-    common = pairs.join(x, ["tree", "a"]).join(y, ["tree", "ancestor", "b"]).join(nodes.select("tree", F.col("node_id").alias("ancestor"), "depth"), ["tree", "ancestor"])
-    return common.groupBy("tree", "a", "b").agg(F.max_by("ancestor", "depth").alias("lca"))
+def jumps(nodes: DataFrame) -> list[DataFrame]:
+    """Of each k from 0 the ancestors 2^k steps up, (tree, node_id, up) of nodes that have one: as many tables as the depth has binary digits, none longer than nodes.
 
-
-def lca_by_name(pairs: DataFrame, below: DataFrame, nodes: DataFrame) -> DataFrame:
+    Each is the one before it joined with itself. They are cut from their lineage, as each is read by the next and by what climbs.
+    """
+    deepest = nodes.agg(F.max("depth")).first()[0] or 0
+    steps, out = 1, []
+    while steps <= deepest:
+        if not out:
+            level = nodes.where("parent_id IS NOT NULL").select("tree", "node_id", F.col("parent_id").cast(nodes.schema["node_id"].dataType).alias("up"))
+        else:
+            over = out[-1].select("tree", F.col("node_id").alias("up"), F.col("up").alias("__up"))
+            level = out[-1].join(over, ["tree", "up"]).select("tree", "node_id", F.col("__up").alias("up"))
+        out.append(checkpointed(level))
+        steps *= 2
+    return out
+
+
+def lca(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(tree, a, b, lca): the common ancestor of greatest depth of two nodes.
+
+    Both climb by jumps: the deeper one first, by the binary digits of the difference in depth, then both by ever shorter jumps while they stay apart; a pair is one row
+    throughout, whatever the depth. Pairs of unknown or null nodes, or of nodes without a common root, have no row; repeated pairs have one. Deep trees cut their lineage every four jumps.
+    """
+    ups = jumps(nodes)
+    at = nodes.select("tree", "node_id", "depth")
+    rows = pairs.select("tree", "a", "b").distinct()
+    for c in "ab":
+        rows = rows.join(at.select("tree", F.col("node_id").alias(c), F.col("depth").alias(f"d{c}")), ["tree", c])
+    swap = F.col("db") > F.col("da")
+    rows = rows.select("tree", "a", "b", F.when(swap, F.col("b")).otherwise(F.col("a")).alias("x"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("y"), F.abs(F.col("da") - F.col("db")).alias("more"))
+
+    def climbed(rows: DataFrame, k: int, ends: str) -> DataFrame:
+        for c in ends:
+            rows = rows.join(ups[k].select("tree", F.col("node_id").alias(c), F.col("up").alias(f"{c}_up")), ["tree", c], "left")
+        return checkpointed(rows) if k % 4 == 3 else rows
+
+    for k in range(len(ups)):
+        rows = climbed(rows, k, "x").withColumn("x", F.when(F.getbit("more", F.lit(k)) == 1, F.col("x_up")).otherwise(F.col("x"))).drop("x_up")
+    for k in reversed(range(len(ups))):
+        apart = F.col("x_up") != F.col("y_up")
+        rows = climbed(rows, k, "xy").withColumns({c: F.when(apart, F.col(f"{c}_up")).otherwise(F.col(c)) for c in "xy"}).drop("x_up", "y_up")
+    parent = nodes.select("tree", F.col("node_id").alias("x"), F.col("parent_id").cast(nodes.schema["node_id"].dataType).alias("above"))
+    top = F.when(F.col("x") == F.col("y"), F.col("x")).otherwise(F.col("above"))
+    return rows.join(parent, ["tree", "x"]).select("tree", "a", "b", top.alias("lca")).where("lca IS NOT NULL")
+
+
+def lca_by_name(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(name1, name2, lca) of pairs of leaf names, whole or beginnings that one leaf alone has; names of several leaves are an error, of none give null. For one tree."""
     leaves = nodes.where("is_leaf").select(F.col("name").alias("taxon"))
     asked = pairs.select(F.explode(F.array("name1", "name2")).alias("name")).distinct()
@@ -85,7 +125,7 @@ def lca_by_name(pairs: DataFrame, below: DataFrame, nodes: DataFrame) -> DataFra
     ids = found.join(nodes.where("is_leaf").select(F.col("name").alias("taxon"), "tree", "node_id"), "taxon").select("name", "tree", "node_id")
     one, two = (ids.select(F.col("name").alias(f"name{i}"), F.col("tree").alias(f"tree{i}"), F.col("node_id").alias(c)) for i, c in ((1, "a"), (2, "b")))
     known = pairs.join(one, "name1", "left").join(two, "name2", "left").withColumnRenamed("tree1", "tree")
-    tops = lca(known.where("a IS NOT NULL AND b IS NOT NULL").select("tree", "a", "b").distinct(), below, nodes)
+    tops = lca(known.where("a IS NOT NULL AND b IS NOT NULL").select("tree", "a", "b"), nodes)
     return known.join(tops, ["tree", "a", "b"], "left").select("name1", "name2", "lca")
 
 

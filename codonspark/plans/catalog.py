@@ -527,7 +527,7 @@ def branch_condition_map(n):
 def lca(s, n):
     total = s.agg(F.count(F.lit(1)).alias("m"))
     pairs = s.join(F.broadcast(total), F.lit(True)).select(F.lit("tree").alias("tree"), (F.col("s_suppkey") + 1000).alias("a"), ((F.col("s_suppkey") * 7 + 3) % F.col("m") + 1000).alias("b"))
-    return tr.lca(pairs, tr.closure(n), n).drop("tree")
+    return tr.lca(pairs, n).drop("tree")
 
 
 @query("nodes taxa|closure", """WITH l AS (SELECT node_id FROM nodes WHERE is_leaf AND name IN (SELECT taxon FROM taxa)), a AS (SELECT DISTINCT ancestor AS node_id FROM closure WHERE descendant IN (SELECT node_id FROM l)),
