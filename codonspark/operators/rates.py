@@ -114,6 +114,30 @@ def mean_codon_rates(rates: DataFrame, stationary: DataFrame, weights: DataFrame
     return flux.join(total, "codon1").select("codon1", "codon2", (F.col("flux") / F.col("t")).alias("rate"))
 
 
+def grid_mixture(rates: DataFrame, stationary: DataFrame, rows: DataFrame, columns: DataFrame) -> DataFrame:
+    """(codon1, codon2, x): the mixture of a grid of processes, not normalised: sum of both weights * stat * rate, and with codon2 null that of both weights * stat.
+
+    rates (set, key, codon1, codon2, rate) and stationary (set, key, codon, stat) are the processes, rows (set, w) and columns (key, w) their weights; a process whose row or
+    column has no weight is out. Entries are sums, so mixtures of some rows or columns add up (add_mixtures). A grid is summed inside its tasks to one row for each pair of codons before it is shuffled.
+    """
+    weights = rows.select("set", F.col("w").alias("wr")), columns.select("key", F.col("w").alias("wc"))
+    s = stationary.join(weights[0], "set").join(weights[1], "key").select("set", "key", F.col("codon").alias("codon1"), (F.col("wr") * F.col("wc") * F.col("stat")).alias("ws"))
+    flux = rates.join(s, ["set", "key", "codon1"]).select("codon1", "codon2", (F.col("ws") * F.col("rate")).alias("x"))
+    return add_mixtures(flux.union(s.select("codon1", F.lit(None).cast("string").alias("codon2"), F.col("ws").alias("x"))))
+
+
+def add_mixtures(mixture: DataFrame, other: DataFrame | None = None, sign: int = 1) -> DataFrame:
+    """A mixture with another one, as that of a row or column, added (sign 1) or taken out (sign -1)."""
+    both = mixture if other is None else mixture.union(other.select("codon1", "codon2", (F.col("x") * sign).alias("x")))
+    return both.groupBy("codon1", "codon2").agg(F.sum("x").alias("x"))
+
+
+def mixture_rates(mixture: DataFrame) -> DataFrame:
+    """(codon1, codon2, rate) of a mixture: its sums over those of the first codon's stat; null where no process has that codon."""
+    total = mixture.where("codon2 IS NULL").select("codon1", F.col("x").alias("t"))
+    return mixture.where("codon2 IS NOT NULL").join(total, "codon1").select("codon1", "codon2", F.try_divide("x", "t").alias("rate"))
+
+
 def selac_profiles(distance: DataFrame, classes: DataFrame, psi: float) -> DataFrame:
     """(class, optimum, aa, p): 1 at the optimum, 1e-8 + exp(-psi * g * distance) elsewhere, normalised; classes are (class, g)."""
     e = psi * F.col("g") * F.col("distance")

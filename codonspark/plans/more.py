@@ -16,7 +16,7 @@ from codonspark.operators import rates as ra
 from codonspark.operators import suffstat as su
 from codonspark.operators import trees as tr
 from codonspark.operators.likelihood import site_likelihood as pruned
-from codonspark.plans.catalog import DISTANCE, FDR, GENE_PP, LABELS, PATH_PAIRS, QUANTILE, RANKED, SITE_PP, STEPS, _nuc, after, coded, near, put, query, rounded
+from codonspark.plans.catalog import DISTANCE, FDR, GENE_PP, LABELS, MUTSEL, PATH_PAIRS, QUANTILE, RANKED, SITE_PP, STEPS, _nuc, after, coded, near, put, query, rounded
 from codonspark.plans.standin import table
 from codonspark.sources import files
 from codonspark.streaming.running import follow, landed_points, live_moments, live_posterior
@@ -563,3 +563,19 @@ def aa_rate_diagonal(r, f):
     spark = r.sparkSession
     rates = ra.aa_projected_rates(ra.mg_codon_rates(c.codon_neighbours(spark), _nuc(r, f), 0.3), ra.codon_stationary(c.codon_table(spark).select("codon", "aa"), f))
     return ra.with_diagonal(rates, ["set"], "aa1", "aa2")
+
+
+@query("relrates frequencies fitness|mg stationary", f"""WITH {MUTSEL}, st AS (SELECT s."set", x."key", codon, stat * fitness / sum(stat * fitness) OVER (PARTITION BY s."set", x."key") AS stat FROM stationary s JOIN fitness x ON x.aa = s.aa),
+  k AS (SELECT "key", sum(fitness) AS w FROM fitness GROUP BY "key"), ws AS (SELECT st."set", st."key", codon, (1 + st."set") / 15 * k.w / (SELECT sum(w) FROM k) * stat AS ws FROM st JOIN k ON k."key" = st."key" WHERE st."set" > 0)
+  SELECT codon1, codon2, round(sum(ws * rate) / any_value(t.t), 6) AS rate FROM mutsel m JOIN ws ON ws."set" = m."set" AND ws."key" = m."key" AND ws.codon = m.codon1
+  JOIN (SELECT codon, sum(ws) AS t FROM ws GROUP BY codon) t ON t.codon = m.codon1 GROUP BY codon1, codon2""")
+def mean_grid_rates(r, f, fit):
+    """Processes of sets by keys, weighted by both; the first row is added with the others and taken out again."""
+    spark = r.sparkSession
+    rates = ra.mutsel_rates(c.codon_neighbours(spark), _nuc(r, f), fit, 0.3)
+    stationary = ra.mutsel_stationary(ra.codon_stationary(c.codon_table(spark).select("codon", "aa"), f), fit)
+    rows = f.select("set").distinct().withColumn("w", (1 + F.col("set")) / 15)
+    sums = fit.groupBy("key").agg(F.sum("fitness").alias("w"))
+    columns = sums.join(F.broadcast(sums.agg(F.sum("w").alias("total"))), F.lit(True)).select("key", (F.col("w") / F.col("total")).alias("w"))
+    whole = ra.grid_mixture(rates, stationary, rows, columns)
+    return ra.mixture_rates(ra.add_mixtures(whole, ra.grid_mixture(rates, stationary, rows.where("set = 0"), columns), -1))

@@ -124,6 +124,28 @@ def test_chains_that_grow(spark, tmp_path):
     assert third == [("a", "x", 4, 5000, 3.0, 1.0), ("a", "y", 4, 5000, -30.5, 0.5), ("b", "x", 1, 0, 0.0, 0.0), ("b", "y", 1, 0, 0.0, 0.0)]
 
 
+def test_grid_mixture(spark):
+    """Two rows and two columns by hand; a row taken out again gives the other alone, and a codon that no process has gives null."""
+    rate = {(i, k): 1.0 + 2 * i + 5 * j for i in (0, 1) for j, k in enumerate("uv")}
+    stat = {(i, k): (i + 1) / (j + 3) for i in (0, 1) for j, k in enumerate("uv")}
+    cells = spark.createDataFrame([(i, k, "AAA", "AAC", v) for (i, k), v in rate.items()] + [(0, "u", "CCC", "CCA", 1.0)], "set int, key string, codon1 string, codon2 string, rate double")
+    law = spark.createDataFrame([(i, k, "AAA", v) for (i, k), v in stat.items()] + [(0, "u", "CCC", 0.0)], "set int, key string, codon string, stat double")
+    rows, columns = spark.createDataFrame([(0, 0.25), (1, 0.75)], "set int, w double"), spark.createDataFrame([("u", 0.5), ("v", 0.5)], "key string, w double")
+    whole = rates.grid_mixture(cells, law, rows, columns)
+
+    def mean(ws):
+        return sum(w * stat[i, k] * rate[i, k] for i, w in ws for k in "uv") / sum(w * stat[i, k] for i, w in ws for k in "uv")
+
+    def found(mixture):
+        return {(r["codon1"], r["codon2"]): r["rate"] for r in rates.mixture_rates(mixture).collect()}
+
+    assert found(whole) == {("AAA", "AAC"): pytest.approx(mean([(0, 0.25), (1, 0.75)])), ("CCC", "CCA"): None}
+    rest = rates.add_mixtures(whole, rates.grid_mixture(cells, law, rows.where("set = 0"), columns), -1)
+    assert found(rest)["AAA", "AAC"] == pytest.approx(mean([(1, 0.75)]))
+    assert found(rates.add_mixtures(rest, rates.grid_mixture(cells, law, rows.where("set = 0"), columns)))["AAA", "AAC"] == pytest.approx(mean([(0, 0.25), (1, 0.75)]))
+    assert rates.mixture_rates(rates.grid_mixture(cells.where("false"), law, rows, columns)).count() == 0
+
+
 def test_pair_counts_of_blocks(spark):
     """Blocks of taxa and parts of sites, sparse and dense, give what all pairs at all sites give."""
     import itertools
