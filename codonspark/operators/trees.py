@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codonspark.functions.shared import checkpointed, running
@@ -37,21 +37,75 @@ def closure(nodes: DataFrame) -> DataFrame:
     return checkpointed(out)  # what uses a closure reads it several times
 
 
-def tree_summary(nodes: DataFrame, below: DataFrame) -> DataFrame:
+def jumps(nodes: DataFrame) -> list[DataFrame]:
+    """Of each k from 0 the ancestors 2^k steps up, (tree, node_id, up) of nodes that have one: as many tables as the depth has binary digits, none longer than nodes.
+
+    Each is the one before it joined with itself. They are cut from their lineage, as each is read by the next and by what climbs.
+    """
+    deepest = nodes.agg(F.max("depth")).first()[0] or 0
+    steps, out = 1, []
+    while steps <= deepest:
+        if not out:
+            level = nodes.where("parent_id IS NOT NULL").select("tree", "node_id", F.col("parent_id").cast(nodes.schema["node_id"].dataType).alias("up"))
+        else:
+            over = out[-1].select("tree", F.col("node_id").alias("up"), F.col("up").alias("__up"))
+            level = out[-1].join(over, ["tree", "up"]).select("tree", "node_id", F.col("__up").alias("up"))
+        out.append(checkpointed(level))
+        steps *= 2
+    return out
+
+
+def gathered(rows: DataFrame, below: DataFrame | list[DataFrame], merge: dict[str, Callable[[str], Column]], keys: Sequence[str] = ()) -> DataFrame:
+    """(tree, keys, node_id, columns of merge): what rows (tree, keys, node_id, columns) hold at a node and all nodes below it, merged by functions as F.sum, F.min, F.max. Nodes with nothing below have no row.
+
+    below: a closure, or jumps(nodes). By jumps each node first has its own rows, and after k rounds those less than 2^k steps below it, as each node hands what it has to its ancestor
+    2^k steps up too. So no round has more rows than the result, times two, whatever the depth. Deep trees cut their lineage every four rounds.
+    """
+    by = ["tree", *keys, "node_id"]
+    own = rows.select(*by, *merge)
+    values = [f(c).alias(c) for c, f in merge.items()]
+    if isinstance(below, DataFrame):
+        up = below.select("tree", F.col("descendant").alias("node_id"), F.col("ancestor").alias("__up"))
+        return own.join(up, ["tree", "node_id"]).withColumn("node_id", F.col("__up")).groupBy(*by).agg(*values)
+    out = own.groupBy(*by).agg(*values)
+    for k, up in enumerate(below):
+        both = F.explode(F.array_compact(F.array("node_id", "up")))
+        out = out.join(up, ["tree", "node_id"], "left").withColumn("node_id", both).groupBy(*by).agg(*values)
+        if k % 4 == 3:
+            out = checkpointed(out)
+    return out
+
+
+def nearest_above(nodes: DataFrame, stops: DataFrame) -> DataFrame:
+    """(tree, node_id, ancestor, distance): the nearest of stops (tree, node_id) strictly above a node, and the branch lengths on the way, a missing one 0; no row where there is none.
+
+    Each node points at its parent, and while that is no stop at where it points: ways double each round, and a round has a row for each node.
+    """
+    kind = nodes.schema["node_id"].dataType
+    at = nodes.where("parent_id IS NOT NULL").select("tree", "node_id", F.col("parent_id").cast(kind).alias("at"), F.coalesce("branch_length", F.lit(0.0)).alias("far"))
+    goals = stops.select("tree", F.col("node_id").alias("at"), F.lit(True).alias("done")).distinct()
+    rows = at.join(goals, ["tree", "at"], "left").withColumn("done", F.coalesce("done", F.lit(False)))
+    deepest, reach = nodes.agg(F.max("depth")).first()[0] or 0, 1
+    while reach < deepest:
+        rows = checkpointed(rows)  # read twice
+        on = rows.select("tree", F.col("node_id").alias("at"), F.col("at").alias("at2"), F.col("far").alias("far2"), F.col("done").alias("done2"))
+        further = rows.where("NOT done").join(on, ["tree", "at"]).select("tree", "node_id", F.col("at2").alias("at"), (F.col("far") + F.col("far2")).alias("far"), F.col("done2").alias("done"))
+        rows, reach = rows.where("done").select(further.columns).union(further), 2 * reach
+    return rows.where("done").select("tree", "node_id", F.col("at").alias("ancestor"), F.col("far").alias("distance"))
+
+
+def tree_summary(nodes: DataFrame) -> DataFrame:
     """Per tree: nodes, inner nodes, total length, and largest and smallest height of the root over its leaves."""
     g = nodes.groupBy("tree").agg(F.count(F.lit(1)).alias("n_nodes"), F.count_if(~F.col("is_leaf")).alias("n_inner"), F.sum(F.coalesce("branch_length", F.lit(0.0))).alias("total_length"))
-    root = nodes.where("parent_id IS NULL").select("tree", F.col("node_id").alias("ancestor"))
-    leaf = nodes.where("is_leaf").select("tree", F.col("node_id").alias("descendant"))
-    h = below.join(root, ["tree", "ancestor"], "left_semi").join(leaf, ["tree", "descendant"], "left_semi").groupBy("tree").agg(F.max("distance").alias("max_height"), F.min("distance").alias("min_height"))
-    return g.join(h, "tree")
+    leaf = nodes.where("is_leaf").select("tree", "node_id").join(nearest_above(nodes, nodes.where("parent_id IS NULL")), ["tree", "node_id"], "left").withColumn("distance", F.coalesce("distance", F.lit(0.0)))
+    return g.join(leaf.groupBy("tree").agg(F.max("distance").alias("max_height"), F.min("distance").alias("min_height")), "tree")
 
 
-def clade_labels(nodes: DataFrame, below: DataFrame) -> DataFrame:
-    """(tree, node_id, first_leaf, last_leaf, n_leaves) of each node, leaves in the order of node_id, which a reader gives depth first."""
-    leaf = nodes.where("is_leaf").select("tree", F.col("node_id").alias("descendant"), "name")
-    return below.join(leaf, ["tree", "descendant"]).groupBy("tree", F.col("ancestor").alias("node_id")).agg(
-        F.min_by("name", "descendant").alias("first_leaf"), F.max_by("name", "descendant").alias("last_leaf"), F.count(F.lit(1)).alias("n_leaves")
-    )
+def clade_labels(nodes: DataFrame, below: DataFrame | list[DataFrame]) -> DataFrame:
+    """(tree, node_id, first_leaf, last_leaf, n_leaves) of each node, leaves in the order of node_id, which a reader gives depth first. below as in gathered."""
+    named = F.struct("node_id", "name")
+    leaf = nodes.where("is_leaf").select("tree", "node_id", named.alias("first"), named.alias("last"), F.lit(1).cast("long").alias("n_leaves"))
+    return gathered(leaf, below, {"first": F.min, "last": F.max, "n_leaves": F.sum}).select("tree", "node_id", F.col("first.name").alias("first_leaf"), F.col("last.name").alias("last_leaf"), "n_leaves")
 
 
 def age_to_branch_length(nodes: DataFrame, age: str = "age") -> DataFrame:
@@ -70,24 +124,6 @@ def branch_condition_map(nodes: DataFrame, value: str, ncond: int) -> DataFrame:
     return nodes.select("tree", "node_id", F.when(v < 0, F.raise_error(F.lit("negative condition")).cast("int")).otherwise(F.least(v, F.lit(ncond - 1))).alias("cond"))
 
 
-def jumps(nodes: DataFrame) -> list[DataFrame]:
-    """Of each k from 0 the ancestors 2^k steps up, (tree, node_id, up) of nodes that have one: as many tables as the depth has binary digits, none longer than nodes.
-
-    Each is the one before it joined with itself. They are cut from their lineage, as each is read by the next and by what climbs.
-    """
-    deepest = nodes.agg(F.max("depth")).first()[0] or 0
-    steps, out = 1, []
-    while steps <= deepest:
-        if not out:
-            level = nodes.where("parent_id IS NOT NULL").select("tree", "node_id", F.col("parent_id").cast(nodes.schema["node_id"].dataType).alias("up"))
-        else:
-            over = out[-1].select("tree", F.col("node_id").alias("up"), F.col("up").alias("__up"))
-            level = out[-1].join(over, ["tree", "up"]).select("tree", "node_id", F.col("__up").alias("up"))
-        out.append(checkpointed(level))
-        steps *= 2
-    return out
-
-
 def lca(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(tree, a, b, lca): the common ancestor of greatest depth of two nodes.
 
@@ -129,20 +165,18 @@ def lca_by_name(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return known.join(tops, ["tree", "a", "b"], "left").select("name1", "name2", "lca")
 
 
-def prune_tree(nodes: DataFrame, below: DataFrame, taxa: DataFrame, strict: bool = False) -> DataFrame:
+def prune_tree(nodes: DataFrame, below: DataFrame | list[DataFrame], taxa: DataFrame, strict: bool = False) -> DataFrame:
     """(tree, node_id, parent_id, branch_length) of the tree of the leaves in taxa: nodes with one child left go, their lengths add up; so does a root with one child.
 
-    strict: a taxon that is no leaf of the tree is an error. A node stays if it is a kept leaf or has kept leaves below two children; its parent is the nearest ancestor that stays.
+    strict: a taxon that is no leaf of the tree is an error. A node stays if it is a kept leaf or has kept leaves below two children; its parent is the nearest ancestor that stays. below as in gathered.
     """
     if strict and not (lost := taxa.select(F.col("taxon").alias("name")).join(nodes.where("is_leaf"), "name", "left_anti")).isEmpty():
         raise ValueError(f"taxa are missing from the tree, as {lost.first()['name']}")
-    leaf = nodes.where("is_leaf").join(taxa.select(F.col("taxon").alias("name")), "name", "left_semi").select("tree", F.col("node_id").alias("descendant"))
-    alive = below.join(leaf, ["tree", "descendant"], "left_semi").select("tree", F.col("ancestor").alias("node_id")).distinct()
+    leaf = nodes.where("is_leaf").join(taxa.select(F.col("taxon").alias("name")), "name", "left_semi").select("tree", "node_id", F.lit(True).alias("alive"))
+    alive = gathered(leaf, below, {"alive": F.first}).select("tree", "node_id")
     forks = nodes.join(alive, ["tree", "node_id"], "left_semi").where("parent_id IS NOT NULL").groupBy("tree", F.col("parent_id").alias("node_id")).count().where("count >= 2").select("tree", "node_id")
-    kept = forks.union(leaf.select("tree", F.col("descendant").alias("node_id")))
-    up = below.where("steps > 0").join(kept.select("tree", F.col("node_id").alias("ancestor")), ["tree", "ancestor"], "left_semi")
-    nearest = up.groupBy("tree", F.col("descendant").alias("node_id")).agg(F.min_by(F.struct("ancestor", "distance"), "steps").alias("x"))
-    return kept.join(nearest, ["tree", "node_id"], "left").select("tree", "node_id", F.col("x.ancestor").alias("parent_id"), F.col("x.distance").alias("branch_length"))
+    kept = checkpointed(forks.union(leaf.select("tree", "node_id")))
+    return kept.join(nearest_above(nodes, kept), ["tree", "node_id"], "left").select("tree", "node_id", F.col("ancestor").alias("parent_id"), F.col("distance").alias("branch_length"))
 
 
 def tree_alignment_check(nodes: DataFrame, taxa: DataFrame) -> DataFrame:
@@ -159,21 +193,22 @@ def tree_alignment_join(nodes: DataFrame, rows: DataFrame) -> DataFrame:
     return joined.withColumn("taxon", F.when(lost.isNotNull(), F.raise_error(F.concat(lost, "taxon"))).otherwise(F.col("taxon"))).drop("__row")
 
 
-def informative_nodes(nodes: DataFrame, below: DataFrame, leaf_states: DataFrame, zeros: bool = False) -> DataFrame:
+def informative_nodes(nodes: DataFrame, below: DataFrame | list[DataFrame], leaf_states: DataFrame, zeros: bool = False) -> DataFrame:
     """(tree, site, node_id, flag): 2 for the root of the least subtree that spans the known leaves of a site, 1 for its other nodes, 0 for the nodes above it.
 
-    zeros: the nodes that no path touches are listed too, with 0, which is a row for every node and site. leaf_states: (tree, site, name) of known leaves. A node's count of known leaves below says all: the root is the deepest with all of them.
+    zeros: the nodes that no path touches are listed too, with 0, which is a row for every node and site. leaf_states: (tree, site, name) of known leaves. below as in gathered.
+    A node's count of known leaves below says all: the root is the deepest with all of them.
     """
-    leaf = nodes.where("is_leaf").select("tree", F.col("node_id").alias("descendant"), "name")
-    known = leaf_states.join(leaf, ["tree", "name"]).select("tree", "site", "descendant")
-    counts = below.join(known, ["tree", "descendant"]).groupBy("tree", "site", F.col("ancestor").alias("node_id")).agg(F.count(F.lit(1)).alias("n"))
-    rows = counts.join(nodes.select("tree", "node_id", "depth"), ["tree", "node_id"])
-    site = W.partitionBy("tree", "site")
-    rows = rows.withColumn("top", F.max("n").over(site)).withColumn("root_depth", F.max(F.when(F.col("n") == F.col("top"), F.col("depth"))).over(site))
-    flags = rows.select("tree", "site", "node_id", F.when((F.col("n") == F.col("top")) & (F.col("depth") == F.col("root_depth")), 2).when(F.col("depth") > F.col("root_depth"), 1).otherwise(0).alias("flag"))
+    leaf = nodes.where("is_leaf").select("tree", "node_id", "name")
+    known = leaf_states.join(leaf, ["tree", "name"]).select("tree", "site", "node_id", F.lit(1).cast("long").alias("n"))
+    rows = gathered(known, below, {"n": F.sum}, ["site"]).join(nodes.select("tree", "node_id", "depth"), ["tree", "node_id"])
+    root = rows.groupBy("tree", "site").agg(F.max(F.struct("n", "depth")).alias("root"))
+    deeper = F.col("depth") > F.col("root.depth")
+    flag = F.when(deeper, 1).when((F.col("n") == F.col("root.n")) & (F.col("depth") == F.col("root.depth")), 2).otherwise(0)
+    flags = rows.join(root, ["tree", "site"]).select("tree", "site", "node_id", flag.alias("flag"))
     if not zeros:
         return flags
-    every = rows.select("tree", "site").distinct().join(nodes.groupBy("tree").agg(F.collect_list("node_id").alias("ids")), "tree").select("tree", "site", F.explode("ids").alias("node_id"))
+    every = rows.select("tree", "site").distinct().join(nodes.select("tree", "node_id"), "tree")
     return every.join(flags, ["tree", "site", "node_id"], "left").withColumn("flag", F.coalesce("flag", F.lit(0)))
 
 

@@ -501,7 +501,7 @@ def tree_closure(n):
 @query("nodes|closure", """SELECT count(*) AS n_nodes, count(*) FILTER (WHERE NOT is_leaf) AS n_inner, round(sum(coalesce(branch_length, 0)), 6) AS total_length,
   (SELECT max(distance) FROM closure WHERE ancestor = 0 AND descendant >= 1000)::DOUBLE AS max_height, (SELECT min(distance) FROM closure WHERE ancestor = 0 AND descendant >= 1000)::DOUBLE AS min_height FROM nodes""")
 def tree_summary(n):
-    return tr.tree_summary(n, tr.closure(n)).drop("tree")
+    return tr.tree_summary(n).drop("tree")
 
 
 LABELS = "SELECT c.ancestor AS node_id, min_by(n.name, n.node_id) AS first_leaf, max_by(n.name, n.node_id) AS last_leaf, count(*) AS n_leaves FROM closure c JOIN nodes n ON n.node_id = c.descendant WHERE n.is_leaf GROUP BY c.ancestor"
@@ -509,7 +509,7 @@ LABELS = "SELECT c.ancestor AS node_id, min_by(n.name, n.node_id) AS first_leaf,
 
 @query("nodes|closure", LABELS)
 def clade_labels(n):
-    return tr.clade_labels(n, tr.closure(n)).drop("tree")
+    return tr.clade_labels(n, tr.jumps(n)).drop("tree")
 
 
 @query("nodes", "SELECT a.node_id, ((10 - b.depth * 2) - (10 - a.depth * 2))::DOUBLE AS branch_length FROM nodes a JOIN nodes b ON b.node_id = a.parent_id")
@@ -534,7 +534,7 @@ def lca(s, n):
   k AS (SELECT parent_id AS node_id FROM nodes WHERE node_id IN (SELECT node_id FROM a) AND parent_id IS NOT NULL GROUP BY parent_id HAVING count(*) >= 2 UNION ALL SELECT node_id FROM l)
   SELECT k.node_id, min_by(c.ancestor, c.steps) AS parent_id, round(min_by(c.distance, c.steps)::DOUBLE, 6) AS branch_length FROM k LEFT JOIN closure c ON c.descendant = k.node_id AND c.steps > 0 AND c.ancestor IN (SELECT node_id FROM k) GROUP BY k.node_id""")
 def prune_tree(n, t):
-    return tr.prune_tree(n, tr.closure(n), t).drop("tree")
+    return tr.prune_tree(n, tr.jumps(n), t).drop("tree")
 
 
 @query("nodes taxa", "SELECT name, 'tree' AS side FROM nodes WHERE is_leaf AND name NOT IN (SELECT taxon FROM taxa)")
@@ -547,14 +547,14 @@ def tree_alignment_join(n, t):
   SELECT site, node_id, (CASE WHEN n = top AND depth = rd THEN 2 WHEN depth > rd THEN 1 ELSE 0 END)::INT AS flag FROM q""")
 def informative_nodes(n, s):
     known = s.where("state IS NOT NULL").select(F.lit("tree").alias("tree"), "site", (F.col("taxon") + 1000).alias("node_id")).distinct().join(n.select("node_id", "name"), "node_id").select("tree", "site", "name")
-    return tr.informative_nodes(n, tr.closure(n), known).select("site", "node_id", "flag")
+    return tr.informative_nodes(n, tr.jumps(n), known).select("site", "node_id", "flag")
 
 
 @query("branch_suffstat nodes|closure", f"""WITH q AS (SELECT branch + 1000 AS node_id, {QUANTILE.format(q=0.025)} AS q0, {QUANTILE.format(q=0.5)} AS q1, {QUANTILE.format(q=0.975)} AS q2 FROM ({RANKED.format(k='branch', v='bsyn', t='branch_suffstat')}) x GROUP BY branch)
   SELECT q.node_id, q0, q1, q2, n.name AS label FROM q JOIN nodes n ON n.node_id = q.node_id""")
 def branch_posterior_table(b, n):
     q = po.posterior_quantiles(b.select((F.col("branch") + 1000).alias("node_id"), F.col("bsyn").alias("value")), ["node_id"])
-    return tr.branch_posterior_table(q, tr.clade_labels(n, tr.closure(n)), n, True).select("node_id", "q0", "q1", "q2", "label")
+    return tr.branch_posterior_table(q, tr.clade_labels(n, tr.jumps(n)), n, True).select("node_id", "q0", "q1", "q2", "label")
 
 
 MEDIAN = f"SELECT branch + 1000 AS node_id, max(CASE WHEN k = floor(0.5::DOUBLE * n) THEN v END) AS m FROM ({RANKED.format(k='branch', v='bsyn', t='branch_suffstat')}) x GROUP BY branch"
@@ -569,8 +569,9 @@ def node_branch_medians(b, n):
 @query("branch_suffstat nodes|closure", f"""SELECT l.first_leaf, l.last_leaf, round(v.x, 6) AS value FROM (SELECT c.ancestor AS node_id, sum(b.bsyn) AS x FROM branch_suffstat b JOIN closure c ON c.descendant = b.branch + 1000 GROUP BY c.ancestor) v
   JOIN ({LABELS}) l ON l.node_id = v.node_id""")
 def branch_table_export(b, n):
-    below = tr.closure(n)
-    values = b.select((F.col("branch") + 1000).alias("descendant"), "bsyn").join(below, "descendant").groupBy(F.col("ancestor").alias("node_id")).agg(F.sum("bsyn").alias("value"))
+    below = tr.jumps(n)
+    own = b.select((F.col("branch") + 1000).alias("node_id"), F.col("bsyn").alias("value")).join(n.select("tree", "node_id"), "node_id")
+    values = tr.gathered(own, below, {"value": F.sum}).drop("tree")
     return tr.branch_table_export(values, n, tr.clade_labels(n, below))
 
 

@@ -452,8 +452,9 @@ def branch_conditions_all(n):
   q AS (SELECT node_id, {QUANTILE.format(q=0.025)} AS q0, {QUANTILE.format(q=0.5)} AS q1, {QUANTILE.format(q=0.975)} AS q2, round(avg(v), 6) AS mean FROM ({RANKED.format(k='node_id', v='value', t='v')}) x GROUP BY node_id)
   SELECT q.*, CASE WHEN n.is_leaf THEN n.name ELSE l.first_leaf || '-' || l.last_leaf END AS label FROM q JOIN nodes n ON n.node_id = q.node_id JOIN ({LABELS}) l ON l.node_id = q.node_id""")
 def branch_summary(b, n):
-    below = tr.closure(n)
-    draws = b.select("gene", (F.col("branch") + 1000).alias("descendant"), "bsyn").join(below, "descendant").groupBy("gene", F.col("ancestor").alias("node_id")).agg(F.sum("bsyn").alias("value"))
+    below = tr.jumps(n)
+    own = b.select("gene", (F.col("branch") + 1000).alias("node_id"), F.col("bsyn").alias("value")).join(n.select("tree", "node_id"), "node_id")
+    draws = tr.gathered(own, below, {"value": F.sum}, ["gene"]).drop("tree")
     return tr.branch_summary(draws, tr.clade_labels(n, below), n).select("node_id", "q0", "q1", "q2", "mean", "label")
 
 

@@ -152,3 +152,24 @@ def test_informative_paths(spark):
     lengths, rates = spark.createDataFrame([(0, 2.0), (1, 9.0)], "branch int, branch_length double"), spark.createDataFrame([("g", 1, 3.0)], "gene string, site int, rate double")
     assert {r["state"]: r["t"] for r in suffstat.scaled_path(path, lengths, rates, flags).collect()} == {5: 3.0, 7: 3.0}
     assert [tuple(r) for r in suffstat.root_counts(path, flags, ["gene"]).collect()] == [("g", 3, 1)]
+
+
+def test_deep_trees(spark):
+    """A chain and a star of 10^5 nodes: labels, pruning and informative nodes by jumps, without a closure."""
+    n = 100_000
+    chain = spark.range(n).selectExpr("'chain' AS tree", "id AS node_id", "CASE WHEN id > 0 THEN id - 1 END AS parent_id", "concat('c', id) AS name", "1.0D AS branch_length", f"id = {n - 1} AS is_leaf", "CAST(id AS INT) AS depth")
+    twig = spark.createDataFrame([("chain", n + 7, 500, "twig", 2.0, True, 501)], chain.schema)
+    star = spark.range(n).selectExpr("'star' AS tree", "id AS node_id", "CASE WHEN id > 0 THEN 0L END AS parent_id", "concat('s', id) AS name", "0.5D AS branch_length", "id > 0 AS is_leaf", "CAST(id > 0 AS INT) AS depth")
+    nodes = chain.union(twig).union(star)
+    ups = trees.jumps(nodes)
+    labels = trees.clade_labels(nodes, ups).where("tree = 'star' AND node_id IN (0, 9) OR tree = 'chain' AND node_id IN (0, 500, 501)").collect()
+    assert {(r["tree"], r["node_id"]): (r["first_leaf"], r["last_leaf"], r["n_leaves"]) for r in labels} == {
+        ("star", 0): ("s1", f"s{n - 1}", n - 1), ("star", 9): ("s9", "s9", 1), ("chain", 0): (f"c{n - 1}", "twig", 2), ("chain", 500): (f"c{n - 1}", "twig", 2), ("chain", 501): (f"c{n - 1}", f"c{n - 1}", 1)}
+    taxa = spark.createDataFrame([(f"c{n - 1}",), ("twig",), ("s3",), ("s4",)], "taxon string")
+    pruned = {(r["tree"], r["node_id"]): (r["parent_id"], r["branch_length"]) for r in trees.prune_tree(nodes, ups, taxa).collect()}
+    assert pruned == {("chain", 500): (None, None), ("chain", n - 1): (500, n - 501.0), ("chain", n + 7): (500, 2.0), ("star", 0): (None, None), ("star", 3): (0, 0.5), ("star", 4): (0, 0.5)}
+    known = spark.createDataFrame([("chain", 1, f"c{n - 1}"), ("chain", 1, "twig"), ("chain", 2, "twig"), ("star", 1, "s1"), ("star", 1, "s2")], "tree string, site int, name string")
+    flags = trees.informative_nodes(nodes, ups, known).groupBy("tree", "site", "flag").agg({"node_id": "count"}).collect()
+    assert {tuple(r) for r in flags} == {("chain", 1, 0, 500), ("chain", 1, 2, 1), ("chain", 1, 1, n - 500), ("chain", 2, 0, 501), ("chain", 2, 2, 1), ("star", 1, 2, 1), ("star", 1, 1, 2)}
+    heights = {r["tree"]: (r["max_height"], r["min_height"]) for r in trees.tree_summary(nodes).collect()}
+    assert heights == {"chain": (n - 1.0, 502.0), "star": (0.5, 0.5)}
