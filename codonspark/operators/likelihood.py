@@ -1,4 +1,4 @@
-"""Site likelihood by pruning, for a given tree and rate matrix."""
+"""Site likelihood by pruning, for a given tree and rate matrix, or for each gene's own."""
 
 from __future__ import annotations
 
@@ -7,6 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from codonspark.functions.shared import checkpointed
 
 
 def transition(rates: np.ndarray, length: float) -> np.ndarray:
@@ -52,3 +55,102 @@ def site_likelihood(leaf_states: DataFrame, tree: list[tuple[int, int | None, st
 
     gene, site = (leaf_states.schema[c].dataType.simpleString() for c in ("gene", "site"))
     return leaf_states.select("gene", "site", "states").mapInPandas(run, f"gene {gene}, site {site}, log_likelihood double")
+
+
+def _heavy_first(parents: dict[int, int | None], depths: dict[int, int]) -> list[int]:
+    """Nodes after all below them, the child with most nodes below first: at most log2 of the nodes then wait for further children at once."""
+    size = dict.fromkeys(parents, 1)
+    children: dict[int, list[int]] = {}
+    for n in sorted(parents, key=lambda n: -depths[n]):
+        if (up := parents[n]) is not None:
+            size[up] += size[n]
+            children.setdefault(up, []).append(n)
+    order, open_ = [], [n for n, up in parents.items() if up is None]
+    while open_:
+        n = open_.pop()
+        order.append(n)
+        open_ += sorted(children.get(n, ()), key=lambda x: (-size[x], x))
+    return order[::-1]
+
+
+def _pruned(nodes: pd.DataFrame, rates: np.ndarray, freqs: np.ndarray, leaves: list, states: list) -> np.ndarray:
+    """Log likelihoods of patterns, each the numbers of its known leaves, ascending, and their states. A node is worked on for those patterns alone that know a leaf below it."""
+    n, k = len(leaves), len(freqs)
+    column = np.repeat(np.arange(n), [len(x) for x in leaves])
+    leaf, state = (np.concatenate([np.asarray(x, dtype=np.int64) for x in xs]) if len(column) else np.empty(0, np.int64) for xs in (leaves, states))
+    first = np.ones(len(column), dtype=bool)
+    first[1:] = (column[1:] != column[:-1]) | (leaf[1:] != leaf[:-1])
+    column, leaf, state = column[first], leaf[first], state[first]
+    by_leaf = np.argsort(leaf, kind="stable")
+    names, starts = np.unique(leaf[by_leaf], return_index=True)
+    cells = dict(zip(names.tolist(), np.split(by_leaf, starts[1:]), strict=True))
+    parents = {int(i): None if pd.isna(p) else int(p) for i, p in zip(nodes["node_id"], nodes["parent_id"], strict=True)}
+    lengths, depths = (dict(zip(parents, nodes[c].tolist(), strict=True)) for c in ("branch_length", "depth"))
+    moves: dict[float, np.ndarray] = {}
+    partial: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    scale, out = np.zeros(n), np.zeros(n)
+    with np.errstate(divide="ignore"):  # an impossible pattern has -inf
+        for node in _heavy_first(parents, depths):
+            if node in cells:
+                at = column[cells[node]]
+                below = np.eye(k)[state[cells[node]]]
+            elif node in partial:
+                values, known = partial.pop(node)
+                at = np.flatnonzero(known)
+                below = values[at]
+            else:
+                continue
+            up = parents[node]
+            if up is None:
+                out[at] = np.log(below @ freqs) + scale[at]
+                continue
+            if lengths[node] not in moves:
+                moves[lengths[node]] = transition(rates, lengths[node])
+            values, known = partial.setdefault(up, (np.ones((n, k)), np.zeros(n, dtype=bool)))
+            product = values[at] * np.maximum(below @ moves[lengths[node]].T, 0.0)
+            top = product.max(axis=1)
+            scale[at] += np.log(top)
+            values[at], known[at] = product / np.where(top > 0, top, 1.0)[:, None], True
+    return out
+
+
+def pattern_likelihood(states: DataFrame, genes: DataFrame, nodes: DataFrame, rates: DataFrame, freqs: DataFrame, per_task: int = 2048) -> DataFrame:
+    """(gene, site, log_likelihood) of alignment columns, each gene by its own tree and rates, for any number of states.
+
+    states: (gene, site, name, state), states from 0; genes: (gene, tree, set); nodes: node tables; rates: (set, i, j, rate), whose diagonal is minus the row's sum; freqs: (set, i, freq), at the root.
+    A leaf without row or with a null state agrees with every state, so a site that knows none has 0; of several states of a leaf the least counts; a taxon that is no leaf of the gene's tree is
+    not read; an impossible column has minus infinity. A gene without tree or rates is an error, and one that genes doesn't list has no row.
+
+    Equal columns of a gene are one pattern, pruned once. Patterns are dealt to tasks by some `per_task` of a gene, so a long gene is many tasks, and the answers joined back to the sites.
+    A task holds a tree, its patterns, and matrices for the log2 of the tree's nodes that wait at once.
+    """
+    leaf = nodes.where("is_leaf").select("tree", "name", F.col("node_id").cast("long").alias("leaf"))
+    cell = F.when(F.col("leaf").isNotNull() & F.col("state").isNotNull(), F.struct("leaf", "state"))
+    cells = states.select("gene", "site", "name", "state").join(genes.select("gene", "tree"), "gene").join(leaf, ["tree", "name"], "left")
+    columns = cells.groupBy("gene", "site").agg(F.array_sort(F.collect_set(cell)).alias("known"))
+    columns = checkpointed(columns.withColumn("pattern", F.sha2(F.col("known").cast("string"), 256)))
+    patterns = columns.groupBy("gene", "pattern").agg(F.first("known").alias("known"))
+    parts = patterns.groupBy("gene").agg(F.ceil(F.count(F.lit(1)) / per_task).cast("int").alias("parts"))
+    dealt = patterns.join(parts, "gene").select("gene", F.pmod(F.hash("pattern"), "parts").alias("part"), "pattern", F.col("known.leaf").alias("leaves"), F.col("known.state").alias("states"))
+    listed = lambda df, by, name, *c: df.groupBy(by).agg(F.collect_list(F.struct(*c)).alias(name))
+    tree = listed(nodes, "tree", "nodes", "node_id", "parent_id", F.coalesce("branch_length", F.lit(0.0)).alias("branch_length"), "depth")
+    models = genes.join(parts, "gene").join(tree, "tree", "left").join(listed(rates, "set", "rates", "i", "j", "rate"), "set", "left").join(listed(freqs, "set", "freqs", "i", "freq"), "set", "left")
+    models = models.select("gene", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *[F.col(f"nodes.{c}").alias(c) for c in ("node_id", "parent_id", "branch_length", "depth")],
+        *[F.col(f"{a}.{c}").alias(f"{a}_{c}") for a, c in (("rates", "i"), ("rates", "j"), ("rates", "rate"), ("freqs", "i"), ("freqs", "freq"))])
+
+    def run(key: tuple, some: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        m = model.iloc[0]
+        if any(m[c] is None for c in ("node_id", "rates_i", "freqs_i")):
+            raise ValueError(f"gene {key[0]} has no tree or no rates")
+        k = len(m["freqs_i"])
+        q, pi = np.zeros((k, k)), np.zeros(k)
+        pi[m["freqs_i"]] = m["freqs_freq"]
+        q[m["rates_i"], m["rates_j"]] = m["rates_rate"]
+        np.fill_diagonal(q, 0.0)
+        np.fill_diagonal(q, -q.sum(axis=1))
+        tree = pd.DataFrame({c: list(m[c]) for c in ("node_id", "parent_id", "branch_length", "depth")})
+        return some[["gene", "pattern"]].assign(log_likelihood=_pruned(tree, q, pi, list(some["leaves"]), list(some["states"])))
+
+    gene = states.schema["gene"].dataType.simpleString()
+    answers = dealt.groupBy("gene", "part").cogroup(models.groupBy("gene", "part")).applyInPandas(run, f"gene {gene}, pattern string, log_likelihood double")
+    return columns.select("gene", "site", "pattern").join(answers, ["gene", "pattern"]).select("gene", "site", "log_likelihood")

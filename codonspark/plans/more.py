@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +14,7 @@ from codonspark.operators import posterior as po
 from codonspark.operators import rates as ra
 from codonspark.operators import suffstat as su
 from codonspark.operators import trees as tr
-from codonspark.operators.likelihood import site_likelihood as pruned
+from codonspark.operators.likelihood import pattern_likelihood
 from codonspark.plans.catalog import DISTANCE, FDR, GENE_PP, LABELS, MUTSEL, PATH_PAIRS, QUANTILE, RANKED, SITE_PP, STEPS, _nuc, after, coded, near, put, query, rounded
 from codonspark.plans.standin import table
 from codonspark.sources import files
@@ -475,11 +474,34 @@ def node_medians_dated(b, a):
   SELECT gene, site, round(ln(sum(0.25 * l)), 6) AS log_likelihood FROM (SELECT gene, site, b, exp(sum(l)) AS l FROM up2 GROUP BY ALL) x GROUP BY gene, site""")
 def site_likelihood(s, n):
     """Pruning over the tree of nations, at equal rates; a nation without a known state at a site agrees with all."""
-    rows = n.where("depth <= 2").orderBy("depth", "node_id").select("node_id", "parent_id", "name", "branch_length", "depth").collect()  # the nations: a fixed list
-    tree = [(r["node_id"], r["parent_id"], r["name"] if r["depth"] == 2 else "", r["branch_length"] or 0.0) for r in rows]
-    rates = np.full((4, 4), 1 / 3) - np.eye(4) * (4 / 3)
-    states = s.groupBy("gene", "site").agg(F.map_from_entries(F.collect_list(F.struct("name", "state"))).alias("states"))
-    return pruned(states, tree, rates, np.full(4, 0.25))
+    tree = n.where("depth <= 2").withColumn("is_leaf", F.col("depth") == 2)
+    genes = s.select("gene").distinct().select("gene", F.lit("tree").alias("tree"), F.lit(0).alias("set"))
+    rates = s.sparkSession.range(16).selectExpr("0 AS set", "CAST(id DIV 4 AS INT) AS i", "CAST(id % 4 AS INT) AS j", "1 / 3D AS rate")
+    freqs = s.sparkSession.range(4).selectExpr("0 AS set", "CAST(id AS INT) AS i", "0.25D AS freq")
+    return pattern_likelihood(s, genes, tree, rates, freqs)
+
+
+def _above(below: str) -> str:
+    """SQL of (gene, site, node_id, b, l) one step up: what the nodes of a table send to their parents, and its product."""
+    sent = f"SELECT gene, site, e.parent_id AS node_id, x.b, ln(e.e * l + (1 - e.e) * sum(pi.stat * l) OVER (PARTITION BY gene, site, x.node_id)) AS l FROM {below} x JOIN e ON e.node_id = x.node_id JOIN pi ON pi.\"set\" = x.gene % 5 AND pi.b = x.b"
+    return f"SELECT gene, site, node_id, b, exp(sum(l)) AS l FROM ({sent}) GROUP BY ALL"
+
+
+@query("bases nodes frequencies|codon stationary", f"""WITH k AS (SELECT gene, taxon, site, c.codon_id FROM bases b LEFT JOIN codon c ON c.codon = b.b1 || b.b2 || b.b3),
+  pi AS (SELECT "set", codon_id AS b, stat FROM stationary JOIN codon ON codon.codon = stationary.codon), e AS (SELECT node_id, parent_id, exp(-coalesce(branch_length, 0)) AS e FROM nodes),
+  leaf AS (SELECT k.gene, k.site, e.parent_id AS node_id, pi.b, exp(sum(ln(e.e * (CASE WHEN k.codon_id = pi.b THEN 1.0 ELSE 0.0 END) + (1 - e.e) * own.stat))) AS l
+    FROM k JOIN e ON e.node_id = 1000 + k.taxon JOIN pi own ON own."set" = k.gene % 5 AND own.b = k.codon_id JOIN pi ON pi."set" = own."set" GROUP BY ALL),
+  two AS ({_above("leaf")}), one AS ({_above("two")}), r AS (SELECT gene, site, ln(sum(stat * l)) AS x FROM one JOIN pi ON pi."set" = gene % 5 AND pi.b = one.b GROUP BY gene, site)
+  SELECT s.gene, s.site, round(coalesce(x, 0), 6) AS log_likelihood FROM (SELECT DISTINCT gene, site FROM k) s LEFT JOIN r ON r.gene = s.gene AND r.site = s.site""")
+def site_likelihood_codons(b, n, f):
+    """Codon columns over the whole tree of suppliers, 61 states, with the frequencies of each gene's own set; codons change to another in proportion to its frequency."""
+    codes = c.codon_table(b.sparkSession)
+    leaf = n.where("is_leaf").select((F.col("node_id") - 1000).alias("taxon"), "name")
+    states = coded(b).join(leaf, "taxon").join(codes.select("codon", F.col("codon_id").cast("int").alias("state")), "codon", "left").select("gene", "site", "name", "state")
+    genes = b.select("gene").distinct().select("gene", F.lit("tree").alias("tree"), (F.col("gene") % 5).cast("int").alias("set"))
+    freqs = ra.codon_stationary(codes.select("codon", "aa"), f).join(codes.select("codon", "codon_id"), "codon").select(F.col("set").cast("int").alias("set"), F.col("codon_id").cast("int").alias("i"), F.col("stat").alias("freq"))
+    rates = freqs.select("set", "i").join(freqs.select("set", F.col("i").alias("j"), F.col("freq").alias("rate")), "set")
+    return pattern_likelihood(states, genes, n, rates, freqs)
 
 
 # Sufficient statistics

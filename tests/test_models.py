@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from codonspark.functions import codons
 from codonspark.operators import alignment, rates, suffstat
-from codonspark.operators.likelihood import site_likelihood, transition
+from codonspark.operators.likelihood import pattern_likelihood, site_likelihood, transition
 from codonspark.streaming.running import follow, landed_points, live_moments, live_posterior, running_posterior
 
 
@@ -63,6 +63,58 @@ def test_likelihood(spark):
         assert got[site] == pytest.approx(math.log(total))
 
 
+def test_pattern_likelihood(spark):
+    """Four and 61 states, each gene by its own tree and rates, against sums over all states of the inner nodes; equal columns, missing and repeated states, deep trees, impossible columns."""
+    codes = {r["codon"]: r["codon_id"] for r in codons.codon_table(spark).collect()}
+    relrates = spark.createDataFrame([(1, a, b, 1.0 + i) for i, (a, b) in enumerate(itertools.combinations("ACGT", 2))], "set int, a string, b string, r double")
+    base = spark.createDataFrame([(1, b, f) for b, f in zip("ACGT", (0.1, 0.2, 0.3, 0.4))], "set int, base string, freq double")
+    nuc = rates.gtr_rates(relrates, base).where("a <> b")
+    mg = [(1, codes[r["codon1"]], codes[r["codon2"]], r["rate"]) for r in rates.mg_codon_rates(codons.codon_neighbours(spark), nuc, 0.3).collect()]
+    pi = [(1, codes[r["codon"]], r["stat"]) for r in rates.codon_stationary(codons.codon_table(spark).select("codon", "aa"), base).collect()]
+    four = [(0, i, j, 0.2 + 0.1 * i + 0.05 * j) for i in range(4) for j in range(4) if i != j]
+    freq4 = [(0, i, f) for i, f in enumerate((0.1, 0.2, 0.3, 0.4))]
+    # x and y have the same leaves under other inner nodes
+    forks = {"x": [(0, None, "", None), (1, 0, "", 0.3), (2, 1, "A", 0.1), (3, 1, "B", 0.7), (4, 0, "C", 1.2)], "y": [(0, None, "", None), (7, 0, "A", 0.2), (8, 0, "", 0.4), (9, 8, "B", 0.6), (5, 8, "C", 0.3)]}
+    depth = {0: 0, 1: 1, 4: 1, 7: 1, 8: 1, 2: 2, 3: 2, 9: 2, 5: 2}
+    nodes = [(t, i, up, name, length, bool(name), depth[i]) for t, rows in forks.items() for i, up, name, length in rows]
+    nodes += [("deep", i, i - 1 if i else None, "Z" if i == 3000 else "", 0.001, i == 3000, i) for i in range(3001)] + [("zero", 0, None, "", None, False, 0), ("zero", 1, 0, "A", 0.0, True, 1), ("zero", 2, 0, "B", 0.0, True, 1), ("one", 0, None, "A", None, True, 0)]
+    genes = [("g", "x", 0), ("h", "y", 0), ("c", "x", 1), ("d", "y", 1), ("deep", "deep", 0), ("zero", "zero", 0), ("one", "one", 0)]
+    k = {"g": 4, "h": 4, "c": 61, "d": 61}
+    columns = {(g, s): {"A": s % k[g], "B": None if s % 4 == 3 else (s * 7 + 1) % k[g], "C": (s * s) % k[g]} for g in k for s in range(8)} | {("g", 50): {"A": 0, "B": 1, "C": 0}, ("g", 51): {"A": None}, ("d", 52): {"B": 60}}
+    rows = [(g, s, name, state) for (g, s), x in columns.items() for name, state in x.items()] * 2 + [("g", 2, "A", 3), ("g", 1, "Nobody", 3), ("deep", 1, "Z", 2), ("zero", 1, "A", 0), ("zero", 1, "B", 1), ("one", 1, "A", 3), ("unlisted", 1, "A", 0)]
+    frames = (spark.createDataFrame(rows, "gene string, site int, name string, state int"), spark.createDataFrame(genes, "gene string, tree string, set int"), spark.createDataFrame(nodes, "tree string, node_id int, parent_id int, name string, branch_length double, is_leaf boolean, depth int"),
+        spark.createDataFrame(four + mg, "set int, i int, j int, rate double"), spark.createDataFrame(freq4 + pi, "set int, i int, freq double"))
+    got = {(r["gene"], r["site"]): r["log_likelihood"] for r in pattern_likelihood(*frames, per_task=3).collect()}
+    models = {}
+    for s, n, rr, ff in ((0, 4, four, freq4), (1, 61, mg, pi)):
+        q, f = np.zeros((n, n)), np.zeros(n)
+        for _, i, j, r in rr:
+            q[i, j] = r
+        np.fill_diagonal(q, -q.sum(axis=1))
+        for _, i, x in ff:
+            f[i] = x
+        models[s] = q, f
+    of = {g: (t, s) for g, t, s in genes}
+    for (g, site), x in columns.items():
+        t, s = of[g]
+        q, f = models[s]
+        p = {i: transition(q, length or 0.0) for i, _, _, length in forks[t]}
+        inner = [i for i, _, name, _ in forks[t] if not name and i]
+        total = 0.0
+        for states in itertools.product(range(len(f)), repeat=1 + len(inner)):
+            at = dict(zip([0, *inner], states))
+            below = (p[i][at[up], at[i] if i in at else x[name]] for i, up, name, _ in forks[t] if up is not None and (i in at or x.get(name) is not None))
+            total += f[at[0]] * math.prod(below)
+        assert got.pop((g, site)) == pytest.approx(math.log(total), abs=1e-9), (g, site)
+    q, f = models[0]
+    assert got.pop(("deep", 1)) == pytest.approx(math.log(f @ transition(q, 3.0)[:, 2]))
+    assert got.pop(("one", 1)) == pytest.approx(math.log(0.4)) and got.pop(("zero", 1)) == -math.inf and not got
+    states, known, *rest = frames
+    assert pattern_likelihood(states.where("false"), known, *rest).count() == 0
+    with pytest.raises(Exception, match="has no tree or no rates"):
+        pattern_likelihood(states, known.withColumn("tree", F.lit("none")), *rest).collect()
+
+
 def test_rate_laws(spark):
     """Rows of rates sum to zero, and the stationary law is stationary."""
     relrates = spark.createDataFrame([("s", a, b, 1.0 + i) for i, (a, b) in enumerate(itertools.combinations("ACGT", 2))], "set string, a string, b string, r double")
