@@ -9,10 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from codonspark.functions.shared import running
+from codonspark.functions.shared import checkpointed, running
 from codonspark.operators.alignment import aa_diversity, pairwise_rates
 
 QUANTILES = (0.025, 0.5, 0.975)
+#: Bins of a span of values, and most spans that are broadcast, of some 100 bytes.
+BINS, SPANS = 1024, 100_000
 
 
 def sample_window(trace: DataFrame, burnin: int = -1, every: int = 1, until: int = -1, by: list[str] | None = None, strict: bool = False) -> DataFrame:
@@ -41,18 +43,52 @@ def posterior_mean_sd(trace: DataFrame, keys: list[str], value: str = "value") -
     return trace.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"))
 
 
+def _selected(rows: DataFrame, keys: list[str], qs: tuple[float, ...]) -> DataFrame:
+    """posterior_quantiles by rounds of counting over rows (keys, __v): each element is sought in a span of values, whose bins are counted in a scan of the rows, and the bin that holds it is its next span, until that is one value.
+
+    The first bins are sign and power of two, later ones equal parts, of which six rounds at most split the values of one power. Only counts of bins are shuffled, BINS or so for each
+    key and element; the spans go to the rows by broadcast while they are fewer than SPANS. Nulls come first and NaN last.
+    """
+    names, n = [f"__key_{k}" for k in keys], F.count(F.lit(1))
+    whole = rows.groupBy(*[F.col(k).alias(name) for k, name in zip(keys, names, strict=True)]).agg(n.alias("__n"), F.count_if(F.col("__v").isNull()).alias("__nulls"))
+    ranks = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), (F.floor(F.lit(q) * F.col("__n")) - F.col("__nulls")).alias("r")) for i, q in enumerate(qs)])).alias("x")
+    nothing = F.lit(None).cast(rows.schema["__v"].dataType)
+    asked = checkpointed(whole.select(*names, ranks).select(*names, "x.i", "x.r", nothing.alias("lo"), nothing.alias("hi")))
+    found, open_ = [asked], asked.where("r >= 0")
+    v, first = F.col("__v"), True
+    while (many := open_.count()) > 0:
+        spans = open_.select(*names, "lo", "hi").distinct()
+        inside = reduce(and_, [F.col(k).eqNullSafe(F.col(name)) for k, name in zip(keys, names, strict=True)])
+        if first:
+            power = F.least(F.greatest(F.log2(F.abs(v)), F.lit(-1100.0)), F.lit(1100.0))
+            bin_ = F.when(F.isnan(v.cast("double")), 9999).when(v == 0, 0).otherwise(F.signum(v.cast("double")) * (F.floor(power) + 1200)).cast("long")
+        else:
+            inside &= v.between(F.col("lo"), F.col("hi"))
+            bin_ = F.least(F.floor((v - F.col("lo")).cast("double") / (F.col("hi") - F.col("lo")).cast("double") * BINS), F.lit(BINS - 1)).cast("long")
+        hits = rows.where("__v IS NOT NULL").join(F.broadcast(spans) if many <= SPANS else spans, inside)
+        bins = hits.groupBy(*names, "lo", "hi", bin_.alias("bin")).agg(n.alias("c"), F.min("__v").alias("least"), F.max("__v").alias("most"))
+        earlier = W.partitionBy(*names, "lo", "hi").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
+        bins = bins.withColumn("before", F.coalesce(F.sum("c").over(earlier), F.lit(0)))
+        ask, own = open_.alias("a"), bins.alias("b")
+        same = reduce(and_, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*names, "lo", "hi")])
+        holds = (F.col("a.r") >= F.col("b.before")) & (F.col("a.r") < F.col("b.before") + F.col("b.c"))
+        step = checkpointed(ask.join(own, same & holds).select(*[F.col(f"a.{c}").alias(c) for c in (*names, "i")], (F.col("r") - F.col("before")).alias("r"), F.col("least").alias("lo"), F.col("most").alias("hi")))
+        found.append(step.where("lo = hi"))
+        open_, first = step.where("lo < hi"), False
+    at = lambda i: F.max(F.when(F.col("i") == i, F.col("lo")))
+    out = reduce(DataFrame.union, found).groupBy(*names).agg(*[at(i).alias(f"q{i}") for i in range(len(qs))])
+    return out.withColumnsRenamed(dict(zip(names, keys, strict=True)))
+
+
 def posterior_quantiles(trace: DataFrame, keys: list[str], value: str = "value", qs: tuple[float, ...] = QUANTILES, split: bool = False) -> DataFrame:
     """Elements int(q * n), from 0, of each key's sorted values, without interpolation, as columns q0, q1, ...
 
-    A key is sorted in one task; split, for few keys of many rows, deals each key over tasks by ranges of its values.
+    A key is sorted in one task; split, for few keys of many rows, sorts nothing and counts bins of numeric values in some scans of the rows, exactly.
     """
     rows, key = trace.select(*keys, F.col(value).alias("__v")), W.partitionBy(*keys)
     if split:
-        counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).withColumnsRenamed({k: f"__key_{k}" for k in keys})
-        ranks = running(rows, ["__v"], keys=keys).withColumn("__k", F.col("__rank") - 1)
-        ranked = ranks.join(counts, reduce(and_, [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys]))
-    else:
-        ranked = rows.select(*keys, "__v", (F.row_number().over(key.orderBy("__v")) - 1).alias("__k"), F.count(F.lit(1)).over(key).alias("__n"))
+        return _selected(rows, keys, qs)
+    ranked = rows.select(*keys, "__v", (F.row_number().over(key.orderBy("__v")) - 1).alias("__k"), F.count(F.lit(1)).over(key).alias("__n"))
     at = lambda q: F.max(F.when(F.col("__k") == F.floor(F.lit(q) * F.col("__n")), F.col("__v")))
     return ranked.groupBy(*keys).agg(*[at(q).alias(f"q{i}") for i, q in enumerate(qs)])
 

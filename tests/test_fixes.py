@@ -1,5 +1,8 @@
 """Cases that the stand-in tables don't meet."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,3 +176,19 @@ def test_deep_trees(spark):
     assert {tuple(r) for r in flags} == {("chain", 1, 0, 500), ("chain", 1, 2, 1), ("chain", 1, 1, n - 500), ("chain", 2, 0, 501), ("chain", 2, 2, 1), ("star", 1, 2, 1), ("star", 1, 1, 2)}
     heights = {r["tree"]: (r["max_height"], r["min_height"]) for r in trees.tree_summary(nodes).collect()}
     assert heights == {"chain": (n - 1.0, 502.0), "star": (0.5, 0.5)}
+
+
+def test_quantiles_by_counting(spark):
+    """Selection by counting against sorting: ties, nulls, NaN, infinities, subnormal and huge values, null keys, longs that doubles can't tell apart."""
+    rng = random.Random(3)
+    rows = [(k, rng.choice([-1, 1]) * 2.0 ** rng.randint(-1074, 1023) * rng.choice([1.0, 1 + rng.random()])) for k in ("wide", None) for _ in range(400)]
+    rows = [(k, v if math.isfinite(v) else 0.0) for k, v in rows]
+    rows += [("close", 1.0 + i * 2.0**-52) for i in range(300)] + [("tied", v) for v in (0.0, -0.0, 5.0) for _ in range(50)]
+    rows += [("odd", v) for v in (None, None, float("nan"), math.inf, -math.inf, 1.0)] + [("null", None), ("one", 7.0)]
+    qs = (0.0, 0.2, 0.4, 0.5, 0.7, 0.9, 0.999, 1.0)
+    text = lambda df: sorted(str(tuple(0.0 if x == 0 else x for x in r)) for r in df.collect())
+    df = spark.createDataFrame(rows, "k string, v double")
+    assert text(posterior.posterior_quantiles(df, ["k"], "v", qs, split=True)) == text(posterior.posterior_quantiles(df, ["k"], "v", qs))
+    whole = spark.createDataFrame([(2**62 + i,) for i in range(9)] + [(-(2**62) - i,) for i in range(9)], "v long").selectExpr("1 AS k", "v")
+    assert text(posterior.posterior_quantiles(whole, ["k"], "v", qs, split=True)) == text(posterior.posterior_quantiles(whole, ["k"], "v", qs))
+    assert posterior.posterior_quantiles(df.where("false"), ["k"], "v", split=True).count() == 0
