@@ -214,11 +214,17 @@ def sparse_condition_effects(trace: DataFrame) -> DataFrame:
     return trace.groupBy("gene", "cond").agg(share(F.col("alloc") == 2).alias("pp_positive"), share(F.col("alloc") == 0).alias("pp_negative"))
 
 
+def _with_variances(cov: DataFrame) -> DataFrame:
+    """(draw, i, j, value, vi, vj): each entry of a draw's one matrix with those of the diagonal in its row and column. A matrix is one row for a while, so rows are shuffled by draw once. Entries without the two, and null draws, have no row."""
+    matrix = cov.where("draw IS NOT NULL").groupBy("draw").agg(F.collect_list(F.struct("i", "j", "value")).alias("m"))
+    entries = F.transform(F.filter("m", lambda x: x["i"] == x["j"]), lambda x: F.struct(x["i"].alias("k"), x["value"].alias("v")))
+    rows = matrix.select("draw", F.map_from_entries(F.array_distinct(entries)).alias("d"), F.inline("m"))
+    return rows.where(F.map_contains_key("d", F.col("i")) & F.map_contains_key("d", F.col("j"))).select("draw", "i", "j", "value", F.col("d")[F.col("i")].alias("vi"), F.col("d")[F.col("j")].alias("vj"))
+
+
 def covariance_summary(cov: DataFrame) -> DataFrame:
     """Per entry (i, j) over draws: mean, variance, share over 0, mean correlation and its mean square."""
-    diagonal = cov.where("i = j").select("draw", F.col("i").alias("k"), F.col("value").alias("v"))
-    a, b = diagonal.withColumnsRenamed({"k": "i", "v": "vi"}), diagonal.withColumnsRenamed({"k": "j", "v": "vj"})
-    rows = cov.join(a, ["draw", "i"]).join(b, ["draw", "j"]).withColumn("r", F.col("value") / F.sqrt(F.col("vi") * F.col("vj")))
+    rows = _with_variances(cov).withColumn("r", F.col("value") / F.sqrt(F.col("vi") * F.col("vj")))
     return rows.groupBy("i", "j").agg(F.avg("value").alias("mean"), F.var_pop("value").alias("var"), share(F.col("value") > 0).alias("pp"), F.avg("r").alias("r"), F.avg(F.col("r") * F.col("r")).alias("r2"))
 
 
@@ -239,9 +245,7 @@ def inverse(cov: DataFrame, dim: int) -> DataFrame:
 
 def precision_summary(inv: DataFrame) -> DataFrame:
     """Per entry of the inverse: mean, variance, share under 0, mean partial correlation and its mean square."""
-    diagonal = inv.where("i = j").select("draw", F.col("i").alias("k"), F.col("value").alias("v"))
-    a, b = diagonal.withColumnsRenamed({"k": "i", "v": "vi"}), diagonal.withColumnsRenamed({"k": "j", "v": "vj"})
-    rows = inv.join(a, ["draw", "i"]).join(b, ["draw", "j"]).withColumn("r", F.when(F.col("i") == F.col("j"), 1.0).otherwise(-F.col("value") / F.sqrt(F.col("vi") * F.col("vj"))))
+    rows = _with_variances(inv).withColumn("r", F.when(F.col("i") == F.col("j"), 1.0).otherwise(-F.col("value") / F.sqrt(F.col("vi") * F.col("vj"))))
     return rows.groupBy("i", "j").agg(F.avg("value").alias("mean"), F.var_pop("value").alias("var"), share(F.col("value") < 0).alias("pp"), F.avg("r").alias("r"), F.avg(F.col("r") * F.col("r")).alias("r2"))
 
 
@@ -253,8 +257,7 @@ def explained_variance(cov: DataFrame, inv: DataFrame) -> DataFrame:
 
 def slope_summary(cov: DataFrame) -> DataFrame:
     """Per pair i < j: major-axis and regression slopes, mean, sd, and sorted[l], sorted[n - 1 - l] with l = int(.025 n)."""
-    sx, sy = (cov.where("i = j").select("draw", F.col("i").alias(k), F.col("value").alias(v)) for k, v in (("i", "sx"), ("j", "sy")))
-    rows = cov.where("i < j").join(sx, ["draw", "i"]).join(sy, ["draw", "j"])
+    rows = _with_variances(cov).where("i < j").withColumnsRenamed({"vi": "sx", "vj": "sy"})
     d, sxy = F.col("sy") - F.col("sx"), F.col("value")
     rows = rows.withColumn("major", (d + F.sqrt(d * d + 4 * sxy * sxy)) / (2 * sxy)).withColumn("regression", sxy / F.col("sx"))
     long = rows.select("i", "j", F.expr("stack(2, 'major', major, 'regression', regression) AS (slope, v)"))

@@ -192,3 +192,10 @@ def test_quantiles_by_counting(spark):
     whole = spark.createDataFrame([(2**62 + i,) for i in range(9)] + [(-(2**62) - i,) for i in range(9)], "v long").selectExpr("1 AS k", "v")
     assert text(posterior.posterior_quantiles(whole, ["k"], "v", qs, split=True)) == text(posterior.posterior_quantiles(whole, ["k"], "v", qs))
     assert posterior.posterior_quantiles(df.where("false"), ["k"], "v", split=True).count() == 0
+
+
+def test_matrix_entries(spark):
+    """Entries without their diagonal and null draws are left out, a repeated entry counts again, and a null on the diagonal has no correlation."""
+    rows = [(1, 0, 0, 4.0), (1, 1, 1, 9.0), (1, 0, 1, 3.0), (1, 0, 1, 3.0), (1, 0, 2, 5.0), (2, 0, 0, 1.0), (2, 1, 1, None), (2, 0, 1, -1.0), (None, 0, 0, 8.0)]
+    got = {(r["i"], r["j"]): (r["mean"], r["pp"], r["r"]) for r in posterior.covariance_summary(spark.createDataFrame(rows, "draw int, i int, j int, value double")).collect()}
+    assert got == {(0, 0): (2.5, 1.0, 1.0), (1, 1): (9.0, 0.5, 1.0), (0, 1): (5 / 3, 2 / 3, 0.5)}
