@@ -25,9 +25,13 @@ from codonspark.streaming.running import running_posterior as live
 
 
 def _put(lines: DataFrame, by: str) -> str:
-    """Lines (by, ord, value) as one text file for each `by`, in the order of ord; its folder."""
+    """Lines (by, ord, value) as one text file for each `by`, in the order of ord; its folder.
+
+    They are dealt by a hash of `by`: dealt by `by` itself, a union of two tables that are already dealt so (a header and its lines) is not dealt again, and its
+    two sides, whose small partitions are put together each for itself, leave one `by` in two tasks and two files.
+    """
     path = shared_path(lines.sparkSession, "files")
-    lines.repartition(by).sortWithinPartitions(by, "ord").select(by, "value").write.partitionBy(by).text(path)
+    lines.repartition(F.xxhash64(by)).sortWithinPartitions(by, "ord").select(by, "value").write.partitionBy(by).text(path)
     return path
 
 

@@ -199,3 +199,22 @@ def test_matrix_entries(spark):
     rows = [(1, 0, 0, 4.0), (1, 1, 1, 9.0), (1, 0, 1, 3.0), (1, 0, 1, 3.0), (1, 0, 2, 5.0), (2, 0, 0, 1.0), (2, 1, 1, None), (2, 0, 1, -1.0), (None, 0, 0, 8.0)]
     got = {(r["i"], r["j"]): (r["mean"], r["pp"], r["r"]) for r in posterior.covariance_summary(spark.createDataFrame(rows, "draw int, i int, j int, value double")).collect()}
     assert got == {(0, 0): (2.5, 1.0, 1.0), (1, 1): (9.0, 0.5, 1.0), (0, 1): (5 / 3, 2 / 3, 0.5)}
+
+
+def test_header_and_lines_in_one_file(spark):
+    """A header and its lines are one file, in order, also where their shuffles are put together unlike each other, as on larger tables."""
+    from codonspark.plans import more
+
+    small = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1b", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    before = {k: spark.conf.get(k) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        points = spark.range(20000).select(F.floor(F.col("id") / 50).alias("chain"), (F.col("id") % 50).alias("iter"), F.lit(1.0).alias("a"), F.lit(2.0).alias("b"))
+        numbered = points.withColumn("iter", F.expr("row_number() OVER (PARTITION BY chain ORDER BY iter) - 1"))
+        lines = files.numbered(spark, more._points(numbered))
+        heads = lines.where("value LIKE '#%'").groupBy("line").count().collect()
+        assert lines.select("file").distinct().count() == 400 and [tuple(r) for r in heads] == [(0, 400)]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
