@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codonspark.functions import codons as c
-from codonspark.functions.shared import shared_path
+from codonspark.functions.shared import shared_path, staged
 from codonspark.operators import alignment as al
 from codonspark.operators import posterior as po
 from codonspark.operators import rates as ra
@@ -377,7 +377,7 @@ def _alt(codons: str) -> str:
   round((avg(r.value) - any_value(o.value)) / stddev_pop(r.value), 6) + 0.0 AS z FROM r JOIN o ON o.stat = r.stat GROUP BY r.stat""")
 def predictive_test_alt(b):
     """Diversity, divergence and dN/dS of replicate alignments, the genes, against those of one observed alignment, all sites together."""
-    codons = coded(b)
+    codons = staged(coded(b))  # read four times
     observed = po.replicate_statistics(codons.withColumn("gene", F.lit(0)))
     return po.posterior_predictive_alt(po.replicate_statistics(codons), observed.select("stat", "value"))
 

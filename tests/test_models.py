@@ -228,3 +228,17 @@ def test_pair_counts_of_blocks(spark):
             assert abs(rates[g]["divergence"] - sum(d / n for n, d, _ in own) / len(own)) < 1e-12
         assert rates["c"]["divergence"] is None and rates["c"]["n_unshared"] == 0
     assert alignment.pair_counts(df.where("false")).count() == 0
+
+
+def test_blocks_meet_at_sites(spark):
+    """Blocks of taxa that are known at no common site are never brought together, so rows don't grow with the number of blocks."""
+    import pyarrow as pa
+
+    from codonspark.operators import alignment
+
+    rows = [("g", f"t{t:03}", 10 * (t // 8) + s, "AAA", "K") for t in range(64) for s in range(10)]
+    df = spark.createDataFrame(rows, "gene string, taxon string, site int, codon string, aa string")
+    give = lambda table, names, pairs: pa.table({"p": table.column("p")[:1], "q": table.column("q")[:1], "n": [int(pairs[2].sum())]})
+    for part_rows in (1 << 18, 20):
+        met = sorted(map(tuple, alignment._paired(df, give, "p int, q int, n long", 8, part_rows)[1].collect()))
+        assert met == [(k, k, 280) for k in range(8)]
