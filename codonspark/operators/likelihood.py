@@ -6,10 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codonspark.functions.shared import checkpointed
+from codonspark.operators.trees import gathered, jumps
 
 
 def transition(rates: np.ndarray, length: float) -> np.ndarray:
@@ -74,46 +77,82 @@ def _heavy_first(parents: dict[int, int | None], depths: dict[int, int]) -> list
 
 
 def _pruned(nodes: pd.DataFrame, rates: np.ndarray, freqs: np.ndarray, leaves: list, states: list) -> np.ndarray:
-    """Log likelihoods of patterns, each the numbers of its known leaves, ascending, and their states. A node is worked on for those patterns alone that know a leaf below it."""
+    """Log likelihoods of patterns, each the numbers of its known leaves, ascending, and their states. A node is worked on for those patterns alone that know a leaf below it, and all leaves of a node at once."""
     n, k = len(leaves), len(freqs)
     column = np.repeat(np.arange(n), [len(x) for x in leaves])
     leaf, state = (np.concatenate([np.asarray(x, dtype=np.int64) for x in xs]) if len(column) else np.empty(0, np.int64) for xs in (leaves, states))
     first = np.ones(len(column), dtype=bool)
     first[1:] = (column[1:] != column[:-1]) | (leaf[1:] != leaf[:-1])
     column, leaf, state = column[first], leaf[first], state[first]
-    by_leaf = np.argsort(leaf, kind="stable")
-    names, starts = np.unique(leaf[by_leaf], return_index=True)
-    cells = dict(zip(names.tolist(), np.split(by_leaf, starts[1:]), strict=True))
     parents = {int(i): None if pd.isna(p) else int(p) for i, p in zip(nodes["node_id"], nodes["parent_id"], strict=True)}
     lengths, depths = (dict(zip(parents, nodes[c].tolist(), strict=True)) for c in ("branch_length", "depth"))
     moves: dict[float, np.ndarray] = {}
     partial: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     scale, out = np.zeros(n), np.zeros(n)
+
+    def move(length: float) -> np.ndarray:
+        if length not in moves:
+            if len(moves) == 1024:
+                moves.clear()
+            moves[length] = np.maximum(transition(rates, length), 0.0)
+        return moves[length]
+
+    def times(held: tuple[np.ndarray, np.ndarray] | None, at: np.ndarray, factor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(patterns, values) held, times the factors of patterns `at`, each once and ascending; rescaled."""
+        if held is not None:
+            every = np.union1d(held[0], at)
+            product = np.ones((len(every), k))
+            product[np.searchsorted(every, held[0])] = held[1]
+            product[np.searchsorted(every, at)] *= factor
+            at, factor = every, product
+        top = factor.max(axis=1)
+        scale[at] += np.log(top)
+        return at, factor / np.where(top > 0, top, 1.0)[:, None]
+
+    known, which = np.unique(leaf, return_inverse=True)
+    above = np.array([-1 if parents[x] is None else parents[x] for x in known.tolist()], dtype=np.int64)[which]
+    far = np.array([lengths[x] for x in known.tolist()], dtype=float)[which]
+    # of the leaves of a node that a pattern knows the first of each pattern go together, then the second
+    by = np.lexsort((leaf, column, above))
+    new = np.ones(len(by), dtype=bool)
+    new[1:] = (above[by][1:] != above[by][:-1]) | (column[by][1:] != column[by][:-1])
+    turn = np.arange(len(by)) - np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))
+    again = np.lexsort((column[by], turn, above[by]))
+    by, turn = by[again], turn[again]
+    lots: dict[int, list[np.ndarray]] = {}
+    for lot in np.split(by, np.flatnonzero((above[by][1:] != above[by][:-1]) | (turn[1:] != turn[:-1])) + 1) if len(by) else ():
+        lots.setdefault(int(above[lot[0]]), []).append(lot)
     with np.errstate(divide="ignore"):  # an impossible pattern has -inf
-        for node in _heavy_first(parents, depths):
-            if node in cells:
-                at = column[cells[node]]
-                below = np.eye(k)[state[cells[node]]]
-            elif node in partial:
-                values, known = partial.pop(node)
-                at = np.flatnonzero(known)
-                below = values[at]
-            else:
+        for lot in lots.pop(-1, ()):
+            out[column[lot]] = np.log(freqs[state[lot]])
+        ends = set(known.tolist())
+        inner = {node: up for node, up in parents.items() if node not in ends and up not in ends}
+        for node in _heavy_first(inner, depths):
+            held = partial.pop(node, None)
+            for lot in lots.get(node, ()):
+                factor = np.empty((len(lot), k))
+                for length in np.unique(far[lot]).tolist():
+                    own = far[lot] == length
+                    factor[own] = move(length)[:, state[lot[own]]].T
+                held = times(held, column[lot], factor)
+            if held is None:
                 continue
-            up = parents[node]
-            if up is None:
+            at, below = held
+            if (up := parents[node]) is None:
                 out[at] = np.log(below @ freqs) + scale[at]
-                continue
-            if lengths[node] not in moves:
-                moves[lengths[node]] = transition(rates, lengths[node])
-            values, known = partial.setdefault(up, (np.ones((n, k)), np.zeros(n, dtype=bool)))
-            product = values[at] * np.maximum(below @ moves[lengths[node]].T, 0.0)
-            top = product.max(axis=1)
-            scale[at] += np.log(top)
-            values[at], known[at] = product / np.where(top > 0, top, 1.0)[:, None], True
+            else:
+                partial[up] = times(partial.get(up), at, below @ move(lengths[node]).T)
     return out
 
 
+def part_trees(dealt: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(gene, part, tree, node_id, parent_id, branch_length, depth): the leaves that the patterns of a part know (gene, part, tree, leaves) and what is above them, so a part isn't sent the rest of its gene's tree."""
+    kind = nodes.schema["node_id"].dataType.simpleString()
+    known = dealt.select("tree", "gene", "part", F.explode(F.col("leaves").cast(f"array<{kind}>")).alias("node_id"), F.lit(True).alias("known"))
+    own = gathered(known, jumps(nodes), {"known": F.first}, ["gene", "part"])
+    return own.join(nodes.select("tree", "node_id", "parent_id", F.coalesce("branch_length", F.lit(0.0)).alias("branch_length"), "depth"), ["tree", "node_id"]).drop("known")
+
+
 def pattern_likelihood(states: DataFrame, genes: DataFrame, nodes: DataFrame, rates: DataFrame, freqs: DataFrame, per_task: int = 2048) -> DataFrame:
     """(gene, site, log_likelihood) of alignment columns, each gene by its own tree and rates, for any number of states.
 
@@ -122,7 +161,7 @@ def pattern_likelihood(states: DataFrame, genes: DataFrame, nodes: DataFrame, ra
     not read; an impossible column has minus infinity. A gene without tree or rates is an error, and one that genes doesn't list has no row.
 
     Equal columns of a gene are one pattern, pruned once. Patterns are dealt to tasks by some `per_task` of a gene, so a long gene is many tasks, and the answers joined back to the sites.
-    A task holds a tree, its patterns, and matrices for the log2 of the tree's nodes that wait at once.
+    A task holds its patterns, what its patterns know of the tree, and matrices for the log2 of those nodes that wait at once.
     """
     leaf = nodes.where("is_leaf").select("tree", "name", F.col("node_id").cast("long").alias("leaf"))
     cell = F.when(F.col("leaf").isNotNull() & F.col("state").isNotNull(), F.struct("leaf", "state"))
@@ -130,17 +169,20 @@ def pattern_likelihood(states: DataFrame, genes: DataFrame, nodes: DataFrame, ra
     columns = cells.groupBy("gene", "site").agg(F.array_sort(F.collect_set(cell)).alias("known"))
     columns = checkpointed(columns.withColumn("pattern", F.sha2(F.col("known").cast("string"), 256)))
     patterns = columns.groupBy("gene", "pattern").agg(F.first("known").alias("known"))
+    patterns = checkpointed(patterns)  # read three times
     parts = patterns.groupBy("gene").agg(F.ceil(F.count(F.lit(1)) / per_task).cast("int").alias("parts"))
     dealt = patterns.join(parts, "gene").select("gene", F.pmod(F.hash("pattern"), "parts").alias("part"), "pattern", F.col("known.leaf").alias("leaves"), F.col("known.state").alias("states"))
     listed = lambda df, by, name, *c: df.groupBy(by).agg(F.collect_list(F.struct(*c)).alias(name))
-    tree = listed(nodes, "tree", "nodes", "node_id", "parent_id", F.coalesce("branch_length", F.lit(0.0)).alias("branch_length"), "depth")
-    models = genes.join(parts, "gene").join(tree, "tree", "left").join(listed(rates, "set", "rates", "i", "j", "rate"), "set", "left").join(listed(freqs, "set", "freqs", "i", "freq"), "set", "left")
-    models = models.select("gene", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *[F.col(f"nodes.{c}").alias(c) for c in ("node_id", "parent_id", "branch_length", "depth")],
+    trees = nodes.select("tree", F.lit(True).alias("grown")).distinct()
+    models = genes.join(parts, "gene").join(trees, "tree", "left").join(listed(rates, "set", "rates", "i", "j", "rate"), "set", "left").join(listed(freqs, "set", "freqs", "i", "freq"), "set", "left")
+    models = models.select("gene", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "grown",
         *[F.col(f"{a}.{c}").alias(f"{a}_{c}") for a, c in (("rates", "i"), ("rates", "j"), ("rates", "rate"), ("freqs", "i"), ("freqs", "freq"))])
+    given = models.unionByName(part_trees(dealt.join(genes.select("gene", "tree"), "gene"), nodes).drop("tree"), allowMissingColumns=True)
 
-    def run(key: tuple, some: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-        m = model.iloc[0]
-        if any(m[c] is None for c in ("node_id", "rates_i", "freqs_i")):
+    def run(key: tuple, some: pa.Table, given: pa.Table) -> pa.Table:
+        model = pc.is_null(given.column("node_id"))
+        m = given.filter(model).select(["grown", "rates_i", "rates_j", "rates_rate", "freqs_i", "freqs_freq"]).to_pylist()[0]
+        if any(m[c] is None for c in ("grown", "rates_i", "freqs_i")):
             raise ValueError(f"gene {key[0]} has no tree or no rates")
         k = len(m["freqs_i"])
         q, pi = np.zeros((k, k)), np.zeros(k)
@@ -148,9 +190,10 @@ def pattern_likelihood(states: DataFrame, genes: DataFrame, nodes: DataFrame, ra
         q[m["rates_i"], m["rates_j"]] = m["rates_rate"]
         np.fill_diagonal(q, 0.0)
         np.fill_diagonal(q, -q.sum(axis=1))
-        tree = pd.DataFrame({c: list(m[c]) for c in ("node_id", "parent_id", "branch_length", "depth")})
-        return some[["gene", "pattern"]].assign(log_likelihood=_pruned(tree, q, pi, list(some["leaves"]), list(some["states"])))
+        tree = given.filter(pc.invert(model)).select(["node_id", "parent_id", "branch_length", "depth"]).to_pandas()
+        found = _pruned(tree, q, pi, some.column("leaves").to_pylist(), some.column("states").to_pylist())
+        return some.select(["gene", "pattern"]).append_column("log_likelihood", pa.array(found, pa.float64()))
 
     gene = states.schema["gene"].dataType.simpleString()
-    answers = dealt.groupBy("gene", "part").cogroup(models.groupBy("gene", "part")).applyInPandas(run, f"gene {gene}, pattern string, log_likelihood double")
+    answers = dealt.groupBy("gene", "part").cogroup(given.groupBy("gene", "part")).applyInArrow(run, f"gene {gene}, pattern string, log_likelihood double")
     return columns.select("gene", "site", "pattern").join(answers, ["gene", "pattern"]).select("gene", "site", "log_likelihood")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from codonspark.functions import codons
 from codonspark.operators import alignment, rates, suffstat
-from codonspark.operators.likelihood import pattern_likelihood, site_likelihood, transition
+from codonspark.operators.likelihood import part_trees, pattern_likelihood, site_likelihood, transition
 from codonspark.streaming.running import follow, landed_points, live_moments, live_posterior, running_posterior
 
 
@@ -63,6 +63,14 @@ def test_likelihood(spark):
         assert got[site] == pytest.approx(math.log(total))
 
 
+def test_part_trees(spark):
+    """Parts of a gene over a star of 5000 leaves are sent their own leaves and the root, not the star."""
+    nodes = spark.range(5001).selectExpr("'t' AS tree", "CAST(id AS INT) AS node_id", "CASE WHEN id > 0 THEN 0 END AS parent_id", "concat('s', id) AS name", "0.5D AS branch_length", "id > 0 AS is_leaf", "CAST(id > 0 AS INT) AS depth")
+    dealt = spark.range(100).selectExpr("'g' AS gene", "CAST(id AS INT) AS part", "'t' AS tree", "array(1 + 2 * id, 2 + 2 * id) AS leaves")
+    got = part_trees(dealt, nodes).groupBy("part").agg(F.sort_array(F.collect_list("node_id")).alias("n")).collect()
+    assert {r["part"]: r["n"] for r in got} == {p: [0, 1 + 2 * p, 2 + 2 * p] for p in range(100)}
+
+
 def test_pattern_likelihood(spark):
     """Four and 61 states, each gene by its own tree and rates, against sums over all states of the inner nodes; equal columns, missing and repeated states, deep trees, impossible columns."""
     codes = {r["codon"]: r["codon_id"] for r in codons.codon_table(spark).collect()}
