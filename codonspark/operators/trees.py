@@ -55,11 +55,35 @@ def jumps(nodes: DataFrame) -> list[DataFrame]:
     return out
 
 
-def gathered(rows: DataFrame, below: DataFrame | list[DataFrame], merge: dict[str, Callable[[str], Column]], keys: Sequence[str] = ()) -> DataFrame:
+#: Rows at or below a node from which the node is heavy.
+HEAVY = 1 << 17
+
+
+def heavy_nodes(rows: DataFrame, below: list[DataFrame], heavy: int = HEAVY) -> DataFrame:
+    """(tree, node_id) of nodes with more than `heavy` rows (tree, node_id) at or below them: as few as the rows are many, and cut from their lineage."""
+    counts = gathered(rows.groupBy("tree", "node_id").agg(F.count(F.lit(1)).alias("n")), below, {"n": F.sum})
+    return checkpointed(counts.where(F.col("n") > heavy).select("tree", "node_id"))
+
+
+def _placed(rows: DataFrame, table: DataFrame, value: str, heavy: DataFrame | None) -> DataFrame:
+    """rows (tree, node_id, …) with `value` of their node in table (tree, node_id, value), null without one.
+
+    Dealt by node, all rows of a node near the root would be in one task. Those of heavy nodes find their value in a broadcast and stay apart in the join.
+    """
+    at = ["tree", "node_id"]
+    if heavy is None:
+        return rows.join(table.select(*at, value), at, "left")
+    few = F.broadcast(heavy.join(table.select(*at, F.col(value).alias("__value")), at, "left").withColumn("__lot", F.lit(True)))
+    lot = F.when(F.col("__lot"), 1 + F.pmod(F.xxhash64(*[c for c in rows.columns if c not in at]), F.lit(1 << 16))).otherwise(0).cast("long")
+    found = rows.join(few, at, "left").withColumn("__lot", lot).join(table.select(*at, value, F.lit(0).cast("long").alias("__lot")), [*at, "__lot"], "left")
+    return found.select(*rows.columns, F.coalesce("__value", value).alias(value))
+
+
+def gathered(rows: DataFrame, below: DataFrame | list[DataFrame], merge: dict[str, Callable[[str], Column]], keys: Sequence[str] = (), heavy: DataFrame | None = None) -> DataFrame:
     """(tree, keys, node_id, columns of merge): what rows (tree, keys, node_id, columns) hold at a node and all nodes below it, merged by functions as F.sum, F.min, F.max. Nodes with nothing below have no row.
 
     below: a closure, or jumps(nodes). By jumps each node first has its own rows, and after k rounds those less than 2^k steps below it, as each node hands what it has to its ancestor
-    2^k steps up too. So no round has more rows than the result, times two, whatever the depth. Deep trees cut their lineage every four rounds.
+    2^k steps up too. So no round has more rows than the result, times two, whatever the depth. Deep trees cut their lineage every four rounds. heavy: nodes of many keys, as of heavy_nodes.
     """
     by = ["tree", *keys, "node_id"]
     own = rows.select(*by, *merge)
@@ -70,7 +94,7 @@ def gathered(rows: DataFrame, below: DataFrame | list[DataFrame], merge: dict[st
     out = own.groupBy(*by).agg(*values)
     for k, up in enumerate(below):
         both = F.explode(F.array_compact(F.array("node_id", "up")))
-        out = out.join(up, ["tree", "node_id"], "left").withColumn("node_id", both).groupBy(*by).agg(*values)
+        out = _placed(out, up, "up", heavy).withColumn("node_id", both).groupBy(*by).agg(*values)
         if k % 4 == 3:
             out = checkpointed(out)
     return out
@@ -193,15 +217,21 @@ def tree_alignment_join(nodes: DataFrame, rows: DataFrame) -> DataFrame:
     return joined.withColumn("taxon", F.when(lost.isNotNull(), F.raise_error(F.concat(lost, "taxon"))).otherwise(F.col("taxon"))).drop("__row")
 
 
-def informative_nodes(nodes: DataFrame, below: DataFrame | list[DataFrame], leaf_states: DataFrame, zeros: bool = False) -> DataFrame:
+def informative_nodes(nodes: DataFrame, below: DataFrame | list[DataFrame], leaf_states: DataFrame, zeros: bool = False, heavy: int = HEAVY) -> DataFrame:
     """(tree, site, node_id, flag): 2 for the root of the least subtree that spans the known leaves of a site, 1 for its other nodes, 0 for the nodes above it.
 
     zeros: the nodes that no path touches are listed too, with 0, which is a row for every node and site. leaf_states: (tree, site, name) of known leaves. below as in gathered.
-    A node's count of known leaves below says all: the root is the deepest with all of them.
+    A node's count of known leaves below says all: the root is the deepest with all of them. By jumps, nodes with more than `heavy` known leaves below them, over all sites, are no task of their own;
+    were they over 2^17, they wouldn't be sent to all tasks.
     """
     leaf = nodes.where("is_leaf").select("tree", "node_id", "name")
     known = leaf_states.join(leaf, ["tree", "name"]).select("tree", "site", "node_id", F.lit(1).cast("long").alias("n"))
-    rows = gathered(known, below, {"n": F.sum}, ["site"]).join(nodes.select("tree", "node_id", "depth"), ["tree", "node_id"])
+    dense = None
+    if not isinstance(below, DataFrame):
+        known = checkpointed(known)  # read twice
+        found = heavy_nodes(known, below, heavy)
+        dense = found if 0 < found.count() <= 1 << 17 else None
+    rows = _placed(gathered(known, below, {"n": F.sum}, ["site"], dense), nodes, "depth", dense)
     root = rows.groupBy("tree", "site").agg(F.max(F.struct("n", "depth")).alias("root"))
     deeper = F.col("depth") > F.col("root.depth")
     flag = F.when(deeper, 1).when((F.col("n") == F.col("root.n")) & (F.col("depth") == F.col("root.depth")), 2).otherwise(0)

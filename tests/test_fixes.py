@@ -218,3 +218,14 @@ def test_header_and_lines_in_one_file(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_heavy_nodes(spark):
+    """Nodes near the root with many sites are found by broadcast: flags are those of the closure, for light and heavy nodes alike."""
+    rows = [("t", 0, None, "r", None, False, 0)] + [("t", 1 + i, 0, f"i{i}", 0.5, False, 1) for i in range(3)] + [("t", 10 + i, 1 + i % 3, f"l{i}", 0.5, True, 2) for i in range(12)]
+    nodes = spark.createDataFrame(rows, "tree string, node_id int, parent_id int, name string, branch_length double, is_leaf boolean, depth int")
+    known = spark.range(60).selectExpr("'t' AS tree", "id % 15 AS site", "concat('l', pmod(id * id + id DIV 15, 12)) AS name").distinct()
+    flags = lambda *a, **k: sorted(tuple(r) for r in trees.informative_nodes(nodes, *a, known, **k).collect())
+    ups = trees.jumps(nodes)
+    assert 0 in {r["node_id"] for r in trees.heavy_nodes(known.join(nodes, ["tree", "name"]), ups, 10).collect()}
+    assert flags(trees.closure(nodes)) == flags(ups, heavy=2) == flags(ups, heavy=10) == flags(ups)
