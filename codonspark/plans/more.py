@@ -159,7 +159,7 @@ FOREST = "SELECT f.tree::VARCHAR AS tree, f.name, p.name AS parent, f.branch_len
 def read_newick(f):
     path = shared_path(f.sparkSession, "files")
     files.write_newick(_forest(f), path)
-    n = files.read_newick(f.sparkSession, path)
+    n = files.read_newick_list(f.sparkSession, path)
     up = n.select("tree", F.col("node_id").alias("parent_id"), F.col("name").alias("parent"))
     return n.join(up, ["tree", "parent_id"], "left").select("tree", "name", "parent", "branch_length", "is_leaf", "depth")
 
@@ -173,7 +173,7 @@ def write_newick(f):
     valued, indexed = shared_path(spark, "files"), shared_path(spark, "files")
     files.write_newick(nodes, valued, node_value="n")
     files.write_newick(nodes, indexed, branch="index")
-    a, b = files.read_newick(spark, valued), files.read_newick(spark, indexed)
+    a, b = files.read_newick_list(spark, valued), files.read_newick_list(spark, indexed)
     index = b.select(F.col("tree").cast("long").alias("tree"), F.col("node_id").alias("place"), F.coalesce(F.expr("try_cast(branch_value AS BIGINT)"), F.lit(0)).alias("node_id"))
     named = a.select(F.col("tree").cast("long").alias("tree"), F.col("node_id").alias("place"), "name")
     return named.join(index, ["tree", "place"]).join(f.select("tree", "node_id", "branch_length"), ["tree", "node_id"]).select("tree", "name", "branch_length")
@@ -252,7 +252,7 @@ def mapped_trees(b):
         top = root.select(F.col("gene").cast("string").alias("tree"), F.lit(0).cast("long").alias("node_id"), F.lit(None).cast("long").alias("parent_id"), F.lit(0).cast("long").alias("child_rank"), F.lit("root").alias("name"), F.lit(None).cast("string").alias("branch_value"), F.lit(0).alias("depth"))
         path = shared_path(spark, "files")
         files.write_newick(top.union(leaf), path)
-        read = files.read_newick(spark, path).where("is_leaf")
+        read = files.read_newick_list(spark, path).where("is_leaf")
         return read.withColumn("node_id", F.col("name").cast("long"))
 
     return tr.merge_mapped_branches(tr.mapped_trees(*[table(s) for s in ("nsyn", "bsyn", "nnonsyn", "bnonsyn")]))

@@ -229,3 +229,15 @@ def test_heavy_nodes(spark):
     ups = trees.jumps(nodes)
     assert 0 in {r["node_id"] for r in trees.heavy_nodes(known.join(nodes, ["tree", "name"]), ups, 10).collect()}
     assert flags(trees.closure(nodes)) == flags(ups, heavy=2) == flags(ups, heavy=10) == flags(ups)
+
+
+def test_tree_lists(spark, tmp_path):
+    """Many trees are few files, not a folder each; names with brackets stay, and a tree without a name is an error."""
+    names = ["t]x", "[odd]", *(f"t{i}" for i in range(300))]
+    nodes = spark.createDataFrame([(n, i, 0 if i else None, i, f"n{i}", f"{i}.5" if i else None, i > 0, int(i > 0)) for n in names for i in range(3)], "tree string, node_id int, parent_id int, child_rank int, name string, branch_value string, is_leaf boolean, depth int")
+    files.write_newick(nodes, str(tmp_path / "many"))
+    assert len(list((tmp_path / "many").glob("**/part-*"))) <= 4
+    back = files.read_newick_list(spark, str(tmp_path / "many")).select("tree", "name", "branch_value", "is_leaf").collect()
+    assert {tuple(r) for r in back} == {(n, f"n{i}", f"{i}.5" if i else "", i > 0) for n in names for i in range(3)} and len(back) == 3 * len(names)
+    with pytest.raises(Exception, match="has no name"):
+        files.read_newick_list(spark, put(tmp_path, "bare", "(A,B);\n")).collect()
