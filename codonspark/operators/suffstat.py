@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from codonspark.functions.shared import by_few
+
 
 def path_suffstat(path: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """(waiting (keys, state, t), pairs (keys, from_state, to_state, n)) of paths (gene, site, branch, seg, state, t)."""
@@ -22,7 +24,7 @@ def scaled_path(path: DataFrame, lengths: DataFrame, rates: DataFrame, informati
     """
     if informative is not None:
         path = path.join(informative.where("flag = 1").select("gene", "site", "branch"), ["gene", "site", "branch"], "left_semi")
-    rows = path.join(lengths.select("branch", "branch_length"), "branch").join(rates.select("gene", "site", "rate"), ["gene", "site"])
+    rows = by_few(path, lengths.select("branch", "branch_length"), "branch").join(rates.select("gene", "site", "rate"), ["gene", "site"])
     return rows.withColumn("t", F.col("rel_time") * F.col("branch_length") * F.col("rate")).drop("branch_length", "rate")
 
 
@@ -42,12 +44,15 @@ def nuc_root_counts(roots: DataFrame, codons: DataFrame) -> DataFrame:
 def length_suffstat(path: DataFrame, rates: DataFrame, keys: list[str], factor: str | None = None) -> DataFrame:
     """Per key: events and the sum of waiting time times the rate out of the state (rates: state, out).
 
-    By branch or by site: `factor` names a column of path that its times are to be multiplied by, as the site's rate for branches or the branch's length for sites.
+    One pass over the path: a state without rate adds no time, and a key without any rate has no row. By branch or by site: `factor` names a column of path that its times are to be multiplied by, as the site's rate for branches or the branch's length for sites.
     """
     path = path.withColumn("t", F.col("t") * F.col(factor)) if factor else path
-    waiting, pairs = path_suffstat(path, keys)
-    beta = waiting.join(rates, "state").groupBy(*keys).agg(F.sum(F.col("t") * F.col("out")).alias("beta"))
-    return beta.join(pairs.groupBy(*keys).agg(F.sum("n").alias("count")), keys, "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    order = W.partitionBy("gene", "site", "branch").orderBy("seg")
+    event = F.col("state") != F.lead("state").over(order)
+    rows = path.select(*dict.fromkeys(["gene", "site", "branch", "seg", *keys]), "state", "t").withColumn("event", F.when(event, 1).otherwise(0)).select(*keys, "state", "t", "event")
+    rows = rows.join(rates.select("state", "out", F.lit(1).alias("rated")), "state", "left")
+    summed = rows.groupBy(*keys).agg(F.sum(F.col("t") * F.col("out")).alias("beta"), F.sum("event").alias("count"), F.count("rated").alias("rated"))
+    return summed.where("rated > 0").drop("rated")
 
 
 def ds_omega_suffstat(waiting: DataFrame, pairs: DataFrame, neighbours: DataFrame, keys: list[str], omega: float = 1.0, only: str | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codonspark.functions import codons as c
-from codonspark.functions.shared import shared_path, staged
+from codonspark.functions.shared import by_few, shared_path, staged
 from codonspark.operators import alignment as al
 from codonspark.operators import posterior as po
 from codonspark.operators import rates as ra
@@ -538,7 +538,7 @@ def nuc_root_counts(p, f):
   JOIN (SELECT codon_id1, count(*)::DOUBLE AS r FROM near GROUP BY ALL) o ON o.codon_id1 = p.state GROUP BY gene, site) b LEFT JOIN (SELECT gene, site, count(*) AS n FROM {STEPS} WHERE to_state <> from_state GROUP BY gene, site) n ON n.gene = b.gene AND n.site = b.site""")
 def length_suffstat_sites(p, b):
     out = near(p.sparkSession).where("position BETWEEN 0 AND 2").groupBy(F.col("codon_id1").alias("state")).agg(F.sum("rate").alias("out"))
-    return su.length_suffstat(p.join(b, "branch"), out, ["gene", "site"], factor="branch_length")
+    return su.length_suffstat(by_few(p, b, "branch"), out, ["gene", "site"], factor="branch_length")
 
 
 @query("site_aa_trace", "SELECT cond, gene, round(sum(delta), 6) AS sum, round(sum(ln(delta)), 6) AS sum_log, count(*) AS n FROM site_aa_trace WHERE mask <> 0 AND delta > 0 GROUP BY cond, gene")

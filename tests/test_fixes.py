@@ -241,3 +241,12 @@ def test_tree_lists(spark, tmp_path):
     assert {tuple(r) for r in back} == {(n, f"n{i}", f"{i}.5" if i else "", i > 0) for n in names for i in range(3)} and len(back) == 3 * len(names)
     with pytest.raises(Exception, match="has no name"):
         files.read_newick_list(spark, put(tmp_path, "bare", "(A,B);\n")).collect()
+
+
+def test_lengths_in_one_pass(spark):
+    """Events and times by site: the path is sorted once; states without rate add no time, keys without any have no row."""
+    path = spark.createDataFrame([("g", 1, 0, i, s, 0.5) for i, s in enumerate((1, 1, 2, 9))] + [("g", 1, 1, 0, 1, 2.0), ("g", 2, 0, 0, 9, 1.0), ("g", 2, 0, 1, 9, 1.0), ("g", 3, 0, 0, None, 1.0), ("g", 3, 0, 1, 2, 1.0)], "gene string, site int, branch int, seg int, state int, t double")
+    out = spark.createDataFrame([(1, 2.0), (2, 4.0)], "state int, out double")
+    found = suffstat.length_suffstat(path, out, ["gene", "site"])
+    assert sorted((r["site"], r["beta"], r["count"]) for r in found.collect()) == [(1, 8.0, 2), (3, 4.0, 0)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1
