@@ -250,3 +250,13 @@ def test_lengths_in_one_pass(spark):
     found = suffstat.length_suffstat(path, out, ["gene", "site"])
     assert sorted((r["site"], r["beta"], r["count"]) for r in found.collect()) == [(1, 8.0, 2), (3, 4.0, 0)]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1
+
+
+def test_triplets_are_dealt_once(spark):
+    """Repeated sites, frames, other genes and null states; one shuffle, and no distinct count of sites."""
+    rows = [("g", "a", s, 1) for s in (0, 1, 2, 3, 4, 4, 6, 7, 8, 9, 10, 11)] + [("g", "b", s, None if s == 7 else 2) for s in range(12)] + [("h", "a", 0, 1), ("h", "b", 1, 1)]
+    long = spark.createDataFrame(rows, "gene string, taxon string, site int, state int")
+    at = lambda **k: sorted({(r["gene"], r["site"]) for r in alignment.complete_triplets(long, **k).collect()})
+    assert at() == [("g", s) for s in (0, 1, 2, 3, 4, 5, 9, 10, 11)] and at(frame=1) == [("g", s) for s in (1, 2, 3, 4, 5, 6)]
+    plan = alignment.complete_triplets(long)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
