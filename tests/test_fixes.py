@@ -231,6 +231,25 @@ def test_heavy_nodes(spark):
     assert flags(trees.closure(nodes)) == flags(ups, heavy=2) == flags(ups, heavy=10) == flags(ups)
 
 
+def test_triplets_are_dealt_once(spark):
+    """Repeated sites, frames, other genes and null states; one shuffle, and no distinct count of sites."""
+    rows = [("g", "a", s, 1) for s in (0, 1, 2, 3, 4, 4, 6, 7, 8, 9, 10, 11)] + [("g", "b", s, None if s == 7 else 2) for s in range(12)] + [("h", "a", 0, 1), ("h", "b", 1, 1)]
+    long = spark.createDataFrame(rows, "gene string, taxon string, site int, state int")
+    at = lambda **k: sorted({(r["gene"], r["site"]) for r in alignment.complete_triplets(long, **k).collect()})
+    assert at() == [("g", s) for s in (0, 1, 2, 3, 4, 5, 9, 10, 11)] and at(frame=1) == [("g", s) for s in (1, 2, 3, 4, 5, 6)]
+    plan = alignment.complete_triplets(long)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_lengths_in_one_pass(spark):
+    """Events and times by site: the path is sorted once; states without rate add no time, keys without any have no row."""
+    path = spark.createDataFrame([("g", 1, 0, i, s, 0.5) for i, s in enumerate((1, 1, 2, 9))] + [("g", 1, 1, 0, 1, 2.0), ("g", 2, 0, 0, 9, 1.0), ("g", 2, 0, 1, 9, 1.0), ("g", 3, 0, 0, None, 1.0), ("g", 3, 0, 1, 2, 1.0)], "gene string, site int, branch int, seg int, state int, t double")
+    out = spark.createDataFrame([(1, 2.0), (2, 4.0)], "state int, out double")
+    found = suffstat.length_suffstat(path, out, ["gene", "site"])
+    assert sorted((r["site"], r["beta"], r["count"]) for r in found.collect()) == [(1, 8.0, 2), (3, 4.0, 0)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1
+
+
 def test_tree_lists(spark, tmp_path):
     """Many trees are few files, not a folder each; names with brackets stay, and a tree without a name is an error."""
     names = ["t]x", "[odd]", *(f"t{i}" for i in range(300))]
@@ -243,20 +262,12 @@ def test_tree_lists(spark, tmp_path):
         files.read_newick_list(spark, put(tmp_path, "bare", "(A,B);\n")).collect()
 
 
-def test_lengths_in_one_pass(spark):
-    """Events and times by site: the path is sorted once; states without rate add no time, keys without any have no row."""
-    path = spark.createDataFrame([("g", 1, 0, i, s, 0.5) for i, s in enumerate((1, 1, 2, 9))] + [("g", 1, 1, 0, 1, 2.0), ("g", 2, 0, 0, 9, 1.0), ("g", 2, 0, 1, 9, 1.0), ("g", 3, 0, 0, None, 1.0), ("g", 3, 0, 1, 2, 1.0)], "gene string, site int, branch int, seg int, state int, t double")
-    out = spark.createDataFrame([(1, 2.0), (2, 4.0)], "state int, out double")
-    found = suffstat.length_suffstat(path, out, ["gene", "site"])
-    assert sorted((r["site"], r["beta"], r["count"]) for r in found.collect()) == [(1, 8.0, 2), (3, 4.0, 0)]
-    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1
-
-
-def test_triplets_are_dealt_once(spark):
-    """Repeated sites, frames, other genes and null states; one shuffle, and no distinct count of sites."""
-    rows = [("g", "a", s, 1) for s in (0, 1, 2, 3, 4, 4, 6, 7, 8, 9, 10, 11)] + [("g", "b", s, None if s == 7 else 2) for s in range(12)] + [("h", "a", 0, 1), ("h", "b", 1, 1)]
-    long = spark.createDataFrame(rows, "gene string, taxon string, site int, state int")
-    at = lambda **k: sorted({(r["gene"], r["site"]) for r in alignment.complete_triplets(long, **k).collect()})
-    assert at() == [("g", s) for s in (0, 1, 2, 3, 4, 5, 9, 10, 11)] and at(frame=1) == [("g", s) for s in (1, 2, 3, 4, 5, 6)]
-    plan = alignment.complete_triplets(long)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+def test_known_columns(spark):
+    """First positions of known codons over the columns that some taxon of a gene knows: stops, missing, short, null and non-ASCII sequences, genes apart, a null gene; nothing is a row for each place."""
+    rows = [("g", "a", "acgTAAGGN---TTTc"), ("g", "b", "---AAAGG-\u00e9ACTTT"), ("g", "c", "AC"), ("g", "d", None), ("h", "a", "TGATAGTAA"), (None, "a", "AAA"), ("k", "a", "---" * 70 + "CGA"), ("k", "b", "ACG")]
+    wide = spark.createDataFrame(rows, "gene string, taxon string, seq string")
+    found = alignment.codon_position(wide, 0, drop_missing=True)
+    assert {(r["gene"], r["taxon"]): r["seq"] for r in found.collect()} == {
+        ("g", "a"): "A-T", ("g", "b"): "-AT", ("g", "c"): "", ("g", "d"): "", ("h", "a"): "", (None, "a"): "", ("k", "a"): "-C", ("k", "b"): "A"}
+    assert alignment.codon_position(wide, 2, drop_missing=True).where("gene = 'g' AND taxon = 'b'").first()["seq"] == "-AT"
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
