@@ -47,16 +47,21 @@ def _fold(key: tuple[str, int], frames: Iterator[pd.DataFrame], state: Any) -> I
         bits, n, last, s, p = state.get
         seen, sums, positive = np.frombuffer(bits, np.uint8), np.frombuffer(s, np.float64), np.frombuffer(p, np.int64)
     seen = np.unpackbits(seen, count=BLOCK) if len(seen) else np.zeros(BLOCK, np.uint8)
-    fresh: dict[int, tuple[float, ...]] = {}
+    its, values = [np.empty(0, np.int64)], []
     for frame in frames:
-        for it, values in zip(frame["iter"].tolist(), frame["values"], strict=True):
-            if not seen[it % BLOCK]:
-                fresh[it] = min(fresh.get(it, tuple(values)), tuple(values))
-    if not fresh:
+        its.append(frame["iter"].to_numpy(dtype=np.int64))
+        values += frame["values"].tolist()
+    at = np.concatenate(its)
+    fresh = np.flatnonzero(seen[at % BLOCK] == 0)
+    if not len(fresh):
         return
-    rows = np.array([fresh[it] for it in sorted(fresh)])
-    seen[[it % BLOCK for it in fresh]] = 1
-    n, last = n + len(rows), max(last, *fresh)
+    rows = np.array([values[i] for i in fresh.tolist()], dtype=np.float64) if len(fresh) < len(at) else np.array(values, dtype=np.float64)
+    at = at[fresh]
+    order = np.lexsort((*rows.T[::-1], at))  # of several lines of a point the least
+    order = order[np.concatenate([[True], at[order][1:] != at[order][:-1]])]
+    at, rows = at[order], rows[order]
+    seen[at % BLOCK] = 1
+    n, last = n + len(rows), max(last, int(at[-1]))
     sums, positive = (sums if n > len(rows) else 0) + rows.sum(axis=0), (positive if n > len(rows) else 0) + (rows > 0).sum(axis=0)
     state.update((np.packbits(seen).tobytes(), n, last, sums.tobytes(), positive.astype(np.int64).tobytes()))
     yield pd.DataFrame({"chain": [key[0]], "block": [key[1]], "n": [n], "last_iter": [last], "sums": [sums.tolist()], "positive": [positive.tolist()]})
