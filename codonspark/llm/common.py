@@ -9,9 +9,9 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codonspark.functions.shared import checkpointed, freed_shuffles, removed, running, shared_dir, shared_path, staged
+from codonspark.functions.shared import checkpointed, freed_shuffles, removed, running, scratch, shared_dir, shared_path, staged
 
-__all__ = ["checkpointed", "freed_shuffles", "removed", "running", "shared_dir", "shared_path", "staged"]
+__all__ = ["checkpointed", "freed_shuffles", "removed", "running", "scratch", "shared_dir", "shared_path", "staged"]
 
 #: Separators of the first word rule: space and the controls 09 to 0D.
 SPACE = r"\x20\x09-\x0D"

@@ -36,6 +36,8 @@ from .common import checkpointed, freed_shuffles, read_table, removed, shared_pa
 BITS = 3
 #: Fingerprints of an anchor that are compared in one group.
 GROUP = 4096
+#: Edges of a graph whose minima are broadcast in a round of components(), and edges a task then.
+FEW, FEW_ROWS = 1 << 15, 1 << 13
 _BOUNDS = np.arange(64, dtype=np.uint64)
 
 
@@ -161,10 +163,11 @@ def links(distinct: DataFrame) -> DataFrame:
     return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, few: int = FEW) -> DataFrame:
     """(node, root) of each node of edges (a, b): root is the least node it reaches. Large and small stars until nothing changes.
 
     A round is written to the shared folder and the one before it deleted. A node with many neighbours is a hot key of the rounds' joins alone, which Spark splits; minima are taken before any shuffle.
+    Of `few` edges at most the minima, two rows an edge at most, are broadcast, and a round's tasks go by the number of edges, not by the session's shuffle partitions: else many partitions make a thousand empty tasks a round.
     """
     spark, paths = edges.sparkSession, []
 
@@ -180,14 +183,21 @@ def components(edges: DataFrame) -> DataFrame:
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     same = law(edges)
     while True:
+        light, tasks = same[0] <= few, 4 + same[0] // FEW_ROWS
+
+        def minima(df: DataFrame) -> DataFrame:
+            return df.groupBy("a").agg(F.min("b").alias("m"))
+
+        def joined(df: DataFrame, least: DataFrame) -> DataFrame:
+            return df.join(F.broadcast(least.coalesce(tasks)) if light else least, "a")  # noqa: B023
+
         # large star: neighbours above a node go to the least of its neighbourhood
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = joined(both, minima(both).select("a", F.least("a", "m").alias("m"))).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        large = large if light else large.distinct()
         # small star: a node and its lesser neighbours go to the least of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        edges = written(small.distinct())
+        small = joined(large, minima(large)).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
+        edges = written(small.coalesce(tasks) if light else small)
         removed(spark, paths.pop(0))
         before, same = same, law(edges)
         if before == same:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codonspark.llm.common import read_table, removed, shared_path, staged
+from codonspark.llm.common import read_table, removed, scratch, shared_path, staged
 from codonspark.llm.decontaminate import decontaminate
 from codonspark.llm.mixing import mixed_documents
 from codonspark.llm.ngrams import jaccard_components
@@ -39,14 +39,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     named = staged(docs.withColumn("__row", F.monotonically_increasing_id()))
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64("text").alias("hash"), F.col("__row").alias("row"))
-    keyed = named.select("__row", "text")
-    near = near_duplicates(keyed, key="__row", words=NEAR_WORDS).select("__row", "component_id")
-    alike = jaccard_components(keyed, key="__row", words=NEAR_WORDS, percent=NEAR_PERCENT).select("__row", "component_id")
-    roots = components(near.union(alike).select(F.col("__row").alias("a"), F.col("component_id").alias("b")))
-    members = roots.union(roots.select("root", "root").distinct())  # a root has no row of its own
-    placed = named.select("__row", order.alias("place")).join(members, F.col("__row") == F.col("node"))
-    first = placed.groupBy("root").agg(F.min("place").alias("first"))
-    gone = placed.join(first, "root").where("first.row <> __row").select("__row")
+    keyed, path = named.select("__row", "text"), shared_path(spark, "staged")
+    with scratch(spark):  # what the two paths have written goes as soon as the rows to drop are known
+        near = near_duplicates(keyed, key="__row", words=NEAR_WORDS).select("__row", "component_id")
+        alike = jaccard_components(keyed, key="__row", words=NEAR_WORDS, percent=NEAR_PERCENT).select("__row", "component_id")
+        roots = components(near.union(alike).select(F.col("__row").alias("a"), F.col("component_id").alias("b")))
+        members = roots.union(roots.select("root", "root").distinct())  # a root has no row of its own
+        placed = named.select("__row", order.alias("place")).join(members, F.col("__row") == F.col("node"))
+        first = placed.groupBy("root").agg(F.min("place").alias("first"))
+        gone = staged(placed.join(first, "root").where("first.row <> __row").select("__row"), path)
     return named.join(gone, "__row", "left_anti").select(*docs.columns)
 
 

@@ -97,3 +97,68 @@ def test_edges(spark, tmp_path):
             stage(spark, docs, SF).write.parquet(path)
             docs = spark.read.parquet(path)
         assert bool(docs.count()) == bool(data)
+
+
+def small_graph():
+    """Edges of a star, a chain, a tree of hubs and repeats, and the least node that each node reaches."""
+    chain = [(k * 37 % 101 + 1000, (k + 1) * 37 % 101 + 1000) for k in range(99)]
+    edges = [(5000, k) for k in range(2000, 2400)] + chain + chain[:9] + [(3000 + k, 3000 + k // 4) for k in range(1, 200)] + [(7, 7)]
+    least = {x: x for e in edges if e[0] != e[1] for x in e}
+    while True:
+        before = dict(least)
+        for a, b in edges:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+        if before == least:
+            return edges, {n: r for n, r in least.items() if n != r}
+
+
+@pytest.mark.parametrize("few", [0, 100, None])
+def test_components_of_few_edges(spark, few):
+    """Few edges or many, plain nodes or structs: the same roots."""
+    from codonspark.llm import simhash
+
+    edges, want = small_graph()
+    more = {} if few is None else {"few": few}
+    plain = spark.createDataFrame(edges, "a long, b long")
+    assert {r["node"]: r["root"] for r in simhash.components(plain, **more).collect()} == want
+    pairs = plain.selectExpr("struct(0L AS s, a AS t) AS a", "struct(0L AS s, b AS t) AS b")
+    assert {r["node"]["t"]: r["root"]["t"] for r in simhash.components(pairs, **more).collect()} == want
+
+
+def test_components_tasks(spark):
+    """Rounds over few edges have few tasks, whatever the number of shuffle partitions."""
+    from codonspark.llm import simhash
+
+    edges, want = small_graph()
+    own = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    sc = spark.sparkContext
+    try:
+        sc.setJobGroup("components", "")
+        got = simhash.components(spark.createDataFrame(edges, "a long, b long"))
+        tracker = sc.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup("components") for s in tracker.getJobInfo(j).stageIds}
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(stages) > 8 and sum(x.numCompletedTasks for s in stages if (x := tracker.getStageInfo(s))) < 400
+    assert {r["node"]: r["root"] for r in got.collect()} == want
+
+
+def test_near_dedup_leaves_little(spark):
+    """Of what near_dedup writes to the shared folder only the rows and the ids of those to drop stay."""
+    import os
+
+    import corpus_pipeline
+    from codonspark.llm.common import shared_dir
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    top = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(top))
+    got = corpus_pipeline.near_dedup(spark, docs, SF)
+    left = [x for x in set(os.listdir(top)) - before if x.startswith(("staged-", "edges-"))]
+    assert len(left) == 2 and got.count()
