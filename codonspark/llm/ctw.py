@@ -7,8 +7,8 @@ the estimates of all depths along its context, each node weighted against what l
 evidence of the training texts: w = KT / (KT + product of the children), halves cancelled.
 
 Texts lie in blocks of about `BLOCK_BYTES`, written once to the shared folder. Training: tasks count the distinct windows
-of DEPTH + 1 bytes of each block and deal them by the last `KEPT` bytes of the context, so all deeper nodes of a window are in one
-task. There every node of depths KEPT to DEPTH is counted exactly and mixed bottom up, and what a window takes from them is kept with it.
+of DEPTH + 1 bytes of each block, `_SORTED` at a time, and deal them by the last `KEPT` bytes of the context, so all deeper nodes of a window are in one
+task, sorted. There every node of depths KEPT to DEPTH is counted exactly and mixed bottom up, and what a window takes from them is kept with it.
 Only the nodes of fewer bytes, at most 2^24 whatever the corpus, are added up over tasks and broadcast. Scores of windows go back
 to their blocks, each window once for a block. All nodes of all texts count, none shares counts with another, and
 a context that was never seen takes no part. Choices sum to one, so the score is a probability; of a choice under 10^-9 that is kept instead, and what deep nodes give and scores of windows
@@ -29,7 +29,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.ipc  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,9 +40,14 @@ DEPTH = 5
 #: Bytes of the context by which windows are dealt; nodes of fewer bytes are broadcast.
 KEPT = 3
 BLOCK_BYTES = 12 << 20
-_PIECE = 2 << 20
-_GROUP = 100_000
+_PIECE = 1 << 17
+#: Distinct windows that are mixed at once, and pairs of window and block that are held for them or scored at once, by one task.
+_GROUP, _PAIRS = 30_000, 300_000
+#: Windows that are sorted at once, block by block.
+_SORTED = 1 << 19
 _END = b"\n"
+#: Bits of a window besides those bytes.
+_REST = np.uint64(8 * (DEPTH - KEPT + 1))
 
 
 def held_out(key: object, folds: int = 7, fold: int = 2) -> bool:
@@ -51,8 +55,12 @@ def held_out(key: object, folds: int = 7, fold: int = 2) -> bool:
 
 
 def _lines(texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
-    words = [spaced_words(t, lower=True) for t in texts]
-    return [b" ".join(w) for w in words], np.array([len(w) for w in words], dtype=np.int64)
+    lines, n_words = [], np.zeros(len(texts), dtype=np.int64)
+    for i, t in enumerate(texts):
+        words = spaced_words(t, lower=True)
+        lines.append(b" ".join(words))
+        n_words[i] = len(words)
+    return lines, n_words
 
 
 def _windows(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -256,6 +264,64 @@ def _runs(lines: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
             yield at, to, windows, np.zeros(1, dtype=np.int64)
 
 
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Places of the first of equal values of a sorted array."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])[: len(x)])
+
+
+def _turned(windows: np.ndarray) -> np.ndarray:
+    """Windows with the last KEPT bytes of the context in front, so that they sort by these."""
+    x = (windows >> np.uint64(8)) & np.uint64((1 << (8 * KEPT)) - 1)
+    return x << _REST | windows >> np.uint64(8 * (KEPT + 1)) << np.uint64(8) | windows & np.uint64(255)
+
+
+def _turned_back(x: np.ndarray) -> np.ndarray:
+    rest = (x & ((np.uint64(1) << _REST) - np.uint64(1))) >> np.uint64(8)
+    return rest << np.uint64(8 * (KEPT + 1)) | x >> _REST << np.uint64(8) | x & np.uint64(255)
+
+
+def _block_windows(lines: list[bytes], trained: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Runs of the distinct windows of the lines, sorted, with their counts in the lines of training. Besides these only _SORTED windows are held: they are sorted in place, the mark of training as lowest bit."""
+
+    def merged(key: np.ndarray, n: np.ndarray, held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        more = np.concatenate(held)
+        more.sort()
+        first = _starts(more)
+        key, n = np.concatenate([key, more[first]]), np.concatenate([n, np.diff(first, append=len(more))])
+        order = np.argsort(key, kind="stable")
+        key, n = key[order], n[order]
+        first = _starts(key)
+        return key[first], np.add.reduceat(n, first)
+
+    key, n, held, size = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), [], 0
+    for at, to, windows, first in _runs(lines):
+        held.append(windows << np.uint64(1) | np.repeat(trained[at:to], np.diff(first, append=len(windows))))
+        size += len(windows)
+        if size >= _SORTED:
+            (key, n), held, size = merged(key, n, held), [], 0
+    if held:
+        key, n = merged(key, n, held)
+    windows, n = key >> np.uint64(1), np.where(key & np.uint64(1), n, 0)
+    if len(windows):
+        first = _starts(windows)
+        windows, n = windows[first], np.add.reduceat(n, first)
+    for i in range(0, len(windows), 1 << 16):
+        yield windows[i : i + (1 << 16)], n[i : i + (1 << 16)]
+
+
+def _looked_up(found: np.ndarray, windows: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The values of windows, all of which are among the sorted ones. So many are sorted at once as the bits that a window leaves can number."""
+    out, bits = np.empty(len(found)), np.uint64(64 - 8 * (DEPTH + 1))
+    for i in range(0, len(found), 1 << int(bits)):
+        x = found[i : i + (1 << int(bits))]
+        x = x << bits | np.arange(len(x), dtype=np.uint64)
+        x.sort()
+        own = x >> bits
+        first = _starts(own)
+        out[i + (x & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)] = np.repeat(value[np.searchsorted(windows, own[first])], np.diff(first, append=len(x)))
+    return out
+
+
 def _blocks(rows: DataFrame, block_bytes: int) -> DataFrame:
     """(block, data): blocks of (key, held, line, n_words), written to the shared folder once, so that all passes see the same blocks."""
 
@@ -263,7 +329,8 @@ def _blocks(rows: DataFrame, block_bytes: int) -> DataFrame:
         serial = 0
         for batch in slices(batches, block_bytes):
             block, serial = (batch.column(2)[0].as_py() << 32) + serial, serial + 1
-            lines, n_words = _lines(batch.column(1).to_pylist())
+            parts = [_lines(x.column(1).to_pylist()) for x in slices(iter([batch]), _PIECE)]
+            lines, n_words = [x for part, _ in parts for x in part], np.concatenate([n for _, n in parts])
             held = pa.array([held_out(k) for k in batch.column(0).to_pylist()], pa.bool_())
             own = pa.record_batch({"key": batch.column(0), "held": held, "line": pa.array(lines, pa.large_binary()), "n_words": n_words})
             yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([_packed(own)], pa.binary())], names=["block", "data"])
@@ -275,6 +342,7 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]
     for batch in batches:
         for block, data in zip(batch.column(0), batch.column(1), strict=True):
             yield block.as_py(), pa.ipc.open_stream(data.as_py()).read_all()
+            pa.default_memory_pool().release_unused()  # else each worker keeps what a block has taken at most
 
 
 def _window_scores(blocks: DataFrame) -> DataFrame:
@@ -282,47 +350,49 @@ def _window_scores(blocks: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, own in _opened(batches):
-            lines, trained, found = own["line"].to_pylist(), ~own["held"].to_numpy(), []
-            for at, to, windows, first in _runs(lines):
-                u, place = np.unique(windows, return_inverse=True)
-                found.append((u, np.bincount(place, np.repeat(trained[at:to], np.diff(first, append=len(windows))), minlength=len(u))))
-            u, place = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
-            n = np.bincount(place, np.concatenate([n for _, n in found]), minlength=len(u)).astype(np.int64)
-            for i in range(0, len(u), 1 << 17):
-                x = u[i : i + (1 << 17)]
-                dealt = ((x >> np.uint64(8)) & np.uint64((1 << (8 * KEPT)) - 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(dealt), pa.array(x.view(np.int64)), pa.array(n[i : i + len(x)]), pa.array(np.full(len(x), block))], names=["dealt", "window", "n", "block"])
+            lines, trained = own["line"].to_pylist(), ~own["held"].to_numpy()
+            del own
+            for x, n in _block_windows(lines, trained):
+                yield pa.RecordBatch.from_arrays([pa.array(_turned(x).view(np.int64)), pa.array(n), pa.array(np.full(len(x), block))], names=["turned", "n", "block"])
 
     def mix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(windows: np.ndarray, n: np.ndarray, block: np.ndarray) -> Iterator[pa.RecordBatch]:
-            order = np.argsort(windows, kind="stable")
-            u, first, place = np.unique(windows[order], return_index=True, return_inverse=True)
-            q, up = _deep(u, np.bincount(place, n[order], minlength=len(u)))
-            ends = pa.array(np.concatenate([first, [len(order)]]).astype(np.int32))
+        def done(u: np.ndarray, n: np.ndarray, times: np.ndarray, block: np.ndarray) -> Iterator[pa.RecordBatch]:
+            q, up = _deep(u := _turned_back(u), n)
+            ends = pa.array(np.concatenate([[0], np.cumsum(times)]).astype(np.int32))
             none = lambda k: [pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.list_(pa.int64()))]
             # a choice of over 1/2 is kept as what it lacks to one, with a minus: single precision is fine at both ends
             packed = pa.Array.from_buffers(pa.binary(), len(u), [None, pa.py_buffer((np.arange(len(u) + 1) * 32).astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(np.where(q > 0.5, q - 1, q), dtype=np.float32).tobytes())])
-            own = [pa.array(u.view(np.int64)), packed, pa.ListArray.from_arrays(ends, pa.array(block[order]))]
+            own = [pa.array(u.view(np.int64)), packed, pa.ListArray.from_arrays(ends, pa.array(block))]
             yield pa.RecordBatch.from_arrays([*own, pa.nulls(len(u), pa.int64()), pa.nulls(len(u), pa.int64()), pa.nulls(len(u), pa.int64()), pa.nulls(len(u), pa.float64())], names=names)
             code, n0, n1, below = up
             yield pa.RecordBatch.from_arrays([*none(len(code)), pa.array(code.view(np.int64)), pa.array(n0), pa.array(n1), pa.array(below)], names=names)
 
         names = ["window", "deep", "blocks", "code", "n0", "n1", "below"]
+        def merged(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+            """Distinct windows of sorted rows, counts of training, numbers of blocks, and blocks."""
+            u, n, times, block = (np.concatenate(x) for x in zip(*held, strict=True))
+            first = _starts(u)
+            return u[first], np.add.reduceat(n, first), np.add.reduceat(times, first), block
+
         held, size = [], 0
         for batch in batches:
-            held.append([c.to_numpy() for c in batch.columns])
-            size += batch.num_rows
-            if size >= _GROUP:  # all but the last context of KEPT bytes are whole
-                dealt, window, n, block = (np.concatenate(x) for x in zip(*held, strict=True))
-                last = int(np.searchsorted(dealt, dealt[-1]))
-                if last:
-                    yield from done(window[:last].view(np.uint64), n[:last], block[:last])
-                held, size = [[x[last:] for x in (dealt, window, n, block)]], len(dealt) - last
-        if size:
-            _, window, n, block = (np.concatenate(x) for x in zip(*held, strict=True))
-            yield from done(window.view(np.uint64), n, block)
-
-    dealt = blocks.mapInArrow(count, "dealt int, window long, n long, block long").repartition("dealt").sortWithinPartitions("dealt")
+            if batch.num_rows == 0:
+                continue
+            u, n, block = (c.to_numpy() for c in batch.columns)
+            held.append(merged([(u.view(np.uint64), n, np.ones(len(u), dtype=np.int64), block)]))
+            size += max(len(held[-1][0]) * (_PAIRS // _GROUP), len(u))
+            if size >= _PAIRS and held[0][0][0] >> _REST != held[-1][0][-1] >> _REST:  # all but the last context of KEPT bytes are whole
+                u, n, times, block = merged(held)
+                last = int(np.searchsorted(u, u[-1] >> _REST << _REST))
+                pairs = int(times[:last].sum())
+                yield from done(u[:last], n[:last], times[:last], block[:pairs])
+                pa.default_memory_pool().release_unused()
+                held = [(u[last:].copy(), n[last:].copy(), times[last:].copy(), block[pairs:].copy())]
+                size = max((len(u) - last) * (_PAIRS // _GROUP), len(block) - pairs)
+        if held:
+            yield from done(*merged(held))
+
+    dealt = blocks.mapInArrow(count, "turned long, n long, block long").repartition(F.shiftright("turned", int(_REST))).sortWithinPartitions("turned")
     mixed = staged(dealt.mapInArrow(mix, "window long, deep binary, blocks array<long>, code long, n0 long, n1 long, below double"))
     with freed_shuffles(blocks.sparkSession):
         top = mixed.where("code IS NOT NULL").groupBy("code").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("below").alias("below")).toArrow()  # at most 2^24 rows
@@ -333,7 +403,8 @@ def _window_scores(blocks: DataFrame) -> DataFrame:
             x = pa.Table.from_batches(held).combine_chunks()
             deep = np.frombuffer(b"".join(x["deep"].to_pylist()), dtype=np.float32).reshape(-1, 8).astype(np.float64)
             window = x["window"].to_numpy()
-            value = log10_windows(window.view(np.uint64), tables.value, np.where(deep < 0, deep + 1, deep)).astype(np.float32)
+            deep = np.where(deep < 0, deep + 1, deep)
+            value = np.concatenate([log10_windows(window[i : i + 8192].view(np.uint64), tables.value, deep[i : i + 8192]) for i in range(0, len(window), 8192)]).astype(np.float32)
             block, times = pa.compute.list_flatten(x["blocks"]).to_numpy(), pa.compute.list_value_length(x["blocks"]).to_numpy()
             order = np.argsort(block, kind="stable")
             ids, first = np.unique(block[order], return_index=True)
@@ -345,12 +416,15 @@ def _window_scores(blocks: DataFrame) -> DataFrame:
 
         held, size = [], 0
         for batch in batches:
-            held.append(batch)
-            size += batch.num_rows
-            if size >= 50_000:
-                yield from done(held)
-                held, size = [], 0
-        if size:
+            ends, at = np.cumsum(pa.compute.list_value_length(batch["blocks"]).to_numpy()), 0
+            while at < batch.num_rows:  # a window has as many pairs as blocks
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _PAIRS - size, side="right")))
+                held.append(batch.slice(at, to - at))
+                size, at = size + int(ends[to - 1] - (ends[at - 1] if at else 0)), to
+                if size >= _PAIRS or at < batch.num_rows or sum(x.num_rows for x in held) >= 50_000:
+                    yield from done(held)
+                    held, size = [], 0
+        if held:
             yield from done(held)
 
     return mixed.where("window IS NOT NULL").select("window", "deep", "blocks").mapInArrow(score, "block long, windows binary, scores binary")
@@ -366,9 +440,11 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", block_
         """Each distinct word of a block with its count in training; the null word stands for the ends of the texts."""
         for block, own in _opened(batches):
             lines, trained = own["line"].to_pylist(), ~own["held"].to_numpy()
-            flat = _split(lines).dictionary_encode()
-            n = np.bincount(flat.indices.to_numpy(), np.repeat(trained, own["n_words"].to_numpy()), minlength=len(flat.dictionary)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), block)), flat.dictionary, pa.array(np.arange(len(n), dtype=np.int32)), pa.array(n)], names=names)
+            places, words = _coded(lines)
+            n = np.bincount(places, np.repeat(trained, own["n_words"].to_numpy()), minlength=len(words)).astype(np.int64)
+            for i in range(0, len(words), 1 << 16):
+                x = n[i : i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), block)), words.slice(i, len(x)), pa.array(np.arange(i, i + len(x), dtype=np.int32)), pa.array(x)], names=names)
             yield pa.RecordBatch.from_arrays([pa.array([block]), pa.nulls(1, pa.string()), pa.nulls(1, pa.int32()), pa.array([int(trained.sum())])], names=names)
 
     names = ["block", "word", "place", "n"]
@@ -381,26 +457,26 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", block_
     def gather(group: pa.Table) -> pa.Table:
         own = pa.ipc.open_stream(group.filter(group["data"].is_valid())["data"][0].as_py()).read_all()
         lines = own["line"].to_pylist()
-        words = group.filter(group["places"].is_valid())
+        words = group.select(["places", "counts"]).filter(group["places"].is_valid())
         total = own["n_words"].to_numpy().astype(np.int64)
         size, known, base = len(total), np.zeros(len(total), dtype=np.int64), np.zeros(len(total))
-        flat = _split(lines).dictionary_encode()
-        if words.num_rows and len(flat):
-            counts = np.zeros(len(flat.dictionary), dtype=np.int64)
+        if words.num_rows and total.sum():
+            places, distinct = _coded(lines)
+            counts, starts = np.zeros(len(distinct), dtype=np.int64), np.concatenate([[0], np.cumsum(total)])
             counts[np.frombuffer(b"".join(words["places"].to_pylist()), dtype=np.int32)] = np.frombuffer(b"".join(words["counts"].to_pylist()), dtype=np.int64)
-            c = counts[flat.indices.to_numpy()]
-            doc = np.repeat(np.arange(size), total)
-            known = np.bincount(doc[c > 0], minlength=size).astype(np.int64)
-            base = np.bincount(doc, np.log10(c + 1.0), minlength=size)
-        packed = group.filter(group["windows"].is_valid())
+            pa.default_memory_pool().release_unused()
+            for a, b in _pieces(lines):
+                c, doc = counts[places[starts[a] : starts[b]]], np.repeat(np.arange(b - a), total[a:b])
+                known[a:b] = np.bincount(doc[c > 0], minlength=b - a)
+                base[a:b] = np.bincount(doc, np.log10(c + 1.0), minlength=b - a)
+        packed = group.select(["windows", "scores"]).filter(group["windows"].is_valid())
         windows = np.frombuffer(b"".join(packed["windows"].to_pylist()), dtype=np.uint64)
         order = np.argsort(windows)
         windows, value = windows[order], np.frombuffer(b"".join(packed["scores"].to_pylist()), dtype=np.float32)[order].astype(np.float64)
+        del group, words, packed
         score = np.zeros(size)
         for a, b, found, first in _runs(lines):
-            place, distinct = pd.factorize(found)
-            at = np.searchsorted(windows, distinct)
-            score[a:b] += np.add.reduceat(value[at][place], first)
+            score[a:b] += np.add.reduceat(_looked_up(found, windows, value), first)
         return pa.table(
             {
                 "key": own["key"],
@@ -447,6 +523,14 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", block_
     return found.groupBy("block").applyInArrow(gather, schema).withColumnRenamed("key", key)
 
 
+def _coded(lines: list[bytes]) -> tuple[np.ndarray, pa.Array]:
+    """All words of the lines as places in the array of the distinct ones, which is in the order of their first places."""
+    runs = [_split(lines[a:b]).dictionary_encode() for a, b in _pieces(lines)]
+    distinct = pa.concat_arrays([x.dictionary for x in runs]).dictionary_encode()
+    starts = np.cumsum([0, *(len(x.dictionary) for x in runs)])
+    return np.concatenate([distinct.indices.to_numpy()[at + x.indices.to_numpy()] for at, x in zip(starts, runs, strict=False)]), distinct.dictionary
+
+
 def _split(lines: list[bytes]) -> pa.Array:
     """All words of the lines."""
     flat = pa.compute.split_pattern(pa.array([b" ".join(lines)], pa.binary()).cast(pa.string()), " ").flatten()

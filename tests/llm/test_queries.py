@@ -214,6 +214,55 @@ def test_op4_long_text():
     assert sum(len(w) for a, b, w in got if (a, b) == (1, 2)) == len(lines[1]) + 1
 
 
+def test_op4_block_memory():
+    """What a task holds for a block besides its lines and distinct windows doesn't grow with the block: counts are those of a plain count."""
+    import tracemalloc
+
+    import numpy as np
+
+    def peak(f):
+        tracemalloc.start()
+        try:
+            return f(), tracemalloc.get_traced_memory()[1] / 1e6
+        finally:
+            tracemalloc.stop()
+
+    draw = random.Random(5)
+    texts = [" ".join(draw.choice(["a", "of", "the", "Tree", "ü"]) for _ in range(draw.randint(1, 3000))) for _ in range(900)]
+    (lines, n_words), most = peak(lambda: ctw._lines(texts))
+    assert lines == [" ".join(spaced(t, True)).encode() for t in texts] and n_words.sum() == sum(len(t.split()) for t in texts)
+    assert most < 16  # 4 MB of lines; all words at once take over 50
+    trained = np.array([i % 3 > 0 for i in range(len(lines))])
+    assert peak(lambda: sum(len(w) for _, _, w, _ in ctw._runs(lines)))[1] < 16  # over 60 for runs of 2 MB
+    found, most = peak(lambda: list(ctw._block_windows(lines, trained)))
+    assert most < 48
+    want = collections.Counter()
+    for line, own in zip(lines, trained, strict=True):
+        for w in ctw._windows([line])[0].tolist():
+            want[w] += int(own)
+    windows, n = (np.concatenate(x) for x in zip(*found, strict=True))
+    assert dict(zip(windows.tolist(), n.tolist(), strict=True)) == dict(want) and (np.diff(windows.astype(np.int64)) > 0).all()
+    assert (ctw._turned_back(ctw._turned(windows)) == windows).all()
+    value = np.arange(len(windows)) / 7
+    run = ctw._windows(lines[:200])[0]
+    assert (ctw._looked_up(run, windows, value) == value[np.searchsorted(windows, run)]).all()
+
+
+def test_op4_many_blocks(spark, monkeypatch):
+    """Contexts that many blocks hold are mixed and scored in lots, whatever their size, with the same scores."""
+    draw = random.Random(6)
+    texts = [" ".join(draw.choice(["a", "of", "the", "tree"]) for _ in range(draw.randint(0, 30))) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    kept = lambda **k: {r["doc_id"]: r for r in ctw.score_texts(docs, **k).collect()}
+    want = kept()
+    monkeypatch.setattr(ctw, "_GROUP", 5)
+    monkeypatch.setattr(ctw, "_PAIRS", 20)
+    got = kept(block_bytes=100)
+    assert got.keys() == want.keys() and len(got) == len(texts)
+    for i, r in want.items():
+        assert tuple(got[i])[:5] == tuple(r)[:5] and got[i]["base_score"] == pytest.approx(r["base_score"]) and got[i]["score"] == pytest.approx(r["score"], rel=1e-6)
+
+
 def test_op5(spark, folder, rows):
     import tiktoken
 
