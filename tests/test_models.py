@@ -250,3 +250,32 @@ def test_blocks_meet_at_sites(spark):
     for part_rows in (1 << 18, 20):
         met = sorted(map(tuple, alignment._paired(df, give, "p int, q int, n long", 8, part_rows)[1].collect()))
         assert met == [(k, k, 280) for k in range(8)]
+
+
+def test_pairs_of_spread_taxa(spark, monkeypatch):
+    """Taxa that meet in ever other blocks go to few sides, not to a pair of blocks for each pair of them; sides and lots give what all pairs at all sites give."""
+    import itertools
+    import random
+
+    import pyarrow as pa
+
+    from codonspark.operators import alignment
+
+    rng = random.Random(5)
+    rows = [(g, f"t{t:02}", s, *rng.choice([("AAA", "K"), ("AAG", "K"), ("CCC", "P"), (None, None)])) for g in "ab" for s in range(60) for t in rng.sample(range(64), 9)]
+    df = spark.createDataFrame(rows, "gene string, taxon string, site int, codon string, aa string")
+    give = lambda table, names, pairs: pa.table({"p": table.column("p")[:1], "q": table.column("q")[:1], "n": [int(pairs[2].sum())]})
+    want = {}
+    for g, s in {(r[0], r[2]) for r in rows}:
+        for x, y in itertools.combinations(sorted(r[1:2] + r[3:] for r in rows if r[0] == g and r[2] == s and r[3]), 2):
+            n, d, dn = want.get((g, x[0], y[0]), (0, 0, 0))
+            want[g, x[0], y[0]] = (n + 1, d + (x[1] != y[1]), dn + (x[2] != y[2]))
+    assert [r[:2] for r in alignment._paired(df, give, "p int, q int, n long", 4, 1 << 18)[1].collect()] == [(0, 0), (0, 0)]
+    for pairs, lots in ((1 << 22, 16), (200, 1)):
+        monkeypatch.setattr(alignment, "PART_PAIRS", pairs)
+        monkeypatch.setattr(alignment, "LOT_PAIRS", lots)
+        assert {(r["gene"], r["taxon1"], r["taxon2"]): (r["n"], r["d"], r["dn"]) for r in alignment.pair_counts(df, 4).collect()} == want
+        for r in alignment.pairwise_rates(df, 4).collect():
+            own = [v for k, v in want.items() if k[0] == r["gene"]]
+            assert abs(r["divergence"] - sum(d / n for n, d, _ in own) / len(own)) < 1e-12
+            assert r["n_unshared"] == len({x[1] for x in rows if x[0] == r["gene"]}) * (len({x[1] for x in rows if x[0] == r["gene"]}) - 1) // 2 - len(own)
