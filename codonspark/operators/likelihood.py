@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codonspark.functions.shared import checkpointed
+from codonspark.functions.shared import checkpointed, staged
 from codonspark.operators.trees import gathered, jumps
 
 
@@ -76,16 +76,19 @@ def _heavy_first(parents: dict[int, int | None], depths: dict[int, int]) -> list
     return order[::-1]
 
 
-def _pruned(nodes: pd.DataFrame, rates: np.ndarray, freqs: np.ndarray, leaves: list, states: list) -> np.ndarray:
-    """Log likelihoods of patterns, each the numbers of its known leaves, ascending, and their states. A node is worked on for those patterns alone that know a leaf below it, and all leaves of a node at once."""
-    n, k = len(leaves), len(freqs)
-    column = np.repeat(np.arange(n), [len(x) for x in leaves])
-    leaf, state = (np.concatenate([np.asarray(x, dtype=np.int64) for x in xs]) if len(column) else np.empty(0, np.int64) for xs in (leaves, states))
+def _pruned(nodes: list[dict], rates: np.ndarray, freqs: np.ndarray, some: pa.Table) -> np.ndarray:
+    """Log likelihoods of patterns, each lists of its known leaves, ascending, their states, their parents (up) and their lengths (far); nodes: what is above the leaves. A node is worked on for those
+    patterns alone that know a leaf below it, and all leaves of a node at once."""
+    lists = {c: some.column(c).combine_chunks() for c in ("leaves", "states", "up", "far")}
+    held, k = pc.list_value_length(lists["leaves"]).to_numpy(), len(freqs)
+    n, column = len(held), np.repeat(np.arange(len(held)), held)
+    leaf, state, above = (pc.fill_null(lists[c].flatten(), -1).to_numpy().astype(np.int64) for c in ("leaves", "states", "up"))
+    far = lists["far"].flatten().to_numpy()
     first = np.ones(len(column), dtype=bool)
     first[1:] = (column[1:] != column[:-1]) | (leaf[1:] != leaf[:-1])
-    column, leaf, state = column[first], leaf[first], state[first]
-    parents = {int(i): None if pd.isna(p) else int(p) for i, p in zip(nodes["node_id"], nodes["parent_id"], strict=True)}
-    lengths, depths = (dict(zip(parents, nodes[c].tolist(), strict=True)) for c in ("branch_length", "depth"))
+    column, leaf, state, above, far = (x[first] for x in (column, leaf, state, above, far))
+    parents = {x["node_id"]: x["parent_id"] for x in nodes}
+    lengths, depths = ({x["node_id"]: x[c] for x in nodes} for c in ("branch_length", "depth"))
     moves: dict[float, np.ndarray] = {}
     partial: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     scale, out = np.zeros(n), np.zeros(n)
@@ -109,9 +112,6 @@ def _pruned(nodes: pd.DataFrame, rates: np.ndarray, freqs: np.ndarray, leaves: l
         scale[at] += np.log(top)
         return at, factor / np.where(top > 0, top, 1.0)[:, None]
 
-    known, which = np.unique(leaf, return_inverse=True)
-    above = np.array([-1 if parents[x] is None else parents[x] for x in known.tolist()], dtype=np.int64)[which]
-    far = np.array([lengths[x] for x in known.tolist()], dtype=float)[which]
     # of the leaves of a node that a pattern knows the first of each pattern go together, then the second
     by = np.lexsort((leaf, column, above))
     new = np.ones(len(by), dtype=bool)
@@ -125,7 +125,7 @@ def _pruned(nodes: pd.DataFrame, rates: np.ndarray, freqs: np.ndarray, leaves: l
     with np.errstate(divide="ignore"):  # an impossible pattern has -inf
         for lot in lots.pop(-1, ()):
             out[column[lot]] = np.log(freqs[state[lot]])
-        ends = set(known.tolist())
+        ends = set(np.unique(leaf).tolist())
         inner = {node: up for node, up in parents.items() if node not in ends and up not in ends}
         for node in _heavy_first(inner, depths):
             held = partial.pop(node, None)
@@ -146,7 +146,7 @@ def _pruned(nodes: pd.DataFrame, rates: np.ndarray, freqs: np.ndarray, leaves: l
 
 
 def part_trees(dealt: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(gene, part, tree, node_id, parent_id, branch_length, depth): the leaves that the patterns of a part know (gene, part, tree, leaves) and what is above them, so a part isn't sent the rest of its gene's tree."""
+    """(gene, part, tree, node_id, parent_id, branch_length, depth): the leaves, or other nodes, that the patterns of a part know (gene, part, tree, leaves) and what is above them, so a part isn't sent the rest of its gene's tree."""
     kind = nodes.schema["node_id"].dataType.simpleString()
     known = dealt.select("tree", "gene", "part", F.explode(F.col("leaves").cast(f"array<{kind}>")).alias("node_id"), F.lit(True).alias("known"))
     own = gathered(known, jumps(nodes), {"known": F.first}, ["gene", "part"])
@@ -161,27 +161,30 @@ def pattern_likelihood(states: DataFrame, genes: DataFrame, nodes: DataFrame, ra
     not read; an impossible column has minus infinity. A gene without tree or rates is an error, and one that genes doesn't list has no row.
 
     Equal columns of a gene are one pattern, pruned once. Patterns are dealt to tasks by some `per_task` of a gene, so a long gene is many tasks, and the answers joined back to the sites.
-    A task holds its patterns, what its patterns know of the tree, and matrices for the log2 of those nodes that wait at once.
+    A task holds its patterns, what is above their leaves, and matrices for the log2 of those nodes that wait at once. A leaf brings its parent and length along in the pattern, so that the leaves of a
+    tree are no rows of each part.
     """
-    leaf = nodes.where("is_leaf").select("tree", "name", F.col("node_id").cast("long").alias("leaf"))
-    cell = F.when(F.col("leaf").isNotNull() & F.col("state").isNotNull(), F.struct("leaf", "state"))
+    genes = checkpointed(genes)  # read four times
+    leaf = nodes.where("is_leaf").select("tree", "name", F.col("node_id").cast("long").alias("leaf"), F.col("parent_id").cast("long").alias("up"), F.coalesce("branch_length", F.lit(0.0)).alias("far"))
+    cell = F.when(F.col("leaf").isNotNull() & F.col("state").isNotNull(), F.struct("leaf", "state", "up", "far"))
     cells = states.select("gene", "site", "name", "state").join(genes.select("gene", "tree"), "gene").join(leaf, ["tree", "name"], "left")
-    columns = cells.groupBy("gene", "site").agg(F.array_sort(F.collect_set(cell)).alias("known"))
-    columns = checkpointed(columns.withColumn("pattern", F.sha2(F.col("known").cast("string"), 256)))
+    columns = cells.select("gene", "site", cell.alias("cell")).repartition("gene", "site").groupBy("gene", "site").agg(F.sort_array(F.collect_set("cell")).alias("known"))
+    columns = staged(columns.withColumn("pattern", F.sha2(F.concat(F.col("known.leaf").cast("string"), F.col("known.state").cast("string")), 256)))
     patterns = columns.groupBy("gene", "pattern").agg(F.first("known").alias("known"))
-    patterns = checkpointed(patterns)  # read three times
+    patterns = staged(patterns)  # read three times
     parts = patterns.groupBy("gene").agg(F.ceil(F.count(F.lit(1)) / per_task).cast("int").alias("parts"))
-    dealt = patterns.join(parts, "gene").select("gene", F.pmod(F.hash("pattern"), "parts").alias("part"), "pattern", F.col("known.leaf").alias("leaves"), F.col("known.state").alias("states"))
+    dealt = patterns.join(parts, "gene").select("gene", F.pmod(F.hash("pattern"), "parts").alias("part"), "pattern", F.col("known.leaf").alias("leaves"), F.col("known.state").alias("states"), "known.up", "known.far")
     listed = lambda df, by, name, *c: df.groupBy(by).agg(F.collect_list(F.struct(*c)).alias(name))
     trees = nodes.select("tree", F.lit(True).alias("grown")).distinct()
     models = genes.join(parts, "gene").join(trees, "tree", "left").join(listed(rates, "set", "rates", "i", "j", "rate"), "set", "left").join(listed(freqs, "set", "freqs", "i", "freq"), "set", "left")
     models = models.select("gene", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "grown",
         *[F.col(f"{a}.{c}").alias(f"{a}_{c}") for a, c in (("rates", "i"), ("rates", "j"), ("rates", "rate"), ("freqs", "i"), ("freqs", "freq"))])
-    given = models.unionByName(part_trees(dealt.join(genes.select("gene", "tree"), "gene"), nodes).drop("tree"), allowMissingColumns=True)
+    above = part_trees(dealt.select("gene", "part", F.array_compact(F.array_distinct("up")).alias("leaves")).join(genes.select("gene", "tree"), "gene"), nodes)
+    # a part's nodes are one row: among rows of nodes the empty lists of a model are filled up anew for each row that goes to Python
+    given = models.join(listed(above, ["gene", "part"], "nodes", F.col("node_id").cast("long").alias("node_id"), F.col("parent_id").cast("long").alias("parent_id"), "branch_length", "depth"), ["gene", "part"], "left")
 
     def run(key: tuple, some: pa.Table, given: pa.Table) -> pa.Table:
-        model = pc.is_null(given.column("node_id"))
-        m = given.filter(model).select(["grown", "rates_i", "rates_j", "rates_rate", "freqs_i", "freqs_freq"]).to_pylist()[0]
+        m = given.to_pylist()[0]
         if any(m[c] is None for c in ("grown", "rates_i", "freqs_i")):
             raise ValueError(f"gene {key[0]} has no tree or no rates")
         k = len(m["freqs_i"])
@@ -190,8 +193,7 @@ def pattern_likelihood(states: DataFrame, genes: DataFrame, nodes: DataFrame, ra
         q[m["rates_i"], m["rates_j"]] = m["rates_rate"]
         np.fill_diagonal(q, 0.0)
         np.fill_diagonal(q, -q.sum(axis=1))
-        tree = given.filter(pc.invert(model)).select(["node_id", "parent_id", "branch_length", "depth"]).to_pandas()
-        found = _pruned(tree, q, pi, some.column("leaves").to_pylist(), some.column("states").to_pylist())
+        found = _pruned(m["nodes"] or [], q, pi, some)
         return some.select(["gene", "pattern"]).append_column("log_likelihood", pa.array(found, pa.float64()))
 
     gene = states.schema["gene"].dataType.simpleString()

@@ -479,6 +479,7 @@ def node_medians_dated(b, a):
 def site_likelihood(s, n):
     """Pruning over the tree of nations, at equal rates; a nation without a known state at a site agrees with all."""
     tree = n.where("depth <= 2").withColumn("is_leaf", F.col("depth") == 2)
+    s = staged(s)  # read twice
     genes = s.select("gene").distinct().select("gene", F.lit("tree").alias("tree"), F.lit(0).alias("set"))
     rates = s.sparkSession.range(16).selectExpr("0 AS set", "CAST(id DIV 4 AS INT) AS i", "CAST(id % 4 AS INT) AS j", "1 / 3D AS rate")
     freqs = s.sparkSession.range(4).selectExpr("0 AS set", "CAST(id AS INT) AS i", "0.25D AS freq")
@@ -501,8 +502,9 @@ def site_likelihood_codons(b, n, f):
     """Codon columns over the whole tree of suppliers, 61 states, with the frequencies of each gene's own set; codons change to another in proportion to its frequency."""
     codes = c.codon_table(b.sparkSession)
     leaf = n.where("is_leaf").select((F.col("node_id") - 1000).alias("taxon"), "name")
-    states = coded(b).join(leaf, "taxon").join(codes.select("codon", F.col("codon_id").cast("int").alias("state")), "codon", "left").select("gene", "site", "name", "state")
-    genes = b.select("gene").distinct().select("gene", F.lit("tree").alias("tree"), (F.col("gene") % 5).cast("int").alias("set"))
+    rows = staged(coded(b).select("gene", "taxon", "site", "codon"))  # read twice
+    states = rows.join(leaf, "taxon").join(codes.select("codon", F.col("codon_id").cast("int").alias("state")), "codon", "left").select("gene", "site", "name", "state")
+    genes = rows.select("gene").distinct().select("gene", F.lit("tree").alias("tree"), (F.col("gene") % 5).cast("int").alias("set"))
     freqs = ra.codon_stationary(codes.select("codon", "aa"), f).join(codes.select("codon", "codon_id"), "codon").select(F.col("set").cast("int").alias("set"), F.col("codon_id").cast("int").alias("i"), F.col("stat").alias("freq"))
     rates = freqs.select("set", "i").join(freqs.select("set", F.col("i").alias("j"), F.col("freq").alias("rate")), "set")
     return pattern_likelihood(states, genes, n, rates, freqs)

@@ -279,3 +279,22 @@ def test_pairs_of_spread_taxa(spark, monkeypatch):
             own = [v for k, v in want.items() if k[0] == r["gene"]]
             assert abs(r["divergence"] - sum(d / n for n, d, _ in own) / len(own)) < 1e-12
             assert r["n_unshared"] == len({x[1] for x in rows if x[0] == r["gene"]}) * (len({x[1] for x in rows if x[0] == r["gene"]}) - 1) // 2 - len(own)
+
+
+def test_leaves_are_no_rows_of_a_part(spark, monkeypatch):
+    """Patterns bring their leaves along, so a part of a gene is sent what is above them alone: of a star the root."""
+    from codonspark.operators import likelihood
+
+    sent, real = [], likelihood.part_trees
+    monkeypatch.setattr(likelihood, "part_trees", lambda *given: sent.append(real(*given)) or sent[-1])
+    nodes = spark.range(301).selectExpr("'t' AS tree", "CAST(id AS INT) AS node_id", "CASE WHEN id > 0 THEN 0 END AS parent_id", "concat('s', id) AS name", "CASE WHEN id > 0 THEN 0.25D * (1 + id % 3) END AS branch_length", "id > 0 AS is_leaf", "CAST(id > 0 AS INT) AS depth")
+    states = spark.range(300).selectExpr("'g' AS gene", "id DIV 3 AS site", "concat('s', 1 + id) AS name", "CAST(id * id % 4 AS INT) AS state")
+    genes = spark.sql("SELECT 'g' AS gene, 't' AS tree, 0 AS `set`")
+    rates_ = spark.range(16).selectExpr("0 AS `set`", "CAST(id DIV 4 AS INT) AS i", "CAST(id % 4 AS INT) AS j", "1 / 3D AS rate")
+    freqs = spark.range(4).selectExpr("0 AS `set`", "CAST(id AS INT) AS i", "0.25D AS freq")
+    got = {r["site"]: r["log_likelihood"] for r in likelihood.pattern_likelihood(states, genes, nodes, rates_, freqs).collect()}
+    assert [tuple(r)[3:5] for r in sent[0].collect()] == [(0, None)]
+    e = {i: math.exp(-4 / 3 * 0.25 * (1 + i % 3)) for i in range(1, 301)}
+    for s in range(100):
+        own = [(1 + i, i * i % 4) for i in range(3 * s, 3 * s + 3)]
+        assert got[s] == pytest.approx(math.log(sum(0.25 * math.prod(e[n] * (x == b) + (1 - e[n]) / 4 for n, x in own) for b in range(4))))
